@@ -1 +1,84 @@
-"""(filled in below)"""
+"""Feature / label queries N66-N72 and their oracle SQL."""
+
+from clickspark.operators import features as fe
+from clickspark.plans.oracle import with_ev
+from clickspark.plans.registry import ev_orders, query
+
+CUT = "cut AS (SELECT quantile_cont(event_time, 0.8) AS c FROM ev)"
+PF = """pf AS (
+  SELECT user_id, COUNT(*) AS total_events,
+    COUNT(*) FILTER (WHERE event_type = 'view') AS views,
+    COUNT(*) FILTER (WHERE event_type = 'cart') AS carts,
+    COUNT(*) FILTER (WHERE event_type = 'purchase') AS past_purchases,
+    COUNT(DISTINCT product_id) AS unique_products,
+    CAST(epoch_us(MAX(event_time)) - epoch_us(MIN(event_time)) AS DOUBLE) / 1000000.0 AS active_span_sec
+  FROM ev WHERE event_time <= (SELECT c FROM cut) GROUP BY user_id)"""
+FL = """fl AS (
+  SELECT user_id, CASE WHEN COUNT(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 1 ELSE 0 END AS label
+  FROM ev WHERE event_time > (SELECT c FROM cut) GROUP BY user_id)"""
+ML = """ml AS (
+  SELECT pf.user_id, total_events, views, carts, past_purchases, unique_products,
+    COALESCE(fl.label, 0) AS label, active_span_sec,
+    total_events / (active_span_sec / 86400.0 + 1.0) AS events_per_day,
+    carts / (views + 1.0) AS cart_to_view_ratio,
+    unique_products / (views + 1.0) AS product_diversity,
+    CASE WHEN past_purchases > 0 THEN 1 ELSE 0 END AS has_past_purchase,
+    past_purchases / (total_events + 1.0) AS purchase_rate
+  FROM pf LEFT JOIN fl ON pf.user_id = fl.user_id)"""
+ML_CTES = (CUT, PF, FL, ML)
+
+
+def ml(spark, d):
+    return fe.ml_dataset(ev_orders(spark, d))
+
+
+@query("time_cutoff", with_ev("SELECT c AS cutoff_time FROM cut", CUT))
+def _tc(spark, d):
+    return fe.time_cutoff(ev_orders(spark, d))
+
+
+@query("past_features", with_ev("SELECT * FROM pf", CUT, PF))
+def _pf(spark, d):
+    ev = ev_orders(spark, d)
+    return fe.past_features(ev, fe.cutoff_value(ev))
+
+
+@query("future_labels", with_ev("SELECT * FROM fl", CUT, FL))
+def _fl(spark, d):
+    ev = ev_orders(spark, d)
+    return fe.future_labels(ev, fe.cutoff_value(ev))
+
+
+@query("ml_dataset", with_ev("SELECT * FROM ml", *ML_CTES))
+def _ml(spark, d):
+    return ml(spark, d)
+
+
+@query("label_balance", with_ev('SELECT label, COUNT(*) AS "count" FROM ml GROUP BY label', *ML_CTES))
+def _lb(spark, d):
+    return fe.label_balance(ml(spark, d))
+
+
+@query("feature_summary")
+def _fs(spark, d):
+    return fe.feature_summary(ml(spark, d))
+
+
+@query("stratified_split", with_ev("""SELECT label, CAST(SUM(is_test) AS BIGINT) AS test_rows, COUNT(*) AS rows_total
+FROM (SELECT label, CASE WHEN ROW_NUMBER() OVER (PARTITION BY label ORDER BY h, user_id)
+                           <= ceil(COUNT(*) OVER (PARTITION BY label) * CAST(0.2 AS DOUBLE)) THEN 1 ELSE 0 END AS is_test
+      FROM (SELECT label, user_id, hash(user_id) AS h FROM ml) x) y GROUP BY label""", *ML_CTES))
+def _ss(spark, d):
+    s = fe.stratified_split(ml(spark, d))
+    from pyspark.sql import functions as F
+    return s.groupBy("label").agg(F.sum("is_test").cast("long").alias("test_rows"),
+                                  F.count("*").alias("rows_total"))
+
+
+@query("stratified_folds", with_ev("""SELECT label, fold, COUNT(*) AS rows_in_fold
+FROM (SELECT label, CAST((ROW_NUMBER() OVER (PARTITION BY label ORDER BY user_id) - 1) % 3 AS INTEGER) AS fold
+      FROM ml) x GROUP BY label, fold""", *ML_CTES))
+def _sf(spark, d):
+    s = fe.stratified_folds(ml(spark, d))
+    from pyspark.sql import functions as F
+    return s.groupBy("label", "fold").agg(F.count("*").alias("rows_in_fold"))
