@@ -64,8 +64,15 @@ def estimator(name: str, label: str = "label", n_train: int | None = None,
 
 
 def fit(name: str, train: DataFrame, label: str = "label", **overrides) -> PipelineModel:
-    n = train.count() if name == "LogisticReg" else None
-    return estimator(name, label, n_train=n, **overrides).fit(train)
+    """Fit a named model; the input is cached for the iterations of the
+    fit and released after."""
+    from pyspark import StorageLevel
+    t = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = t.count() if name == "LogisticReg" else None
+        return estimator(name, label, n_train=n, **overrides).fit(t)
+    finally:
+        t.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:

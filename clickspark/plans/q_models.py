@@ -1 +1,144 @@
-"""(filled in below)"""
+"""Model queries N73-N91 (no SQL oracle: rows-only check), plus the
+abandonment labels / dataset, which SQL can check, and the value layer
+scored by the boosted model."""
+
+from pyspark.sql import functions as F
+
+from clickspark.operators import models as mo
+from clickspark.operators import value as va
+from clickspark.plans.oracle import with_ev
+from clickspark.plans.q_features import ML_CTES, ml
+from clickspark.plans.registry import ev_orders, query
+
+_FITTED: dict[tuple, object] = {}
+
+
+def _key(spark, d, *parts):
+    from clickspark.session import checkpoint_root
+    return (checkpoint_root(spark), d, *parts)
+
+
+def _split(spark, d):
+    k = _key(spark, d, "split")
+    if k not in _FITTED:
+        _FITTED[k] = mo.split(ml(spark, d))
+    return _FITTED[k]
+
+
+def fitted(spark, d, name):
+    """A model fitted on the stratified train split (memoised per input)."""
+    k = _key(spark, d, "model", name)
+    if k not in _FITTED:
+        train, _ = _split(spark, d)
+        _FITTED[k] = mo.fit(name, train)
+    return _FITTED[k]
+
+
+@query("model_comparison")
+def _mc(spark, d):
+    ds = ml(spark, d)
+    table, models = mo.model_comparison(ds)
+    for name, m in models.items():
+        _FITTED.setdefault(_key(spark, d, "model", name), m)
+    return table
+
+
+@query("classification_report_boosted")
+def _crb(spark, d):
+    _, test = _split(spark, d)
+    return mo.classification_report(mo.score(fitted(spark, d, "XGBoost"), test))
+
+
+@query("importance_split_count")
+def _isc(spark, d):
+    return mo.importance_split_count(fitted(spark, d, "LightGBM"))
+
+
+@query("importance_gain")
+def _ig(spark, d):
+    return mo.importance_gain(fitted(spark, d, "XGBoost"))
+
+
+@query("importance_forest")
+def _if(spark, d):
+    return mo.importance_forest(fitted(spark, d, "RandomForest"))
+
+
+@query("shap_importance")
+def _shap(spark, d):
+    train, test = _split(spark, d)
+    return mo.shap_importance(fitted(spark, d, "LightGBM"), test, train)
+
+
+def probs(spark, d):
+    return mo.purchase_probabilities(fitted(spark, d, "XGBoost"), ml(spark, d))
+
+
+@query("purchase_probabilities")
+def _pp(spark, d):
+    return probs(spark, d).select("user_id", "purchase_probability")
+
+
+@query("probability_buckets")
+def _pb(spark, d):
+    return mo.probability_buckets(probs(spark, d))
+
+
+AB = """ab AS (SELECT user_id, CASE WHEN COUNT(*) FILTER (WHERE event_type = 'cart') > 0
+   AND COUNT(*) FILTER (WHERE event_type = 'purchase') = 0 THEN 1 ELSE 0 END AS abandoned
+  FROM ev GROUP BY user_id)"""
+
+
+@query("abandonment_labels", with_ev("SELECT * FROM ab", AB))
+def _al(spark, d):
+    return mo.abandonment_labels(ev_orders(spark, d))
+
+
+def ab_ds(spark, d):
+    return mo.abandonment_dataset(ml(spark, d), mo.abandonment_labels(ev_orders(spark, d)))
+
+
+@query("abandonment_dataset", with_ev("""SELECT ml.*, COALESCE(ab.abandoned, 0) AS abandoned
+FROM ml LEFT JOIN ab ON ml.user_id = ab.user_id WHERE ml.carts > 0""", *ML_CTES, AB))
+def _ad(spark, d):
+    return ab_ds(spark, d)
+
+
+def ab_model(spark, d):
+    k = _key(spark, d, "abandonment")
+    if k not in _FITTED:
+        _FITTED[k] = mo.train_abandonment(ab_ds(spark, d))
+    return _FITTED[k]
+
+
+@query("abandonment_model_metrics")
+def _amm(spark, d):
+    return ab_model(spark, d)[1]
+
+
+@query("abandon_probabilities")
+def _ap(spark, d):
+    return mo.abandon_probabilities(ab_model(spark, d)[0], ab_ds(spark, d))
+
+
+def model_segments(spark, d):
+    sc = va.clv_decile(va.clv_score(probs(spark, d)))
+    return va.value_segment(sc)
+
+
+@query("clv_scores_model")
+def _csm(spark, d):
+    return va.clv_scores(model_segments(spark, d))
+
+
+@query("value_segment_summary_model")
+def _vssm(spark, d):
+    return va.value_segment_summary(model_segments(spark, d))
+
+
+@query("target_audience_abandoners")
+def _taa(spark, d):
+    seg = model_segments(spark, d)
+    ap = mo.abandon_probabilities(ab_model(spark, d)[0], ab_ds(spark, d))
+    return (va.target_audience(seg.join(ap, "user_id", "left"), "Cart abandoner")
+              .select("user_id", "segment", "abandon_probability", "clv_score_norm"))
