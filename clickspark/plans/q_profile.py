@@ -128,3 +128,19 @@ def _bp(spark, d):
 GROUP BY brand ORDER BY events DESC, brand LIMIT 10"""))
 def _tb(spark, d):
     return pr.top_brands(raw_tagged(spark, d))
+
+
+@query("stream_ingest_clean", with_ev("SELECT * FROM ev"))
+def _sic(spark, d):
+    """The cleaned events produced by the streaming ingest of the raw CSV
+    folders (derived from the tables), read back."""
+    import uuid
+    from clickspark.streaming.ingest import read_streamed, stream_clean_events
+    root = ensure_checkpoint_dir(spark)
+    _csv_staged(spark, d)  # writes the monthly CSV folders
+    import hashlib
+    src_dir = f"{root.rstrip('/')}/clickspark_csv/{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+    run = f"{root.rstrip('/')}/clickspark_stream/{uuid.uuid4().hex}"
+    q = stream_clean_events(spark, src_dir, f"{run}/out", f"{run}/chk", bad_dir=f"{run}/bad")
+    q.awaitTermination()
+    return read_streamed(spark, f"{run}/out")

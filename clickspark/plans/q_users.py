@@ -159,3 +159,9 @@ def _bd(spark, d):
 FROM bs GROUP BY Behavioral_Segment""", UT, PU, BS))
 def _pus(spark, d):
     return us.power_user_summary(bseg(spark, d))
+
+
+@query("rfm_report")
+def _rr(spark, d):
+    from clickspark.plans.reports import rfm_report
+    return rfm_report(usr(spark, d))
