@@ -34,10 +34,22 @@ def cutoff_value(ev: DataFrame, q: float = 0.8) -> dt.datetime:
     return time_cutoff(ev, q).first()["cutoff_time"]
 
 
+def _time_filter(ev: DataFrame, cutoff, past: bool) -> DataFrame:
+    """``event_time <= cutoff`` (or ``>``), plus the implied predicate on the
+    ``date`` partition column when present, so whole date folders are
+    skipped (a predicate on event_time alone does not prune partitions)."""
+    t = F.col("event_time")
+    cond = (t <= F.lit(cutoff)) if past else (t > F.lit(cutoff))
+    if "date" in ev.columns:
+        d = F.to_date(F.lit(cutoff))
+        cond = cond & ((F.col("date") <= d) if past else (F.col("date") >= d))
+    return ev.where(cond)
+
+
 def past_features(ev: DataFrame, cutoff) -> DataFrame:
     """Per user with events at or before the cutoff: events, views,
     carts, past purchases, distinct products and active span (seconds)."""
-    g = (ev.where(F.col("event_time") <= F.lit(cutoff))
+    g = (_time_filter(ev, cutoff, past=True)
            .groupBy("user_id").agg(
                F.count("*").alias("total_events"),
                F.count(F.when(_is("view"), 1)).alias("views"),
@@ -52,7 +64,7 @@ def past_features(ev: DataFrame, cutoff) -> DataFrame:
 def future_labels(ev: DataFrame, cutoff) -> DataFrame:
     """Label 1 if the user purchases after the cutoff (users with any
     event after it)."""
-    return (ev.where(F.col("event_time") > F.lit(cutoff))
+    return (_time_filter(ev, cutoff, past=False)
               .groupBy("user_id")
               .agg(F.when(F.count(F.when(_is("purchase"), 1)) > 0, 1).otherwise(0).alias("label")))
 

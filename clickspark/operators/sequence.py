@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickspark.functions.numeric import micros, round_sql, seconds_between
-from clickspark.operators.ranking import quantiles
+from clickspark.operators.ranking import _stable, quantiles
 
 # Event order within a user: time, then a fixed tie-break so the sequence
 # does not depend on file order or partition count.
@@ -94,7 +94,9 @@ def transition_counts(ev: DataFrame, by: Sequence[str] = ("user_id",),
     order = [F.col(c) for c in by] + [F.col("event_time")] + [F.col(c) for c in TIE_BREAK]
     sorted_ev = (base.repartitionByRange(nparts, *order).sortWithinPartitions(*order)
                      .select(*by, "event_type", F.spark_partition_id().alias("_pid")))
-    parts = sorted_ev.mapInPandas(_pairs_fn(by), _PARTS_SCHEMA)
+    # the pass emits a few rows per partition; materialise them once so the
+    # range shuffle, sort and pass run once for both uses below
+    parts = _stable(sorted_ev.mapInPandas(_pairs_fn(by), _PARTS_SCHEMA))
     inner = parts.where(F.col("kind") == 0).select("from_event", "to_event", "cnt")
     # boundary rows: one per non-empty partition, so this window is bounded
     # by the partition count
