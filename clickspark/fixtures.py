@@ -80,7 +80,7 @@ def events_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ADAPTERS = {"orders": orders_raw_events, "events": events_raw_events}
 
-_MEMO: dict[tuple, str] = {}
+_MEMO: dict[tuple, DataFrame] = {}
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
@@ -118,16 +118,19 @@ def clean_fixture(spark: SparkSession, sf_dir: str, fixture: str = "orders") ->
     root = ensure_checkpoint_dir(spark)
     if not root:
         return build()
-    key = (root, sf_dir, fixture, _fingerprint(spark, sf_dir, _TABLES[fixture]))
-    path = _MEMO.get(key)
-    if path is None:
-        path = f"{root.rstrip('/')}/clickspark_clean/{fixture}_{key[3]}"
+    fp = _fingerprint(spark, sf_dir, _TABLES[fixture])
+    key = (spark.sparkContext.applicationId, root, sf_dir, fixture, fp)
+    df = _MEMO.get(key)
+    if df is None:
+        path = f"{root.rstrip('/')}/clickspark_clean/{fixture}_{fp}"
         if not _exists(spark, f"{path}/_SUCCESS"):
             (build().write.mode("overwrite")
              .option("compression", "zstd")
              .partitionBy("date").parquet(path))
-        _MEMO[key] = path
-    return spark.read.parquet(path).select(*_clean_order())
+        # the file listing is done once; later queries reuse the relation
+        df = spark.read.parquet(path).select(*_clean_order())
+        _MEMO[key] = df
+    return df
 
 
 def _clean_order():

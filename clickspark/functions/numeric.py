@@ -10,9 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Money is summed as fixed-point so that sums do not depend on the order in
-# which partitions are combined (double addition is not associative).
-MONEY = T.DecimalType(18, 2)
+# Money is summed as integer cents so that sums do not depend on the order
+# in which partitions are combined (double addition is not associative).
+# Cents fit a long (fast hash-aggregate path), unlike wide decimal sums.
+MONEY_SCALE = 100.0
 
 
 def _c(x) -> Column:
@@ -81,20 +82,34 @@ def minute_boundaries(start, end) -> Column:
              - F.unix_seconds(F.date_trunc("minute", _c(start)))) / 60).cast("long")
 
 
+def cents(x) -> Column:
+    """Money as integer cents, ``floor(x * 100 + 0.5)`` (bigint)."""
+    return F.floor(_c(x) * F.lit(MONEY_SCALE) + F.lit(0.5))
+
+
+def money_sum(x, cond: Column | None = None) -> Column:
+    """Exact sum of a money column in cents (bigint; null when no rows)."""
+    v = cents(x)
+    if cond is not None:
+        v = F.when(cond, v).otherwise(F.lit(0))
+    return F.sum(v)
+
+
+def cents_to_money(c) -> Column:
+    return _c(c).cast("double") / F.lit(MONEY_SCALE)
+
+
 def dec_sum(x, cond: Column | None = None) -> Column:
     """Order-independent sum of a money column as double (0 when no rows)."""
-    v = _c(x).cast(MONEY)
-    if cond is not None:
-        v = F.when(cond, v).otherwise(F.lit(0).cast(MONEY))
-    return F.coalesce(F.sum(v), F.lit(0).cast("decimal(28,2)")).cast("double")
+    return cents_to_money(F.coalesce(money_sum(x, cond), F.lit(0)))
 
 
 def dec_avg(x, cond: Column | None = None) -> Column:
     """Order-independent mean of a money column (null when no rows)."""
-    v = _c(x).cast(MONEY)
+    v = cents(x)
     if cond is not None:
         v = F.when(cond, v)
-    return F.try_divide(F.sum(v).cast("double"), F.count(v).cast("double"))
+    return F.try_divide(cents_to_money(F.sum(v)), F.count(v).cast("double"))
 
 
 def flag(cond: Column) -> Column:

@@ -132,5 +132,5 @@ def top_k_sum(df: DataFrame, value: str, k: Column | int, tie: Sequence[str] = (
                     rank_col="_rn", count_col="n", num_partitions=num_partitions)
     kk = k if isinstance(k, Column) else F.lit(int(k))
     return r.where(F.col("_rn") <= kk).agg(
-        F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("top_sum"),
+        (F.sum(F.floor(F.col(value) * 100.0 + 0.5)).cast("double") / 100.0).alias("top_sum"),
         F.max("n").alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickspark.functions.numeric import (
-    MONEY, dec_avg, dec_sum, micros, round_np, round_sql, whole_days_between,
+    cents, cents_to_money, dec_avg, dec_sum, micros, round_np, round_sql, whole_days_between,
 )
 from clickspark.operators.ranking import global_rank, qcut_rank, quantiles
 
@@ -128,8 +128,8 @@ def rfm_segment_characteristics(seg: DataFrame) -> DataFrame:
         n.alias("User_Count"),
         round_np(F.sum("Recency").cast("double") / n, 2).alias("Avg_Recency_Days"),
         round_np(F.sum("Frequency").cast("double") / n, 2).alias("Avg_Frequency"),
-        round_np(F.sum(F.col("Monetary").cast(MONEY)).cast("double") / n, 2).alias("Avg_Monetary"),
-        round_np(F.sum(F.col("Monetary").cast(MONEY)).cast("double"), 2).alias("Total_Revenue"),
+        round_np(cents_to_money(F.sum(cents("Monetary"))) / n, 2).alias("Avg_Monetary"),
+        round_np(cents_to_money(F.sum(cents("Monetary"))), 2).alias("Total_Revenue"),
         round_np(F.sum("total_sessions").cast("double") / n, 2).alias("Avg_Sessions"),
         round_np(F.sum("days_active").cast("double") / n, 2).alias("Avg_Days_Active"))
     return g.orderBy(F.desc("Total_Revenue"), "Segment")
@@ -140,16 +140,24 @@ def clv_insights(rfm: DataFrame) -> DataFrame:
     10 % (k = max(1, int(0.1 n)) users) and its share, mean purchases and
     mean active days."""
     a = rfm.agg(F.count("*").alias("total_purchasing_users"),
-                F.sum(F.col("Monetary").cast(MONEY)).cast("double").alias("total_revenue"),
+                cents_to_money(F.sum(cents("Monetary"))).alias("total_revenue"),
                 F.sum("Frequency").alias("_f"), F.sum("days_active").alias("_d")).first()
     n = a["total_purchasing_users"]
     k = max(1, int(n * 0.1))
-    top = global_rank(rfm.select("user_id", "Monetary"),
-                      [F.col("Monetary").desc(), F.col("user_id").asc()], rank_col="_rn", count_col="_n")
-    top = top.where(F.col("_rn") <= k).agg(
-        F.sum(F.col("Monetary").cast(MONEY)).cast("double").alias("top_10_percent_revenue"))
-    top_sum = top.first()["top_10_percent_revenue"]
-    med = quantiles(rfm, "Monetary", [0.5], ["m"]).first()["m"]
+    # one ranking (Monetary desc) serves both the top-k sum and the median:
+    # ascending position i (0-based) is descending rank n - i
+    r = global_rank(rfm.select("user_id", "Monetary"),
+                    [F.col("Monetary").desc(), F.col("user_id").asc()], rank_col="_rn", count_col="_n")
+    pos = (n - 1) * 0.5
+    lo_rank, hi_rank = n - int(pos // 1), n - int(-(-pos // 1))
+    frac = pos - (pos // 1)
+    s = r.where((F.col("_rn") <= k) | F.col("_rn").isin(lo_rank, hi_rank)).agg(
+        cents_to_money(F.sum(F.when(F.col("_rn") <= k, cents("Monetary")))).alias("top"),
+        F.max(F.when(F.col("_rn") == lo_rank, F.col("Monetary"))).alias("lo"),
+        F.max(F.when(F.col("_rn") == hi_rank, F.col("Monetary"))).alias("hi")).first()
+    top_sum = s["top"]
+    lo, hi = s["lo"], s["hi"]
+    med = None if lo is None else (hi - (hi - lo) * (1 - frac) if frac >= 0.5 else lo + (hi - lo) * frac)
     tot = a["total_revenue"]
     # one-row aggregate of the purchasers carrying the scalars above
     return rfm.agg(F.count("*").alias("total_purchasing_users")).select(

@@ -3,7 +3,7 @@ text over the raw test tables (lineitem, orders, part, events), written from
 the reference's semantics.  The fixture and cleaning rules are a CTE prefix.
 
 Conventions shared with the Spark side so that values hash equal:
-money sums in DECIMAL(18,2); SQL ROUND as
+money summed as integer cents floor(x*100+0.5); SQL ROUND as
 ``sign(x)*floor(abs(x)*10^n+0.5)/10^n``; pandas round as
 ``round_even(x*10^n, 0)/10^n``; integer sums cast to BIGINT; timestamps as
 TIMESTAMP; dates as TIMESTAMP (midnight).
@@ -83,12 +83,17 @@ def z0(num: str, den: str) -> str:
     return f"(CASE WHEN {den} <> 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) ELSE 0.0 END)"
 
 
+def cents(x: str) -> str:
+    """money as integer cents: floor(x * 100 + 0.5)."""
+    return f"CAST(floor({x} * 100.0 + 0.5) AS BIGINT)"
+
+
 def dsum(x: str) -> str:
-    return f"CAST(COALESCE(SUM(CAST({x} AS DECIMAL(18,2))), 0) AS DOUBLE)"
+    return f"(CAST(COALESCE(SUM({cents(x)}), 0) AS DOUBLE) / 100.0)"
 
 
 def davg(x: str) -> str:
-    return f"(CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE) / NULLIF(CAST(COUNT({x}) AS DOUBLE), 0))"
+    return f"((CAST(SUM({cents(x)}) AS DOUBLE) / 100.0) / NULLIF(CAST(COUNT({x}) AS DOUBLE), 0))"
 
 
 SQL: dict[str, str] = {}

@@ -59,7 +59,7 @@ def _csl(spark, d):
 
 
 @query("clv_decile_summary", with_ev(f"""SELECT clv_decile,
-  {rnp('CAST(SUM(CAST(clv_score_norm AS DECIMAL(18,2))) AS DOUBLE) / COUNT(clv_score_norm)')} AS mean,
+  {rnp('(CAST(SUM(CAST(floor(clv_score_norm * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / COUNT(clv_score_norm)')} AS mean,
   MIN(clv_score_norm) AS min, MAX(clv_score_norm) AS max, COUNT(clv_score_norm) AS "count"
 FROM dec GROUP BY clv_decile""", *CTES))
 def _cds(spark, d):
@@ -67,7 +67,7 @@ def _cds(spark, d):
 
 
 @query("value_segment_summary", with_ev(f"""SELECT segment, COUNT(*) AS users,
-  {rnp('CAST(SUM(CAST(clv_score_norm AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*)', 3)} AS avg_clv,
+  {rnp('(CAST(SUM(CAST(floor(clv_score_norm * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / COUNT(*)', 3)} AS avg_clv,
   {rnp('AVG(purchase_probability)', 3)} AS avg_purchase_p,
   {rnp('CAST(SUM(carts) AS DOUBLE) / COUNT(*)', 3)} AS avg_carts,
   {rnp('CAST(SUM(views) AS DOUBLE) / COUNT(*)', 3)} AS avg_views
