@@ -104,11 +104,14 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence
     range partitions."""
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     base = df.where(F.col(value).isNotNull())
-    order = [F.col(value).asc()]
     if spread:
-        order.append(F.xxhash64(*spread).asc())
-    r = global_rank(base.select(value, *spread), order, rank_col="_rn", count_col="_n",
-                    num_partitions=num_partitions)
+        # only the value and one hash travel through the shuffle / checkpoint
+        base = base.select(value, F.xxhash64(*spread).alias("_sp"))
+        order = [F.col(value).asc(), F.col("_sp").asc()]
+    else:
+        base = base.select(value)
+        order = [F.col(value).asc()]
+    r = global_rank(base, order, rank_col="_rn", count_col="_n", num_partitions=num_partitions)
     pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
     want = None
     for ps in pos:
