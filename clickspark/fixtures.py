@@ -133,6 +133,27 @@ def clean_fixture(spark: SparkSession, sf_dir: str, fixture: str = "orders") ->
     return df
 
 
+def raw_fixture(spark: SparkSession, sf_dir: str, fixture: str = "orders") -> DataFrame:
+    """Raw (uncleaned) events of a fixture, written once as Parquet like the
+    cleaned table; profiling reads raw rows as the reference profiles its
+    raw files."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    root = ensure_checkpoint_dir(spark)
+    if not root:
+        return ADAPTERS[fixture](spark, sf_dir)
+    fp = _fingerprint(spark, sf_dir, _TABLES[fixture])
+    key = (spark.sparkContext.applicationId, root, sf_dir, "raw", fixture, fp)
+    df = _MEMO.get(key)
+    if df is None:
+        path = f"{root.rstrip('/')}/clickspark_raw/{fixture}_{fp}"
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            ADAPTERS[fixture](spark, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        from clickspark.schema import RAW_COLUMNS
+        df = spark.read.parquet(path).select(*RAW_COLUMNS)
+        _MEMO[key] = df
+    return df
+
+
 def _clean_order():
     from clickspark.schema import CLEAN_COLUMNS
     return CLEAN_COLUMNS

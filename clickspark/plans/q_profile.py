@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clickspark.fixtures import orders_raw_events
+from clickspark.fixtures import raw_fixture
 from clickspark.operators import profile as pr
 from clickspark.plans.oracle import ORDERS_RAW, rsql, with_ev
 from clickspark.plans.registry import ev_orders, query
@@ -17,7 +17,7 @@ CSV_TS = "yyyy-MM-dd HH:mm:ss z"
 
 
 def raw_tagged(spark, d):
-    r = orders_raw_events(spark, d)
+    r = raw_fixture(spark, d)
     return r.withColumn("source_file", F.concat(F.date_format("event_time", MONTH_TAG_SPARK), F.lit(".csv")))
 
 
@@ -61,7 +61,7 @@ def _csv_staged(spark, d):
         return raw_tagged(spark, d)
     import hashlib
     path = f"{root.rstrip('/')}/clickspark_csv/{hashlib.sha1(d.encode()).hexdigest()[:12]}"
-    r = orders_raw_events(spark, d).withColumn("source_month", F.date_format("event_time", MONTH_TAG_SPARK))
+    r = raw_fixture(spark, d).withColumn("source_month", F.date_format("event_time", MONTH_TAG_SPARK))
     (r.write.mode("overwrite").partitionBy("source_month").option("header", True)
       .option("timestampFormat", CSV_TS).csv(path))
     dirs = [f"{path}/source_month={m}" for m in
