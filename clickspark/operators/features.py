@@ -24,8 +24,10 @@ def time_cutoff(ev: DataFrame, q: float = 0.8) -> DataFrame:
     """One-row frame with ``cutoff_time``, the interpolated quantile of
     event_time (SQL ``quantile_cont``, rounded to the microsecond)."""
     us = ev.select(micros("event_time").cast("double").alias("_us"), "user_id", "product_id", "event_type")
+    # a column scan of the event table: the passes re-read one column,
+    # cheaper than writing it out
     qq = quantiles(us, "_us", [q], ["_q"], method="sql",
-                   spread=("_us", "user_id", "product_id", "event_type"))
+                   spread=("_us", "user_id", "product_id", "event_type"), materialize=False)
     return qq.select(F.timestamp_micros(F.round("_q").cast("long")).alias("cutoff_time"))
 
 
@@ -126,7 +128,8 @@ def stratified_split(ds: DataFrame, label: str = "label", test_size: float = 0.2
     n_label)`` go to test.  Reproducible at any partitioning; the window
     is per label, ranked by ``global_rank`` per class, so no class is
     funnelled into one task."""
-    from clickspark.operators.ranking import global_rank
+    from clickspark.operators.ranking import _stable, global_rank
+    ds = _stable(ds)  # read once for the classes, once per class
     parts = []
     labels = [r[0] for r in ds.select(label).distinct().collect()]  # a handful of classes
     for v in sorted(labels):
@@ -144,9 +147,10 @@ def stratified_folds(ds: DataFrame, label: str = "label", k: int = 3, seed: int
                      key: str = "user_id") -> DataFrame:
     """Fold number 0..k-1 per row, stratified: within each label rows
     are ordered by a seeded hash and dealt round-robin."""
-    from clickspark.operators.ranking import global_rank
+    from clickspark.operators.ranking import _stable, global_rank
+    ds = _stable(ds)  # read once for the classes, once per class
     parts = []
-    labels = [r[0] for r in ds.select(label).distinct().collect()]
+    labels = [r[0] for r in ds.select(label).distinct().collect()]  # a handful of classes
     for v in sorted(labels):
         sub = ds.where(F.col(label) == v).withColumn("_h", F.xxhash64(F.lit(seed + 1), F.col(key)))
         r = global_rank(sub, [F.col("_h"), F.col(key)], rank_col="_rn", count_col="_n")

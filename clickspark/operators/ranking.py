@@ -96,7 +96,7 @@ def lerp(lo: Column, hi: Column, t: Column, method: str = "numpy") -> Column:
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str] | None = None,
               method: str = "numpy", spread: Sequence[str] = (), bins: int = 1024,
-              num_partitions: int | None = None) -> DataFrame:
+              materialize: bool = True, num_partitions: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles (pandas ``quantile`` / SQL
     ``quantile_cont``) of a numeric column, as one row with a column per
     probability.  Nulls and NaN are ignored.
@@ -107,10 +107,23 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence
     histogram's cumulative counts as offsets.  The work that needs a sort
     shrinks to about ``2 * len(probs) / bins`` of the rows for smooth data;
     a bin holding a hot value is ranked with ``spread`` columns hashed in as
-    a secondary key so it still spreads over range partitions."""
+    a secondary key so it still spreads over range partitions.
+
+    The passes are separate actions: when ``df`` is derived (an
+    aggregate, a join) it is materialised first (``materialize=True``,
+    only the value and the spread hash are written) so the passes do not
+    recompute it; a plain column scan can skip that."""
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     v = F.col(value).cast("double")
     base = df.where(F.col(value).isNotNull() & ~F.isnan(v))
+    if spread:
+        base = base.select(v.alias(value), F.xxhash64(*spread).alias("_sph"))
+        spread = ("_sph",)
+    else:
+        base = base.select(v.alias(value))
+    if materialize:
+        base = _stable(base)
+    v = F.col(value)
     spark = df.sparkSession
     mm = base.agg(F.min(v).alias("mn"), F.max(v).alias("mx"), F.count(F.lit(1)).alias("n")).first()
     n = mm["n"]

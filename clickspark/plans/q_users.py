@@ -60,7 +60,10 @@ BS = """bs AS (
 
 
 def usr(spark, d):
-    return us.user_table(ev_orders(spark, d))
+    """The user table, materialised: the RFM and behaviour queries read it
+    for a scalar (latest event, p90) and for the main work."""
+    from clickspark.operators.ranking import _stable
+    return _stable(us.user_table(ev_orders(spark, d)))
 
 
 def seg(spark, d):
@@ -69,7 +72,7 @@ def seg(spark, d):
 
 @query("user_table", with_ev("SELECT * FROM ut", UT))
 def _ut(spark, d):
-    return usr(spark, d)
+    return us.user_table(ev_orders(spark, d))
 
 
 @query("user_level_features", with_ev("""SELECT user_id, COUNT(*) AS total_events,
@@ -164,4 +167,4 @@ def _pus(spark, d):
 @query("rfm_report")
 def _rr(spark, d):
     from clickspark.plans.reports import rfm_report
-    return rfm_report(usr(spark, d))
+    return rfm_report(us.user_table(ev_orders(spark, d)))
