@@ -38,8 +38,11 @@ def read_events_csv(spark: SparkSession, paths: str | Sequence[str], header: boo
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stage a permissive scan once, then split into (good rows without the
-    corrupt column, bad rows).  Staging is a reliable checkpoint in the
-    shared folder (or a cache when none is configured)."""
+    corrupt column, bad rows), so that later queries reading only some
+    columns still see the same split.  Staging is a reliable checkpoint in
+    the shared folder (or a cache when none is configured); for bulk
+    conversion use ``convert_csv_to_parquet``, which writes the split
+    directly."""
     if ensure_checkpoint_dir(df.sparkSession):
         staged = df.checkpoint(eager=True)
     else:
@@ -49,6 +52,29 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def convert_csv_to_parquet(spark: SparkSession, paths: str | Sequence[str], out_dir: str,
+                           bad_dir: str | None = None, clean: bool = False,
+                           partition_by: Sequence[str] = ("source_file",)) -> None:
+    """Bulk conversion: CSV -> typed Parquet of the good rows (ZSTD), bad
+    rows to ``bad_dir`` as JSON.  Every column is read in both passes, so
+    the permissive parser flags exactly the same rows (no whole-data
+    staging).  ``clean=True`` writes the cleaned rows partitioned by date
+    instead of the raw typed rows."""
+    from clickspark.operators.cleaning import clean_events
+    from clickspark.schema import RAW_COLUMNS
+    scan = read_events_csv(spark, paths)
+    good = scan.where(F.col(CORRUPT_COL).isNull()).select(*RAW_COLUMNS, "source_file")
+    if clean:
+        write_clean_parquet(clean_events(good), out_dir)
+    else:
+        (good.write.mode("overwrite").option("compression", "zstd")
+             .partitionBy(*partition_by).parquet(out_dir))
+    if bad_dir:
+        (scan.where(F.col(CORRUPT_COL).isNotNull())
+             .select(*RAW_COLUMNS, CORRUPT_COL, "source_file")
+             .write.mode("overwrite").json(bad_dir))
+
+
 def write_clean_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("date",),
                         mode: str = "overwrite", max_records_per_file: int = 0) -> None:
     """ZSTD Parquet partitioned by date (so time predicates prune

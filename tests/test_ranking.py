@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -35,3 +36,34 @@ def test_quantiles_numpy_and_sql(spark):
     exp = pd.Series(x).quantile(ps).values
     assert np.allclose(list(got), exp, rtol=0, atol=1e-12)
     assert list(got) == list(exp)
+
+
+def test_hot_value_is_split_across_partitions(spark):
+    """A value holding a third of the rows does not land in one range
+    partition: the tie-break key spreads it."""
+    from pyspark.sql import functions as F
+    n = 30000
+    df = spark.range(n).select(F.col("id").alias("user_id"),
+                               F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise((F.col("id") % 1000).cast("double")).alias("v"))
+    ranged = df.repartitionByRange(12, F.col("v"), F.col("user_id"))
+    sizes = [r["c"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect()]
+    assert max(sizes) < n / 3 * 0.6, sizes   # the hot value spans several partitions
+    r = global_rank(df, [F.col("v"), F.col("user_id")], num_partitions=12)
+    assert r.agg(F.max("rn")).first()[0] == n
+
+
+def test_hot_user_transitions_split(spark, make_events):
+    """One user with a third of the events: the transition pass spreads that
+    user's timeline over several partitions and still counts every pair."""
+    from clickspark.operators import sequence as sq
+    rows = []
+    for i in range(3000):
+        u = 1 if i % 3 == 0 else 2 + i % 50
+        rows.append((u, f"2024-01-0{1 + i % 9}T{(i // 60) % 24:02d}:{i % 60:02d}:00", "view" if i % 4 else "cart", i % 7))
+    ev = make_events(rows)
+    by_part = (ev.where("user_id = 1").repartitionByRange(8, "user_id", "event_time", "event_type", "product_id", "price")
+                 .groupBy(F.spark_partition_id()).count().count())
+    assert by_part > 1
+    got = sum(r["count"] for r in sq.transition_counts(ev, num_partitions=8).collect())
+    users = ev.groupBy("user_id").count().collect()
+    assert got == sum(u["count"] - 1 for u in users)

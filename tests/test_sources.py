@@ -63,3 +63,15 @@ def test_streaming_ingest(spark):
     assert out.count() == 2
     assert spark.read.json(f"{d}/bad").count() == 4
     assert out.where(F.col("brand") == "Unknown").count() == 1
+
+
+def test_bulk_conversion_split(spark):
+    d = tempfile.mkdtemp(prefix="cs-conv-")
+    p = _write(d, "2019-Nov.csv", CSV)
+    src.convert_csv_to_parquet(spark, p, f"{d}/good", bad_dir=f"{d}/bad")
+    good = spark.read.parquet(f"{d}/good")
+    assert good.count() == 2 and spark.read.json(f"{d}/bad").count() == 4
+    assert good.select("source_file").first()[0] == "2019-Nov.csv"
+    src.convert_csv_to_parquet(spark, p, f"{d}/clean", clean=True)
+    c = spark.read.parquet(f"{d}/clean")
+    assert c.count() == 2 and "is_weekend" in c.columns and "date" in c.columns
