@@ -187,15 +187,18 @@ def model_comparison(ds: DataFrame, label: str = "label", models: Sequence[str]
 
 def _node_table(model: PipelineModel) -> DataFrame:
     """The tree ensemble's nodes, read back from its saved form (Parquet
-    with treeID, nodeData{id, gain, leftChild, split{featureIndex}})."""
-    tree = model.stages[-1]
-    root = ensure_checkpoint_dir(_spark_of(model))
+    with treeID, nodeData{id, gain, leftChild, split{featureIndex}}),
+    written under the shared checkpoint folder."""
+    spark = _active()
+    root = ensure_checkpoint_dir(spark)
+    if not root:
+        raise RuntimeError("node-table importances need spark.checkpoint.dir (shared storage)")
     path = f"{root.rstrip('/')}/clickspark_models/{uuid.uuid4().hex}"
-    tree.write().overwrite().save(path)
-    return _spark_of(model).read.parquet(f"{path}/data")
+    model.stages[-1].write().overwrite().save(path)
+    return spark.read.parquet(f"{path}/data")
 
 
-def _spark_of(model):
+def _active():
     from pyspark.sql import SparkSession
     return SparkSession.getActiveSession()
 
@@ -223,7 +226,7 @@ def importance_gain(model: PipelineModel, features: Sequence[str] = FEATURE_COLS
 def importance_forest(model: PipelineModel, features: Sequence[str] = FEATURE_COLS) -> DataFrame:
     """Impurity importance of a fitted forest (``featureImportances``)."""
     imp = model.stages[-1].featureImportances.toArray()
-    spark = _spark_of(model)
+    spark = _active()
     return (spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
                  .orderBy(F.desc("importance"), "feature"))
 
@@ -239,67 +242,43 @@ def _named(df: DataFrame, col: str, features: Sequence[str]) -> DataFrame:
 def shap_importance(model: PipelineModel, sample: DataFrame, background: DataFrame,
                     features: Sequence[str] = FEATURE_COLS, n_perm: int = 20, max_rows: int = 2000,
                     seed: int = SEED, key: str = "user_id") -> DataFrame:
-    """Mean |Shapley value| per feature by permutation sampling.
-
-    For each explained row (at most ``max_rows``, chosen by a seeded hash)
-    and each of ``n_perm`` seeded feature permutations, the prefixes of the
-    permutation switch features from the background (feature means of
-    ``background``) to the row's values; the model scores every prefix and
-    the score difference between consecutive prefixes is the contribution
-    of the feature added.  Per row, contributions sum to f(x) - f(bg)
-    exactly.  All of it is one exploded frame scored by ``model.transform``.
-    """
-    d = len(features)
-    bg = background.agg(*[F.avg(c).alias(c) for c in features]).first()
+    """Mean |Shapley value| per feature by permutation sampling over
+    at most ``max_rows`` explained rows (chosen by a seeded hash: the
+    reference's sample of the test set)."""
     rows = (sample.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-                  .orderBy("_h", key).limit(max_rows)          # the explained sample (a sampling operator)
-                  .select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("_x")))
-    perm = F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_perm")
-    r = rows.select(key, "_x", perm)
-    # permutation = feature indices ordered by a seeded hash of (row, perm, feature)
-    keyed = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                        lambda i: F.struct(F.xxhash64(F.lit(seed), F.col(key), F.col("_perm"), i).alias("h"),
-                                           i.alias("i")))
-    r = r.withColumn("_order", F.transform(F.array_sort(keyed), lambda s: s["i"]))
-    r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_j"))
-    bgv = F.array(*[F.lit(float(bg[c]) if bg[c] is not None else 0.0) for c in features])
-    # position of each feature in the permutation; it is "on" when position < j
-    pos = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                      lambda i: F.array_position(F.col("_order"), i) - 1)
-    z = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                    lambda i: F.when(F.element_at(pos, i + 1) < F.col("_j"), F.element_at(F.col("_x"), i + 1))
-                               .otherwise(F.element_at(bgv, i + 1)))
-    zz = r.select(key, "_perm", "_j", "_order",
-                  *[F.element_at(z, i + 1).alias(c) for i, c in enumerate(features)])
-    s = score(model, zz, "_f")
-    w = Window.partitionBy(key, "_perm").orderBy("_j")  # d + 1 rows per group
-    contrib = (s.select(key, "_perm", "_j", "_order", (F.col("_f") - F.lag("_f").over(w)).alias("_c"))
-                .where(F.col("_j") > 0)
-                .select(key, "_perm", F.element_at("_order", F.col("_j")).alias("idx"), "_c"))
-    phi = contrib.groupBy(key, "idx").agg(F.avg("_c").alias("phi"))
+                  .orderBy("_h", key).limit(max_rows).drop("_h"))   # the explained sample
+    phi = shap_values(model, rows, background, features=features, n_perm=n_perm, max_rows=max_rows,
+                      seed=seed, key=key)
     imp = phi.groupBy("idx").agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
     return _named(imp, "mean_abs_shap", features).withColumnRenamed("importance", "mean_abs_shap")
 
 
-def shap_values(model: PipelineModel, sample: DataFrame, background: DataFrame, **kw) -> DataFrame:
-    """Per-row Shapley estimates (user, feature index, phi); used in tests
-    to check that contributions sum to f(x) - f(background)."""
-    kw = dict(kw)
-    return _shap_phi(model, sample, background, **kw)
-
-
-def _shap_phi(model, sample, background, features=FEATURE_COLS, n_perm=20, max_rows=2000, seed=SEED,
-              key="user_id"):
+def shap_values(model: PipelineModel, sample: DataFrame, background: DataFrame,
+                features: Sequence[str] = FEATURE_COLS, n_perm: int = 20, max_rows: int = 2000,
+                seed: int = SEED, key: str = "user_id") -> DataFrame:
+    """Per-row Shapley estimates ``(key, idx, phi)``.
+
+    For each explained row and each of ``n_perm`` seeded feature
+    permutations, the prefixes of the permutation switch features from the
+    background (feature means of ``background``, one aggregate row) to the
+    row's values; the model scores every prefix and the score difference
+    between consecutive prefixes is the contribution of the feature added.
+    Per row the contributions sum to f(x) - f(background) exactly.  The
+    (row x permutation x prefix) frame is built with array functions and
+    scored by ``model.transform`` in one job; the lag window is per
+    (row, permutation), d + 1 rows each."""
     d = len(features)
     bg = background.agg(*[F.avg(c).alias(c) for c in features]).first()
     rows = sample.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("_x")).limit(max_rows)
     r = rows.select(key, "_x", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_perm"))
+    # permutation = feature indices ordered by a seeded hash of (row, perm, feature)
     keyed = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
                         lambda i: F.struct(F.xxhash64(F.lit(seed), F.col(key), F.col("_perm"), i).alias("h"),
                                            i.alias("i")))
-    r = r.withColumn("_order", F.transform(F.array_sort(keyed), lambda s: s["i"]))
+    r = r.withColumn("_order", F.transform(F.array_sort(keyed), lambda st: st["i"]))
     r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_j"))
     bgv = F.array(*[F.lit(float(bg[c]) if bg[c] is not None else 0.0) for c in features])
+    # a feature takes the row's value when its position in the permutation is < j
     pos = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.array_position(F.col("_order"), i) - 1)
     z = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
                     lambda i: F.when(F.element_at(pos, i + 1) < F.col("_j"), F.element_at(F.col("_x"), i + 1))
@@ -307,7 +286,7 @@ def _shap_phi(model, sample, background, features=FEATURE_COLS, n_perm=20, max_r
     zz = r.select(key, "_perm", "_j", "_order", *[F.element_at(z, i + 1).alias(c) for i, c in enumerate(features)])
     s = score(model, zz, "_f")
     w = Window.partitionBy(key, "_perm").orderBy("_j")
-    contrib = (s.select(key, "_perm", "_j", "_order", "_f", (F.col("_f") - F.lag("_f").over(w)).alias("_c"))
+    contrib = (s.select(key, "_perm", "_j", "_order", (F.col("_f") - F.lag("_f").over(w)).alias("_c"))
                 .where(F.col("_j") > 0)
                 .select(key, "_perm", F.element_at("_order", F.col("_j")).alias("idx"), "_c"))
     return contrib.groupBy(key, "idx").agg(F.avg("_c").alias("phi"))
