@@ -7,8 +7,8 @@ order, and the row count, as a distributed job:
    split across partitions by the tie-break keys), sort within partitions;
 2. local position = ``monotonically_increasing_id`` minus the partition's
    base (partition index << 33);
-3. the tagged rows are checkpointed to the shared checkpoint folder, so the
-   sizes and the rows come from one materialisation (range bounds are
+3. the tagged rows are written once to the shared checkpoint folder, so
+   the sizes and the rows come from one materialisation (range bounds are
    sampled and could differ between two evaluations of a shuffled input);
 4. sizes per partition (one row per partition) -> running offsets -> a
    broadcast join of that partition-count-sized table.
@@ -35,11 +35,19 @@ def _nparts(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def _stable(df: DataFrame) -> DataFrame:
-    """Materialise once: reliable checkpoint when a shared folder is set,
-    else a disk-backed cache of the same RDD (recomputed from lineage with
-    the same range bounds if blocks are lost)."""
-    if ensure_checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
+    """Materialise once and cut the lineage: the frame is written as a
+    Parquet table under the shared folder named by ``spark.checkpoint.dir``
+    and read back (one job, columnar; a reliable checkpoint would take a
+    count job plus a second write job).  Without a shared folder: a
+    disk-backed cache of the same RDD (recomputed from lineage with the same
+    range bounds if blocks are lost)."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    if root:
+        import uuid
+        path = f"{root.rstrip('/')}/clickspark_tables/{uuid.uuid4().hex}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return spark.read.parquet(path)
     from pyspark import StorageLevel
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 

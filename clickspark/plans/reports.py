@@ -17,7 +17,13 @@ from clickspark.operators.ranking import _stable
 
 
 def _section_list(name: str, df: DataFrame) -> DataFrame:
-    return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+    """Rows of an ordered (small) result as an array in that order: the
+    sorted order is carried by an increasing id, since ``collect_list``
+    does not keep row order across partitions."""
+    cols = df.columns
+    o = df.withColumn("_o", F.monotonically_increasing_id())
+    arr = F.array_sort(F.collect_list(F.struct(F.col("_o"), *[F.col(c) for c in cols])))
+    return o.agg(F.transform(arr, lambda st: F.struct(*[st[c].alias(c) for c in cols])).alias(name))
 
 
 def _section_row(name: str, df: DataFrame) -> DataFrame:

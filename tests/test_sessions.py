@@ -29,3 +29,16 @@ def test_session_table_columns(make_events):
     assert r.session_duration_minutes == 30.0
     assert (r.total_events, r.unique_products_viewed, r.purchase_count, r.has_purchase) == (2, 2, 1, 1)
     assert r.total_revenue == 20.01 and r.is_weekend_session == 1 and r.session_start_hour == 10
+
+
+def test_session_report_keeps_section_order(make_events):
+    from clickspark.plans.reports import session_report
+    rows = []
+    for i, mins in enumerate([0.5, 3, 70, 20, 10, 45]):
+        day = f"2024-01-0{i + 1}"
+        rows += [(i + 1, f"{day}T10:00:00", "view"), (i + 1, f"{day}T10:00:00", "view")]
+        rows += [(i + 1, f"{day}T{10 + int(mins) // 60:02d}:{int(mins) % 60:02d}:{int((mins % 1) * 60):02d}", "view")]
+    rep = session_report(ss.session_table(make_events(rows))).first()
+    labels = [r["duration_bucket"] for r in rep["duration_distribution"]]
+    assert labels == ["< 1 min", "1-5 min", "5-15 min", "15-30 min", "30-60 min", "60+ min"]
+    assert [r["hour"] for r in rep["hourly_patterns"]] == sorted(r["hour"] for r in rep["hourly_patterns"])
