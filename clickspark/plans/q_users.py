@@ -168,3 +168,14 @@ def _pus(spark, d):
 def _rr(spark, d):
     from clickspark.plans.reports import rfm_report
     return rfm_report(us.user_table(ev_orders(spark, d)))
+
+
+@query("rfm_analysis_outputs")
+def _rao(spark, d):
+    """The RFM job's files, written under the checkpoint folder, and their
+    manifest."""
+    import uuid
+    from clickspark.plans.jobs import rfm_analysis_job
+    from clickspark.session import ensure_checkpoint_dir
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clickspark_outputs/{uuid.uuid4().hex}"
+    return rfm_analysis_job(ev_orders(spark, d), out)
