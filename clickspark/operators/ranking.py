@@ -59,10 +59,13 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rn",
     ranks to be reproducible; for order statistics of values any order of
     equal values gives the same answer."""
     order = list(order)
-    nparts = _nparts(df, num_partitions)
     pid = F.spark_partition_id()
-    tagged = (df.repartitionByRange(nparts, *order)
-                .sortWithinPartitions(*order)
+    # Without an explicit count AQE may merge adjacent small ranges (order is
+    # kept, so partition ids stay monotone in the key); a hot key is still
+    # split by the tie-break keys.
+    ranged = (df.repartitionByRange(int(num_partitions), *order) if num_partitions
+              else df.repartitionByRange(*order))
+    tagged = (ranged.sortWithinPartitions(*order)
                 .withColumn("_pid", pid)
                 .withColumn("_lrn", F.monotonically_increasing_id()
                             - F.shiftleft(pid.cast("long"), 33) + F.lit(1)))

@@ -85,14 +85,14 @@ def transition_counts(ev: DataFrame, by: Sequence[str] = ("user_id",),
     user's event sequence (crossing day edges, as the reference).  ``by``
     other than user_id (e.g. ``("user_id", "session_date")``) restarts the
     sequence per group.  Events of a null user have no sequence."""
-    spark = ev.sparkSession
-    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = list(by)
     base = ev.where(F.col("user_id").isNotNull())
     if "session_date" in by and "session_date" not in ev.columns:
         base = base.withColumn("session_date", F.to_date("event_time"))
     order = [F.col(c) for c in by] + [F.col("event_time")] + [F.col(c) for c in TIE_BREAK]
-    sorted_ev = (base.repartitionByRange(nparts, *order).sortWithinPartitions(*order)
+    ranged = (base.repartitionByRange(int(num_partitions), *order) if num_partitions
+              else base.repartitionByRange(*order))  # AQE may merge adjacent small ranges
+    sorted_ev = (ranged.sortWithinPartitions(*order)
                      .select(*by, "event_type", F.spark_partition_id().alias("_pid")))
     # the pass emits a few rows per partition; materialise them once so the
     # range shuffle, sort and pass run once for both uses below
