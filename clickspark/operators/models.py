@@ -315,8 +315,12 @@ def probability_buckets(probs: DataFrame, col: str = "purchase_probability") ->
                  .orderBy("o").drop("o"))
 
 
-def abandonment_labels(ev: DataFrame) -> DataFrame:
-    """Per user, carted and never purchased (over all time)."""
+def abandonment_labels(ev: DataFrame, since=None) -> DataFrame:
+    """Per user, carted and never purchased, over all time as the
+    reference (so the label overlaps the feature window); ``since`` (the
+    feature cutoff) counts only later events, a leakage-free label."""
+    if since is not None:
+        ev = ev.where(F.col("event_time") > F.lit(since))
     g = ev.groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "cart", 1)).alias("_c"),
                                   F.count(F.when(F.col("event_type") == "purchase", 1)).alias("_p"))
     return g.select("user_id", ((F.col("_c") > 0) & (F.col("_p") == 0)).cast("int").alias("abandoned"))

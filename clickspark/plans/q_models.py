@@ -94,6 +94,15 @@ def _al(spark, d):
     return mo.abandonment_labels(ev_orders(spark, d))
 
 
+@query("abandonment_labels_since_cutoff", with_ev("""SELECT user_id, CASE WHEN COUNT(*) FILTER (WHERE event_type = 'cart') > 0
+   AND COUNT(*) FILTER (WHERE event_type = 'purchase') = 0 THEN 1 ELSE 0 END AS abandoned
+FROM ev WHERE event_time > (SELECT c FROM cut) GROUP BY user_id""", "cut AS (SELECT quantile_cont(event_time, 0.8) AS c FROM ev)"))
+def _als(spark, d):
+    from clickspark.operators.features import cutoff_value
+    ev = ev_orders(spark, d)
+    return mo.abandonment_labels(ev, since=cutoff_value(ev))
+
+
 def ab_ds(spark, d):
     return mo.abandonment_dataset(ml(spark, d), mo.abandonment_labels(ev_orders(spark, d)))
 
