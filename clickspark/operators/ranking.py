@@ -107,7 +107,8 @@ def lerp(lo: Column, hi: Column, t: Column, method: str = "numpy") -> Column:
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str] | None = None,
               method: str = "numpy", spread: Sequence[str] = (), bins: int = 1024,
-              materialize: bool = True, num_partitions: int | None = None) -> DataFrame:
+              materialize: bool = True, window_limit: int = 2_000_000,
+              num_partitions: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles (pandas ``quantile`` / SQL
     ``quantile_cont``) of a numeric column, as one row with a column per
     probability.  Nulls and NaN are ignored.
@@ -118,7 +119,10 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence
     histogram's cumulative counts as offsets.  The work that needs a sort
     shrinks to about ``2 * len(probs) / bins`` of the rows for smooth data;
     a bin holding a hot value is ranked with ``spread`` columns hashed in as
-    a secondary key so it still spreads over range partitions.
+    a secondary key so it still spreads over range partitions.  When every
+    wanted bin holds at most ``window_limit`` rows (known from the
+    histogram) the positions come from a window per bin instead (one
+    shuffle, each task at most ``window_limit`` rows).
 
     The passes are separate actions: when ``df`` is derived (an
     aggregate, a join) it is materialised first (``materialize=True``,
@@ -166,16 +170,25 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence
     if spread:
         cols.append(F.xxhash64(*spread).alias("_sp"))
         order.append(F.col("_sp").asc())
-    r = global_rank(sub.select(*cols), order, rank_col="_rn", count_col="_n", num_partitions=num_partitions)
-    # subset position -> global 0-based position: bins are contiguous in both
-    shift, sub_before = {}, 0
-    for b_ in need_bins:
-        shift[b_] = before[b_] - sub_before
-        sub_before += hist[b_]
-    off = F.lit(0)
-    for b_ in need_bins:
-        off = F.when(F.col("_b") == b_, F.lit(shift[b_])).otherwise(off)
-    g = r.select("_v", (F.col("_rn") - 1 + off).alias("_g")).where(F.col("_g").isin(need))
+    if max(hist[b_] for b_ in need_bins) <= window_limit:
+        # bounded bins: position inside the bin by a window per bin
+        w = Window.partitionBy("_b").orderBy(*order[1:])
+        off = F.lit(0)
+        for b_ in need_bins:
+            off = F.when(F.col("_b") == b_, F.lit(before[b_])).otherwise(off)
+        g = (sub.select(*cols).select("_v", (off + F.row_number().over(w) - 1).alias("_g"))
+                .where(F.col("_g").isin(need)))
+    else:
+        r = global_rank(sub.select(*cols), order, rank_col="_rn", count_col="_n", num_partitions=num_partitions)
+        # subset position -> global 0-based position: bins are contiguous in both
+        shift, sub_before = {}, 0
+        for b_ in need_bins:
+            shift[b_] = before[b_] - sub_before
+            sub_before += hist[b_]
+        off = F.lit(0)
+        for b_ in need_bins:
+            off = F.when(F.col("_b") == b_, F.lit(shift[b_])).otherwise(off)
+        g = r.select("_v", (F.col("_rn") - 1 + off).alias("_g")).where(F.col("_g").isin(need))
     vals = {row["_g"]: row["_v"] for row in g.collect()}  # one value per wanted rank
     out = []
     for ps in pos:

@@ -67,3 +67,13 @@ def test_hot_user_transitions_split(spark, make_events):
     got = sum(r["count"] for r in sq.transition_counts(ev, num_partitions=8).collect())
     users = ev.groupBy("user_id").count().collect()
     assert got == sum(u["count"] - 1 for u in users)
+
+
+@pytest.mark.parametrize("limit", [0, 2_000_000])
+def test_quantiles_both_paths(spark, limit):
+    x = np.random.RandomState(5).randint(0, 40, 3001).astype(float)
+    x[::3] = 17.0   # a hot value
+    df = spark.createDataFrame([(float(a), i) for i, a in enumerate(x)], "h double, k long")
+    ps = [0.1, 0.5, 0.9, 0.999]
+    got = quantiles(df, "h", ps, window_limit=limit, spread=("k",)).first()
+    assert list(got) == list(pd.Series(x).quantile(ps).values)
