@@ -95,6 +95,38 @@ def qcut_rank(df: DataFrame, value: str, q: int, tie: Sequence[str] = ("user_id"
     return r.withColumn(out, b.cast("int")).drop("_rn", "_n")
 
 
+def qcut_ranks(df: DataFrame, specs: Sequence[tuple[str, str, bool]], q: int,
+               tie: Sequence[str] = ("user_id",), num_partitions: int | None = None) -> DataFrame:
+    """Several ``qcut_rank`` scores in one ranking pass.  ``specs`` lists
+    ``(value column, output column, descending_good)``; ``tie`` must be a
+    key of ``df``.  The values are stacked as (metric, value, key) rows and
+    ranked once by (metric, value, key): each metric occupies a contiguous
+    block of ranks whose start comes from a per-metric count (one row per
+    metric).  The bins are regrouped to one row per key and joined back."""
+    tie = list(tie)
+    st = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v"))
+                             for i, (c, _, _) in enumerate(specs)])).alias("_s")
+    stacked = df.select(*tie, st).select(*tie, "_s.m", "_s.v").where(F.col("v").isNotNull())
+    r = global_rank(stacked, [F.col("m"), F.col("v")] + [F.col(t) for t in tie],
+                    rank_col="_rn", count_col="_n", num_partitions=num_partitions)
+    counts = {row["m"]: row["c"] for row in r.groupBy("m").agg(F.count(F.lit(1)).alias("c")).collect()}
+    start, acc = {}, 0
+    for i in range(len(specs)):
+        start[i] = acc
+        acc += counts.get(i, 0)
+    off, n = F.lit(0), F.lit(0)
+    for i in range(len(specs)):
+        off = F.when(F.col("m") == i, F.lit(start[i])).otherwise(off)
+        n = F.when(F.col("m") == i, F.lit(counts.get(i, 0))).otherwise(n)
+    b = qcut_bucket(F.col("_rn") - off, n, q)
+    binned = r.select(*tie, "m", b.alias("_bin"))
+    wide = binned.groupBy(*tie).agg(*[
+        (F.lit(q + 1) - F.max(F.when(F.col("m") == i, F.col("_bin")))).cast("int").alias(out) if desc
+        else F.max(F.when(F.col("m") == i, F.col("_bin"))).cast("int").alias(out)
+        for i, (_, out, desc) in enumerate(specs)])
+    return df.join(wide, tie, "left")
+
+
 def lerp(lo: Column, hi: Column, t: Column, method: str = "numpy") -> Column:
     """Linear interpolation between order statistics.  ``numpy`` follows
     numpy's two-sided form (``b - (b-a)(1-t)`` for t >= 0.5); ``sql`` is

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clickspark.functions.numeric import (
     cents, cents_to_money, dec_avg, dec_sum, micros, round_np, round_sql, whole_days_between,
 )
-from clickspark.operators.ranking import global_rank, qcut_rank, quantiles
+from clickspark.operators.ranking import global_rank, qcut_rank, qcut_ranks, quantiles
 
 _is = lambda t: F.col("event_type") == t
 
@@ -76,10 +76,10 @@ def score_quintile(df: DataFrame, col: str, ascending_good: bool = True, out: st
 
 
 def rfm_scores(rfm: DataFrame) -> DataFrame:
-    """R (reversed), F, M quintile scores and the concatenated string."""
-    s = score_quintile(rfm, "Recency", ascending_good=False, out="R_Score")
-    s = score_quintile(s, "Frequency", out="F_Score")
-    s = score_quintile(s, "Monetary", out="M_Score")
+    """R (reversed), F, M quintile scores and the concatenated string;
+    the three rankings run as one pass (``ranking.qcut_ranks``)."""
+    s = qcut_ranks(rfm, [("Recency", "R_Score", True), ("Frequency", "F_Score", False),
+                         ("Monetary", "M_Score", False)], 5, tie=("user_id",))
     return s.withColumn("RFM_Score", F.concat(F.col("R_Score").cast("string"),
                                               F.col("F_Score").cast("string"),
                                               F.col("M_Score").cast("string")))
