@@ -45,7 +45,8 @@ def _stable(df: DataFrame) -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     if root:
         import uuid
-        path = f"{root.rstrip('/')}/clickspark_tables/{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        path = f"{root.rstrip('/')}/clickspark_tables/{app}/{uuid.uuid4().hex}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return spark.read.parquet(path)
     from pyspark import StorageLevel
