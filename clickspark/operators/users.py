@@ -171,10 +171,11 @@ def clv_insights(rfm: DataFrame) -> DataFrame:
         (F.lit(a["_d"]).cast("double") / F.lit(n)).alias("avg_days_active"))
 
 
-def power_users(usr: DataFrame) -> DataFrame:
+def power_users(usr: DataFrame, materialize: bool = True) -> DataFrame:
     """``is_power_user`` = total events strictly above the 90th
-    percentile of all users (interpolated)."""
-    p90 = quantiles(usr, "total_events", [0.9], ["p90"]).first()["p90"]
+    percentile of all users (interpolated).  ``materialize=False`` when
+    ``usr`` is already a written table (the quantile passes re-read it)."""
+    p90 = quantiles(usr, "total_events", [0.9], ["p90"], materialize=materialize).first()["p90"]
     return usr.withColumn("is_power_user", (F.col("total_events") > F.lit(p90)).cast("int"))
 
 

@@ -79,7 +79,7 @@ def rfm_analysis_job(ev: DataFrame, out: str) -> DataFrame:
     _small(us.rfm_segment_distribution(seg), out, "user_segments.csv")
     _small(us.rfm_segment_characteristics(seg), out, "segment_characteristics.csv")
     write_json(us.clv_insights(rfm), f"{out}/clv_insights.json")
-    beh = us.behavioral_segment(us.power_users(usr))
+    beh = us.behavioral_segment(us.power_users(usr, materialize=False))
     _small(us.behavioral_distribution(beh), out, "behavioral_segments.csv")
     _small(us.power_user_summary(beh), out, "power_user_summary.csv")
     write_json(reports.rfm_report(usr), f"{out}/rfm_analysis_master.json")

@@ -141,11 +141,11 @@ def _clvi(spark, d):
 
 @query("power_users", with_ev("SELECT user_id, total_events, is_power_user FROM pu", UT, PU))
 def _pu(spark, d):
-    return us.power_users(usr(spark, d)).select("user_id", "total_events", "is_power_user")
+    return us.power_users(usr(spark, d), materialize=False).select("user_id", "total_events", "is_power_user")
 
 
 def bseg(spark, d):
-    return us.behavioral_segment(us.power_users(usr(spark, d)))
+    return us.behavioral_segment(us.power_users(usr(spark, d), materialize=False))
 
 
 @query("behavioral_segment", with_ev("SELECT user_id, is_power_user, Behavioral_Segment FROM bs", UT, PU, BS))

@@ -68,7 +68,7 @@ def rfm_report(usr: DataFrame) -> DataFrame:
     usr = _stable(usr)
     rfm = us.rfm_values(usr)
     seg = us.rfm_segment(us.rfm_scores(rfm))
-    beh = us.behavioral_segment(us.power_users(usr))
+    beh = us.behavioral_segment(us.power_users(usr, materialize=False))
     counts = usr.agg(F.count("*").alias("total_users"),
                      F.count(F.when(F.col("total_purchases") > 0, 1)).alias("purchasing_users"),
                      F.count(F.when(F.col("total_purchases") == 0, 1)).alias("non_purchasing_users"))
