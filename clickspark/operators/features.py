@@ -99,26 +99,29 @@ def label_balance(ds: DataFrame, label: str = "label") -> DataFrame:
     return ds.groupBy(label).agg(F.count("*").alias("count")).orderBy(label)
 
 
-def feature_summary(ds: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Count / mean / std / min / quartiles / max per column (pandas
-    ``describe`` with exact interpolated quartiles), one row per statistic."""
-    from clickspark.operators.ranking import quantiles as qs
-    cols = list(cols or [c for c, t in ds.dtypes if t in ("int", "bigint", "double") and c != "user_id"])
+def feature_summary(ds: DataFrame, cols: Sequence[str] | None = None, decimals: int = 3) -> DataFrame:
+    """Pandas ``describe().round(3)``: count / mean / std (sample) /
+    min / quartiles / max of every numeric column, one row per statistic.
+    The moments are one aggregate row; quartiles are exact (numpy rule) per
+    column (one set of passes for all columns); the table is 8 rows by
+    the number of columns."""
+    import numpy as np
+    from clickspark.operators.ranking import _stable, column_quantiles
+    cols = list(cols or [c for c, t in ds.dtypes if t in ("int", "bigint", "double")])
+    ds = _stable(ds.select(*cols))  # several passes read it
     stats = ds.agg(*[F.count(c).cast("double").alias(f"count__{c}") for c in cols],
                    *[F.avg(c).alias(f"mean__{c}") for c in cols],
                    *[F.stddev_samp(c).alias(f"std__{c}") for c in cols],
                    *[F.min(c).cast("double").alias(f"min__{c}") for c in cols],
                    *[F.max(c).cast("double").alias(f"max__{c}") for c in cols]).first()
-    rows = {s: [stats[f"{s}__{c}"] for c in cols] for s in ("count", "mean", "std", "min", "max")}
-    for p, nm in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%")):
-        rows[nm] = []
-    for c in cols:
-        r = qs(ds.select(F.col(c).cast("double").alias(c)), c, [0.25, 0.5, 0.75], ["a", "b", "e"]).first()
-        rows["25%"].append(r["a"]); rows["50%"].append(r["b"]); rows["75%"].append(r["e"])
+    rows = {s_: [stats[f"{s_}__{c}"] for c in cols] for s_ in ("count", "mean", "std", "min", "max")}
+    qv = column_quantiles(ds, cols, [0.25, 0.5, 0.75])
+    for k, nm in enumerate(("25%", "50%", "75%")):
+        rows[nm] = [qv[c][k] for c in cols]
     order = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-    spark = ds.sparkSession
-    return spark.createDataFrame([(s, *[None if v is None else float(v) for v in rows[s]]) for s in order],
-                                 ["statistic", *cols])
+    rnd = lambda v: None if v is None else float(np.round(float(v), decimals))
+    return ds.sparkSession.createDataFrame([(s_, *[rnd(v) for v in rows[s_]]) for s_ in order],
+                                           ["statistic", *cols])
 
 
 def stratified_split(ds: DataFrame, label: str = "label", test_size: float = 0.2, seed: int = 42,

@@ -236,6 +236,86 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence
         *[F.lit(float(x)).alias(nm) for x, nm in zip(out, names)])
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "numpy",
+                     bins: int = 1024, window_limit: int = 2_000_000) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns with one set of passes (the same
+    selection as ``quantiles``): values are stacked as (column, value) rows;
+    min / max and the histogram are one aggregation each over all columns;
+    one windowed pass over the wanted (column, bin) pairs picks the order
+    statistics.  Returns ``{column: [value per prob]}`` (a bounded summary).
+    Columns whose wanted bins exceed ``window_limit`` rows use
+    ``quantiles`` (global rank)."""
+    cols = list(cols)
+    st = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
+                             for i, c in enumerate(cols)])).alias("_s")
+    stacked = df.select(st).select("_s.c", "_s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    mm = {r["c"]: r for r in stacked.groupBy("c").agg(F.min("v").alias("mn"), F.max("v").alias("mx"),
+                                                      F.count(F.lit(1)).alias("n")).collect()}
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    lo_e, span_e = F.lit(0.0), F.lit(1.0)
+    for i, r in mm.items():
+        if r["mx"] > r["mn"]:
+            lo_e = F.when(F.col("c") == i, F.lit(r["mn"])).otherwise(lo_e)
+            span_e = F.when(F.col("c") == i, F.lit(r["mx"] - r["mn"])).otherwise(span_e)
+    bcol = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo_e) / span_e * F.lit(float(bins))).cast("int"))
+    hist: dict[int, dict[int, int]] = {}
+    for r in stacked.groupBy("c", bcol.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect():
+        hist.setdefault(r["c"], {})[r["b"]] = r["k"]
+    wanted: dict[int, dict[int, float]] = {}   # column -> {global position: value}
+    pairs, before_of, fallback = [], {}, []
+    for i, c in enumerate(cols):
+        if i not in mm:
+            continue
+        n = mm[i]["n"]
+        if mm[i]["mx"] == mm[i]["mn"]:
+            out[c] = [float(mm[i]["mn"])] * len(probs)
+            continue
+        cum, before = 0, {}
+        for b_ in sorted(hist[i]):
+            before[b_] = cum
+            cum += hist[i][b_]
+        need = sorted({r_ for p in probs for r_ in (int((p * (n - 1)) // 1), int(-(-(p * (n - 1)) // 1)))})
+        nb = sorted({next(b_ for b_ in sorted(before) if before[b_] <= r_ < before[b_] + hist[i][b_]) for r_ in need})
+        if max(hist[i][b_] for b_ in nb) > window_limit:
+            fallback.append(c)
+            continue
+        for b_ in nb:
+            pairs.append((i, b_))
+            before_of[(i, b_)] = before[b_]
+        wanted[i] = {r_: None for r_ in need}
+    if pairs:
+        sel = None
+        for i, b_ in pairs:
+            cnd = (F.col("c") == i) & (F.col("b") == b_)
+            sel = cnd if sel is None else (sel | cnd)
+        off = F.lit(0)
+        for (i, b_), v in before_of.items():
+            off = F.when((F.col("c") == i) & (F.col("b") == b_), F.lit(v)).otherwise(off)
+        w = Window.partitionBy("c", "b").orderBy("v")  # bins bounded by window_limit
+        picked = (stacked.withColumn("b", bcol).where(sel)
+                  .select("c", "v", (off + F.row_number().over(w) - 1).alias("g")))
+        need_pos = None
+        for i, pos in wanted.items():
+            cnd = (F.col("c") == i) & F.col("g").isin(list(pos))
+            need_pos = cnd if need_pos is None else (need_pos | cnd)
+        for r in picked.where(need_pos).collect():
+            wanted[r["c"]][r["g"]] = r["v"]
+    for i, c in enumerate(cols):
+        if i in wanted:
+            n = mm[i]["n"]
+            vals = []
+            for p in probs:
+                ps = float(p) * (n - 1)
+                lo, hi = wanted[i][int(ps // 1)], wanted[i][int(-(-ps // 1))]
+                t = ps - (ps // 1)
+                vals.append(hi - (hi - lo) * (1 - t) if (method == "numpy" and t >= 0.5) else lo + (hi - lo) * t)
+            out[c] = vals
+    for c in fallback:
+        row = quantiles(df, c, probs, [f"q{k}" for k in range(len(probs))], method=method).first()
+        out[c] = [row[f"q{k}"] for k in range(len(probs))]
+    return out
+
+
 def top_k_sum(df: DataFrame, value: str, k: Column | int, tie: Sequence[str] = ("user_id",),
               num_partitions: int | None = None) -> DataFrame:
     """Sum of the k largest values (``nlargest(k).sum()``), as a one-row

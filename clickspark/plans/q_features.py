@@ -59,9 +59,31 @@ def _lb(spark, d):
     return fe.label_balance(ml(spark, d))
 
 
-@query("feature_summary")
+ML_COLS = ["user_id", "total_events", "views", "carts", "past_purchases", "unique_products", "label",
+           "active_span_sec", "events_per_day", "cart_to_view_ratio", "product_diversity",
+           "has_past_purchase", "purchase_rate"]
+
+
+def _describe_sql() -> str:
+    from clickspark.plans.oracle import rnp
+    from clickspark.plans.q_sequence import np_quantile_sql
+
+    def stat_row(name, expr):
+        return f"SELECT '{name}' AS statistic, " + ", ".join(
+            f"{rnp(expr.format(c=f'CAST({c} AS DOUBLE)'), 3)} AS {c}" for c in ML_COLS) + " FROM ml"
+
+    def q_row(name, p):
+        return f"SELECT '{name}' AS statistic, " + ", ".join(
+            f"{rnp(np_quantile_sql('ml', c, p, 'x')[:-len(' AS x')], 3)} AS {c}" for c in ML_COLS)
+    parts = [stat_row("count", "CAST(COUNT({c}) AS DOUBLE)"), stat_row("mean", "AVG({c})"),
+             stat_row("std", "STDDEV_SAMP({c})"), stat_row("min", "MIN({c})"),
+             q_row("25%", 0.25), q_row("50%", 0.5), q_row("75%", 0.75), stat_row("max", "MAX({c})")]
+    return with_ev("\nUNION ALL\n".join(parts), *ML_CTES)
+
+
+@query("feature_summary", _describe_sql())
 def _fs(spark, d):
-    return fe.feature_summary(ml(spark, d))
+    return fe.feature_summary(ml(spark, d), ML_COLS)
 
 
 @query("stratified_split", with_ev("""SELECT label, CAST(SUM(is_test) AS BIGINT) AS test_rows, COUNT(*) AS rows_total

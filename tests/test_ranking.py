@@ -77,3 +77,18 @@ def test_quantiles_both_paths(spark, limit):
     ps = [0.1, 0.5, 0.9, 0.999]
     got = quantiles(df, "h", ps, window_limit=limit, spread=("k",)).first()
     assert list(got) == list(pd.Series(x).quantile(ps).values)
+
+
+def test_column_quantiles_matches_pandas(spark):
+    from clickspark.operators.ranking import column_quantiles
+    rs = np.random.RandomState(9)
+    pdf = pd.DataFrame({"a": rs.exponential(5, 500), "b": rs.randint(0, 7, 500).astype(float),
+                        "c": np.full(500, 3.0)})
+    pdf.loc[::10, "a"] = np.nan
+    df = spark.createDataFrame(pdf)
+    ps = [0.25, 0.5, 0.75]
+    got = column_quantiles(df, ["a", "b", "c"], ps)
+    for c in "abc":
+        assert got[c] == list(pdf[c].quantile(ps).values), c
+    got0 = column_quantiles(df, ["a", "b"], ps, window_limit=0)   # fallback path
+    assert got0["a"] == list(pdf["a"].quantile(ps).values)
