@@ -170,7 +170,13 @@ def _rr(spark, d):
     return rfm_report(us.user_table(ev_orders(spark, d)))
 
 
-@query("rfm_analysis_outputs")
+def _rfm_outputs_sql():
+    from clickspark.plans.jobs import RFM_OUTPUTS
+    from clickspark.plans.q_sessions import _manifest_sql
+    return _manifest_sql(RFM_OUTPUTS)
+
+
+@query("rfm_analysis_outputs", _rfm_outputs_sql())
 def _rao(spark, d):
     """The RFM job's files, written under the checkpoint folder, and their
     manifest."""
