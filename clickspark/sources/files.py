@@ -76,10 +76,18 @@ def convert_csv_to_parquet(spark: SparkSession, paths: str | Sequence[str], out_
 
 
 def write_clean_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("date",),
-                        mode: str = "overwrite", max_records_per_file: int = 0) -> None:
+                        mode: str = "overwrite", max_records_per_file: int = 0,
+                        files_per_partition: int | None = None) -> None:
     """ZSTD Parquet partitioned by date (so time predicates prune
-    folders).  Row-group size is in bytes in Spark (``parquet.block.size``),
-    left to the cluster default."""
+    folders).  By default every task writes one file per date it holds
+    (tasks x dates files); ``files_per_partition=k`` first hash-spreads the
+    rows over (date, k salts), so each date gets k files from k different
+    tasks (no single task per date, no tasks x dates small files);
+    ``max_records_per_file`` caps file size.  Row-group size is in bytes in
+    Spark (``parquet.block.size``), left to the cluster default."""
+    if files_per_partition:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(int(files_per_partition)))
+        df = df.repartition(*[F.col(c) for c in partition_by], salt)
     w = df.write.mode(mode).option("compression", "zstd")
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)

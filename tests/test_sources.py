@@ -75,3 +75,13 @@ def test_bulk_conversion_split(spark):
     src.convert_csv_to_parquet(spark, p, f"{d}/clean", clean=True)
     c = spark.read.parquet(f"{d}/clean")
     assert c.count() == 2 and "is_weekend" in c.columns and "date" in c.columns
+
+
+def test_files_per_partition(spark, make_events):
+    import glob
+    d = tempfile.mkdtemp(prefix="cs-pq-")
+    rows = [(u, f"2024-01-0{1 + u % 3}T10:00:00", "view", u) for u in range(300)]
+    src.write_clean_parquet(make_events(rows).repartition(7), f"{d}/c", files_per_partition=2)
+    per_date = [len(glob.glob(f"{p}/*.parquet")) for p in glob.glob(f"{d}/c/date=*")]
+    assert len(per_date) == 3 and max(per_date) <= 2
+    assert spark.read.parquet(f"{d}/c").count() == 300
