@@ -54,7 +54,8 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def convert_csv_to_parquet(spark: SparkSession, paths: str | Sequence[str], out_dir: str,
                            bad_dir: str | None = None, clean: bool = False,
-                           partition_by: Sequence[str] = ("source_file",)) -> None:
+                           partition_by: Sequence[str] = ("source_file",),
+                           files_per_partition: int | None = None) -> None:
     """Bulk conversion: CSV -> typed Parquet of the good rows (ZSTD), bad
     rows to ``bad_dir`` as JSON.  Every column is read in both passes, so
     the permissive parser flags exactly the same rows (no whole-data
@@ -65,10 +66,9 @@ def convert_csv_to_parquet(spark: SparkSession, paths: str | Sequence[str], out_
     scan = read_events_csv(spark, paths)
     good = scan.where(F.col(CORRUPT_COL).isNull()).select(*RAW_COLUMNS, "source_file")
     if clean:
-        write_clean_parquet(clean_events(good), out_dir)
+        write_clean_parquet(clean_events(good), out_dir, files_per_partition=files_per_partition)
     else:
-        (good.write.mode("overwrite").option("compression", "zstd")
-             .partitionBy(*partition_by).parquet(out_dir))
+        write_clean_parquet(good, out_dir, partition_by=partition_by, files_per_partition=files_per_partition)
     if bad_dir:
         (scan.where(F.col(CORRUPT_COL).isNotNull())
              .select(*RAW_COLUMNS, CORRUPT_COL, "source_file")
