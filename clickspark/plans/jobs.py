@@ -134,6 +134,10 @@ def clickstream_job(ev: DataFrame, out: str, probability: DataFrame | None = Non
     return output_manifest(ev.sparkSession, out, NOTEBOOK_OUTPUTS)
 
 
+PREPROCESSING_OUTPUTS = ["file_profile.csv", "file_event_mix.csv", "dataset_stats.json",
+                         "missing_patterns.csv", "missing_policy.csv", "top_brands.csv"]
+
+
 def preprocessing_job(spark: SparkSession, raw: DataFrame, out: str) -> DataFrame:
     """Profiling of the raw rows and the missing-value decisions (the
     conversion itself is ``sources.convert_csv_to_parquet``)."""
@@ -144,5 +148,4 @@ def preprocessing_job(spark: SparkSession, raw: DataFrame, out: str) -> DataFram
     _small(pats, out, "missing_patterns.csv")
     _small(pr.missing_policy(pats), out, "missing_policy.csv")
     _small(pr.top_brands(raw), out, "top_brands.csv")
-    return output_manifest(spark, out, ["file_profile.csv", "file_event_mix.csv", "dataset_stats.json",
-                                        "missing_patterns.csv", "missing_policy.csv", "top_brands.csv"])
+    return output_manifest(spark, out, PREPROCESSING_OUTPUTS)
