@@ -141,7 +141,7 @@ def lerp(lo: Column, hi: Column, t: Column, method: str = "numpy") -> Column:
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str] | None = None,
               method: str = "numpy", spread: Sequence[str] = (), bins: int = 1024,
               materialize: bool = True, window_limit: int = 2_000_000,
-              num_partitions: int | None = None) -> DataFrame:
+              accuracy: int | None = None, num_partitions: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles (pandas ``quantile`` / SQL
     ``quantile_cont``) of a numeric column, as one row with a column per
     probability.  Nulls and NaN are ignored.
@@ -155,7 +155,8 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence
     a secondary key so it still spreads over range partitions.  When every
     wanted bin holds at most ``window_limit`` rows (known from the
     histogram) the positions come from a window per bin instead (one
-    shuffle, each task at most ``window_limit`` rows).
+    shuffle, each task at most ``window_limit`` rows).  ``accuracy`` switches
+    to the one-pass ``percentile_approx`` sketch (not exact).
 
     The passes are separate actions: when ``df`` is derived (an
     aggregate, a join) it is materialised first (``materialize=True``,
@@ -164,6 +165,10 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     v = F.col(value).cast("double")
     base = df.where(F.col(value).isNotNull() & ~F.isnan(v))
+    if accuracy:
+        # one-pass sketch (rank error about n / accuracy), not interpolated
+        qa = F.percentile_approx(v, [float(p) for p in probs], int(accuracy))
+        return base.agg(qa.alias("_q")).select(*[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     if spread:
         base = base.select(v.alias(value), F.xxhash64(*spread).alias("_sph"))
         spread = ("_sph",)

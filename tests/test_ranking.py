@@ -92,3 +92,10 @@ def test_column_quantiles_matches_pandas(spark):
         assert got[c] == list(pdf[c].quantile(ps).values), c
     got0 = column_quantiles(df, ["a", "b"], ps, window_limit=0)   # fallback path
     assert got0["a"] == list(pdf["a"].quantile(ps).values)
+
+
+def test_quantiles_approx_option(spark):
+    x = np.arange(10001, dtype=float)
+    df = spark.createDataFrame([(float(a),) for a in x], "h double")
+    got = quantiles(df, "h", [0.5, 0.9], accuracy=10000).first()
+    assert abs(got[0] - 5000) <= 2 and abs(got[1] - 9000) <= 2
