@@ -20,20 +20,22 @@ from clickspark.operators.ranking import quantiles
 _is = lambda t: F.col("event_type") == t
 
 
-def time_cutoff(ev: DataFrame, q: float = 0.8) -> DataFrame:
+def time_cutoff(ev: DataFrame, q: float = 0.8, accuracy: int | None = None) -> DataFrame:
     """One-row frame with ``cutoff_time``, the interpolated quantile of
-    event_time (SQL ``quantile_cont``, rounded to the microsecond)."""
+    event_time (SQL ``quantile_cont``, rounded to the microsecond).
+    ``accuracy`` switches to a one-pass approximate quantile."""
     us = ev.select(micros("event_time").cast("double").alias("_us"), "user_id", "product_id", "event_type")
     # a column scan of the event table: the passes re-read one column,
     # cheaper than writing it out
     qq = quantiles(us, "_us", [q], ["_q"], method="sql",
-                   spread=("_us", "user_id", "product_id", "event_type"), materialize=False)
+                   spread=("_us", "user_id", "product_id", "event_type"), materialize=False,
+                   accuracy=accuracy)
     return qq.select(F.timestamp_micros(F.round("_q").cast("long")).alias("cutoff_time"))
 
 
-def cutoff_value(ev: DataFrame, q: float = 0.8) -> dt.datetime:
+def cutoff_value(ev: DataFrame, q: float = 0.8, accuracy: int | None = None) -> dt.datetime:
     """The cutoff as a driver-side scalar (one value)."""
-    return time_cutoff(ev, q).first()["cutoff_time"]
+    return time_cutoff(ev, q, accuracy).first()["cutoff_time"]
 
 
 def _time_filter(ev: DataFrame, cutoff, past: bool) -> DataFrame:
