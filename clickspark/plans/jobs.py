@@ -135,7 +135,13 @@ def clickstream_job(ev: DataFrame, out: str, probability: DataFrame | None = Non
 
 
 PREPROCESSING_OUTPUTS = ["file_profile.csv", "file_event_mix.csv", "dataset_stats.json",
-                         "missing_patterns.csv", "missing_policy.csv", "top_brands.csv"]
+                         "missing_patterns.csv", "missing_policy.csv", "top_brands.csv",
+                         "preprocessing_log.json"]
+MODEL_OUTPUTS = [
+    "model_comparison.csv", "feature_importance_lgbm.csv", "feature_importance_xgb.csv",
+    "feature_importance_rf.csv", "shap_importance.csv", "purchase_probabilities.csv",
+    "abandon_probabilities.csv",
+]
 
 
 def preprocessing_job(spark: SparkSession, raw: DataFrame, out: str) -> DataFrame:
@@ -148,4 +154,33 @@ def preprocessing_job(spark: SparkSession, raw: DataFrame, out: str) -> DataFram
     _small(pats, out, "missing_patterns.csv")
     _small(pr.missing_policy(pats), out, "missing_policy.csv")
     _small(pr.top_brands(raw), out, "top_brands.csv")
+    write_json(reports.assemble({"analysis_type": "preprocessing_log"},
+                                {"file_stats": pr.file_profile(raw), "missing_patterns": pats,
+                                 "decisions": pr.missing_policy(pats)},
+                                {"metrics": pr.dataset_stats(raw)}),
+               f"{out}/preprocessing_log.json")
     return output_manifest(spark, out, PREPROCESSING_OUTPUTS)
+
+
+def model_outputs_job(ev: DataFrame, out: str, **overrides) -> tuple[DataFrame, DataFrame]:
+    """The notebook's model outputs: comparison table, the three
+    importance tables, SHAP importance, purchase and abandonment
+    probabilities.  Returns (manifest, purchase probabilities) so that
+    ``clickstream_job`` can score CLV with the model.  ``overrides`` change
+    model hyper-parameters (tests use small ones)."""
+    from clickspark.operators import models as mo
+    ds = _stable(fe.ml_dataset(ev))
+    table, fitted = mo.model_comparison(ds, **overrides)
+    _small(table, out, "model_comparison.csv")
+    _small(mo.importance_split_count(fitted["LightGBM"]), out, "feature_importance_lgbm.csv")
+    _small(mo.importance_gain(fitted["XGBoost"]), out, "feature_importance_xgb.csv")
+    _small(mo.importance_forest(fitted["RandomForest"]), out, "feature_importance_rf.csv")
+    train, test = mo.split(ds)
+    _small(mo.shap_importance(fitted["LightGBM"], test, train), out, "shap_importance.csv")
+    probs = _stable(mo.purchase_probabilities(fitted["XGBoost"], ds).select("user_id", "purchase_probability"))
+    _big(probs, out, "purchase_probabilities.csv")
+    ab = mo.abandonment_dataset(ds, mo.abandonment_labels(ev))
+    ab_over = {k: v for k, v in overrides.items() if k in mo.ABANDON_PARAMS}
+    model, _ = mo.train_abandonment(ab, **ab_over)
+    _big(mo.abandon_probabilities(model, ab), out, "abandon_probabilities.csv")
+    return output_manifest(ev.sparkSession, out, MODEL_OUTPUTS), probs

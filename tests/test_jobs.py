@@ -18,3 +18,12 @@ def test_jobs_write_every_output(spark):
     raw = raw.withColumn("source_file", F.lit("f.csv"))
     man = jobs.preprocessing_job(spark, raw, tempfile.mkdtemp(prefix="cs-job-")).collect()
     assert all(r.status == "OK" for r in man)
+
+
+def test_model_outputs_job(spark):
+    ev = clean_fixture(spark, SF)
+    out = tempfile.mkdtemp(prefix="cs-job-")
+    man, probs = jobs.model_outputs_job(ev, out, numTrees=5, maxIter=3, maxDepth=3)
+    assert all(r.status == "OK" for r in man.collect())
+    man2 = jobs.clickstream_job(ev, tempfile.mkdtemp(prefix="cs-job-"), probability=probs).collect()
+    assert all(r.status == "OK" for r in man2)
