@@ -62,6 +62,16 @@ def _conv() -> Column:
     return round_sql(F.sum("has_purchase") * F.lit(100.0) / F.count("*"), 2)
 
 
+def _finish(df: DataFrame, order: list[Column], key: list[Column], drop: tuple = (),
+            ordered: bool = True) -> DataFrame:
+    """Order a small result; ``ordered=False`` instead returns the rows with
+    a sortable ``_order`` key (for callers that sort elsewhere, e.g. inside
+    an array), saving the range-partitioned sort."""
+    if ordered:
+        return df.orderBy(*order).drop(*drop)
+    return df.withColumn("_order", F.struct(*key)).drop(*drop)
+
+
 def session_summary(ses: DataFrame) -> DataFrame:
     """Sessions, users, mean minutes / events / products (2 dp),
     purchase sessions and their rate %."""
@@ -75,17 +85,17 @@ def session_summary(ses: DataFrame) -> DataFrame:
         _conv().alias("purchase_session_rate"))
 
 
-def session_behavior_comparison(ses: DataFrame) -> DataFrame:
+def session_behavior_comparison(ses: DataFrame, ordered: bool = True) -> DataFrame:
     """Purchase vs non-purchase sessions."""
-    return (ses.groupBy("has_purchase").agg(
+    return _finish(ses.groupBy("has_purchase").agg(
                 F.count("*").alias("session_count"),
                 round_sql(avg_minutes(), 2).alias("avg_duration_min"),
                 round_sql(F.avg("total_events"), 2).alias("avg_events"),
                 round_sql(F.avg("unique_products_viewed"), 2).alias("avg_products_viewed"))
             .select(F.when(F.col("has_purchase") == 1, "Purchase Session")
                      .otherwise("Non-Purchase Session").alias("session_type"),
-                    "session_count", "avg_duration_min", "avg_events", "avg_products_viewed")
-            .orderBy("session_type"))
+                    "session_count", "avg_duration_min", "avg_events", "avg_products_viewed"),
+                   [F.col("session_type")], [F.col("session_type")], ordered=ordered)
 
 
 # Fixed bucket labels and edges of the reference's session breakdowns.
@@ -122,27 +132,27 @@ def _between(col: str, buckets, last: str) -> tuple[Column, Column]:
     return lab, order
 
 
-def session_duration_distribution(ses: DataFrame) -> DataFrame:
+def session_duration_distribution(ses: DataFrame, ordered: bool = True) -> DataFrame:
     """Left-closed duration buckets with conversion."""
     lab, order = _left_closed("session_duration_minutes", DURATION_BUCKETS, DURATION_LAST)
-    return (ses.groupBy(lab.alias("duration_bucket"), order.alias("bucket_order")).agg(
-                F.count("*").alias("session_count"),
-                F.sum("has_purchase").cast("long").alias("sessions_with_purchase"),
-                _conv().alias("conversion_rate"))
-            .orderBy("bucket_order").drop("bucket_order"))
+    g = ses.groupBy(lab.alias("duration_bucket"), order.alias("bucket_order")).agg(
+        F.count("*").alias("session_count"),
+        F.sum("has_purchase").cast("long").alias("sessions_with_purchase"),
+        _conv().alias("conversion_rate"))
+    return _finish(g, [F.col("bucket_order")], [F.col("bucket_order")], ("bucket_order",), ordered)
 
 
-def products_per_session(ses: DataFrame) -> DataFrame:
+def products_per_session(ses: DataFrame, ordered: bool = True) -> DataFrame:
     """Distinct-product buckets (0 falls in the last bucket)."""
     lab, order = _between("unique_products_viewed", PRODUCT_BUCKETS, PRODUCT_LAST)
-    return (ses.groupBy(lab.alias("products_bucket"), order.alias("bucket_order")).agg(
-                F.count("*").alias("session_count"),
-                F.sum("has_purchase").cast("long").alias("purchases"),
-                _conv().alias("conversion_rate"))
-            .orderBy("bucket_order").drop("bucket_order"))
+    g = ses.groupBy(lab.alias("products_bucket"), order.alias("bucket_order")).agg(
+        F.count("*").alias("session_count"),
+        F.sum("has_purchase").cast("long").alias("purchases"),
+        _conv().alias("conversion_rate"))
+    return _finish(g, [F.col("bucket_order")], [F.col("bucket_order")], ("bucket_order",), ordered)
 
 
-def session_cart_abandonment(ses: DataFrame) -> DataFrame:
+def session_cart_abandonment(ses: DataFrame, ordered: bool = True) -> DataFrame:
     """Abandoned / converted / no-cart sessions with share of all."""
     st = (F.when((F.col("has_cart") == 1) & (F.col("has_purchase") == 0), "Cart Abandoned")
            .when((F.col("has_cart") == 1) & (F.col("has_purchase") == 1), "Cart Converted")
@@ -150,35 +160,36 @@ def session_cart_abandonment(ses: DataFrame) -> DataFrame:
     g = ses.groupBy(st.alias("cart_status")).agg(F.count("*").alias("session_count"))
     # window over the (at most three) grouped rows
     tot = F.sum("session_count").over(Window.partitionBy())
-    return (g.select("cart_status", "session_count",
-                     round_sql(F.col("session_count") * F.lit(100.0) / tot, 2).alias("percentage"))
-             .orderBy(F.desc("session_count"), "cart_status"))
+    r = g.select("cart_status", "session_count",
+                 round_sql(F.col("session_count") * F.lit(100.0) / tot, 2).alias("percentage"))
+    return _finish(r, [F.desc("session_count"), F.col("cart_status")],
+                   [-F.col("session_count"), F.col("cart_status")], ordered=ordered)
 
 
-def session_engagement(ses: DataFrame) -> DataFrame:
+def session_engagement(ses: DataFrame, ordered: bool = True) -> DataFrame:
     """Engagement levels by events per session."""
     lab, order = _between("total_events", ENGAGEMENT_BUCKETS, ENGAGEMENT_LAST)
-    return (ses.groupBy(lab.alias("engagement_level"), order.alias("bucket_order")).agg(
-                F.count("*").alias("session_count"),
-                F.sum("has_purchase").cast("long").alias("purchases"),
-                round_sql(avg_minutes(), 2).alias("avg_duration"),
-                _conv().alias("conversion_rate"))
-            .orderBy("bucket_order").drop("bucket_order"))
+    g = ses.groupBy(lab.alias("engagement_level"), order.alias("bucket_order")).agg(
+        F.count("*").alias("session_count"),
+        F.sum("has_purchase").cast("long").alias("purchases"),
+        round_sql(avg_minutes(), 2).alias("avg_duration"),
+        _conv().alias("conversion_rate"))
+    return _finish(g, [F.col("bucket_order")], [F.col("bucket_order")], ("bucket_order",), ordered)
 
 
-def hourly_session_patterns(ses: DataFrame) -> DataFrame:
+def hourly_session_patterns(ses: DataFrame, ordered: bool = True) -> DataFrame:
     """Sessions by start hour."""
-    return (ses.groupBy(F.col("session_start_hour").alias("hour")).agg(
+    return _finish(ses.groupBy(F.col("session_start_hour").alias("hour")).agg(
                 F.count("*").alias("total_sessions"),
                 F.sum("has_purchase").cast("long").alias("sessions_with_purchase"),
                 _conv().alias("conversion_rate"),
-                round_sql(avg_minutes(), 2).alias("avg_duration_min"))
-            .orderBy("hour"))
+                round_sql(avg_minutes(), 2).alias("avg_duration_min")),
+                   [F.col("hour")], [F.col("hour")], ordered=ordered)
 
 
-def weekend_weekday_sessions(ses: DataFrame) -> DataFrame:
+def weekend_weekday_sessions(ses: DataFrame, ordered: bool = True) -> DataFrame:
     """Sessions by weekend flag."""
-    return (ses.groupBy("is_weekend_session").agg(
+    return _finish(ses.groupBy("is_weekend_session").agg(
                 F.count("*").alias("session_count"),
                 F.sum("has_purchase").cast("long").alias("sessions_with_purchase"),
                 _conv().alias("conversion_rate"),
@@ -187,8 +198,8 @@ def weekend_weekday_sessions(ses: DataFrame) -> DataFrame:
                 round_sql(F.avg("unique_products_viewed"), 2).alias("avg_products"))
             .select(F.when(F.col("is_weekend_session") == 1, "Weekend").otherwise("Weekday").alias("day_type"),
                     "session_count", "sessions_with_purchase", "conversion_rate",
-                    "avg_duration", "avg_events", "avg_products")
-            .orderBy("day_type"))
+                    "avg_duration", "avg_events", "avg_products"),
+                   [F.col("day_type")], [F.col("day_type")], ordered=ordered)
 
 
 def sessions_basic(ev: DataFrame) -> DataFrame:

@@ -17,9 +17,14 @@ from clickspark.operators.ranking import _stable
 
 
 def _section_list(name: str, df: DataFrame) -> DataFrame:
-    """Rows of an ordered (small) result as an array in that order: the
-    sorted order is carried by an increasing id, since ``collect_list``
-    does not keep row order across partitions."""
+    """Rows of a (small) result as an array in the result's order: by its
+    ``_order`` key when it has one (unsorted results), else by an
+    increasing id taken after the sort (``collect_list`` does not keep row
+    order across partitions)."""
+    if "_order" in df.columns:
+        cols = [c for c in df.columns if c != "_order"]
+        arr = F.array_sort(F.collect_list(F.struct(F.col("_order"), *[F.col(c) for c in cols])))
+        return df.agg(F.transform(arr, lambda st: F.struct(*[st[c].alias(c) for c in cols])).alias(name))
     cols = df.columns
     o = df.withColumn("_o", F.monotonically_increasing_id())
     arr = F.array_sort(F.collect_list(F.struct(F.col("_o"), *[F.col(c) for c in cols])))
@@ -52,13 +57,13 @@ def session_report(ses: DataFrame) -> DataFrame:
     return assemble(
         {"analysis_type": "session_level_behavior_daily_proxy",
          "session_definition": "One session = all events for a user within the same calendar day"},
-        {"behavior_comparison": ss.session_behavior_comparison(ses),
-         "duration_distribution": ss.session_duration_distribution(ses),
-         "products_per_session": ss.products_per_session(ses),
-         "engagement_levels": ss.session_engagement(ses),
-         "cart_abandonment": ss.session_cart_abandonment(ses),
-         "hourly_patterns": ss.hourly_session_patterns(ses),
-         "weekend_weekday": ss.weekend_weekday_sessions(ses)},
+        {"behavior_comparison": ss.session_behavior_comparison(ses, ordered=False),
+         "duration_distribution": ss.session_duration_distribution(ses, ordered=False),
+         "products_per_session": ss.products_per_session(ses, ordered=False),
+         "engagement_levels": ss.session_engagement(ses, ordered=False),
+         "cart_abandonment": ss.session_cart_abandonment(ses, ordered=False),
+         "hourly_patterns": ss.hourly_session_patterns(ses, ordered=False),
+         "weekend_weekday": ss.weekend_weekday_sessions(ses, ordered=False)},
         {"summary": ss.session_summary(ses)})
 
 
