@@ -184,3 +184,45 @@ def model_outputs_job(ev: DataFrame, out: str, **overrides) -> tuple[DataFrame,
     model, _ = mo.train_abandonment(ab, **ab_over)
     _big(mo.abandon_probabilities(model, ab), out, "abandon_probabilities.csv")
     return output_manifest(ev.sparkSession, out, MODEL_OUTPUTS), probs
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Command line: ``python -m clickspark.plans.jobs <analysis> --input
+    <path> --output <dir>``.  ``convert`` reads raw CSV files (paths or a
+    folder) and writes the cleaned, date-partitioned Parquet table; the
+    analyses read such a cleaned table.  Uses the session the cluster
+    provides (``spark-submit``) or a local one."""
+    import argparse
+    from pyspark.sql import SparkSession
+    from clickspark.sources.files import convert_csv_to_parquet, read_events_csv, split_corrupt
+    ap = argparse.ArgumentParser(prog="clickspark.plans.jobs")
+    ap.add_argument("analysis", choices=["convert", "preprocess", "funnel", "sessions", "rfm",
+                                         "clickstream", "models"])
+    ap.add_argument("--input", nargs="+", required=True)
+    ap.add_argument("--output", required=True)
+    ap.add_argument("--bad-rows", default=None, help="folder for rejected CSV rows (convert)")
+    ap.add_argument("--files-per-date", type=int, default=None)
+    ap.add_argument("--timezone", default="UTC", help="zone for hour / day / weekend of event_time")
+    a = ap.parse_args(argv)
+    spark = SparkSession.builder.appName(f"clickspark-{a.analysis}").getOrCreate()
+    spark.conf.set("spark.sql.session.timeZone", a.timezone)
+    if a.analysis == "convert":
+        convert_csv_to_parquet(spark, a.input, a.output, bad_dir=a.bad_rows, clean=True,
+                               files_per_partition=a.files_per_date)
+        return
+    if a.analysis == "preprocess":
+        good, _ = split_corrupt(read_events_csv(spark, a.input))
+        man = preprocessing_job(spark, good, a.output)
+    else:
+        ev = spark.read.parquet(*a.input)
+        if a.analysis == "models":
+            man, _ = model_outputs_job(ev, a.output)
+        else:
+            job = {"funnel": funnel_analysis_job, "sessions": session_analysis_job,
+                   "rfm": rfm_analysis_job, "clickstream": clickstream_job}[a.analysis]
+            man = job(ev, a.output)
+    man.show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()
