@@ -27,3 +27,17 @@ def test_model_outputs_job(spark):
     assert all(r.status == "OK" for r in man.collect())
     man2 = jobs.clickstream_job(ev, tempfile.mkdtemp(prefix="cs-job-"), probability=probs).collect()
     assert all(r.status == "OK" for r in man2)
+
+
+def test_command_line(spark, capsys):
+    import os
+    d = tempfile.mkdtemp(prefix="cs-cli-")
+    with open(os.path.join(d, "m.csv"), "w") as f:
+        f.write("event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session\n"
+                "2019-10-01 00:00:00 UTC,view,1,10,a.b,x,10.5,100,s1\n"
+                "2019-10-01 00:05:00 UTC,cart,1,10,a.b,x,10.5,100,s1\n"
+                "oops,row\n")
+    jobs.main(["convert", "--input", os.path.join(d, "m.csv"), "--output", f"{d}/clean", "--bad-rows", f"{d}/bad"])
+    assert spark.read.parquet(f"{d}/clean").count() == 2 and spark.read.json(f"{d}/bad").count() == 1
+    jobs.main(["sessions", "--input", f"{d}/clean", "--output", f"{d}/out"])
+    assert "MISSING" not in capsys.readouterr().out
