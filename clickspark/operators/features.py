@@ -108,9 +108,9 @@ def feature_summary(ds: DataFrame, cols: Sequence[str] | None = None, decimals:
     column (one set of passes for all columns); the table is 8 rows by
     the number of columns."""
     import numpy as np
-    from clickspark.operators.ranking import _stable, column_quantiles
+    from clickspark.operators.ranking import stage_table, column_quantiles
     cols = list(cols or [c for c, t in ds.dtypes if t in ("int", "bigint", "double")])
-    ds = _stable(ds.select(*cols))  # several passes read it
+    ds = stage_table(ds.select(*cols))  # several passes read it
     stats = ds.agg(*[F.count(c).cast("double").alias(f"count__{c}") for c in cols],
                    *[F.avg(c).alias(f"mean__{c}") for c in cols],
                    *[F.stddev_samp(c).alias(f"std__{c}") for c in cols],
@@ -133,8 +133,8 @@ def stratified_split(ds: DataFrame, label: str = "label", test_size: float = 0.2
     n_label)`` go to test.  Reproducible at any partitioning; the window
     is per label, ranked by ``global_rank`` per class, so no class is
     funnelled into one task."""
-    from clickspark.operators.ranking import _stable, global_rank
-    ds = _stable(ds)  # read once for the classes, once per class
+    from clickspark.operators.ranking import stage_table, global_rank
+    ds = stage_table(ds)  # read once for the classes, once per class
     parts = []
     labels = [r[0] for r in ds.select(label).distinct().collect()]  # a handful of classes
     for v in sorted(labels):
@@ -152,8 +152,8 @@ def stratified_folds(ds: DataFrame, label: str = "label", k: int = 3, seed: int
                      key: str = "user_id") -> DataFrame:
     """Fold number 0..k-1 per row, stratified: within each label rows
     are ordered by a seeded hash and dealt round-robin."""
-    from clickspark.operators.ranking import _stable, global_rank
-    ds = _stable(ds)  # read once for the classes, once per class
+    from clickspark.operators.ranking import stage_table, global_rank
+    ds = stage_table(ds)  # read once for the classes, once per class
     parts = []
     labels = [r[0] for r in ds.select(label).distinct().collect()]  # a handful of classes
     for v in sorted(labels):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from clickspark.functions.numeric import round_np
 from clickspark.operators.features import stratified_folds, stratified_split
-from clickspark.operators.ranking import _stable
+from clickspark.operators.ranking import stage_table
 from clickspark.schema import FEATURE_COLS
 from clickspark.session import ensure_checkpoint_dir
 
@@ -95,8 +95,7 @@ def average_precision(scored: DataFrame, label: str = "label", out: str = "score
     sums ordered by score via range partitions and per-partition offsets
     (no single-partition window over the scores)."""
     g = scored.groupBy(out).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("cnt"))
-    nparts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = _stable(g.repartitionByRange(nparts, F.col(out).desc())
+    t = stage_table(g.repartitionByRange(F.col(out).desc())
                  .withColumn("_pid", F.spark_partition_id()))
     part = t.groupBy("_pid").agg(F.sum("pos").alias("_p"), F.sum("cnt").alias("_c"))
     w0 = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
@@ -141,7 +140,7 @@ def cross_validate(name: str, ds: DataFrame, label: str = "label", k: int = 3, s
     the whole dataset.  The k fits are independent Spark jobs submitted
     concurrently (as ``CrossValidator(parallelism=k)``)."""
     from concurrent.futures import ThreadPoolExecutor
-    f = _stable(stratified_folds(ds, label, k, seed))
+    f = stage_table(stratified_folds(ds, label, k, seed))
 
     def one(i: int) -> float:
         m = fit(name, f.where(F.col("fold") != i), label, **overrides)
@@ -156,7 +155,7 @@ def cross_validate(name: str, ds: DataFrame, label: str = "label", k: int = 3, s
 
 def split(ds: DataFrame, label: str = "label", test_size: float = 0.2, seed: int = SEED):
     """N71 applied: (train, test) frames."""
-    s = _stable(stratified_split(ds, label, test_size, seed))
+    s = stage_table(stratified_split(ds, label, test_size, seed))
     return s.where(F.col("is_test") == 0).drop("is_test"), s.where(F.col("is_test") == 1).drop("is_test")
 
 
@@ -170,7 +169,7 @@ def model_comparison(ds: DataFrame, label: str = "label", models: Sequence[str]
     def one(name: str):
         ov = {k: v for k, v in overrides.items() if k in MODEL_PARAMS.get(name, {})}
         m = fit(name, train, label, **ov)
-        s = _stable(score(m, test))
+        s = stage_table(score(m, test))
         cvm, cvs = cross_validate(name, ds, label, cv_folds, **ov)
         return name, m, (name, auc_roc(s, label), average_precision(s, label), cvm, cvs, macro_f1(s, label))
 
@@ -338,7 +337,7 @@ def train_abandonment(ab_ds: DataFrame, **overrides) -> tuple[PipelineModel, Dat
     model and a one-row metrics frame (AUC, AP, macro F1)."""
     train, test = split(ab_ds, "abandoned")
     m = estimator("Abandonment", "abandoned", **{**ABANDON_PARAMS, **overrides}).fit(train)
-    s = _stable(score(m, test))
+    s = stage_table(score(m, test))
     met = ab_ds.sparkSession.createDataFrame(
         [(auc_roc(s, "abandoned"), average_precision(s, "abandoned"), macro_f1(s, "abandoned"))],
         "auc double, ap double, f1_macro double")

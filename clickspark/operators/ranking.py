@@ -28,13 +28,7 @@ from clickspark.functions.numeric import qcut_bucket
 from clickspark.session import ensure_checkpoint_dir
 
 
-def _nparts(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _stable(df: DataFrame) -> DataFrame:
+def stage_table(df: DataFrame) -> DataFrame:
     """Materialise once and cut the lineage: the frame is written as a
     Parquet table under the shared folder named by ``spark.checkpoint.dir``
     and read back (one job, columnar; a reliable checkpoint would take a
@@ -70,7 +64,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rn",
                 .withColumn("_pid", pid)
                 .withColumn("_lrn", F.monotonically_increasing_id()
                             - F.shiftleft(pid.cast("long"), 33) + F.lit(1)))
-    tagged = _stable(tagged)
+    tagged = stage_table(tagged)
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: bounded by the partition count, not the data
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,7 +169,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence
     else:
         base = base.select(v.alias(value))
     if materialize:
-        base = _stable(base)
+        base = stage_table(base)
     v = F.col(value)
     spark = df.sparkSession
     mm = base.agg(F.min(v).alias("mn"), F.max(v).alias("mx"), F.count(F.lit(1)).alias("n")).first()

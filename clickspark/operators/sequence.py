@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickspark.functions.numeric import micros, round_sql, seconds_between
-from clickspark.operators.ranking import _stable, quantiles
+from clickspark.operators.ranking import stage_table, quantiles
 
 # Event order within a user: time, then a fixed tie-break so the sequence
 # does not depend on file order or partition count.
@@ -96,7 +96,7 @@ def transition_counts(ev: DataFrame, by: Sequence[str] = ("user_id",),
                      .select(*by, "event_type", F.spark_partition_id().alias("_pid")))
     # the pass emits a few rows per partition; materialise them once so the
     # range shuffle, sort and pass run once for both uses below
-    parts = _stable(sorted_ev.mapInPandas(_pairs_fn(by), _PARTS_SCHEMA))
+    parts = stage_table(sorted_ev.mapInPandas(_pairs_fn(by), _PARTS_SCHEMA))
     inner = parts.where(F.col("kind") == 0).select("from_event", "to_event", "cnt")
     # boundary rows: one per non-empty partition, so this window is bounded
     # by the partition count
@@ -157,7 +157,7 @@ def time_to_purchase_stats(clean: DataFrame) -> DataFrame:
     """N50: count, mean, median, P25, P75, P95 in hours (quantiles exact,
     numpy linear interpolation; the mean from exact microsecond sums).  The
     per-user times are materialised once and read by every pass."""
-    h = _stable(clean.select((F.col("time_to_purchase_sec") / F.lit(3600.0)).alias("h"),
+    h = stage_table(clean.select((F.col("time_to_purchase_sec") / F.lit(3600.0)).alias("h"),
                              (micros("purchase_time") - micros("first_view")).alias("_us")))
     q = quantiles(h, "h", [0.5, 0.25, 0.75, 0.95], ["median_hours", "p25_hours", "p75_hours", "p95_hours"],
                   materialize=False)

@@ -4,7 +4,7 @@ a manifest of what was written.
 
 Small aggregated results are written as one CSV part; data-sized tables
 (sessions, users, per-user scores) as multi-part CSV folders.  Tables read
-by several outputs are materialised once (``ranking._stable``).
+by several outputs are materialised once (``ranking.stage_table``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from clickspark.operators import sessions as ss
 from clickspark.operators import users as us
 from clickspark.operators import features as fe
 from clickspark.operators import value as va
-from clickspark.operators.ranking import _stable
+from clickspark.operators.ranking import stage_table
 from clickspark.plans import reports
 from clickspark.sources.files import output_manifest, write_csv, write_json
 
@@ -56,7 +56,7 @@ def _big(df: DataFrame, out: str, name: str) -> None:
 
 def session_analysis_job(ev: DataFrame, out: str) -> DataFrame:
     """Daily-proxy session analysis: every table and the master document."""
-    ses = _stable(ss.session_table(ev))
+    ses = stage_table(ss.session_table(ev))
     write_json(ss.session_summary(ses), f"{out}/session_summary.json")
     _big(ses, out, "session_level_table.csv")
     _small(ss.session_behavior_comparison(ses), out, "session_behavior_comparison.csv")
@@ -72,10 +72,10 @@ def session_analysis_job(ev: DataFrame, out: str) -> DataFrame:
 
 def rfm_analysis_job(ev: DataFrame, out: str) -> DataFrame:
     """User table, RFM segments, CLV insights, behaviour segments."""
-    usr = _stable(us.user_table(ev))
+    usr = stage_table(us.user_table(ev))
     _big(usr, out, "user_level_table.csv")
     rfm = us.rfm_values(usr)
-    seg = _stable(us.rfm_segment(us.rfm_scores(rfm)))
+    seg = stage_table(us.rfm_segment(us.rfm_scores(rfm)))
     _small(us.rfm_segment_distribution(seg), out, "user_segments.csv")
     _small(us.rfm_segment_characteristics(seg), out, "segment_characteristics.csv")
     write_json(us.clv_insights(rfm), f"{out}/clv_insights.json")
@@ -113,19 +113,19 @@ def clickstream_job(ev: DataFrame, out: str, probability: DataFrame | None = Non
     (``models.purchase_probabilities``); without it the data-derived
     stand-in is used."""
     _small(pr.event_distribution(ev), out, "event_breakdown.csv")
-    tp = _stable(sq.transition_probs(ev))
+    tp = stage_table(sq.transition_probs(ev))
     _small(tp, out, "transition_probs.csv")
     _small(sq.transition_matrix(tp), out, "transition_matrix.csv")
     _small(sq.top_transitions(tp), out, "top_transitions.csv")
     _small(fn.user_funnel(ev), out, "funnel.csv")
-    ttp = _stable(sq.time_to_purchase(ev))
+    ttp = stage_table(sq.time_to_purchase(ev))
     _big(ttp, out, "time_to_purchase.csv")
     _big(sq.time_to_purchase_clean(ttp), out, "time_to_purchase_clean.csv")
-    ml = _stable(fe.ml_dataset(ev))
+    ml = stage_table(fe.ml_dataset(ev))
     _big(ml, out, "ml_dataset.csv")
     scored = (ml.join(probability, "user_id", "left") if probability is not None
               else va.engagement_probability(ml))
-    dec = _stable(va.clv_decile(va.clv_score(_stable(scored))))
+    dec = stage_table(va.clv_decile(va.clv_score(stage_table(scored))))
     _big(va.clv_scores(dec), out, "clv_scores.csv")
     _small(va.clv_decile_summary(dec), out, "clv_decile_summary.csv")
     seg = va.value_segment(dec)
@@ -169,7 +169,7 @@ def model_outputs_job(ev: DataFrame, out: str, **overrides) -> tuple[DataFrame,
     ``clickstream_job`` can score CLV with the model.  ``overrides`` change
     model hyper-parameters (tests use small ones)."""
     from clickspark.operators import models as mo
-    ds = _stable(fe.ml_dataset(ev))
+    ds = stage_table(fe.ml_dataset(ev))
     table, fitted = mo.model_comparison(ds, **overrides)
     _small(table, out, "model_comparison.csv")
     _small(mo.importance_split_count(fitted["LightGBM"]), out, "feature_importance_lgbm.csv")
@@ -177,7 +177,7 @@ def model_outputs_job(ev: DataFrame, out: str, **overrides) -> tuple[DataFrame,
     _small(mo.importance_forest(fitted["RandomForest"]), out, "feature_importance_rf.csv")
     train, test = mo.split(ds)
     _small(mo.shap_importance(fitted["LightGBM"], test, train), out, "shap_importance.csv")
-    probs = _stable(mo.purchase_probabilities(fitted["XGBoost"], ds).select("user_id", "purchase_probability"))
+    probs = stage_table(mo.purchase_probabilities(fitted["XGBoost"], ds).select("user_id", "purchase_probability"))
     _big(probs, out, "purchase_probabilities.csv")
     ab = mo.abandonment_dataset(ds, mo.abandonment_labels(ev))
     ab_over = {k: v for k, v in overrides.items() if k in mo.ABANDON_PARAMS}

@@ -62,8 +62,8 @@ BS = """bs AS (
 def usr(spark, d):
     """The user table, materialised: the RFM and behaviour queries read it
     for a scalar (latest event, p90) and for the main work."""
-    from clickspark.operators.ranking import _stable
-    return _stable(us.user_table(ev_orders(spark, d)))
+    from clickspark.operators.ranking import stage_table
+    return stage_table(us.user_table(ev_orders(spark, d)))
 
 
 def seg(spark, d):

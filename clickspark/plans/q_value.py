@@ -36,8 +36,8 @@ AUD = "user_id, segment, views, carts, unique_products, cart_to_view_ratio, purc
 
 def scored(spark, d):
     # materialised: min / max are read before the scaling pass
-    from clickspark.operators.ranking import _stable
-    return va.clv_score(_stable(va.engagement_probability(ml(spark, d))))
+    from clickspark.operators.ranking import stage_table
+    return va.clv_score(stage_table(va.engagement_probability(ml(spark, d))))
 
 
 def dec(spark, d):
@@ -57,8 +57,8 @@ def _cs(spark, d):
   {rnp('(clv_raw - (SELECT MIN(clv_raw) FROM clvr)) / ((SELECT MAX(clv_raw) FROM clvr) - (SELECT MIN(clv_raw) FROM clvr) + 1e-9) * 100.0')} AS clv_score_norm
 FROM clvr""", *CTES))
 def _csl(spark, d):
-    from clickspark.operators.ranking import _stable
-    return va.clv_score(_stable(va.engagement_probability(ml(spark, d))), log=False).select(
+    from clickspark.operators.ranking import stage_table
+    return va.clv_score(stage_table(va.engagement_probability(ml(spark, d))), log=False).select(
         "user_id", "clv_score_norm")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clickspark.operators import sessions as ss
 from clickspark.operators import users as us
-from clickspark.operators.ranking import _stable
+from clickspark.operators.ranking import stage_table
 
 
 def _section_list(name: str, df: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def session_report(ses: DataFrame) -> DataFrame:
     """The session analysis master document.  The session table feeds
     eight sections with different column sets (so their exchanges cannot be
     reused): the columns they read are materialised once."""
-    ses = _stable(ses.select("user_id", "session_start", "session_end", "session_duration_minutes",
+    ses = stage_table(ses.select("user_id", "session_start", "session_end", "session_duration_minutes",
                              "total_events", "unique_products_viewed", "has_purchase", "has_cart",
                              "session_start_hour", "is_weekend_session"))
     return assemble(
@@ -70,7 +70,7 @@ def session_report(ses: DataFrame) -> DataFrame:
 def rfm_report(usr: DataFrame) -> DataFrame:
     """The RFM / behaviour master document, with total, purchasing and
     non-purchasing user counts.  The user table is materialised once."""
-    usr = _stable(usr)
+    usr = stage_table(usr)
     rfm = us.rfm_values(usr)
     seg = us.rfm_segment(us.rfm_scores(rfm))
     beh = us.behavioral_segment(us.power_users(usr, materialize=False))
