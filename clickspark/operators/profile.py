@@ -89,12 +89,16 @@ def missing_policy(patterns: DataFrame) -> DataFrame:
     return s.select(F.inline(rows))
 
 
-def event_distribution(ev: DataFrame) -> DataFrame:
-    """Events per type with % of all (SQL rounding, 2 dp), by count."""
+def event_distribution(ev: DataFrame, decimals: int | None = 2) -> DataFrame:
+    """Events per type with % of all, by count.  ``decimals=2`` is the
+    notebook's SQL-rounded share; ``None`` the preprocessing step's
+    unrounded one (over raw rows)."""
     g = ev.groupBy("event_type").agg(F.count("*").alias("n"))
     tot = F.sum("n").over(Window.partitionBy())  # one row per event type
-    return (g.select("event_type", "n", round_sql(F.col("n") * F.lit(100.0) / tot, 2).alias("pct"))
-             .orderBy(F.desc("n"), "event_type"))
+    pct = F.col("n") * F.lit(100.0) / tot
+    if decimals is not None:
+        pct = round_sql(pct, decimals)
+    return g.select("event_type", "n", pct.alias("pct")).orderBy(F.desc("n"), "event_type")
 
 
 def hourly_events(ev: DataFrame) -> DataFrame:

@@ -110,6 +110,12 @@ def _ed(spark, d):
     return pr.event_distribution(ev_orders(spark, d))
 
 
+@query("event_distribution_raw", raw_sql("""SELECT event_type, COUNT(*) AS n,
+  CAST(COUNT(*) AS DOUBLE) * 100.0 / SUM(COUNT(*)) OVER () AS pct FROM rt GROUP BY event_type"""))
+def _edr(spark, d):
+    return pr.event_distribution(raw_tagged(spark, d), decimals=None)
+
+
 @query("hourly_events", with_ev("""SELECT hour, COUNT(*) AS events,
   COUNT(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases FROM ev GROUP BY hour"""))
 def _he(spark, d):
