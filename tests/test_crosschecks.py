@@ -45,3 +45,13 @@ def test_funnel_and_session_invariants(spark):
         assert sum(x[col] for x in f(ses).collect()) == n, f.__name__
     tp = sq.transition_probs(ev).toPandas()
     assert (tp.groupby("from_event").prob.sum().round(3) == 1.0).all()
+
+
+def test_dataset_stats_approx_close_to_exact(spark):
+    from clickspark.fixtures import raw_fixture
+    from clickspark.operators import profile as pr
+    raw = raw_fixture(spark, SF)
+    ex, ap = pr.dataset_stats(raw).first(), pr.dataset_stats(raw, approx=True).first()
+    assert ex.total_rows == ap.total_rows
+    for c in ("unique_users", "unique_products", "unique_sessions"):
+        assert abs(ap[c] - ex[c]) <= max(2, 0.05 * ex[c]), c
