@@ -25,26 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickspark.functions.numeric import qcut_bucket
-from clickspark.session import ensure_checkpoint_dir
-
-
-def stage_table(df: DataFrame) -> DataFrame:
-    """Materialise once and cut the lineage: the frame is written as a
-    Parquet table under the shared folder named by ``spark.checkpoint.dir``
-    and read back (one job, columnar; a reliable checkpoint would take a
-    count job plus a second write job).  Without a shared folder: a
-    disk-backed cache of the same RDD (recomputed from lineage with the same
-    range bounds if blocks are lost)."""
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    if root:
-        import uuid
-        app = spark.sparkContext.applicationId
-        path = f"{root.rstrip('/')}/clickspark_tables/{app}/{uuid.uuid4().hex}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return spark.read.parquet(path)
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+from clickspark.staging import stage_table
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rn",
