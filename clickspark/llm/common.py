@@ -16,6 +16,10 @@ from clickspark.staging import stage_table
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+#: The columns of ``documents``, which pipeline stages take and return.
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+DOCUMENT_COLUMNS = [c.split()[0] for c in DOCUMENTS.split(", ")]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickspark.llm import simhash
+from clickspark.llm import packing, quality_model, quality_rules, secret_scan, simhash
 from clickspark.llm.common import table
 from clickspark.staging import stage_table
 
 STAGES = [
+    ("quality_rules", quality_rules.stage),
+    ("quality_classifier", quality_model.stage),
     ("simhash_near_dedup", simhash.stage),
+    ("secret_scan", secret_scan.stage),
+    ("packing", packing.stage),
 ]
 
 #: Model fitting, components and packing have no SQL form.
