@@ -34,7 +34,7 @@ TRAIN_DOCS = 20_000
 #: Hash buckets of the scorer; documents scoring below the threshold go.
 BUCKETS, THRESHOLD = 1 << 12, 0.5
 #: Labellers of a defect vote bad or are silent; the others may vote good.
-DEFECTS = ("symbols", "shouting", "separators", "stutter", "exclaim", "characters")
+DEFECTS = ("symbols", "shouting", "separators", "stutter", "decorated", "characters")
 LABELLERS = (*DEFECTS, "variety", "stops", "word_length")
 #: Shorter texts get no votes.
 MIN_WORDS = 10
@@ -42,6 +42,7 @@ MIN_WORDS = 10
 _KEEP_SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>{}\\^~")
 _ASCII_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _ALNUM = bytes(b for b in range(256) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128))
+_DECORATIONS = [bytes((c, c, 32)) for c in b"#*$%&|<>!~^=_"]
 _SEPARATORS = frozenset((b"|", b">", b"<", b"/", b"\xc2\xbb", b"\xe2\x80\xa2", b"-", b"*", b"\xc2\xb7"))
 
 
@@ -63,7 +64,7 @@ def votes(data: bytes, words: list[bytes]) -> int:
         _vote(len(data.translate(None, _ASCII_UPPER)) / letters, (0, 0.5)),
         _vote(sum(map(_SEPARATORS.__contains__, words)) / n, (0, 0.15)),
         _vote(sum(map(eq, words, words[1:])) / n, (0, 0.3)),
-        _vote(data.count(b"!") / n, (0, 0.4)),
+        _vote(sum(map(data.count, _DECORATIONS)) / n, (0, 0.2)),
         _vote(letters / chars, (0.6, 1)),
         0 if n < 50 else _vote(len(set(words)) / n ** 0.75, (0.5, inf), (1.0, inf)),
         _vote(sum(map(data.count, (b".", b"?", b"\xe2\x80\xa6", b"\xe3\x80\x82"))) / n, (0, 1.0), (0.02, 0.6)),
