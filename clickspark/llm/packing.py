@@ -49,16 +49,20 @@ class WordTokenizer:
     ids are those of its space-separated parts, which are kept in a table
     of at most ``limit`` parts (cleared when full)."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.limit, self.ids = limit, {"": b""}
         vocab = self.tok.get_vocab()
         self.sentence_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.word_end = np.isin(np.arange(len(self.sentence_end)), [i for p, i in vocab.items() if p.endswith("</w>")])
         for piece, i in vocab.items():
             word = piece.removesuffix("</w>")
             self.sentence_end[i] = bool(word) and set(word) <= set(".!?") and piece.endswith("</w>")
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, parts: set[str]) -> None:
         if len(self.ids) > self.limit:
             self.ids = {"": b""}
@@ -67,8 +71,15 @@ class WordTokenizer:
             if m := _SPLIT_END.fullmatch(p):
                 ends[p] = m.groups()
         new = [p for p in parts.difference(ends).union(*ends.values()) if p not in self.ids]
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids[p] = np.array(e.ids, "<u4").tobytes()
+        # words of letters are one pre-token each, which ends in a word-end piece:
+        # they are encoded in one call and cut there
+        words = [p for p in new if p.isalpha()]
+        data = self._encode([" ".join(words)])[0]
+        cuts = (np.flatnonzero(self.word_end[np.frombuffer(data, "<u4")]) * 4 + 4).tolist()
+        if len(cuts) == len(words):
+            self.ids.update(zip(words, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+            new = [p for p in new if p not in self.ids]
+        self.ids.update(zip(new, self._encode(new)))
         for p, (a, b) in ends.items():
             self.ids[p] = self.ids[a] + self.ids[b]
 
