@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +76,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now
     roots = e.select("u").distinct().select(F.col("u").alias("id"), F.col("u").alias("root"))
     return e.select(F.col("v").alias("id"), F.col("u").alias("root")).union(roots)
+
+
+def logistic(rows: list[tuple], size: int, balance: bool = True, rounds: int = 300,
+             l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated gradient descent on sparse rows
+    (features, values, soft label); ``balance``: both classes weigh alike.
+    Runs on the driver: the caller bounds the rows."""
+    weights, bias = np.zeros(size), 0.0
+    if not rows:
+        return weights, bias
+    at = np.concatenate([np.asarray(r[0], np.int64) for r in rows])
+    val = np.concatenate([np.asarray(r[1], float) for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    y = np.array([r[2] for r in rows], float)
+    c = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())) if balance else np.ones(len(y))
+    c /= c.sum()
+    scale = 1 / np.sqrt(np.bincount(at, (val ** 2) * c[row], size) + 1e-3)
+    val = val * scale[at]
+    step = 1.0 / (0.25 * (np.bincount(row, val ** 2, len(rows)) * c).sum() + 0.25 + l2)
+    old, z, zb, ob, t = weights, weights, 0.0, 0.0, 1.0
+    for _ in range(rounds):
+        s = np.bincount(row, val * z[at], len(rows)) + zb
+        g = c * (1 / (1 + np.exp(-np.clip(s, -50, 50))) - y)
+        new, nb = z - step * (np.bincount(at, val * g[row], size) + l2 * z), zb - step * g.sum()
+        t, t0 = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        z, zb = new + (t0 - 1) / t * (new - old), nb + (t0 - 1) / t * (nb - ob)
+        old, ob = new, nb
+    return old * scale, float(ob)

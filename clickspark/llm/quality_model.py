@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickspark.llm.common import DOCUMENT_COLUMNS, DOCUMENTS, map_rows, table
+from clickspark.llm.common import DOCUMENT_COLUMNS, DOCUMENTS, logistic, map_rows, table
 from clickspark.staging import stage_table
 
 #: Documents the scorer is trained on (expected number of the hash sample).
@@ -150,32 +150,6 @@ def fit_votes(patterns: dict[int, int], rounds: int = 100) -> tuple[float, np.nd
     return share, prob, dict(zip(codes, post.tolist()))
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient descent."""
-    weights, bias = np.zeros(BUCKETS), 0.0
-    if not rows:
-        return weights, bias
-    at = np.concatenate([np.array(r[0], np.int64) for r in rows])
-    val = np.concatenate([np.array(r[1]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    y = np.array([r[2] for r in rows])
-    # both classes weigh alike
-    c = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
-    c /= c.sum()
-    scale = 1 / np.sqrt(np.bincount(at, (val ** 2) * c[row], BUCKETS) + 1e-3)
-    val = val * scale[at]
-    step = 1.0 / (0.25 * (np.bincount(row, val ** 2, len(rows)) * c).sum() + 0.25 + l2)
-    old, z, zb, ob, t = weights, weights, 0.0, 0.0, 1.0
-    for _ in range(rounds):
-        s = np.bincount(row, val * z[at], len(rows)) + zb
-        g = c * (1 / (1 + np.exp(-np.clip(s, -50, 50))) - y)
-        new, nb = z - step * (np.bincount(at, val * g[row], BUCKETS) + l2 * z), zb - step * g.sum()
-        t, t0 = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        z, zb = new + (t0 - 1) / t * (new - old), nb + (t0 - 1) / t * (nb - ob)
-        old, ob = new, nb
-    return old * scale, float(ob)
-
-
 @dataclass
 class QualityModel:
     share_good: float
@@ -214,7 +188,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
     patterns = {r.pattern: r["n"] for r in seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     share, prob, post = fit_votes(patterns)
     sample = [(r["at"], r["val"], post[r.pattern]) for r in seen.where("at is not null").collect()]
-    weights, bias = fit_scorer(sample)
+    weights, bias = logistic(sample, BUCKETS)
     right = {n: (float(prob[k, 0, 2] / prob[k, 0, 1:].sum()), float(prob[k, 1, 1] / prob[k, 1, 1:].sum()))
              for k, n in enumerate(LABELLERS)}
     return QualityModel(share, right, post, weights, bias)
