@@ -3,14 +3,16 @@ them, ``ORACLE``."""
 
 from __future__ import annotations
 
-from clickspark.llm import chat, packing, quality_model, quality_rules, secret_scan, simhash, warc
+from clickspark.llm import chat, fingerprint, packing, quality_model, quality_rules, secret_scan, simhash, toxicity, warc
 
 QUERIES = {
     "op1_chat_windows": chat.query,
     "op2_packing": packing.query,
     "op4_quality_classifier": quality_model.query,
     "op5_simhash": simhash.query,
+    "op6_fingerprints": fingerprint.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_toxicity": toxicity.query,
     "op9_warc": warc.query,
     "op10_secret_scan": secret_scan.query,
 }
