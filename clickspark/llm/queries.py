@@ -3,11 +3,12 @@ them, ``ORACLE``."""
 
 from __future__ import annotations
 
-from clickspark.llm import chat, fingerprint, packing, quality_model, quality_rules, secret_scan, simhash, toxicity, warc
+from clickspark.llm import chat, fingerprint, packing, quality_model, quality_rules, secret_scan, simhash, toxicity, warc, wfst
 
 QUERIES = {
     "op1_chat_windows": chat.query,
     "op2_packing": packing.query,
+    "op3_sentencepiece": wfst.query,
     "op4_quality_classifier": quality_model.query,
     "op5_simhash": simhash.query,
     "op6_fingerprints": fingerprint.query,
