@@ -39,7 +39,8 @@ WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: of tokens that is optimised at a time.
 SENTENCE, FORCED, GRID, HORIZON = 8, 48, 64, 1 << 18
 
-_SPLIT_END = re.compile(r"(.*[^\W_])([.,;:!?]+)", re.S)
+#: A part whose last letter or digit stays one when normalised, then stops.
+_SPLIT_END = re.compile(r"(.*[A-Za-z0-9\u00df-\u00f6\u00f8-\u00ff])([.,;:!?]+)", re.S)
 
 
 class WordTokenizer:
