@@ -1,0 +1,126 @@
+import math
+import zlib
+
+import numpy as np
+
+from clickspark.llm import quality_model as Q
+from clickspark.llm import toxicity as X
+
+
+def sf_big(sf):
+    return sf.replace("0.001", "0.01")
+
+
+def test_em_finds_accurate_labellers():
+    rng = np.random.default_rng(1)
+    m, d = len(Q.LABELLERS), len(Q.DEFECTS)
+    counts, truth = {}, {}
+    for _ in range(4000):
+        good = rng.random() < 0.85
+        v = [0] * m
+        for k in range(m):
+            if k < d:
+                v[k] = 2 if rng.random() < (0.01 if good else 0.5) else 0
+            elif rng.random() < 0.8:
+                v[k] = 1 if rng.random() < (0.95 if good else 0.4) else 2
+        code = 0
+        for x in v:
+            code = code * 3 + x
+        counts[code] = counts.get(code, 0) + 1
+        truth.setdefault(code, []).append(good)
+    share, prob, post = Q.fit_votes(counts)
+    assert abs(share - 0.85) < 0.05 and np.all(abs(prob[:d, 0, 2] - 0.5) < 0.12)
+    right = sum(sum(t == (post[c] >= 0.5) for t in ts) for c, ts in truth.items())
+    assert right > 0.95 * 4000
+
+
+def test_em_without_junk_stays_on_its_side():
+    code = sum(1 * 3 ** k for k in range(3))
+    share, _, post = Q.fit_votes({code: 1000, 0: 50})
+    assert share > 0.95 and min(post.values()) > 0.9
+    assert Q.fit_votes({})[2] == {}
+
+
+def test_quality_query_on_labels(spark, sf):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_big(sf)}/labels.parquet").collect()}
+    rows = Q.query(spark, sf_big(sf)).collect()
+    assert len(rows) == 1000
+    good = [r.kept for r in rows if labels.get(r.doc_id) == 1]
+    bad = [r.kept for r in rows if labels.get(r.doc_id) == 0]
+    assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_quality_edges(spark, edge, empty):
+    model = Q.fit(edge)
+    rows = Q.classify(edge, model).collect()
+    assert len(rows) == edge.count() and all(r.kept for r in rows if r.doc_id in (3, 4, 5))
+    out = Q.stage(spark, edge, "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() == edge.count()
+    assert Q.classify(empty, Q.fit(empty)).count() == 0
+
+
+def test_shapes():
+    assert [Q.shape(w) for w in (b"word", b"Word", b"WORD!!", b"12", "é".encode(), b"a1-B", b"***")] == [
+        b"a", b"Aa", b"A!!", b"0", b"a", b"ma0-A", b"***"]
+
+
+def brute_restore(word, lm):
+    """All paths of the lattice, least cost."""
+    arcs = X.lattice(word)
+    best = (math.inf, "")
+
+    def walk(i, ctx, cost, out):
+        nonlocal best
+        if i == len(word):
+            best = min(best, (cost + lm[ctx[0]][ctx[1]][0], out))
+            return
+        for s, extra, j in arcs[i]:
+            u, v, c = *ctx, cost + extra
+            for ch in s:
+                w = 0 if ch == " " else int(X.char_codes(ch)[0])
+                if not (w == 0 == v):
+                    c += lm[u][v][w]
+                u, v = v, w
+            walk(j, (u, v), c, out + s)
+
+    walk(0, (0, 0), 0.0, "")
+    return best[1]
+
+
+def test_viterbi_equals_all_paths(spark):
+    docs = spark.createDataFrame([(1, "an idiot and a loser said stupid things to the moron " * 3), (2, None), (3, "")],
+                                 "doc_id long, text string")
+    counts = X.trigram_counts(docs)
+    c = X.char_codes("xid")
+    assert counts[0, c[1], c[2]] == 3 and counts.sum() > 100
+    lm = X.language_model(counts).tolist()
+    for w in ("1d10t", "l0s3r", "stuuupid", "m.o.r-o-n", "i d i o t", "st*p1d", "a$$", "111"):
+        assert X.restore(w, lm) == brute_restore(w, lm), w
+    r = X.Restorer(np.array(lm, np.float32))
+    for w in ("1d10t", "i d i o t", "idiooot", "(1diot)", "I.D.I.O.T"):
+        assert "idiot" in r.text(w), w
+    assert r.text("plain words, (here) 12 !!!") == {"plain", "words", "here", "12"}
+    assert r.text(None) == set()
+
+
+def test_toxicity_query_held_out(spark, sf):
+    big = sf.replace("0.001", "0.1")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    rows = X.query(spark, big).collect()
+    assert len(rows) == 10_000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    test = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    pos, neg = ([s for s, y in test if y == k] for k in (1, 0))
+    auc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg))
+    assert auc > 0.95
+    assert sum(s >= 0.5 for s in neg) <= 0.01 * len(neg) and sum(s >= 0.5 for s in pos) >= 0.8 * len(pos)
+
+
+def test_toxicity_edges(spark, edge, empty):
+    labels = spark.createDataFrame([(1, 1, 1), (6, 1, 0), (None, 0, 1), (7, None, None)],
+                                   "doc_id long, quality int, toxic int")
+    model = X.fit(edge, labels)
+    rows = X.score(edge, model).collect()
+    assert len(rows) == edge.count() and len({r.score for r in rows if r.doc_id in (3, 4, 5)}) == 1
+    assert X.score(empty, X.fit(empty, labels.limit(0))).count() == 0
+    assert {r.score for r in X.score(edge, X.fit(edge, labels.limit(0))).collect()} == {0.5}
