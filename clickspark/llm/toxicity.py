@@ -255,7 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
               .groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("label_id"), "label_id").limit(train_docs))
     # at most train_docs narrow rows: a proven bound for the broadcast
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    sample = (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+              .select("text", "toxic"))
 
     def words(batches):
         restorer = Restorer(lm)
