@@ -1,9 +1,8 @@
 """Leakage-free features and labels, N66-N72.
 
 The cutoff is the interpolated 0.8 quantile of event time, computed
-exactly and distributed (``ranking.quantiles`` on microseconds; a repeated
-timestamp is spread over range partitions by a row hash).  It is then a
-literal, so ``event_time <= cutoff`` is pushed into the Parquet scan.
+exactly and distributed (``ranking.quantiles`` on microseconds).  It is
+then a literal, so ``event_time <= cutoff`` is pushed into the Parquet scan.
 """
 
 from __future__ import annotations
@@ -24,12 +23,10 @@ def time_cutoff(ev: DataFrame, q: float = 0.8, accuracy: int | None = None) -> D
     """One-row frame with ``cutoff_time``, the interpolated quantile of
     event_time (SQL ``quantile_cont``, rounded to the microsecond).
     ``accuracy`` switches to a one-pass approximate quantile."""
-    us = ev.select(micros("event_time").cast("double").alias("_us"), "user_id", "product_id", "event_type")
+    us = ev.select(micros("event_time").cast("double").alias("_us"))
     # a column scan of the event table: the passes re-read one column,
     # cheaper than writing it out
-    qq = quantiles(us, "_us", [q], ["_q"], method="sql",
-                   spread=("_us", "user_id", "product_id", "event_type"), materialize=False,
-                   accuracy=accuracy)
+    qq = quantiles(us, "_us", [q], ["_q"], method="sql", materialize=False, accuracy=accuracy)
     return qq.select(F.timestamp_micros(F.round("_q").cast("long")).alias("cutoff_time"))
 
 
@@ -38,22 +35,24 @@ def cutoff_value(ev: DataFrame, q: float = 0.8, accuracy: int | None = None) ->
     return time_cutoff(ev, q, accuracy).first()["cutoff_time"]
 
 
-def _time_filter(ev: DataFrame, cutoff, past: bool) -> DataFrame:
-    """``event_time <= cutoff`` (or ``>``), plus the implied predicate on the
-    ``date`` partition column when present, so whole date folders are
-    skipped (a predicate on event_time alone does not prune partitions)."""
+def time_filter(ev: DataFrame, cutoff, past: bool) -> DataFrame:
+    """``event_time <= cutoff`` (or ``>``), plus a predicate on the ``date``
+    partition column when present, so whole date folders are skipped (a
+    predicate on event_time alone does not prune partitions).  The dates may
+    have been taken in another zone than the session's, so they are bounded
+    a day further out; ``event_time`` decides."""
     t = F.col("event_time")
     cond = (t <= F.lit(cutoff)) if past else (t > F.lit(cutoff))
     if "date" in ev.columns:
         d = F.to_date(F.lit(cutoff))
-        cond = cond & ((F.col("date") <= d) if past else (F.col("date") >= d))
+        cond = cond & ((F.col("date") <= F.date_add(d, 1)) if past else (F.col("date") >= F.date_sub(d, 1)))
     return ev.where(cond)
 
 
 def past_features(ev: DataFrame, cutoff) -> DataFrame:
     """Per user with events at or before the cutoff: events, views,
     carts, past purchases, distinct products and active span (seconds)."""
-    g = (_time_filter(ev, cutoff, past=True)
+    g = (time_filter(ev, cutoff, past=True)
            .groupBy("user_id").agg(
                F.count("*").alias("total_events"),
                F.count(F.when(_is("view"), 1)).alias("views"),
@@ -68,7 +67,7 @@ def past_features(ev: DataFrame, cutoff) -> DataFrame:
 def future_labels(ev: DataFrame, cutoff) -> DataFrame:
     """Label 1 if the user purchases after the cutoff (users with any
     event after it)."""
-    return (_time_filter(ev, cutoff, past=False)
+    return (time_filter(ev, cutoff, past=False)
               .groupBy("user_id")
               .agg(F.when(F.count(F.when(_is("purchase"), 1)) > 0, 1).otherwise(0).alias("label")))
 
@@ -81,7 +80,10 @@ def ml_dataset(ev: DataFrame, cutoff=None, q: float = 0.8) -> DataFrame:
         cutoff = cutoff_value(ev, q)
     f = past_features(ev, cutoff)
     lab = future_labels(ev, cutoff)
-    d = f.join(lab, "user_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    lab = lab.withColumnRenamed("user_id", "_u")
+    # null-safe: events without a user are one user on both sides
+    d = (f.join(lab, f.user_id.eqNullSafe(lab["_u"]), "left").drop("_u")
+         .withColumn("label", F.coalesce("label", F.lit(0))))
     span = F.col("active_span_sec")
     out = d.select(
         "user_id", "total_events", "views", "carts", "past_purchases", "unique_products", "label",
@@ -126,41 +128,33 @@ def feature_summary(ds: DataFrame, cols: Sequence[str] | None = None, decimals:
                                            ["statistic", *cols])
 
 
+def _class_ranks(ds: DataFrame, label: str, seed: int, key: str) -> DataFrame:
+    """``ds`` with ``_pos``, the 0-based place among the rows of its label by
+    a seeded hash of the key, and ``_of``, the label's rows: one global
+    ranking by (label, hash, key), less each label's start (one row per
+    label)."""
+    from clickspark.operators.ranking import global_rank
+    h = ds.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    r = global_rank(h, [F.col(label), F.col("_h"), F.col(key)], rank_col="_rn", count_col="_n")
+    start = r.groupBy(F.col(label).alias("_l")).agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_of"))
+    return (r.join(F.broadcast(start), r[label].eqNullSafe(start["_l"]))
+             .withColumn("_pos", F.col("_rn") - F.col("_first")).drop("_h", "_rn", "_n", "_l", "_first"))
+
+
 def stratified_split(ds: DataFrame, label: str = "label", test_size: float = 0.2, seed: int = 42,
                      key: str = "user_id") -> DataFrame:
     """Exact stratified train/test split: within each label, rows are
-    ordered by a seeded hash of the key and the first ``round(test_size *
-    n_label)`` go to test.  Reproducible at any partitioning; the window
-    is per label, ranked by ``global_rank`` per class, so no class is
+    ordered by a seeded hash of the key and the first ``ceil(test_size *
+    n_label)`` go to test.  Reproducible at any partitioning; no class is
     funnelled into one task."""
-    from clickspark.operators.ranking import stage_table, global_rank
-    ds = stage_table(ds)  # read once for the classes, once per class
-    parts = []
-    labels = [r[0] for r in ds.select(label).distinct().collect()]  # a handful of classes
-    for v in sorted(labels):
-        sub = ds.where(F.col(label) == v).withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-        r = global_rank(sub, [F.col("_h"), F.col(key)], rank_col="_rn", count_col="_n")
-        k = F.ceil(F.col("_n") * F.lit(test_size))
-        parts.append(r.withColumn("is_test", (F.col("_rn") <= k).cast("int")).drop("_h", "_rn", "_n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    r = _class_ranks(ds, label, seed, key)
+    return r.withColumn("is_test", (F.col("_pos") < F.ceil(F.col("_of") * F.lit(test_size))).cast("int")) \
+            .drop("_pos", "_of")
 
 
 def stratified_folds(ds: DataFrame, label: str = "label", k: int = 3, seed: int = 42,
                      key: str = "user_id") -> DataFrame:
     """Fold number 0..k-1 per row, stratified: within each label rows
     are ordered by a seeded hash and dealt round-robin."""
-    from clickspark.operators.ranking import stage_table, global_rank
-    ds = stage_table(ds)  # read once for the classes, once per class
-    parts = []
-    labels = [r[0] for r in ds.select(label).distinct().collect()]  # a handful of classes
-    for v in sorted(labels):
-        sub = ds.where(F.col(label) == v).withColumn("_h", F.xxhash64(F.lit(seed + 1), F.col(key)))
-        r = global_rank(sub, [F.col("_h"), F.col(key)], rank_col="_rn", count_col="_n")
-        parts.append(r.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn", "_n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    r = _class_ranks(ds, label, seed + 1, key)
+    return r.withColumn("fold", (F.col("_pos") % k).cast("int")).drop("_pos", "_of")

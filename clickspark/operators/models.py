@@ -13,28 +13,26 @@ sampling Shapley values scored with ``model.transform`` on an exploded
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickspark.functions.numeric import round_np
-from clickspark.operators.features import stratified_folds, stratified_split
+from clickspark.operators.features import stratified_folds, stratified_split, time_filter
 from clickspark.operators.ranking import stage_table
 from clickspark.schema import FEATURE_COLS
-from clickspark.session import ensure_checkpoint_dir
+from clickspark.staging import new_path
 
 # Fixed hyper-parameters of the reference's models.
 MODEL_PARAMS = {
     "RandomForest": dict(numTrees=100, maxDepth=10, minInstancesPerNode=5),
-    "XGBoost": dict(maxIter=100, maxDepth=6, stepSize=0.05),
-    "LightGBM": dict(maxIter=100, maxDepth=8, stepSize=0.05),
+    "XGBoost": dict(maxIter=100, maxDepth=6, stepSize=0.05, maxBins=256),
+    "LightGBM": dict(maxIter=100, maxDepth=8, stepSize=0.05, maxBins=255),
     "LogisticReg": dict(maxIter=500),
 }
 ABANDON_PARAMS = dict(maxIter=200, maxDepth=8, stepSize=0.05)
@@ -83,17 +81,11 @@ def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
              .drop("features", "scaled", "rawPrediction", "probability", "prediction"))
 
 
-def auc_roc(scored: DataFrame, label: str = "label", out: str = "score") -> float:
-    """Area under the ROC curve."""
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=out, metricName="areaUnderROC")
-    return float(ev.evaluate(scored.select(F.col(label).cast("double").alias(label), out)))
-
-
-def average_precision(scored: DataFrame, label: str = "label", out: str = "score") -> float:
-    """Step-wise average precision ``Σ ΔR · P`` over distinct score
-    thresholds (high to low).  Counts per distinct score, then running
-    sums ordered by score via range partitions and per-partition offsets
-    (no single-partition window over the scores)."""
+def _thresholds(scored: DataFrame, label: str, out: str) -> DataFrame:
+    """One row per distinct score, high to low: ``pos`` and ``cnt`` rows at
+    it, running ``tp`` and ``n`` down to it, total positives ``_tp`` and rows
+    ``_tn``.  Running sums come from range partitions and per-partition
+    offsets (no single-partition window over the scores)."""
     g = scored.groupBy(out).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("cnt"))
     t = stage_table(g.repartitionByRange(F.col(out).desc())
                  .withColumn("_pid", F.spark_partition_id()))
@@ -101,13 +93,36 @@ def average_precision(scored: DataFrame, label: str = "label", out: str = "score
     w0 = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = part.select("_pid", F.coalesce(F.sum("_p").over(w0), F.lit(0)).alias("_op"),
                        F.coalesce(F.sum("_c").over(w0), F.lit(0)).alias("_oc"),
-                       F.sum("_p").over(Window.partitionBy()).alias("_tp"))
+                       F.sum("_p").over(Window.partitionBy()).alias("_tp"),
+                       F.sum("_c").over(Window.partitionBy()).alias("_tn"))
     wl = Window.partitionBy("_pid").orderBy(F.col(out).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = (t.join(F.broadcast(offs), "_pid")
-          .withColumn("tp", F.col("_op") + F.sum("pos").over(wl))
-          .withColumn("n", F.col("_oc") + F.sum("cnt").over(wl)))
-    r = c.agg(F.sum(F.col("pos") / F.col("_tp") * (F.col("tp") / F.col("n"))).alias("ap")).first()
-    return float(r["ap"]) if r["ap"] is not None else float("nan")
+    return (t.join(F.broadcast(offs), "_pid")
+             .withColumn("tp", F.col("_op") + F.sum("pos").over(wl))
+             .withColumn("n", F.col("_oc") + F.sum("cnt").over(wl)))
+
+
+def ranking_metrics(scored: DataFrame, label: str = "label", out: str = "score") -> tuple[float, float]:
+    """Area under the ROC curve (trapezoids over the distinct
+    scores, in whole numbers until the last division) and step-wise average
+    precision, in one pass; NaN when a class is absent."""
+    whole = lambda c: c.cast("decimal(18,0)")
+    double_area = F.sum(whole(F.col("cnt") - F.col("pos")) * whole(F.col("tp") * 2 - F.col("pos"))).cast("double")
+    pairs = F.max(F.col("_tp").cast("double") * (F.col("_tn") - F.col("_tp")))
+    r = _thresholds(scored, label, out).agg(
+        F.try_divide(double_area, pairs * 2).alias("auc"),
+        F.sum(F.try_divide(F.col("pos"), F.col("_tp")) * (F.col("tp") / F.col("n"))).alias("ap")).first()
+    return tuple(float("nan") if x is None else float(x) for x in r)
+
+
+def auc_roc(scored: DataFrame, label: str = "label", out: str = "score") -> float:
+    """Area under the ROC curve, exact at any number of scores."""
+    return ranking_metrics(scored, label, out)[0]
+
+
+def average_precision(scored: DataFrame, label: str = "label", out: str = "score") -> float:
+    """Step-wise average precision ``Σ ΔR · P`` over distinct score
+    thresholds (high to low)."""
+    return ranking_metrics(scored, label, out)[1]
 
 
 def classification_report(scored: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -135,12 +150,14 @@ def macro_f1(scored: DataFrame, label: str = "label", pred: str = "pred") -> flo
 
 
 def cross_validate(name: str, ds: DataFrame, label: str = "label", k: int = 3, seed: int = SEED,
-                   parallelism: int | None = None, **overrides) -> tuple[float, float]:
+                   parallelism: int | None = None, folds: DataFrame | None = None,
+                   **overrides) -> tuple[float, float]:
     """Mean and population std of fold AUC over k stratified folds of
-    the whole dataset.  The k fits are independent Spark jobs submitted
-    concurrently (as ``CrossValidator(parallelism=k)``)."""
+    the whole dataset (``folds``: already made, with a ``fold`` column).  The
+    k fits are independent Spark jobs submitted concurrently (as
+    ``CrossValidator(parallelism=k)``)."""
     from concurrent.futures import ThreadPoolExecutor
-    f = stage_table(stratified_folds(ds, label, k, seed))
+    f = stage_table(stratified_folds(ds, label, k, seed)) if folds is None else folds
 
     def one(i: int) -> float:
         m = fit(name, f.where(F.col("fold") != i), label, **overrides)
@@ -165,13 +182,14 @@ def model_comparison(ds: DataFrame, label: str = "label", models: Sequence[str]
     Returns the table and the fitted models (trained on the train split)."""
     from concurrent.futures import ThreadPoolExecutor
     train, test = split(ds, label)
+    folds = stage_table(stratified_folds(ds, label, cv_folds, SEED))  # the same for every model
 
     def one(name: str):
         ov = {k: v for k, v in overrides.items() if k in MODEL_PARAMS.get(name, {})}
         m = fit(name, train, label, **ov)
         s = stage_table(score(m, test))
-        cvm, cvs = cross_validate(name, ds, label, cv_folds, **ov)
-        return name, m, (name, auc_roc(s, label), average_precision(s, label), cvm, cvs, macro_f1(s, label))
+        cvm, cvs = cross_validate(name, ds, label, cv_folds, folds=folds, **ov)
+        return name, m, (name, *ranking_metrics(s, label), cvm, cvs, macro_f1(s, label))
 
     with ThreadPoolExecutor(max_workers=len(models)) as pool:
         res = list(pool.map(one, models))
@@ -189,10 +207,7 @@ def _node_table(model: PipelineModel) -> DataFrame:
     with treeID, nodeData{id, gain, leftChild, split{featureIndex}}),
     written under the shared checkpoint folder."""
     spark = _active()
-    root = ensure_checkpoint_dir(spark)
-    if not root:
-        raise RuntimeError("node-table importances need spark.checkpoint.dir (shared storage)")
-    path = f"{root.rstrip('/')}/clickspark_models/{uuid.uuid4().hex}"
+    path = new_path(spark, "clickspark_models")
     model.stages[-1].write().overwrite().save(path)
     return spark.read.parquet(f"{path}/data")
 
@@ -246,14 +261,13 @@ def shap_importance(model: PipelineModel, sample: DataFrame, background: DataFra
     reference's sample of the test set)."""
     rows = (sample.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
                   .orderBy("_h", key).limit(max_rows).drop("_h"))   # the explained sample
-    phi = shap_values(model, rows, background, features=features, n_perm=n_perm, max_rows=max_rows,
-                      seed=seed, key=key)
+    phi = shap_values(model, rows, background, features=features, n_perm=n_perm, seed=seed, key=key)
     imp = phi.groupBy("idx").agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
     return _named(imp, "mean_abs_shap", features).withColumnRenamed("importance", "mean_abs_shap")
 
 
 def shap_values(model: PipelineModel, sample: DataFrame, background: DataFrame,
-                features: Sequence[str] = FEATURE_COLS, n_perm: int = 20, max_rows: int = 2000,
+                features: Sequence[str] = FEATURE_COLS, n_perm: int = 20,
                 seed: int = SEED, key: str = "user_id") -> DataFrame:
     """Per-row Shapley estimates ``(key, idx, phi)``.
 
@@ -268,7 +282,7 @@ def shap_values(model: PipelineModel, sample: DataFrame, background: DataFrame,
     (row, permutation), d + 1 rows each."""
     d = len(features)
     bg = background.agg(*[F.avg(c).alias(c) for c in features]).first()
-    rows = sample.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("_x")).limit(max_rows)
+    rows = sample.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
     r = rows.select(key, "_x", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("_perm"))
     # permutation = feature indices ordered by a seeded hash of (row, perm, feature)
     keyed = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
@@ -283,7 +297,8 @@ def shap_values(model: PipelineModel, sample: DataFrame, background: DataFrame,
                     lambda i: F.when(F.element_at(pos, i + 1) < F.col("_j"), F.element_at(F.col("_x"), i + 1))
                                .otherwise(F.element_at(bgv, i + 1)))
     zz = r.select(key, "_perm", "_j", "_order", *[F.element_at(z, i + 1).alias(c) for i, c in enumerate(features)])
-    s = score(model, zz, "_f")
+    # the sample may sit in one partition; the scoring is spread by what the window needs
+    s = score(model, zz.repartition(zz.sparkSession.sparkContext.defaultParallelism, key, "_perm"), "_f")
     w = Window.partitionBy(key, "_perm").orderBy("_j")
     contrib = (s.select(key, "_perm", "_j", "_order", (F.col("_f") - F.lag("_f").over(w)).alias("_c"))
                 .where(F.col("_j") > 0)
@@ -319,7 +334,7 @@ def abandonment_labels(ev: DataFrame, since=None) -> DataFrame:
     reference (so the label overlaps the feature window); ``since`` (the
     feature cutoff) counts only later events, a leakage-free label."""
     if since is not None:
-        ev = ev.where(F.col("event_time") > F.lit(since))
+        ev = time_filter(ev, since, past=False)
     g = ev.groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "cart", 1)).alias("_c"),
                                   F.count(F.when(F.col("event_type") == "purchase", 1)).alias("_p"))
     return g.select("user_id", ((F.col("_c") > 0) & (F.col("_p") == 0)).cast("int").alias("abandoned"))
@@ -328,20 +343,23 @@ def abandonment_labels(ev: DataFrame, since=None) -> DataFrame:
 def abandonment_dataset(ds: DataFrame, ab: DataFrame) -> DataFrame:
     """ML dataset ⟕ abandonment labels (0 when absent), users with
     carts > 0."""
-    return (ds.join(ab, "user_id", "left").withColumn("abandoned", F.coalesce("abandoned", F.lit(0)))
+    ab = ab.withColumnRenamed("user_id", "_u")
+    return (ds.join(ab, ds.user_id.eqNullSafe(ab["_u"]), "left").drop("_u").withColumn("abandoned", F.coalesce("abandoned", F.lit(0)))
               .where(F.col("carts") > 0))
 
 
-def train_abandonment(ab_ds: DataFrame, **overrides) -> tuple[PipelineModel, DataFrame]:
+def train_abandonment(ab_ds: DataFrame, **overrides) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Boosted abandonment model on a stratified split; returns the
-    model and a one-row metrics frame (AUC, AP, macro F1)."""
+    model, a one-row metrics frame (AUC, AP, macro F1) and the per-class
+    report."""
     train, test = split(ab_ds, "abandoned")
     m = estimator("Abandonment", "abandoned", **{**ABANDON_PARAMS, **overrides}).fit(train)
     s = stage_table(score(m, test))
-    met = ab_ds.sparkSession.createDataFrame(
-        [(auc_roc(s, "abandoned"), average_precision(s, "abandoned"), macro_f1(s, "abandoned"))],
-        "auc double, ap double, f1_macro double")
-    return m, met
+    report = classification_report(s, "abandoned")
+    f1 = report.where(F.col("class") == "macro avg").first()["f1_score"]
+    met = ab_ds.sparkSession.createDataFrame([(*ranking_metrics(s, "abandoned"), float(f1))],
+                                             "auc double, ap double, f1_macro double")
+    return m, met, report
 
 
 def abandon_probabilities(model: PipelineModel, ab_ds: DataFrame) -> DataFrame:

@@ -13,12 +13,15 @@ order, and the row count, as a distributed job:
 4. sizes per partition (one row per partition) -> running offsets -> a
    broadcast join of that partition-count-sized table.
 
-On top of it: equal-frequency bins (``qcut`` of ``rank(method='first')``),
-exact interpolated quantiles and top-k sums.
+On top of it: equal-frequency bins (``qcut`` of ``rank(method='first')``).
+Exact interpolated quantiles are selected by histogram passes instead.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,206 +106,94 @@ def qcut_ranks(df: DataFrame, specs: Sequence[tuple[str, str, bool]], q: int,
     return df.join(wide, tie, "left")
 
 
-def lerp(lo: Column, hi: Column, t: Column, method: str = "numpy") -> Column:
-    """Linear interpolation between order statistics.  ``numpy`` follows
-    numpy's two-sided form (``b - (b-a)(1-t)`` for t >= 0.5); ``sql`` is
-    ``a + (b-a) t``."""
-    d = hi - lo
-    if method == "numpy":
-        return F.when(t >= 0.5, hi - d * (F.lit(1.0) - t)).otherwise(lo + d * t)
-    return lo + d * t
+#: Bins of a histogram pass, and the rows of wanted bins that are fetched as
+#: (value, count) pairs once that few are left.
+BINS, PICK = 1024, 10_000
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str] | None = None,
-              method: str = "numpy", spread: Sequence[str] = (), bins: int = 1024,
-              materialize: bool = True, window_limit: int = 2_000_000,
-              accuracy: int | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles (pandas ``quantile`` / SQL
-    ``quantile_cont``) of a numeric column, as one row with a column per
-    probability.  Nulls and NaN are ignored.
-
-    Selection instead of a full sort: (1) min / max, (2) an equal-width
-    histogram of ``bins`` bins (a bounded summary), (3) only the bins that
-    hold the wanted order statistics are ranked (``global_rank``), with the
-    histogram's cumulative counts as offsets.  The work that needs a sort
-    shrinks to about ``2 * len(probs) / bins`` of the rows for smooth data;
-    a bin holding a hot value is ranked with ``spread`` columns hashed in as
-    a secondary key so it still spreads over range partitions.  When every
-    wanted bin holds at most ``window_limit`` rows (known from the
-    histogram) the positions come from a window per bin instead (one
-    shuffle, each task at most ``window_limit`` rows).  ``accuracy`` switches
-    to the one-pass ``percentile_approx`` sketch (not exact).
-
-    The passes are separate actions: when ``df`` is derived (an
-    aggregate, a join) it is materialised first (``materialize=True``,
-    only the value and the spread hash are written) so the passes do not
-    recompute it; a plain column scan can skip that."""
-    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    v = F.col(value).cast("double")
-    base = df.where(F.col(value).isNotNull() & ~F.isnan(v))
-    if accuracy:
-        # one-pass sketch (rank error about n / accuracy), not interpolated
-        qa = F.percentile_approx(v, [float(p) for p in probs], int(accuracy))
-        return base.agg(qa.alias("_q")).select(*[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-    if spread:
-        base = base.select(v.alias(value), F.xxhash64(*spread).alias("_sph"))
-        spread = ("_sph",)
-    else:
-        base = base.select(v.alias(value))
-    if materialize:
-        base = stage_table(base)
-    v = F.col(value)
-    spark = df.sparkSession
-    mm = base.agg(F.min(v).alias("mn"), F.max(v).alias("mx"), F.count(F.lit(1)).alias("n")).first()
-    n = mm["n"]
-    if not n:
-        return spark.range(1).select(*[F.lit(None).cast("double").alias(nm) for nm in names])
-    mn, mx = mm["mn"], mm["mx"]
-    if mn == mx:
-        return base.limit(1).select(*[F.lit(float(mn)).alias(nm) for nm in names])
-    bcol = F.least(F.lit(bins - 1), F.floor((v - F.lit(mn)) / F.lit(mx - mn) * F.lit(float(bins))).cast("int"))
-    hist = {r["b"]: r["c"] for r in base.groupBy(bcol.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    cum, before = 0, {}
-    for b_ in sorted(hist):
-        before[b_] = cum
-        cum += hist[b_]
-    order_b = sorted(hist)
-
-    def bin_of(rank0: int) -> int:
-        for b_ in order_b:
-            if before[b_] <= rank0 < before[b_] + hist[b_]:
-                return b_
-        raise AssertionError("rank outside the histogram")
-
-    pos = [float(p) * (n - 1) for p in probs]
-    need = sorted({r for ps in pos for r in (int(ps // 1), int(-(-ps // 1)))})
-    need_bins = sorted({bin_of(r) for r in need})
-    sub = base.withColumn("_b", bcol).where(F.col("_b").isin(need_bins))
-    cols = [F.col(value).cast("double").alias("_v"), "_b"]
-    order = [F.col("_b").asc(), F.col("_v").asc()]
-    if spread:
-        cols.append(F.xxhash64(*spread).alias("_sp"))
-        order.append(F.col("_sp").asc())
-    if max(hist[b_] for b_ in need_bins) <= window_limit:
-        # bounded bins: position inside the bin by a window per bin
-        w = Window.partitionBy("_b").orderBy(*order[1:])
-        off = F.lit(0)
-        for b_ in need_bins:
-            off = F.when(F.col("_b") == b_, F.lit(before[b_])).otherwise(off)
-        g = (sub.select(*cols).select("_v", (off + F.row_number().over(w) - 1).alias("_g"))
-                .where(F.col("_g").isin(need)))
-    else:
-        r = global_rank(sub.select(*cols), order, rank_col="_rn", count_col="_n", num_partitions=num_partitions)
-        # subset position -> global 0-based position: bins are contiguous in both
-        shift, sub_before = {}, 0
-        for b_ in need_bins:
-            shift[b_] = before[b_] - sub_before
-            sub_before += hist[b_]
-        off = F.lit(0)
-        for b_ in need_bins:
-            off = F.when(F.col("_b") == b_, F.lit(shift[b_])).otherwise(off)
-        g = r.select("_v", (F.col("_rn") - 1 + off).alias("_g")).where(F.col("_g").isin(need))
-    vals = {row["_g"]: row["_v"] for row in g.collect()}  # one value per wanted rank
-    out = []
-    for ps in pos:
-        lo, hi = vals[int(ps // 1)], vals[int(-(-ps // 1))]
-        t = ps - (ps // 1)
-        if method == "numpy" and t >= 0.5:
-            out.append(hi - (hi - lo) * (1 - t))
-        else:
-            out.append(lo + (hi - lo) * t)
-    # one row carrying the results, from a one-row aggregate of the input
-    return base.agg(F.count(F.lit(1)).alias("_c")).select(
-        *[F.lit(float(x)).alias(nm) for x, nm in zip(out, names)])
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                     method: str = "numpy") -> dict[str, list[float | None]]:
+    """Exact linearly interpolated quantiles of several numeric columns
+    (pandas ``quantile`` / SQL ``quantile_cont``) as ``{column: [value per
+    prob]}``; nulls and NaN are ignored.
 
-
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "numpy",
-                     bins: int = 1024, window_limit: int = 2_000_000) -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns with one set of passes (the same
-    selection as ``quantiles``): values are stacked as (column, value) rows;
-    min / max and the histogram are one aggregation each over all columns;
-    one windowed pass over the wanted (column, bin) pairs picks the order
-    statistics.  Returns ``{column: [value per prob]}`` (a bounded summary).
-    Columns whose wanted bins exceed ``window_limit`` rows use
-    ``quantiles`` (global rank)."""
+    Selection by histograms, no sort: one pass gives count, min and max per
+    column; each further pass counts the values in ``BINS`` bins of every
+    interval that still holds a wanted order statistic, with each bin's own
+    min and max, and keeps the wanted bins.  A bin with min = max is done
+    whatever its count, so a repeated value costs nothing; when ``PICK`` rows
+    at most are left they come as (value, count) pairs.  Every pass is a
+    map-side combined aggregate of bounded size.  ``method`` ``numpy`` uses
+    numpy's two-sided interpolation, ``sql`` the one-sided form."""
     cols = list(cols)
     st = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
                              for i, c in enumerate(cols)])).alias("_s")
     stacked = df.select(st).select("_s.c", "_s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    mm = {r["c"]: r for r in stacked.groupBy("c").agg(F.min("v").alias("mn"), F.max("v").alias("mx"),
-                                                      F.count(F.lit(1)).alias("n")).collect()}
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    lo_e, span_e = F.lit(0.0), F.lit(1.0)
-    for i, r in mm.items():
-        if r["mx"] > r["mn"]:
-            lo_e = F.when(F.col("c") == i, F.lit(r["mn"])).otherwise(lo_e)
-            span_e = F.when(F.col("c") == i, F.lit(r["mx"] - r["mn"])).otherwise(span_e)
-    bcol = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo_e) / span_e * F.lit(float(bins))).cast("int"))
-    hist: dict[int, dict[int, int]] = {}
-    for r in stacked.groupBy("c", bcol.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect():
-        hist.setdefault(r["c"], {})[r["b"]] = r["k"]
-    wanted: dict[int, dict[int, float]] = {}   # column -> {global position: value}
-    pairs, before_of, fallback = [], {}, []
-    for i, c in enumerate(cols):
-        if i not in mm:
-            continue
-        n = mm[i]["n"]
-        if mm[i]["mx"] == mm[i]["mn"]:
-            out[c] = [float(mm[i]["mn"])] * len(probs)
-            continue
-        cum, before = 0, {}
-        for b_ in sorted(hist[i]):
-            before[b_] = cum
-            cum += hist[i][b_]
-        need = sorted({r_ for p in probs for r_ in (int((p * (n - 1)) // 1), int(-(-(p * (n - 1)) // 1)))})
-        nb = sorted({next(b_ for b_ in sorted(before) if before[b_] <= r_ < before[b_] + hist[i][b_]) for r_ in need})
-        if max(hist[i][b_] for b_ in nb) > window_limit:
-            fallback.append(c)
-            continue
-        for b_ in nb:
-            pairs.append((i, b_))
-            before_of[(i, b_)] = before[b_]
-        wanted[i] = {r_: None for r_ in need}
-    if pairs:
-        sel = None
-        for i, b_ in pairs:
-            cnd = (F.col("c") == i) & (F.col("b") == b_)
-            sel = cnd if sel is None else (sel | cnd)
-        off = F.lit(0)
-        for (i, b_), v in before_of.items():
-            off = F.when((F.col("c") == i) & (F.col("b") == b_), F.lit(v)).otherwise(off)
-        w = Window.partitionBy("c", "b").orderBy("v")  # bins bounded by window_limit
-        picked = (stacked.withColumn("b", bcol).where(sel)
-                  .select("c", "v", (off + F.row_number().over(w) - 1).alias("g")))
-        need_pos = None
-        for i, pos in wanted.items():
-            cnd = (F.col("c") == i) & F.col("g").isin(list(pos))
-            need_pos = cnd if need_pos is None else (need_pos | cnd)
-        for r in picked.where(need_pos).collect():
-            wanted[r["c"]][r["g"]] = r["v"]
+    size: dict[int, int] = {}
+    found: dict[tuple[int, int], float] = {}      # (column, 0-based rank) -> value
+    left: list[tuple[int, float, float, int, int, list[int]]] = []  # column, low, high, rows before, rows, ranks
+
+    def keep(c: int, low: float, high: float, before: int, rows: int, ranks: list[int]) -> None:
+        if low == high:
+            found.update({(c, r): low for r in ranks})
+        elif ranks:
+            left.append((c, low, high, before, rows, ranks))
+
+    for r in stacked.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                      F.max("v").alias("hi")).collect():
+        size[r["c"]] = n = r["n"]
+        keep(r["c"], r["lo"], r["hi"], 0, n,
+             sorted({x for p in probs for x in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}))
+    while left:
+        now, left = left, []
+        inside = [(F.col("c") == c) & F.col("v").between(F.lit(lo), F.lit(hi)) for c, lo, hi, *_ in now]
+        if sum(x[4] for x in now) <= PICK:
+            pairs = (stacked.where(functools.reduce(operator.or_, inside)).groupBy("c", "v")
+                     .agg(F.count(F.lit(1)).alias("k")).collect())
+            parts = [(i, (p["v"], p["v"], p["k"])) for p in pairs for i, x in enumerate(now)
+                     if p["c"] == x[0] and x[1] <= p["v"] <= x[2]]
+        else:
+            which = F.lit(None).cast("long")
+            for i, (x, cond) in enumerate(zip(now, inside)):
+                # the ends have bins of their own, so that infinite ends do no harm
+                at = F.floor((F.col("v") / 2 - x[1] / 2) / (x[2] / 2 - x[1] / 2) * BINS)
+                at = F.when(F.col("v") == x[1], -1).when(F.col("v") == x[2], BINS).otherwise(
+                    F.least(F.greatest(F.coalesce(at.cast("long"), F.lit(0)), F.lit(0)), F.lit(BINS - 1)))
+                which = F.when(cond, at + 1 + i * (BINS + 2)).otherwise(which)
+            hist = (stacked.select("v", which.alias("b")).where("b is not null").groupBy("b")
+                    .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("k")).collect())
+            parts = [(h["b"] // (BINS + 2), (h["lo"], h["hi"], h["k"])) for h in hist]
+        for i, x in enumerate(now):
+            before = x[3]
+            for lo, hi, k in sorted(p for j, p in parts if j == i):
+                keep(x[0], lo, hi, before, k, [r for r in x[5] if before <= r < before + k])
+                before += k
+    out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
-        if i in wanted:
-            n = mm[i]["n"]
-            vals = []
-            for p in probs:
-                ps = float(p) * (n - 1)
-                lo, hi = wanted[i][int(ps // 1)], wanted[i][int(-(-ps // 1))]
-                t = ps - (ps // 1)
-                vals.append(hi - (hi - lo) * (1 - t) if (method == "numpy" and t >= 0.5) else lo + (hi - lo) * t)
-            out[c] = vals
-    for c in fallback:
-        row = quantiles(df, c, probs, [f"q{k}" for k in range(len(probs))], method=method).first()
-        out[c] = [row[f"q{k}"] for k in range(len(probs))]
+        out[c] = []
+        for p in probs:
+            if i not in size:
+                out[c].append(None)
+                continue
+            at = float(p) * (size[i] - 1)
+            lo, hi, t = found[i, math.floor(at)], found[i, math.ceil(at)], at - math.floor(at)
+            out[c].append(lo if lo == hi else hi - (hi - lo) * (1 - t) if method == "numpy" and t >= 0.5
+                          else lo + (hi - lo) * t)
     return out
 
 
-def top_k_sum(df: DataFrame, value: str, k: Column | int, tie: Sequence[str] = ("user_id",),
-              num_partitions: int | None = None) -> DataFrame:
-    """Sum of the k largest values (``nlargest(k).sum()``), as a one-row
-    frame with ``top_sum`` and ``n``; k may be a column expression of ``n``."""
-    r = global_rank(df, [F.col(value).desc()] + [F.col(t).asc() for t in tie],
-                    rank_col="_rn", count_col="n", num_partitions=num_partitions)
-    kk = k if isinstance(k, Column) else F.lit(int(k))
-    return r.where(F.col("_rn") <= kk).agg(
-        (F.sum(F.floor(F.col(value) * 100.0 + 0.5)).cast("double") / 100.0).alias("top_sum"),
-        F.max("n").alias("n"))
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str] | None = None,
+              method: str = "numpy", materialize: bool = True, accuracy: int | None = None) -> DataFrame:
+    """``column_quantiles`` of one column as one row with a column per
+    probability.  The passes are separate jobs run when this is called: a
+    derived ``df`` is staged first (``materialize``; only the value is
+    written), a plain column scan can skip that.  ``accuracy`` switches to
+    the one-pass ``percentile_approx`` sketch (lazy, not exact)."""
+    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    v = F.col(value).cast("double").alias(value)
+    if accuracy:
+        qa = F.percentile_approx(F.when(~F.isnan(v), v), [float(p) for p in probs], int(accuracy))
+        return df.agg(qa.alias("_q")).select(*[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    base = df.select(v)
+    got = column_quantiles(stage_table(base) if materialize else base, [value], probs, method)[value]
+    return df.sparkSession.range(1).select(*[F.lit(x).cast("double").alias(nm) for x, nm in zip(got, names)])

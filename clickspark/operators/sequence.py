@@ -65,9 +65,11 @@ def _pairs_fn(keys: Sequence[str]):
                 e = c[1:] == c[:-1]
                 same = e if same is None else (same & e)
             if same is not None and same.any():
-                vc = pd.DataFrame({"f": t[:-1][same], "t": t[1:][same]}).value_counts()
-                for (a, b), n in vc.items():
-                    counts[(a, b)] = counts.get((a, b), 0) + int(n)
+                # events without a type count like any other
+                vc = pd.DataFrame({"f": t[:-1][same], "t": t[1:][same]}).value_counts(dropna=False)
+                for pair, n in vc.items():
+                    pair = tuple(None if pd.isna(x) else x for x in pair)
+                    counts[pair] = counts.get(pair, 0) + int(n)
             last_vals = [c[-1] for c in cols]
             last = (key_str(pdf, len(pdf) - 1), t[-1])
         if pid is None:

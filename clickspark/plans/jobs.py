@@ -140,7 +140,7 @@ PREPROCESSING_OUTPUTS = ["file_profile.csv", "file_event_mix.csv", "dataset_stat
 MODEL_OUTPUTS = [
     "model_comparison.csv", "feature_importance_lgbm.csv", "feature_importance_xgb.csv",
     "feature_importance_rf.csv", "shap_importance.csv", "purchase_probabilities.csv",
-    "abandon_probabilities.csv",
+    "abandonment_report.csv", "abandon_probabilities.csv",
 ]
 
 
@@ -181,7 +181,8 @@ def model_outputs_job(ev: DataFrame, out: str, **overrides) -> tuple[DataFrame,
     _big(probs, out, "purchase_probabilities.csv")
     ab = mo.abandonment_dataset(ds, mo.abandonment_labels(ev))
     ab_over = {k: v for k, v in overrides.items() if k in mo.ABANDON_PARAMS}
-    model, _ = mo.train_abandonment(ab, **ab_over)
+    model, _, report = mo.train_abandonment(ab, **ab_over)
+    _small(report, out, "abandonment_report.csv")
     _big(mo.abandon_probabilities(model, ab), out, "abandon_probabilities.csv")
     return output_manifest(ev.sparkSession, out, MODEL_OUTPUTS), probs
 

@@ -35,3 +35,22 @@ def test_no_single_partition_on_user_rows(spark):
     # the only single-partition exchange carries the per-partition sizes
     for seg in p.split("Exchange SinglePartition")[1:]:
         assert "HashAggregate(keys=[_pid" in seg.split("\n")[1]
+
+
+def test_cutoff_keeps_events_whatever_the_session_zone(spark, make_events, tmp_path):
+    """Dates written in one zone, read in another: the date predicate must
+    not drop events that the time predicate keeps."""
+    import datetime as dt
+    from clickspark.operators import features as fe
+    from clickspark.sources.files import write_clean_parquet
+    ev = make_events([(u, f"2024-01-05T{h:02d}:30:00", "view") for u, h in enumerate((0, 2, 4, 20, 23))])
+    write_clean_parquet(ev, str(tmp_path / "clean"))
+    cutoff = dt.datetime(2024, 1, 5, 3, tzinfo=dt.timezone.utc)
+    try:
+        for zone in ("UTC", "America/New_York", "Pacific/Auckland"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            back = spark.read.parquet(str(tmp_path / "clean"))
+            assert fe.time_filter(back, cutoff, past=True).count() == 2, zone
+            assert fe.time_filter(back, cutoff, past=False).count() == 3, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

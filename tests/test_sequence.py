@@ -56,3 +56,12 @@ def test_time_to_purchase_edges(make_events):
     assert sorted(r.user_id for r in clean.collect()) == [1, 2, 3]
     b = {r.bucket: r["count"] for r in sq.time_to_purchase_buckets(clean).collect()}
     assert b == {"<1h": 1, "1-4h": 1, "4-12h": 0, "12-24h": 0, "1-3d": 0, "3d+": 0}
+
+
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_null_event_types_are_counted_alike_at_any_partitioning(make_events, parts):
+    from clickspark.operators import sequence as sq
+    rows = [(1, f"2024-01-01T00:{m:02d}:00", t) for m, t in enumerate(["view", None, "cart", "view", None, None, "view"])]
+    got = {(r.from_event, r.to_event): r["count"]
+           for r in sq.transition_counts(make_events(rows, clean=False), num_partitions=parts).collect()}
+    assert got == {("view", None): 2, (None, "cart"): 1, ("cart", "view"): 1, (None, None): 1, (None, "view"): 1}
