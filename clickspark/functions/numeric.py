@@ -6,14 +6,32 @@ is a Python UDF.
 
 from __future__ import annotations
 
+import contextlib
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Money is summed as integer cents so that sums do not depend on the order
-# in which partitions are combined (double addition is not associative).
-# Cents fit a long (fast hash-aggregate path), unlike wide decimal sums.
-MONEY_SCALE = 100.0
+# Money is summed in whole units of its last digit so that sums do not depend
+# on the order in which partitions are combined (double addition is not
+# associative).  Such units fit a long (fast hash-aggregate path), unlike
+# wide decimal sums.  Two digits unless ``money_digits`` says otherwise.
+_DIGITS: ContextVar[int] = ContextVar("money_digits", default=2)
+
+
+@contextlib.contextmanager
+def money_digits(n: int):
+    """Expressions built inside the block keep ``n`` decimal digits of money."""
+    token = _DIGITS.set(n)
+    try:
+        yield
+    finally:
+        _DIGITS.reset(token)
+
+
+def _scale() -> float:
+    return float(10 ** _DIGITS.get())
 
 
 def _c(x) -> Column:
@@ -83,8 +101,9 @@ def minute_boundaries(start, end) -> Column:
 
 
 def cents(x) -> Column:
-    """Money as integer cents, ``floor(x * 100 + 0.5)`` (bigint)."""
-    return F.floor(_c(x) * F.lit(MONEY_SCALE) + F.lit(0.5))
+    """Money in whole units of its last digit, ``floor(x * 100 + 0.5)`` at
+    two digits (bigint)."""
+    return F.floor(_c(x) * F.lit(_scale()) + F.lit(0.5))
 
 
 def money_sum(x, cond: Column | None = None) -> Column:
@@ -96,7 +115,7 @@ def money_sum(x, cond: Column | None = None) -> Column:
 
 
 def cents_to_money(c) -> Column:
-    return _c(c).cast("double") / F.lit(MONEY_SCALE)
+    return _c(c).cast("double") / F.lit(_scale())
 
 
 def dec_sum(x, cond: Column | None = None) -> Column:

@@ -65,13 +65,15 @@ def qcut_rank(df: DataFrame, value: str, q: int, tie: Sequence[str] = ("user_id"
               num_partitions: int | None = None) -> DataFrame:
     """``qcut(series.rank(method='first'), q, labels=False) + 1`` with ties in
     ``value`` broken by ``tie`` columns (the order of arrival in the
-    reference).  ``descending_good`` flips to ``q + 1 - bin``."""
-    r = global_rank(df, [F.col(value).asc()] + [F.col(t).asc() for t in tie],
+    reference).  ``descending_good`` flips to ``q + 1 - bin``; a null value
+    has no rank and no bin."""
+    r = global_rank(df.where(F.col(value).isNotNull()), [F.col(value).asc()] + [F.col(t).asc() for t in tie],
                     rank_col="_rn", count_col="_n", num_partitions=num_partitions)
     b = qcut_bucket("_rn", "_n", q)
     if descending_good:
         b = F.lit(q + 1) - b
-    return r.withColumn(out, b.cast("int")).drop("_rn", "_n")
+    without = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("int"))
+    return r.withColumn(out, b.cast("int")).drop("_rn", "_n").unionByName(without)
 
 
 def qcut_ranks(df: DataFrame, specs: Sequence[tuple[str, str, bool]], q: int,

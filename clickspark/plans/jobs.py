@@ -4,11 +4,14 @@ a manifest of what was written.
 
 Small aggregated results are written as one CSV part; data-sized tables
 (sessions, users, per-user scores) as multi-part CSV folders.  Tables read
-by several outputs are materialised once (``ranking.stage_table``).
+by several outputs are materialised once (``staging.stage_table``) and
+removed when the job ends.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from clickspark.operators import funnel as fn
@@ -18,7 +21,7 @@ from clickspark.operators import sessions as ss
 from clickspark.operators import users as us
 from clickspark.operators import features as fe
 from clickspark.operators import value as va
-from clickspark.operators.ranking import stage_table
+from clickspark.staging import stage_table, staging
 from clickspark.plans import reports
 from clickspark.sources.files import output_manifest, write_csv, write_json
 
@@ -54,6 +57,16 @@ def _big(df: DataFrame, out: str, name: str) -> None:
     write_csv(df, f"{out}/{name}")
 
 
+def _job(fn):
+    """Staged tables of the call are removed when it ends."""
+    @functools.wraps(fn)
+    def run(first, *args, **kwargs):
+        with staging(first if isinstance(first, SparkSession) else first.sparkSession):
+            return fn(first, *args, **kwargs)
+    return run
+
+
+@_job
 def session_analysis_job(ev: DataFrame, out: str) -> DataFrame:
     """Daily-proxy session analysis: every table and the master document."""
     ses = stage_table(ss.session_table(ev))
@@ -66,10 +79,11 @@ def session_analysis_job(ev: DataFrame, out: str) -> DataFrame:
     _small(ss.session_engagement(ses), out, "session_engagement.csv")
     _small(ss.hourly_session_patterns(ses), out, "hourly_session_patterns.csv")
     _small(ss.weekend_weekday_sessions(ses), out, "weekend_weekday_sessions.csv")
-    write_json(reports.session_report(ses), f"{out}/session_analysis_master.json")
+    write_json(reports.session_report(ses, staged=True), f"{out}/session_analysis_master.json")
     return output_manifest(ev.sparkSession, out, SESSION_OUTPUTS)
 
 
+@_job
 def rfm_analysis_job(ev: DataFrame, out: str) -> DataFrame:
     """User table, RFM segments, CLV insights, behaviour segments."""
     usr = stage_table(us.user_table(ev))
@@ -82,10 +96,11 @@ def rfm_analysis_job(ev: DataFrame, out: str) -> DataFrame:
     beh = us.behavioral_segment(us.power_users(usr, materialize=False))
     _small(us.behavioral_distribution(beh), out, "behavioral_segments.csv")
     _small(us.power_user_summary(beh), out, "power_user_summary.csv")
-    write_json(reports.rfm_report(usr), f"{out}/rfm_analysis_master.json")
+    write_json(reports.rfm_report(usr, staged=True), f"{out}/rfm_analysis_master.json")
     return output_manifest(ev.sparkSession, out, RFM_OUTPUTS)
 
 
+@_job
 def funnel_analysis_job(ev: DataFrame, out: str) -> DataFrame:
     """Raw and deduplicated funnels and their breakdowns."""
     dd, raw = fn.funnel_dedup(ev), fn.funnel_raw(ev)
@@ -107,11 +122,13 @@ def funnel_analysis_job(ev: DataFrame, out: str) -> DataFrame:
     return output_manifest(ev.sparkSession, out, FUNNEL_OUTPUTS)
 
 
-def clickstream_job(ev: DataFrame, out: str, probability: DataFrame | None = None) -> DataFrame:
-    """Sequences, time to purchase, features and value.  ``probability``
-    (user_id, purchase_probability) comes from a fitted model
-    (``models.purchase_probabilities``); without it the data-derived
-    stand-in is used."""
+@_job
+def clickstream_job(ev: DataFrame, out: str, probability: DataFrame | str = "model", **overrides) -> DataFrame:
+    """Sequences, time to purchase, features and value.  ``probability``:
+    ``"model"`` fits the boosted model on the stratified training split and
+    scores every user with it (``overrides``: its parameters), a frame
+    (user_id, purchase_probability) brings scores of a model fitted before,
+    ``"engagement"`` asks for the data-derived stand-in."""
     _small(pr.event_distribution(ev), out, "event_breakdown.csv")
     tp = stage_table(sq.transition_probs(ev))
     _small(tp, out, "transition_probs.csv")
@@ -123,8 +140,13 @@ def clickstream_job(ev: DataFrame, out: str, probability: DataFrame | None = Non
     _big(sq.time_to_purchase_clean(ttp), out, "time_to_purchase_clean.csv")
     ml = stage_table(fe.ml_dataset(ev))
     _big(ml, out, "ml_dataset.csv")
-    scored = (ml.join(probability, "user_id", "left") if probability is not None
-              else va.engagement_probability(ml))
+    if probability == "model":
+        from clickspark.operators import models as mo
+        scored = mo.purchase_probabilities(mo.fit("XGBoost", mo.split(ml)[0], **overrides), ml)
+    elif probability == "engagement":
+        scored = va.engagement_probability(ml)
+    else:
+        scored = ml.join(probability, "user_id", "left")
     dec = stage_table(va.clv_decile(va.clv_score(stage_table(scored))))
     _big(va.clv_scores(dec), out, "clv_scores.csv")
     _small(va.clv_decile_summary(dec), out, "clv_decile_summary.csv")
@@ -144,6 +166,7 @@ MODEL_OUTPUTS = [
 ]
 
 
+@_job
 def preprocessing_job(spark: SparkSession, raw: DataFrame, out: str) -> DataFrame:
     """Profiling of the raw rows and the missing-value decisions (the
     conversion itself is ``sources.convert_csv_to_parquet``)."""
@@ -162,6 +185,7 @@ def preprocessing_job(spark: SparkSession, raw: DataFrame, out: str) -> DataFram
     return output_manifest(spark, out, PREPROCESSING_OUTPUTS)
 
 
+@_job
 def model_outputs_job(ev: DataFrame, out: str, **overrides) -> tuple[DataFrame, DataFrame]:
     """The notebook's model outputs: comparison table, the three
     importance tables, SHAP importance, purchase and abandonment
@@ -177,8 +201,9 @@ def model_outputs_job(ev: DataFrame, out: str, **overrides) -> tuple[DataFrame,
     _small(mo.importance_forest(fitted["RandomForest"]), out, "feature_importance_rf.csv")
     train, test = mo.split(ds)
     _small(mo.shap_importance(fitted["LightGBM"], test, train), out, "shap_importance.csv")
-    probs = stage_table(mo.purchase_probabilities(fitted["XGBoost"], ds).select("user_id", "purchase_probability"))
-    _big(probs, out, "purchase_probabilities.csv")
+    scored = mo.purchase_probabilities(fitted["XGBoost"], ds).select("user_id", "purchase_probability")
+    _big(scored, out, "purchase_probabilities.csv")
+    probs = ev.sparkSession.read.schema(scored.schema).option("header", True).csv(f"{out}/purchase_probabilities.csv")
     ab = mo.abandonment_dataset(ds, mo.abandonment_labels(ev))
     ab_over = {k: v for k, v in overrides.items() if k in mo.ABANDON_PARAMS}
     model, _, report = mo.train_abandonment(ab, **ab_over)
@@ -203,24 +228,28 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--output", required=True)
     ap.add_argument("--bad-rows", default=None, help="folder for rejected CSV rows (convert)")
     ap.add_argument("--files-per-date", type=int, default=None)
+    ap.add_argument("--probability", choices=["model", "engagement"], default="model",
+                    help="where the CLV of clickstream takes purchase probabilities from")
+    ap.add_argument("--iterations", type=int, default=None, help="boosting rounds (clickstream, models)")
     ap.add_argument("--timezone", default="UTC", help="zone for hour / day / weekend of event_time")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"clickspark-{a.analysis}").getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", a.timezone)
     if a.analysis == "convert":
-        convert_csv_to_parquet(spark, a.input, a.output, bad_dir=a.bad_rows, clean=True,
-                               files_per_partition=a.files_per_date)
+        print(convert_csv_to_parquet(spark, a.input, a.output, bad_dir=a.bad_rows, clean=True,
+                                     files_per_partition=a.files_per_date))
         return
+    rounds = {} if a.iterations is None else {"maxIter": a.iterations}
     if a.analysis == "preprocess":
         good, _ = split_corrupt(read_events_csv(spark, a.input))
         man = preprocessing_job(spark, good, a.output)
     else:
         ev = spark.read.parquet(*a.input)
         if a.analysis == "models":
-            man, _ = model_outputs_job(ev, a.output)
+            man, _ = model_outputs_job(ev, a.output, **rounds)
         else:
-            job = {"funnel": funnel_analysis_job, "sessions": session_analysis_job,
-                   "rfm": rfm_analysis_job, "clickstream": clickstream_job}[a.analysis]
+            job = {"funnel": funnel_analysis_job, "sessions": session_analysis_job, "rfm": rfm_analysis_job,
+                   "clickstream": functools.partial(clickstream_job, probability=a.probability, **rounds)}[a.analysis]
             man = job(ev, a.output)
     man.show(truncate=False)
 

@@ -3,7 +3,7 @@ text over the raw test tables (lineitem, orders, part, events), written from
 the reference's semantics.  The fixture and cleaning rules are a CTE prefix.
 
 Conventions shared with the Spark side so that values hash equal:
-money summed as integer cents floor(x*100+0.5); SQL ROUND as
+money summed as DECIMAL(18,2) (Spark: whole cents); SQL ROUND as
 ``sign(x)*floor(abs(x)*10^n+0.5)/10^n``; pandas round as
 ``round_even(x*10^n, 0)/10^n``; integer sums cast to BIGINT; timestamps as
 TIMESTAMP; dates as TIMESTAMP (midnight).
@@ -88,19 +88,14 @@ def cents(x: str) -> str:
     return f"CAST(floor({x} * 100.0 + 0.5) AS BIGINT)"
 
 
-def dsum(x: str) -> str:
-    return f"(CAST(COALESCE(SUM({cents(x)}), 0) AS DOUBLE) / 100.0)"
-
-
-def davg(x: str) -> str:
-    return f"((CAST(SUM({cents(x)}) AS DOUBLE) / 100.0) / NULLIF(CAST(COUNT({x}) AS DOUBLE), 0))"
+def dec(x: str) -> str:
+    """money as a decimal of two digits."""
+    return f"CAST({x} AS DECIMAL(18, 2))"
 
 
-SQL: dict[str, str] = {}
+def dsum(x: str) -> str:
+    return f"CAST(COALESCE(SUM({dec(x)}), 0) AS DOUBLE)"
 
 
-def sql(name: str):
-    def deco(fn):
-        SQL[name] = fn()
-        return fn
-    return deco
+def davg(x: str) -> str:
+    return f"(CAST(SUM({dec(x)}) AS DOUBLE) / NULLIF(CAST(COUNT({x}) AS DOUBLE), 0))"

@@ -2,16 +2,14 @@
 under the checkpoint folder and returns the manifest; the oracle is the
 expected file list, every file present."""
 
-import uuid
-
 from clickspark.plans import jobs
 from clickspark.plans.q_sessions import _manifest_sql
 from clickspark.plans.registry import ev_orders, query
-from clickspark.session import ensure_checkpoint_dir
+from clickspark.staging import new_path
 
 
 def _out(spark):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/clickspark_outputs/{uuid.uuid4().hex}"
+    return new_path(spark, "clickspark_outputs")
 
 
 @query("funnel_analysis_outputs", _manifest_sql(jobs.FUNNEL_OUTPUTS))
@@ -21,7 +19,7 @@ def _fao(spark, d):
 
 @query("clickstream_outputs", _manifest_sql(jobs.NOTEBOOK_OUTPUTS))
 def _co(spark, d):
-    return jobs.clickstream_job(ev_orders(spark, d), _out(spark))
+    return jobs.clickstream_job(ev_orders(spark, d), _out(spark), probability="engagement")
 
 
 @query("preprocessing_outputs", _manifest_sql(jobs.PREPROCESSING_OUTPUTS))

@@ -6,7 +6,7 @@ from clickspark.fixtures import raw_fixture
 from clickspark.operators import profile as pr
 from clickspark.plans.oracle import ORDERS_RAW, rsql, with_ev
 from clickspark.plans.registry import ev_orders, query
-from clickspark.session import ensure_checkpoint_dir
+from clickspark.staging import new_path, shared_folder
 from clickspark.sources import files as src
 
 # Raw events are tagged with a monthly "source file", as the reference's
@@ -53,14 +53,15 @@ def _fem(spark, d):
     return pr.file_event_mix(raw_tagged(spark, d))
 
 
+def _csv_path(spark, d):
+    import hashlib
+    return f"{shared_folder(spark, 'clickspark_csv')}/{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+
+
 def _csv_staged(spark, d):
     """Raw events written as monthly CSV folders in the checkpoint area,
     then scanned back in one permissive read (bad rows captured, staged)."""
-    root = ensure_checkpoint_dir(spark)
-    if not root:
-        return raw_tagged(spark, d)
-    import hashlib
-    path = f"{root.rstrip('/')}/clickspark_csv/{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+    path = _csv_path(spark, d)
     r = raw_fixture(spark, d).withColumn("source_month", F.date_format("event_time", MONTH_TAG_SPARK))
     (r.write.mode("overwrite").partitionBy("source_month").option("header", True)
       .option("timestampFormat", CSV_TS).csv(path))
@@ -140,13 +141,10 @@ def _tb(spark, d):
 def _sic(spark, d):
     """The cleaned events produced by the streaming ingest of the raw CSV
     folders (derived from the tables), read back."""
-    import uuid
     from clickspark.streaming.ingest import read_streamed, stream_clean_events
-    root = ensure_checkpoint_dir(spark)
     _csv_staged(spark, d)  # writes the monthly CSV folders
-    import hashlib
-    src_dir = f"{root.rstrip('/')}/clickspark_csv/{hashlib.sha1(d.encode()).hexdigest()[:12]}"
-    run = f"{root.rstrip('/')}/clickspark_stream/{uuid.uuid4().hex}"
+    src_dir = _csv_path(spark, d)
+    run = new_path(spark, "clickspark_stream")
     q = stream_clean_events(spark, src_dir, f"{run}/out", f"{run}/chk", bad_dir=f"{run}/bad")
     q.awaitTermination()
     return read_streamed(spark, f"{run}/out")

@@ -94,6 +94,12 @@ def _rs(spark, d):
     return us.rfm_scores(us.rfm_values(usr(spark, d)))
 
 
+@query("score_quintile", with_ev("SELECT user_id, R_Score FROM sc", UT, RFM, SC))
+def _sq(spark, d):
+    r = us.rfm_values(us.user_table(ev_orders(spark, d)))
+    return us.score_quintile(r, "Recency", ascending_good=False, out="R_Score").select("user_id", "R_Score")
+
+
 @query("rfm_segment", with_ev("SELECT * FROM seg", UT, RFM, SC, SEG))
 def _rseg(spark, d):
     return seg(spark, d)
@@ -176,12 +182,20 @@ def _rfm_outputs_sql():
     return _manifest_sql(RFM_OUTPUTS)
 
 
+@query("rfm_report_counts", with_ev("""SELECT 'rfm_user_segmentation_synced' AS analysis_type, 'events' AS data_source,
+  COUNT(*) AS total_users, COUNT(*) FILTER (WHERE total_purchases > 0) AS purchasing_users,
+  COUNT(*) FILTER (WHERE total_purchases = 0) AS non_purchasing_users FROM ut""", UT))
+def _rrc(spark, d):
+    from clickspark.plans.reports import rfm_report
+    return rfm_report(us.user_table(ev_orders(spark, d))).select(
+        "analysis_type", "data_source", "total_users", "purchasing_users", "non_purchasing_users")
+
+
 @query("rfm_analysis_outputs", _rfm_outputs_sql())
 def _rao(spark, d):
     """The RFM job's files, written under the checkpoint folder, and their
     manifest."""
-    import uuid
     from clickspark.plans.jobs import rfm_analysis_job
-    from clickspark.session import ensure_checkpoint_dir
-    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clickspark_outputs/{uuid.uuid4().hex}"
+    from clickspark.staging import new_path
+    out = new_path(spark, "clickspark_outputs")
     return rfm_analysis_job(ev_orders(spark, d), out)

@@ -97,3 +97,51 @@ def _tab(spark, d):
     "SELECT user_id, segment, views, carts, unique_products, cart_to_view_ratio, purchase_probability, clv_score_norm, clv_decile FROM seg WHERE segment = 'Dormant' AND clv_score_norm > 40", *CTES))
 def _tad(spark, d):
     return va.target_audience(seg(spark, d), "Dormant").select(*AUD)
+
+
+# A stand-in probability spread over [0, 1) by the user's number, and users of
+# the event fixture without views: every label of N98 occurs.
+SPREAD = f"""sp AS (SELECT *, CAST((user_id * 37) % 100 AS DOUBLE) / 100.0 AS purchase_probability,
+    CAST((user_id * 53) % 100 AS DOUBLE) / 100.0 AS abandon_probability FROM
+    (SELECT user_id, total_events, views * CASE WHEN user_id % 9 = 0 THEN 0 ELSE 1 END AS views,
+       carts * CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END AS carts, past_purchases, unique_products, label,
+       active_span_sec, events_per_day, cart_to_view_ratio, product_diversity, has_past_purchase, purchase_rate FROM ml) m),
+clvr AS (SELECT *, ln(1 + purchase_probability * ln(1 + total_events) * (carts + 1) * (1 + has_past_purchase)) AS clv_log FROM sp),
+nrm AS (SELECT *, {rnp('(clv_log - (SELECT MIN(clv_log) FROM clvr)) / ((SELECT MAX(clv_log) FROM clvr) - (SELECT MIN(clv_log) FROM clvr) + 1e-9) * 100.0')} AS clv_score_norm FROM clvr),
+five AS (SELECT *, CASE WHEN has_past_purchase <> 0 AND purchase_probability >= 0.6 THEN 'High-value buyer'
+    WHEN has_past_purchase <> 0 THEN 'Occasional buyer' WHEN carts > 0 AND label = 0 THEN 'Cart abandoner'
+    WHEN views > 0 THEN 'Browser' ELSE 'Dormant' END AS segment FROM nrm)"""
+
+
+def five(spark, d):
+    from pyspark.sql import functions as F
+    from clickspark.staging import stage_table
+    m = ml(spark, d)
+    user = F.col("user_id")
+    m = (m.withColumn("views", F.when(user % 9 == 0, 0).otherwise(F.col("views")).cast("long"))
+          .withColumn("carts", F.when(user % 3 == 0, 0).otherwise(F.col("carts")).cast("long"))
+          .withColumn("purchase_probability", (user * 37 % 100).cast("double") / 100.0)
+          .withColumn("abandon_probability", (user * 53 % 100).cast("double") / 100.0))
+    return va.value_segment(va.clv_score(stage_table(m)))
+
+
+@query("value_segments_all_labels", with_ev(f"""SELECT segment, COUNT(*) AS users,
+  {rnp('CAST(SUM(CAST(floor(clv_score_norm * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0 / COUNT(*)', 3)} AS avg_clv,
+  {rnp('AVG(purchase_probability)', 3)} AS avg_purchase_p, {rnp('CAST(SUM(carts) AS DOUBLE) / COUNT(*)', 3)} AS avg_carts,
+  {rnp('CAST(SUM(views) AS DOUBLE) / COUNT(*)', 3)} AS avg_views FROM five GROUP BY segment""", *ML_CTES, SPREAD))
+def _vsal(spark, d):
+    return va.value_segment_summary(five(spark, d))
+
+
+def _five_rows(segment, rule):
+    return with_ev(f"SELECT user_id, segment, clv_score_norm FROM five WHERE segment = '{segment}' AND {rule}", *ML_CTES, SPREAD)
+
+
+@query("target_abandoners_stand_in", _five_rows("Cart abandoner", "abandon_probability > 0.6"))
+def _tas(spark, d):
+    return va.target_audience(five(spark, d), "Cart abandoner").select("user_id", "segment", "clv_score_norm")
+
+
+@query("target_dormant_stand_in", _five_rows("Dormant", "clv_score_norm > 40"))
+def _tds(spark, d):
+    return va.target_audience(five(spark, d), "Dormant").select("user_id", "segment", "clv_score_norm")

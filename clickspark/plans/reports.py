@@ -47,16 +47,18 @@ def assemble(header: Mapping[str, object], lists: Mapping[str, DataFrame],
                       *[F.lit(v).alias(k) for k, v in header.items()], *names)
 
 
-def session_report(ses: DataFrame) -> DataFrame:
+def session_report(ses: DataFrame, data_source: str = "events", staged: bool = False) -> DataFrame:
     """The session analysis master document.  The session table feeds
     eight sections with different column sets (so their exchanges cannot be
-    reused): the columns they read are materialised once."""
-    ses = stage_table(ses.select("user_id", "session_start", "session_end", "session_duration_minutes",
-                             "total_events", "unique_products_viewed", "has_purchase", "has_cart",
-                             "session_start_hour", "is_weekend_session"))
+    reused): the columns they read are materialised once, unless the caller
+    hands over a table that is (``staged``)."""
+    if not staged:
+        ses = stage_table(ses.select("user_id", "session_start", "session_end", "session_duration_minutes",
+                                     "total_events", "unique_products_viewed", "has_purchase", "has_cart",
+                                     "session_start_hour", "is_weekend_session"))
     return assemble(
         {"analysis_type": "session_level_behavior_daily_proxy",
-         "session_definition": "One session = all events for a user within the same calendar day"},
+         "session_definition": "user and calendar day", "data_source": data_source},
         {"behavior_comparison": ss.session_behavior_comparison(ses, ordered=False),
          "duration_distribution": ss.session_duration_distribution(ses, ordered=False),
          "products_per_session": ss.products_per_session(ses, ordered=False),
@@ -67,10 +69,11 @@ def session_report(ses: DataFrame) -> DataFrame:
         {"summary": ss.session_summary(ses)})
 
 
-def rfm_report(usr: DataFrame) -> DataFrame:
+def rfm_report(usr: DataFrame, data_source: str = "events", staged: bool = False) -> DataFrame:
     """The RFM / behaviour master document, with total, purchasing and
-    non-purchasing user counts.  The user table is materialised once."""
-    usr = stage_table(usr)
+    non-purchasing user counts.  The user table is materialised once (by the
+    caller, if ``staged``)."""
+    usr = usr if staged else stage_table(usr)
     rfm = us.rfm_values(usr)
     seg = us.rfm_segment(us.rfm_scores(rfm))
     beh = us.behavioral_segment(us.power_users(usr, materialize=False))
@@ -79,8 +82,9 @@ def rfm_report(usr: DataFrame) -> DataFrame:
                      F.count(F.when(F.col("total_purchases") == 0, 1)).alias("non_purchasing_users"))
     return assemble(
         {"analysis_type": "rfm_user_segmentation_synced",
-         "session_definition": "Daily-proxy session: one session = one user on one calendar day"},
+         "session_definition": "user and calendar day", "data_source": data_source},
         {"rfm_segment_distribution": us.rfm_segment_distribution(seg),
          "rfm_segment_characteristics": us.rfm_segment_characteristics(seg),
          "behavioral_segments": us.behavioral_distribution(beh)},
-        {"user_counts": counts, "clv_insights": us.clv_insights(rfm)})
+        {"user_counts": counts, "clv_insights": us.clv_insights(rfm)}).select(
+            "*", "user_counts.*").drop("user_counts")

@@ -28,7 +28,6 @@ CLEAN_COLUMNS = RAW_COLUMNS + [
 ]
 
 # Funnel stages in their fixed order (view -> cart -> purchase).
-STAGES = ("view", "cart", "purchase")
 
 # Feature columns of the purchase / abandonment models, in model order.
 FEATURE_COLS = [
@@ -37,3 +36,7 @@ FEATURE_COLS = [
     "cart_to_view_ratio", "product_diversity",
     "has_past_purchase", "purchase_rate",
 ]
+
+#: Event times in raw CSV files, for batch and stream alike: fractions, zone
+#: names and offsets are optional.
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS][ z][XXX]"

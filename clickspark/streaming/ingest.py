@@ -16,16 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clickspark.operators.cleaning import clean_events
-from clickspark.schema import CORRUPT_COL, RAW_EVENT_SCHEMA_WITH_CORRUPT
-
-TS_FORMAT = "yyyy-MM-dd HH:mm:ss[ z]"
+from clickspark.schema import CORRUPT_COL, RAW_EVENT_SCHEMA_WITH_CORRUPT, TIMESTAMP_FORMAT
 
 
 def raw_event_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     r = (spark.readStream.schema(RAW_EVENT_SCHEMA_WITH_CORRUPT)
          .option("header", True).option("mode", "PERMISSIVE")
          .option("columnNameOfCorruptRecord", CORRUPT_COL)
-         .option("timestampFormat", TS_FORMAT)
+         .option("timestampFormat", TIMESTAMP_FORMAT)
          .option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -56,3 +56,18 @@ def test_minute_boundaries_and_days(spark):
     assert r["m"] == 1
     assert r["days"] == 1
     assert abs(r["frac"] - 0.0333) < 1e-3
+
+
+def test_money_digits(spark):
+    """Prices of three decimals agree with a decimal sum at three digits."""
+    from decimal import Decimal
+    from clickspark.functions.numeric import dec_avg, dec_sum, money_digits
+    from pyspark.sql import functions as F
+    x = [0.005, 1.015, 2.675, 10.001, 99.999] * 7
+    df = spark.createDataFrame([(v,) for v in x], "p double")
+    with money_digits(3):
+        three = df.agg(dec_sum("p").alias("s"), dec_avg("p").alias("a")).first()
+    want = sum(Decimal(str(v)) for v in x)
+    assert three.s == float(want) == float(df.agg(F.sum(F.col("p").cast("decimal(18,3)"))).first()[0])
+    assert abs(three.a - float(want) / len(x)) < 1e-12
+    assert df.agg(dec_sum("p").alias("s")).first().s != three.s  # two digits by default
