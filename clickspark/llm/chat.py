@@ -16,8 +16,10 @@ texts and roles ``\\ < [ ]`` become ``\\e \\l \\b \\c``, so a control string
 never occurs in one and the text can be had back.
 
 Scale: turns are taken in blocks of ``BLOCK`` turn numbers, so a conversation
-of any length is spread over tasks; what is gathered per block is its token
-prefixes, per window its (bounded) turns.  A window never spans two blocks.
+of any length is spread over tasks; a block's turns are gathered in one row
+(the only shuffle of texts) and its windows are made from that row with
+array functions.  Earlier blocks hand on their last turns and first system
+turn in one narrow row each.  A window never spans two blocks.
 
 Rows: turns are ordered by (turn, role, text), nulls first; null role and text
 are empty; null conv_ids form one conversation; repeated rows are repeated
@@ -76,24 +78,38 @@ def role_of(mark: Column) -> Column:
     return c.otherwise(unescape(F.substring(mark, F.lit(7), F.length(mark) - 7)))
 
 
-def _placed(turns: DataFrame, block: int) -> DataFrame:
-    """Turns with their block, place ``idx`` (0-based) and token prefix
-    ``pre`` in the conversation."""
+def _blocks(turns: DataFrame, block: int) -> DataFrame:
+    """One row per conversation and block: ``p``, its turns in order as
+    (i from 1, token prefix in the block, tok, role, text)."""
     t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                      F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     t = t.withColumn("b", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long"))
     t = t.withColumn("tok", F.regexp_count("text", F.lit(TOKEN)).cast("long") + OVERHEAD)
-    sums = t.groupBy("conv_id", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("s"))
-    before = Window.partitionBy("conv_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.select(F.col("conv_id").alias("c"), F.col("b").alias("ob"),
-                       F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
-                       F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
-    inside = Window.partitionBy("conv_id", "b").orderBy("turn", "role", "text")
-    t = t.join(offs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("b") == F.col("ob")))
-    return t.select("conv_id", "b", "turn", "role", "text", "tok",
-                    (F.col("n0") + F.row_number().over(inside) - 1).alias("idx"),
-                    (F.col("s0") + F.sum("tok").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-                     - F.col("tok")).alias("pre"))
+    order = Window.partitionBy("conv_id", "b").orderBy("turn", "role", "text")
+    so_far = F.sum("tok").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    x = F.struct(F.row_number().over(order).alias("i"), (so_far - F.col("tok")).alias("pre"), "tok", "role", "text")
+    return t.select("conv_id", "b", x.alias("x")).groupBy("conv_id", "b").agg(
+        F.array_sort(F.collect_list("x")).alias("p"))
+
+
+def _first_system(p: Column) -> Column:
+    return F.get(F.filter(p, lambda x: x["role"] == "system"), F.lit(0))
+
+
+def _earlier(blocks: DataFrame, history_turns: int) -> DataFrame:
+    """For the blocks of conversations with several: what the earlier blocks
+    leave, ``prev`` (their last turns) and ``old`` (their first system turn).
+    One narrow row per block; most conversations have none."""
+    several = (blocks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+               .select(F.col("conv_id").alias("mc")))
+    mine = blocks.join(several, F.col("conv_id").eqNullSafe(F.col("mc")), "left_semi").select(
+        "conv_id", "b", F.slice("p", -F.least(F.lit(max(1, history_turns)), F.size("p")), max(1, history_turns)).alias("tail"),
+        _first_system(F.col("p")).alias("system"))
+    w = Window.partitionBy("conv_id").orderBy("b")
+    return mine.select(
+        F.col("conv_id").alias("ec"), F.col("b").alias("eb"),
+        F.flatten(F.collect_list("tail").over(w.rowsBetween(-max(1, history_turns), -1))).alias("prev"),
+        F.first("system", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("old"))
 
 
 def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS,
@@ -101,70 +117,56 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
     """One row per window: conv_id, block, window, n_tokens, formatted,
     repeated (number of leading turns that are repeats), n_turns, and
     loss_spans, array of (start, end) code points of ``formatted``."""
-    t = stage_table(_placed(turns, block))  # four branches read it
-    system = (t.where(F.col("role") == "system").groupBy("conv_id")
-              .agg(F.min(F.struct("idx", "tok", "text")).alias("sys"))
-              .select(F.col("conv_id").alias("sc"), "sys"))
-    same = F.col("conv_id").eqNullSafe(F.col("sc"))
-
-    # spans: a fold over the block's prefixes
-    blocks = (t.groupBy("conv_id", "b").agg(F.array_sort(F.collect_list(F.struct("idx", "pre", "tok"))).alias("p"))
-              .join(system, same, "left"))
-    room = (F.lit(budget - history_tokens) - F.coalesce(F.col("sys.tok"), F.lit(0))).alias("room")
-    blocks = blocks.select("conv_id", "b", "p", "sys", room)
+    blocks = stage_table(_blocks(turns, block))  # texts are shuffled once; the rest is per row
+    d = (blocks.join(_earlier(blocks, history_turns),
+                     F.col("conv_id").eqNullSafe(F.col("ec")) & (F.col("b") == F.col("eb")), "left")
+         .select("conv_id", "b", "p", "old", F.coalesce("prev", F.slice("p", 1, 0)).alias("prev"),
+                 _first_system(F.col("p")).alias("here")))
+    system_tokens = F.coalesce(F.col("old.tok"), F.col("here.tok"), F.lit(0))
+    d = d.withColumn("room", F.lit(budget - history_tokens) - system_tokens)
 
     def take(s: Column, x: Column) -> Column:
-        first = s["starts"][F.size(s["starts"]) - 1]
-        free = F.when(first["idx"] == 0, F.lit(budget)).otherwise(F.col("room"))
+        first = F.element_at(s, -1)
+        # nothing is repeated in a conversation's first window
+        free = F.when((first["i"] == 1) & (F.size("prev") == 0), F.lit(budget)).otherwise(F.col("room"))
         full = (x["pre"] + x["tok"] - first["pre"] > free) & (x["pre"] > first["pre"])
-        return F.struct(F.when(full, F.concat(s["starts"], F.array(F.struct(x["idx"].alias("idx"), x["pre"].alias("pre")))))
-                        .otherwise(s["starts"]).alias("starts"))
+        return F.when(full, F.concat(s, F.array(F.struct(x["i"].alias("i"), x["pre"].alias("pre"))))).otherwise(s)
 
-    head = F.struct(F.array(F.struct(F.col("p")[0]["idx"].alias("idx"), F.col("p")[0]["pre"].alias("pre"))).alias("starts"))
+    one = F.get(F.col("p"), F.lit(0))
     tail = F.element_at("p", -1)
-    starts = blocks.select("conv_id", "b", "sys", (tail["pre"] + tail["tok"]).alias("end"),
-                           F.aggregate("p", head, take)["starts"].alias("starts"))
-    ends = F.concat(F.transform(F.slice("starts", 2, F.size("starts")), lambda s: s["pre"]), F.array("end"))
-    starts = (starts.select(F.col("conv_id").alias("wc"), F.col("b").alias("wb"), "sys",
-                            F.posexplode(F.arrays_zip("starts", ends.alias("ends"))).alias("w", "x"))
-              .select("wc", "wb", "w", "sys", F.col("x.starts.idx").alias("first"),
-                      F.col("x.starts.pre").alias("first_pre"), F.col("x.ends").alias("stop_pre")))
-
-    # the windows' own turns: each turn belongs to the last start at or before it
-    marks = starts.select(F.col("wc").alias("conv_id"), F.col("wb").alias("b"), F.col("first").alias("idx"), "w")
-    last = (Window.partitionBy("conv_id", "b").orderBy("idx")
-            .rowsBetween(Window.unboundedPreceding, 0))
-    own = (t.join(marks.select(F.col("conv_id").alias("mc"), F.col("b").alias("mb"), F.col("idx").alias("mi"), "w"),
-                  F.col("conv_id").eqNullSafe(F.col("mc")) & (F.col("b") == F.col("mb")) & (F.col("idx") == F.col("mi")),
-                  "left")
-           .withColumn("w", F.last("w", ignorenulls=True).over(last)))
-    own = own.select("conv_id", "b", "w", F.col("idx").alias("at"), F.lit(True).alias("own"), "role", "text", "tok")
-
-    # repeated turns: places before a window's start, unless the system turn itself
-    back = (starts.where(F.col("first") > 0)
-            .select("wc", "wb", "w", "first", "first_pre", "stop_pre", "sys",
-                    F.explode(F.sequence(F.lit(1), F.lit(history_turns))).alias("k")) if history_turns > 0
-            else starts.limit(0).withColumn("k", F.lit(0)))
-    back = back.where(F.col("first") >= F.col("k")).withColumn("hi", F.col("first") - F.col("k"))
-    # a window that one long turn fills repeats no history
-    spare = budget - F.coalesce(F.col("sys.tok"), F.lit(0)) - (F.col("stop_pre") - F.col("first_pre"))
-    history = (t.select(F.col("conv_id"), F.col("idx"), "role", "text", "tok", "pre")
-               .join(back, F.col("conv_id").eqNullSafe(F.col("wc")) & (F.col("idx") == F.col("hi")))
-               .where((F.col("first_pre") - F.col("pre") <= F.least(F.lit(history_tokens), spare))
-                      & ~F.coalesce(F.col("sys.idx") == F.col("idx"), F.lit(False)))
-               .select(F.col("wc").alias("conv_id"), F.col("wb").alias("b"), "w", F.col("idx").alias("at"),
-                       F.lit(False).alias("own"), "role", "text", "tok"))
-    kept = (starts.where(F.col("first") > F.col("sys.idx"))
-            .select(F.col("wc").alias("conv_id"), F.col("wb").alias("b"), "w", F.lit(-1).cast("long").alias("at"),
-                    F.lit(False).alias("own"), F.lit("system").alias("role"), F.col("sys.text").alias("text"),
-                    F.col("sys.tok").alias("tok")))
-
-    rows = own.unionByName(history).unionByName(kept).select(
-        "conv_id", "b", "w", F.struct(
-            "at", "own", (F.col("own") & (F.col("role") == "assistant")).alias("loss"), "tok",
-            opening(F.col("role")).alias("open"), escape(F.col("text")).alias("body"),
-            closing(F.col("role")).alias("close")).alias("turn"))
-    wins = rows.groupBy("conv_id", "b", "w").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    d = d.withColumn("starts", F.aggregate("p", F.array(F.struct(one["i"].alias("i"), one["pre"].alias("pre"))), take))
+    stop = F.array(F.struct((tail["i"] + 1).alias("i"), (tail["pre"] + tail["tok"]).alias("pre")))
+    d = d.withColumn("stops", F.concat(F.slice("starts", 2, F.size("starts")), stop))
+    d = d.select("*", F.posexplode(F.arrays_zip("starts", "stops")).alias("w", "span"))
+    start, end = F.col("span.starts"), F.col("span.stops")
+    d = d.withColumn("own", F.slice("p", start["i"], end["i"] - start["i"]))
+    d = d.withColumn("system", F.when(F.col("old").isNotNull(), F.col("old"))
+                     .when(F.col("here.i") < start["i"], F.col("here")))
+
+    # repeated turns, nearest first, while they fit; a window that one long turn fills has none
+    limit = F.least(F.lit(history_tokens), F.lit(budget) - F.coalesce(F.col("system.tok"), F.lit(0))
+                    - (end["pre"] - start["pre"]))
+    before = F.concat("prev", F.slice("p", F.lit(1), start["i"] - 1))
+    keep = F.least(F.lit(history_turns), F.size(before))
+    near = F.when(keep > 0, F.slice(before, -F.greatest(keep, F.lit(1)), F.greatest(keep, F.lit(1)))).otherwise(
+        F.slice("p", 1, 0))
+    near = F.filter(near, lambda x: ~F.coalesce(x.eqNullSafe(F.col("system")), F.lit(False)))
+    d = d.withColumn("near", near).withColumn("limit", limit)
+    none = F.struct(F.lit(0).cast("long").alias("sum"), F.slice("p", 1, 0).alias("kept"))
+    d = d.withColumn("history", F.aggregate(
+        F.reverse("near"), none,
+        lambda s, x: F.struct((s["sum"] + x["tok"]).alias("sum"),
+                              F.when(s["sum"] + x["tok"] <= F.col("limit"), F.concat(F.array(x), s["kept"]))
+                              .otherwise(s["kept"]).alias("kept")))["kept"])
+
+    def piece(own: bool):
+        return lambda x: F.struct(
+            F.lit(own).alias("own"), (F.lit(own) & (x["role"] == "assistant")).alias("loss"), x["tok"].alias("tok"),
+            opening(x["role"]).alias("open"), escape(x["text"]).alias("body"), closing(x["role"]).alias("close"))
+
+    repeated = F.concat(F.when(F.col("system").isNull(), F.slice("p", 1, 0)).otherwise(F.array("system")), F.col("history"))
+    wins = d.select("conv_id", "b", "w", F.concat(F.transform(repeated, piece(False)),
+                                                  F.transform("own", piece(True))).alias("turns"))
 
     def span(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["open"])
