@@ -96,7 +96,7 @@ class _Shapes(dict):
     """word -> hash of its shape; the words of a worker so far."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = zlib.crc32(shape(word))
         return h
@@ -201,13 +201,15 @@ def classify(docs: DataFrame, model: QualityModel) -> DataFrame:
     def run(batches):
         m = len(LABELLERS)
         for b in batches:
-            parts = [(d, d.split()) for d in ((t or "").encode("utf-8", "surrogatepass") for t in b["text"])]
-            codes = [votes(d, w) for d, w in parts]
-            each = [[c // 3 ** k % 3 for k in range(m)] for c in codes]
-            scores = [model.score(w) for _, w in parts]
-            yield {"doc_id": b["doc_id"], "n_good": [v.count(1) for v in each], "n_bad": [v.count(2) for v in each],
-                   "posterior": [model.posteriors[c] for c in codes], "score": scores,
-                   "kept": [s >= THRESHOLD or not w for s, (_, w) in zip(scores, parts)]}
+            rows = []
+            for t in b["text"]:  # one text's words at a time
+                data = (t or "").encode("utf-8", "surrogatepass")
+                words = data.split()
+                code, score = votes(data, words), model.score(words)
+                each = [code // 3 ** k % 3 for k in range(m)]
+                rows.append((each.count(1), each.count(2), model.posteriors[code], score, score >= THRESHOLD or not words))
+            yield {"doc_id": b["doc_id"], **{k: [r[i] for r in rows] for i, k in enumerate(
+                ("n_good", "n_bad", "posterior", "score", "kept"))}}
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run,
                     "doc_id long, n_good long, n_bad long, posterior double, score double, kept boolean")
@@ -225,8 +227,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            words = [(t or "").encode("utf-8", "surrogatepass").split() for t in b["text"]]
-            at = [i for i, w in enumerate(words) if not w or model.score(w) >= THRESHOLD]
+            at = []
+            for i, t in enumerate(b["text"]):
+                words = (t or "").encode("utf-8", "surrogatepass").split()
+                if not words or model.score(words) >= THRESHOLD:
+                    at.append(i)
             yield {k: [c[i] for i in at] for k, c in b.items()}
 
     return map_rows(docs.select(*DOCUMENT_COLUMNS), run, DOCUMENTS)
