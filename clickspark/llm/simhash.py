@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickspark.llm.common import connected_components, importable, map_rows, table
+from clickspark.llm.common import DOCUMENT_COLUMNS, connected_components, importable, map_rows, table
 from clickspark.staging import stage_table
 
 #: Contract values of the registered query and of the pipeline stage.
@@ -232,6 +232,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the smallest doc_id of each component stays (of repeated
     rows of that id all stay; rows without an id stay)."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    ids = docs.join(keep, "doc_id", "left_semi")
-    return ids.unionByName(docs.where("doc_id is null"))
+    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    keep = keep.union(spark.range(1).select(F.lit(None).cast("long")))
+    d = docs.select(*DOCUMENT_COLUMNS)
+    return d.join(keep, d.doc_id.eqNullSafe(keep.kept), "left_semi")
