@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickspark.operators.cleaning import clean_events
-from clickspark.session import ensure_checkpoint_dir
+from clickspark.staging import shared_root
 
 # Fixed values of the fixture rules: base epoch (2024-01-25 00:00 UTC),
 # day count, day origin, and the hash multipliers.
@@ -111,19 +111,17 @@ _TABLES = {"orders": ["lineitem", "orders", "part"], "events": ["events", "part"
 def clean_fixture(spark: SparkSession, sf_dir: str, fixture: str = "orders") -> DataFrame:
     """Cleaned events of a fixture, written once as Parquet (zstd,
     partitioned by ``date``) under the session's checkpoint folder and read
-    back, as the reference converts once and analyses the Parquet.  Without
-    a shared folder the lazy plan is returned instead."""
+    back, as the reference converts once and analyses the Parquet.  The
+    shared folder is required."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    root = ensure_checkpoint_dir(spark)
-    if not root:
-        return clean_events(ADAPTERS[fixture](spark, sf_dir))
+    root = shared_root(spark)
     # cleaned from the written raw table: the fixture join runs once
     build = lambda: clean_events(raw_fixture(spark, sf_dir, fixture))
     fp = _fingerprint(spark, sf_dir, _TABLES[fixture])
     key = (spark.sparkContext.applicationId, root, sf_dir, fixture, fp)
     df = _MEMO.get(key)
     if df is None:
-        path = f"{root.rstrip('/')}/clickspark_clean/{fixture}_{fp}"
+        path = f"{root}/clickspark_clean/{fixture}_{fp}"
         if not _exists(spark, f"{path}/_SUCCESS"):
             (build().write.mode("overwrite")
              .option("compression", "zstd")
@@ -139,14 +137,12 @@ def raw_fixture(spark: SparkSession, sf_dir: str, fixture: str = "orders") -> Da
     cleaned table; profiling reads raw rows as the reference profiles its
     raw files."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    root = ensure_checkpoint_dir(spark)
-    if not root:
-        return ADAPTERS[fixture](spark, sf_dir)
+    root = shared_root(spark)
     fp = _fingerprint(spark, sf_dir, _TABLES[fixture])
     key = (spark.sparkContext.applicationId, root, sf_dir, "raw", fixture, fp)
     df = _MEMO.get(key)
     if df is None:
-        path = f"{root.rstrip('/')}/clickspark_raw/{fixture}_{fp}"
+        path = f"{root}/clickspark_raw/{fixture}_{fp}"
         if not _exists(spark, f"{path}/_SUCCESS"):
             ADAPTERS[fixture](spark, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)
         from clickspark.schema import RAW_COLUMNS

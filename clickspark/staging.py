@@ -19,13 +19,18 @@ _SCOPES: list[tuple[str, list[str]]] = []
 _OWNED: dict[str, SparkSession] = {}
 
 
-def shared_folder(spark: SparkSession, kind: str = "clickspark_tables") -> str:
-    """A folder of this application under the shared checkpoint folder."""
+def shared_root(spark: SparkSession) -> str:
+    """The shared checkpoint folder; an error where none is set."""
     root = ensure_checkpoint_dir(spark)
     if not root:
         raise ValueError("spark.checkpoint.dir is not set: the library keeps intermediate tables in "
                          "that shared folder; set it to storage that every executor can reach")
-    folder = f"{root.rstrip('/')}/{kind}/{spark.sparkContext.applicationId}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, kind: str = "clickspark_tables") -> str:
+    """A folder of this application under the shared checkpoint folder."""
+    folder = f"{shared_root(spark)}/{kind}/{spark.sparkContext.applicationId}"
     if folder not in _OWNED:
         if not _OWNED:
             atexit.register(release_all)
