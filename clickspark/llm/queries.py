@@ -17,4 +17,18 @@ QUERIES = {
     "op9_warc": warc.query,
     "op10_secret_scan": secret_scan.query,
 }
-ORACLE: dict[str, str] = {}
+
+# base32 digit j of a SHA-1: five bits from the (j / 4)th group of five hex digits
+_OP9 = """WITH p AS (SELECT page_id, octet_length(encode(COALESCE(html, ''))) AS payload_bytes, sha1(COALESCE(html, '')) AS h
+  FROM pages),
+d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(h, 1 + 5 * CAST(j // 4 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (j % 4) AS INTEGER)) & 31), 1),
+    '' ORDER BY j) AS payload_digest
+  FROM (SELECT DISTINCT h FROM p) x CROSS JOIN range(32) r(j) GROUP BY h),
+o AS (SELECT h, MAX(page_id) AS owner FROM p GROUP BY h)
+SELECT p.page_id, p.payload_bytes, d.payload_digest,
+  CASE WHEN o.owner IS NOT NULL AND p.page_id IS DISTINCT FROM o.owner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id IS DISTINCT FROM o.owner THEN o.owner END AS refers_to
+FROM p JOIN d ON p.h = d.h JOIN o ON p.h = o.h"""
+
+ORACLE: dict[str, str] = {"op9_warc": _OP9}
