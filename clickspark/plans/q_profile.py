@@ -41,6 +41,23 @@ def _si(spark, d):
                                            "events.parquet", "clickstream_2019_oct.csv"])
 
 
+INVENTORY = ("lineitem", "orders", "part", "events")
+
+
+@query("source_inventory_rows", "\nUNION ALL ".join(
+    [f"SELECT '{n}.parquet' AS name, 'found' AS status, COUNT(*) AS \"rows\" FROM {n}" for n in INVENTORY]
+    + ["SELECT 'clickstream_2019_oct.csv', 'not_found', CAST(NULL AS BIGINT)"]))
+def _sir(spark, d):
+    """The inventory, with the rows that a scan of each found table gives."""
+    inv = _si(spark, d)
+    rows = None
+    for n in INVENTORY:
+        one = (spark.read.parquet(f"{d.rstrip('/')}/{n}.parquet").agg(F.count(F.lit(1)).alias("rows"))
+               .select(F.lit(f"{n}.parquet").alias("name"), "rows"))
+        rows = one if rows is None else rows.union(one)
+    return inv.select("name", "status").join(rows, "name", "left")
+
+
 @query("file_profile", raw_sql(FILE_PROFILE_SQL.format(f="source_file")))
 def _fp(spark, d):
     return pr.file_profile(raw_tagged(spark, d))

@@ -99,12 +99,13 @@ def _tad(spark, d):
     return va.target_audience(seg(spark, d), "Dormant").select(*AUD)
 
 
-# A stand-in probability spread over [0, 1) by the user's number, and users of
-# the event fixture without views: every label of N98 occurs.
+# A stand-in probability spread over [0, 1) by the user's number, and users from
+# whom views are taken away and carts cut to one: every label of N98 and every
+# targeting rule has rows.
 SPREAD = f"""sp AS (SELECT *, CAST((user_id * 37) % 100 AS DOUBLE) / 100.0 AS purchase_probability,
     CAST((user_id * 53) % 100 AS DOUBLE) / 100.0 AS abandon_probability FROM
     (SELECT user_id, total_events, views * CASE WHEN user_id % 9 = 0 THEN 0 ELSE 1 END AS views,
-       carts * CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END AS carts, past_purchases, unique_products, label,
+       CASE WHEN user_id % 3 = 0 THEN 0 ELSE LEAST(carts, 1) END AS carts, past_purchases, unique_products, label,
        active_span_sec, events_per_day, cart_to_view_ratio, product_diversity, has_past_purchase, purchase_rate FROM ml) m),
 clvr AS (SELECT *, ln(1 + purchase_probability * ln(1 + total_events) * (carts + 1) * (1 + has_past_purchase)) AS clv_log FROM sp),
 nrm AS (SELECT *, {rnp('(clv_log - (SELECT MIN(clv_log) FROM clvr)) / ((SELECT MAX(clv_log) FROM clvr) - (SELECT MIN(clv_log) FROM clvr) + 1e-9) * 100.0')} AS clv_score_norm FROM clvr),
@@ -119,7 +120,7 @@ def five(spark, d):
     m = ml(spark, d)
     user = F.col("user_id")
     m = (m.withColumn("views", F.when(user % 9 == 0, 0).otherwise(F.col("views")).cast("long"))
-          .withColumn("carts", F.when(user % 3 == 0, 0).otherwise(F.col("carts")).cast("long"))
+          .withColumn("carts", F.when(user % 3 == 0, 0).otherwise(F.least(F.col("carts"), F.lit(1))).cast("long"))
           .withColumn("purchase_probability", (user * 37 % 100).cast("double") / 100.0)
           .withColumn("abandon_probability", (user * 53 % 100).cast("double") / 100.0))
     return va.value_segment(va.clv_score(stage_table(m)))
