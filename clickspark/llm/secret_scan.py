@@ -5,8 +5,9 @@ string that follows a sensitive word is a candidate, and its novelty is the
 number of bytes it adds to a zstandard stream primed with a dictionary made
 of common identifiers and of the text around it.  Strings that compress
 (names, words, copies of what stands nearby) add few bytes; strings whose
-added bytes come to ``min_novelty`` of their length are reported as kind
-``novel``, unless a base span covers them.
+added bytes come to ``min_novelty`` of what their own characters add in a
+shuffled order (a random string of that length and alphabet) are reported as
+kind ``novel``, unless a base span covers them.
 
 One scan, no shuffle.  Null and empty texts have no spans; long texts are
 searched whole; repeated rows give equal rows; other columns are ignored; an
@@ -15,7 +16,10 @@ empty table gives an empty result."""
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -39,8 +43,9 @@ _CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
 #: A candidate starts within this many characters after the sensitive word.
 REACH = 48
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
-#: Least added bytes per character, and characters of text around a candidate.
-MIN_NOVELTY, AROUND = 0.85, 1024
+#: Least added bytes (as a share of those of the shuffled candidate), least
+#: bits per character (order 0), and characters of text around a candidate.
+MIN_NOVELTY, MIN_BITS, AROUND = 0.85, 2.0, 1024
 
 #: Identifiers that code and configuration share, the fixed part of the dictionary.
 IDENTIFIERS = (
@@ -68,14 +73,34 @@ def base_spans(text: str) -> list[tuple[int, str, int, int]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def _primed(around: str) -> zstandard.ZstdCompressor:
+    primer = IDENTIFIERS + b" " + around.encode("utf-8", "surrogatepass")
+    return zstandard.ZstdCompressor(
+        level=19, dict_data=zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+
+def _added(primed: zstandard.ZstdCompressor, data: bytes) -> int:
+    return len(primed.compress(data)) - len(primed.compress(b""))
+
+
 def novelty(candidate: str, around: str) -> float:
     """Bytes per character that ``candidate`` adds to a stream primed with
     the identifiers and the text ``around`` it."""
-    primer = IDENTIFIERS + b" " + around.encode("utf-8", "surrogatepass")
-    primed = zstandard.ZstdCompressor(
-        level=19, dict_data=zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
     data = candidate.encode("utf-8", "surrogatepass")
-    return (len(primed.compress(data)) - len(primed.compress(b""))) / len(data)
+    return _added(_primed(around), data) / len(data)
+
+
+def is_novel(candidate: str, around: str, min_novelty: float = MIN_NOVELTY) -> bool:
+    """Whether ``candidate`` adds about as much as its characters do in any
+    order: long random strings are entropy-coded to what their alphabet
+    allows, so the bound follows length and alphabet."""
+    data = candidate.encode("utf-8", "surrogatepass")
+    n = len(data)
+    if -sum(k * math.log2(k / n) for k in Counter(data).values()) < MIN_BITS * n:
+        return False
+    primed = _primed(around)
+    mixed = bytes(random.Random(n).sample(data, n))
+    return _added(primed, data) >= min_novelty * min(n, _added(primed, mixed))
 
 
 def novel_spans(text: str, base: list[tuple[int, str, int, int]], min_novelty: float = MIN_NOVELTY,
@@ -97,7 +122,7 @@ def novel_spans(text: str, base: list[tuple[int, str, int, int]], min_novelty: f
             if any(x[0] < b and a < x[2] for x in base):
                 continue
             near = text[max(0, a - around):a] + " " + text[b:b + around]
-            if novelty(s, near) >= min_novelty:
+            if is_novel(s, near, min_novelty):
                 out.append((a, "novel", b, a))
     return out
 

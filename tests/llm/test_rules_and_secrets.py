@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -123,6 +124,24 @@ def test_novelty():
     assert S.scan("the authorization of internationalization and misunderstandings")[1] == []
 
 
+HEX, BASE36 = "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789"
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+BEARER = "It ran on the staging host yesterday. Authorization: Bearer {} and then the answer came back."
+
+
+def test_random_secrets_of_all_lengths_and_alphabets():
+    draw = random.Random(5)
+    for alphabet in (HEX, BASE36, BASE64):
+        for n in (20, 32, 64, 128, 400, 800, 2000):
+            kept = 0
+            for _ in range(20):
+                s = "".join(draw.choices(alphabet, k=n))
+                kept += s in S.redact(BEARER.format(s))
+            assert kept <= 1, (alphabet, n, kept)
+    for s in ("x1" * 40, "X" * 40 + "1", "0123456789abcdefghijklmnopqrstuvwxyz"):
+        assert S.redact(BEARER.format(s)) == BEARER.format(s), s
+
+
 def test_redaction_and_edges(spark, edge, empty):
     assert S.redact("a password = hunter2hunter2; b") == "a password = [SECRET]; b"
     assert S.redact("token=" + "0123456789abcdef" * 2 + " end") == "token=[SECRET] end"
