@@ -3,11 +3,14 @@
 The base rules are three patterns.  The method looks further: any token-like
 string that follows a sensitive word is a candidate, and its novelty is the
 number of bytes it adds to a zstandard stream primed with a dictionary made
-of common identifiers and of the text around it.  Strings that compress
-(names, words, copies of what stands nearby) add few bytes; strings whose
+of common identifiers and of the text around it, with all candidates blanked
+out (a key that stands twice is no less a key).  Strings that compress (names,
+words) add few bytes; strings whose
 added bytes come to ``min_novelty`` of what their own characters add in a
 shuffled order (a random string of that length and alphabet) are reported as
-kind ``novel``, unless a base span covers them.
+kind ``novel``, unless a base span covers them.  Every distinct string is
+judged once, where it first follows a sensitive word, and reported wherever it
+stands in the text.
 
 One scan, no shuffle.  Null and empty texts have no spans; long texts are
 searched whole; repeated rows give equal rows; other columns are ignored; an
@@ -42,7 +45,9 @@ SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "apikey", "a
 _CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
 #: A candidate starts within this many characters after the sensitive word.
 REACH = 48
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_~-][A-Za-z0-9+/_=.~-]{14,}[A-Za-z0-9+/_=~-]")
+#: What names a candidate in the same unbroken run: ``client_id=``.
+_NAME = re.compile(rf"[a-z_.-]{{0,64}}(?:{_CONTEXT.pattern})[a-z_.-]{{0,64}}=+(?=[^=]{{16}})", re.I | re.A)
 #: Least added bytes (as a share of those of the shuffled candidate), least
 #: bits per character (order 0), and characters of text around a candidate.
 MIN_NOVELTY, MIN_BITS, AROUND = 0.85, 2.0, 1024
@@ -103,11 +108,29 @@ def is_novel(candidate: str, around: str, min_novelty: float = MIN_NOVELTY) -> b
     return _added(primed, data) >= min_novelty * min(n, _added(primed, mixed))
 
 
-def novel_spans(text: str, base: list[tuple[int, str, int, int]], min_novelty: float = MIN_NOVELTY,
-                around: int = AROUND) -> list[tuple[int, str, int, int]]:
-    low = text.lower()
-    if not any(k in low for k in SENSITIVE):
+def occurrences(text: str, strings) -> list[tuple[int, int]]:
+    """Spans of ``strings`` in the text from left to right, the longest first
+    where several start."""
+    if not strings:
         return []
+    head = min(map(len, strings))
+    by_head: dict[str, dict[int, set[str]]] = {}
+    for s in strings:
+        by_head.setdefault(s[:head], {}).setdefault(len(s), set()).add(s)
+    by_head = {h: sorted(by.items(), reverse=True) for h, by in by_head.items()}
+    out, i, last = [], 0, len(text) - head
+    while i <= last:
+        for n, same in by_head.get(text[i:i + head], ()):
+            if text[i:i + n] in same:
+                out.append((i, i + n))
+                i += n - 1
+                break
+        i += 1
+    return out
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of the strings that follow a sensitive word."""
     out, done = [], 0
     for word in _CONTEXT.finditer(text):
         for m in _CANDIDATE.finditer(text, max(done, word.end())):
@@ -115,18 +138,40 @@ def novel_spans(text: str, base: list[tuple[int, str, int, int]], min_novelty: f
                 break
             a, b = m.span()
             done = b
-            s = m[0]
+            name = _NAME.match(text, a, b)
+            a = name.end() if name else a
+            s = text[a:b]
             # words, numbers and paths alone are not keys: letters and digits must mix
-            if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-                continue
-            if any(x[0] < b and a < x[2] for x in base):
-                continue
-            near = text[max(0, a - around):a] + " " + text[b:b + around]
-            if is_novel(s, near, min_novelty):
-                out.append((a, "novel", b, a))
+            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+                out.append((a, b))
     return out
 
 
+def novel_spans(text: str, base: list[tuple[int, str, int, int]], min_novelty: float = MIN_NOVELTY,
+                around: int = AROUND) -> list[tuple[int, str, int, int]]:
+    low = text.lower()
+    if not any(k in low for k in SENSITIVE):
+        return []
+
+    def free(a: int, b: int) -> bool:
+        return not any(x[0] < b and a < x[2] for x in base)
+
+    first: dict[str, tuple[int, int]] = {}
+    for a, b in candidates(text):
+        if free(a, b):
+            first.setdefault(text[a:b], (a, b))
+    if not first:
+        return []
+    parts, at = [], 0
+    for a, b in occurrences(text, first):
+        parts += [text[at:a], " " * (b - a)]
+        at = b
+    blank = "".join(parts) + text[at:]
+    found = {s for s, (a, b) in first.items()
+             if is_novel(s, blank[max(0, a - around):a] + " " + blank[b:b + around], min_novelty)}
+    return [(a, "novel", b, a) for a, b in occurrences(text, found) if free(a, b)]
+
+
 def scan(text: str | None, min_novelty: float = MIN_NOVELTY) -> tuple[list, list]:
     """Base spans and all spans, each sorted by start, then kind."""
     text = text or ""

@@ -142,6 +142,16 @@ def test_random_secrets_of_all_lengths_and_alphabets():
         assert S.redact(BEARER.format(s)) == BEARER.format(s), s
 
 
+def test_repeated_secrets_are_found_at_every_place():
+    draw = random.Random(6)
+    for _ in range(20):
+        s, other = ("".join(draw.choices(BASE64, k=40)) + "7q" for _ in range(2))
+        t = f"first line\nkey {s} here\ncurl -H 'Authorization: Bearer {s}' x\nclient_id={s}\nBearer {other}\n{other}."
+        assert S.redact(t) == t.replace(s, "[SECRET]").replace(other, "[SECRET]")
+    # the longest of several, and no overlaps
+    assert S.occurrences("abcdabcdeabc", {"abc", "abcde"}) == [(0, 3), (4, 9), (9, 12)]
+
+
 def test_redaction_and_edges(spark, edge, empty):
     assert S.redact("a password = hunter2hunter2; b") == "a password = [SECRET]; b"
     assert S.redact("token=" + "0123456789abcdef" * 2 + " end") == "token=[SECRET] end"
