@@ -1,7 +1,8 @@
 """Secret scans: pattern rules plus dictionary-primed zstandard novelty.
 
-The base rules are three patterns.  The method looks further: any token-like
-string that follows a sensitive word is a candidate, and its novelty is the
+The base rules are three patterns.  The method looks further: any unbroken
+string of 16 characters that follows a sensitive word is a candidate, as is a
+value of 8 right after its assignment mark, and its novelty is the
 number of bytes it adds to a zstandard stream primed with a dictionary made
 of common identifiers and of the text around it, with all candidates blanked
 out (a key that stands twice is no less a key).  Strings that compress (names,
@@ -10,7 +11,12 @@ added bytes come to ``min_novelty`` of what their own characters add in a
 shuffled order (a random string of that length and alphabet) are reported as
 kind ``novel``, unless a base span covers them.  Every distinct string is
 judged once, where it first follows a sensitive word, and reported wherever it
-stands in the text.
+stands in the text.  As zstandard cannot match under three bytes, a word that
+the dictionary lacks looks new to it: a candidate is also spelt as words and
+numbers by the dictionary's letter pairs, and dropped when that takes fewer
+bits than uniform draws from its alphabet.  That spelling is a proper code, so
+it can beat uniform draws on few random strings.  Passphrases made of plain
+words are words to it.
 
 One scan, no shuffle.  Null and empty texts have no spans; long texts are
 searched whole; repeated rows give equal rows; other columns are ignored; an
@@ -22,6 +28,8 @@ import hashlib
 import math
 import random
 import re
+import string
+from bisect import bisect_right
 from collections import Counter
 
 import zstandard
@@ -45,12 +53,21 @@ SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "apikey", "a
 _CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
 #: A candidate starts within this many characters after the sensitive word.
 REACH = 48
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_~-][A-Za-z0-9+/_=.~-]{14,}[A-Za-z0-9+/_=~-]")
+#: An ampersand, unless it starts the next parameter or a character entity.
+_AND = r"&(?![A-Za-z_]\w*[=;]|#\w{1,6};)"
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_~!#$%^*@-](?:[A-Za-z0-9+/_=.~!#$%^*?@-]|{_AND}){{14,}}"
+                        r"[A-Za-z0-9+/_=~!#$%^*@-]")
+#: A value after a sensitive word's assignment mark: in quotes, or unbroken.
+MIN_VALUE = 8
+_SCHEME = r"(?:(?:basic|bearer|token)[ \t]{1,8})?"
+_VALUE = re.compile(r"""[A-Za-z0-9_-]{0,32}["'\])]{0,2}[ \t]{0,8}(?::=|=>|==?|:)[ \t]{0,8}"""
+                    rf"""(?:(["'`]){_SCHEME}((?:(?!\1)[ -~]){{8,}})\1|"""
+                    rf"""(?:["'`]|&quot;|&#39;)?{_SCHEME}((?:[!#-%(-+\--:=?-_a-~]|{_AND}){{8,}}))""", re.I | re.A)
 #: What names a candidate in the same unbroken run: ``client_id=``.
-_NAME = re.compile(rf"[a-z_.-]{{0,64}}(?:{_CONTEXT.pattern})[a-z_.-]{{0,64}}=+(?=[^=]{{16}})", re.I | re.A)
+_NAME = re.compile(rf"[a-z_.-]{{0,64}}(?:{_CONTEXT.pattern})[a-z_.-]{{0,64}}=+", re.I | re.A)
 #: Least added bytes (as a share of those of the shuffled candidate), least
 #: bits per character (order 0), and characters of text around a candidate.
-MIN_NOVELTY, MIN_BITS, AROUND = 0.85, 2.0, 1024
+MIN_NOVELTY, MIN_BITS, AROUND = 0.85, 1.5, 1024
 
 #: Identifiers that code and configuration share, the fixed part of the dictionary.
 IDENTIFIERS = (
@@ -63,6 +80,69 @@ IDENTIFIERS = (
     "import from return function class public static void const string integer boolean application controller "
     "repository service manager factory handler provider configuration authentication").encode()
 
+#: Common words of several languages, for letter pairs beside the identifiers.
+WORDS = (
+    "the and that have with this from they would there their what about which when make like time just know people into "
+    "year your good some could them other than then look only come over think also back after work first well even want "
+    "because these give most required expired missing invalid certificate signature unknown disabled enabled optional "
+    "encrypted protected department government international understanding development information university community "
+    "president management experience different important company business question national something available "
+    "technology education performance environment individual organization particular production security standard "
+    "johnson williams anderson thompson martinez robinson michael jennifer elizabeth christopher alexander katherine "
+    "string number object request response header server client database password username email address message default "
+    "value index file path token session user service python javascript library package module version release update "
+    "der die und das nicht eine werden sein haben wurde durch zwischen gesellschaft verwaltung wissenschaft entwicklung "
+    "schreiben freundlich zugangsdaten kennwort berechtigung beispiel les des une pour dans avec sont cette comme mais "
+    "plus tout entre gouvernement connaissance utilisateur identifiant maintenant toujours quelque los las una para por "
+    "como pero todos cuando desde entonces siempre nosotros informacion contrasena usuario ejemplo gobierno trabajo "
+    "questo della sono anche perche sempre lavoro tempo").encode()
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|.", re.S)
+#: Alphabets a random string may be drawn from, the narrowest first.
+_ALPHABETS = [(len(a), frozenset(a)) for a in (
+    "0123456789", "0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase,
+    string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters,
+    string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/",
+    string.ascii_letters + string.digits + "-_", string.ascii_letters + string.digits + "+/=-_.",
+    string.ascii_letters + string.digits + string.punctuation)]
+
+
+def _pair_bits() -> list[list[float]]:
+    """-log2 P(second letter | first), 0 for a word's edge."""
+    count = [[0.25] * 27 for _ in range(27)]
+    for word in re.findall("[a-z]+", (IDENTIFIERS + b" " + WORDS).decode().lower()):
+        if word not in (string.ascii_lowercase, "x" * 16):
+            codes = [0, *(ord(c) - 96 for c in word), 0]
+            for a, b in zip(codes, codes[1:]):
+                count[a][b] += 1
+    return [[math.log2(sum(row) / n) for n in row] for row in count]
+
+
+_PAIRS = _pair_bits()
+
+
+def spelt_bits(s: str) -> float:
+    """Bits of ``s`` as words, numbers and signs: the kind of every piece,
+    letters by pairs, digits with their end, signs (the common ones shorter)."""
+    bits = 0.0
+    for piece in _PIECE.findall(s):
+        bits += math.log2(5)
+        if piece.isalpha() and piece.isascii():
+            codes = [0, *(ord(c) - 96 for c in piece.lower()), 0]
+            bits += sum(_PAIRS[a][b] for a, b in zip(codes, codes[1:]))
+        elif piece.isdigit() and piece.isascii():
+            bits += len(piece) * (1 + math.log2(10))
+        else:
+            bits += 1 + math.log2(6 if piece in "_-./= " else 27)
+    return bits
+
+
+def is_spelt(s: str) -> bool:
+    """Whether ``s`` is shorter as words and numbers than drawn at random."""
+    drawn = set(s)
+    size = next((n for n, a in _ALPHABETS if drawn <= a), 95)
+    return spelt_bits(s) < len(s) * math.log2(size)
+
+
 
 def base_spans(text: str) -> list[tuple[int, str, int, int]]:
     """(start, kind, end, start of the secret itself) of the base rules."""
@@ -133,6 +213,15 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of the strings that follow a sensitive word."""
     out, done = [], 0
     for word in _CONTEXT.finditer(text):
+        value = _VALUE.match(text, word.end())
+        if value:
+            a, b = value.span(2 if value[2] else 3)
+            if not value[2]:
+                while b > a and (text[b - 1] in ".:" or text[b - 1] in ")]}" and not
+                                 any(c in "([{" for c in text[a:b])):
+                    b -= 1
+            if b - a >= MIN_VALUE:
+                out.append((a, b))  # and the unbroken strings in it, below
         for m in _CANDIDATE.finditer(text, max(done, word.end())):
             if m.start() > word.end() + REACH:
                 break
@@ -140,9 +229,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
             done = b
             name = _NAME.match(text, a, b)
             a = name.end() if name else a
-            s = text[a:b]
-            # words, numbers and paths alone are not keys: letters and digits must mix
-            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+            if b - a >= MIN_VALUE:
                 out.append((a, b))
     return out
 
@@ -153,8 +240,16 @@ def novel_spans(text: str, base: list[tuple[int, str, int, int]], min_novelty: f
     if not any(k in low for k in SENSITIVE):
         return []
 
+    covers: list[list[int]] = []  # base spans, joined
+    for x, _, y, _ in base:
+        if covers and x <= covers[-1][1]:
+            covers[-1][1] = max(covers[-1][1], y)
+        else:
+            covers.append([x, y])
+
     def free(a: int, b: int) -> bool:
-        return not any(x[0] < b and a < x[2] for x in base)
+        k = bisect_right(covers, [a, len(text) + 1]) - 1
+        return k < 0 or covers[k][1] < b
 
     first: dict[str, tuple[int, int]] = {}
     for a, b in candidates(text):
@@ -168,7 +263,7 @@ def novel_spans(text: str, base: list[tuple[int, str, int, int]], min_novelty: f
         at = b
     blank = "".join(parts) + text[at:]
     found = {s for s, (a, b) in first.items()
-             if is_novel(s, blank[max(0, a - around):a] + " " + blank[b:b + around], min_novelty)}
+             if not is_spelt(s) and is_novel(s, blank[max(0, a - around):a] + " " + blank[b:b + around], min_novelty)}
     return [(a, "novel", b, a) for a, b in occurrences(text, found) if free(a, b)]
 
 

@@ -152,6 +152,28 @@ def test_repeated_secrets_are_found_at_every_place():
     assert S.occurrences("abcdabcdeabc", {"abc", "abcde"}) == [(0, 3), (4, 9), (9, 12)]
 
 
+def test_candidates_of_any_characters():
+    draw = random.Random(7)
+    signs = "".join(sorted({*BASE64} - {*"+/"})) + "!#$%&*+-/?@^_~"
+    for form, n, alphabet in ((BEARER, 16, BASE64[:52]), (BEARER, 16, "0123456789"), (BEARER, 16, signs),
+                              ("passphrase: {}\nx", 8, BASE64[:62]), ("passphrase: {}\nx", 10, signs),
+                              ("my pwd = '{}' x", 8, signs), ("credential={}&user=bob", 15, BASE64[:62])):
+        kept = 0
+        for _ in range(50):
+            ends = draw.choices([c for c in alphabet if c.isalnum()], k=2)
+            s = ends[0] + "".join(draw.choices(alphabet, k=n - 2)) + ends[1]
+            kept += S.redact(form.format(s)) != form.format("[SECRET]")
+        assert kept <= 4, (form, n, kept)
+    assert S.redact("(pwd: x7#Kp!29vQ)\npassword: hunter2x#Kp!29q") == "(pwd: [SECRET])\npassword: [SECRET]"
+    assert S.redact("pwd=&quot;x7#Kp!29vQ&quot;") == "pwd=&quot;[SECRET]&quot;"
+    for t in ("credential: certificate", "signature: Elizabeth Thompson", "pwd = config.database.main",
+              "authorization: https://example.com/oauth/login", "credential = hashlib.sha256(data)",
+              "pwd: ================ x", "client_id = os.environ.get('CLIENT_ID')", "passphrase: [SECRET] of",
+              "credential ApplicationControllerFactoryProvider", "bearer anticonstitutionnellement responsabilidades",
+              "authorization from someone.else@example.com"):
+        assert S.redact(t) == t
+
+
 def test_redaction_and_edges(spark, edge, empty):
     assert S.redact("a password = hunter2hunter2; b") == "a password = [SECRET]; b"
     assert S.redact("token=" + "0123456789abcdef" * 2 + " end") == "token=[SECRET] end"
