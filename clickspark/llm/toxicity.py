@@ -114,23 +114,46 @@ def lattice(word: str) -> list[list[tuple[str, float, int]]]:
             arcs[i].append(("", C_DROP, i + 1))
         if not c.isalpha():
             arcs[i].append((" ", C_STAY, i + 1))
+        if not (c.isalpha() or c in LEET) or (i and word[i - 1] == c):
+            continue
         j = i + 1
         while j < n and word[j] == c:
             j += 1
-        if j - i >= 3 and (c.isalpha() or c in LEET) and (i == 0 or word[i - 1] != c):
+        if j - i >= 3:
             for x in (c if c.isalpha() else LEET[c]):
                 arcs[i] += [(x, C_RUN, j), (x + x, C_RUN, j)]
     return arcs
 
 
+def _letters(node, stop=None) -> str:
+    """The letters of a path of (position, node before, letters), from ``stop`` on."""
+    out = []
+    while node is not stop:
+        out.append(node[2])
+        node = node[1]
+    return "".join(reversed(out))
+
+
+def _before(a, b) -> bool:
+    """Whether path ``a`` reads before path ``b``; compared from where they part."""
+    x, y = a, b
+    while x is not y:
+        if y is None or x is not None and x[0] >= y[0]:
+            x = x[1]
+        else:
+            y = y[1]
+    return _letters(a, x) < _letters(b, x)
+
+
 def restore(word: str, lm: list) -> str:
-    """The least-cost reading of a word's lattice."""
+    """The least-cost reading of a word's lattice.  States hold the node
+    they were reached from, not what was read, so memory is linear."""
     arcs = lattice(word)
     codes = {c: int(char_codes(c)[0]) if c != " " else 0 for a in arcs for s, _, _ in a for c in s}
     best: list[dict] = [{} for _ in range(len(word) + 1)]
-    best[0][0, 0] = (0.0, "")
+    best[0][0, 0] = (0.0, None)
     for i, a in enumerate(arcs):
-        for (p, q), (cost, out) in best[i].items():
+        for (p, q), (cost, node) in best[i].items():
             for s, extra, j in a:
                 u, v, c = p, q, cost + extra
                 for ch in s:
@@ -139,10 +162,19 @@ def restore(word: str, lm: list) -> str:
                         c += lm[u][v][w]
                     u, v = v, w
                 old = best[j].get((u, v))
-                if old is None or (c, out + s) < old:
-                    best[j][u, v] = (c, out + s)
-    ends = [(c + lm[u][v][0], out) for (u, v), (c, out) in best[-1].items()]
-    return min(ends)[1]
+                if old is None or c < old[0]:
+                    best[j][u, v] = (c, (j, node, s))
+                elif c == old[0]:
+                    new = (j, node, s)
+                    if _before(new, old[1]):
+                        best[j][u, v] = (c, new)
+        best[i] = {}
+    cost, node = math.inf, None
+    for (u, v), (c, end) in best[-1].items():
+        c += lm[u][v][0]
+        if c < cost or c == cost and _before(end, node):
+            cost, node = c, end
+    return _letters(node)
 
 
 _RUN = re.compile(r"(.)\1\1")

@@ -1,4 +1,6 @@
 import math
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -103,6 +105,43 @@ def test_viterbi_equals_all_paths(spark):
     assert r.text(None) == set()
 
 
+def string_restore(word, lm):
+    """Viterbi that holds every state's whole reading."""
+    arcs = X.lattice(word)
+    best = [{} for _ in range(len(word) + 1)]
+    best[0][0, 0] = (0.0, "")
+    for i, a in enumerate(arcs):
+        for (p, q), (cost, out) in best[i].items():
+            for s, extra, j in a:
+                u, v, c = p, q, cost + extra
+                for ch in s:
+                    w = 0 if ch == " " else int(X.char_codes(ch)[0])
+                    if not (w == 0 == v):
+                        c += lm[u][v][w]
+                    u, v = v, w
+                if (u, v) not in best[j] or (c, out + s) < best[j][u, v]:
+                    best[j][u, v] = (c, out + s)
+    return min((c + lm[u][v][0], out) for (u, v), (c, out) in best[-1].items())[1]
+
+
+def test_restoration_of_long_tokens_takes_linear_memory():
+    counts = np.random.default_rng(3).integers(0, 50, (X.ALPHABET,) * 3)
+    lm, flat = X.language_model(counts).tolist(), np.zeros((X.ALPHABET,) * 3).tolist()
+    draw = random.Random(4)
+    for _ in range(300):
+        w = "".join(draw.choices("ab1il|*-. 00$s", k=draw.randint(1, 40)))
+        for m in (lm, flat):  # without a language model most readings cost the same
+            assert X.restore(w, m) == string_restore(w, m), w
+    peaks = []
+    for n in (10_000, 20_000):
+        w = "".join(draw.choices("0123456789abcdef", k=n))
+        tracemalloc.start()
+        assert len(X.restore(w, lm)) >= 0.9 * n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2.6 * peaks[0] and peaks[1] < 100 << 20
+
+
 def test_toxicity_query_held_out(spark, sf):
     big = sf.replace("0.001", "0.1")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
