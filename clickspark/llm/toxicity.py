@@ -3,10 +3,13 @@
 1. Character language model: trigram counts of the lower-cased letters of
    all documents (summed in the tasks, at most ALPHABET^3 rows).
 2. Restoration: every word is a lattice. Plain words have one path. Words with
-   digits or signs among letters, with runs of three or more equal letters,
-   and single characters spaced out in a row have several: signs that stand
-   for letters, runs of one or two letters, separators that vanish. Viterbi
-   decoding picks the path with the least channel plus language-model cost.
+   digits or signs among letters and with runs of three or more equal letters
+   have several: signs that stand for letters, runs of one or two letters,
+   separators that vanish. Viterbi decoding picks the path with the least
+   channel plus language-model cost. Characters spaced out in a row are one
+   lattice whose gaps vanish or end a word, wide gaps more likely the latter;
+   every word between two breaks that some path within MARGIN of the best one
+   takes is read.
 3. Score: logistic regression on the restored words and their beginnings,
    learned from a bounded sample of labelled, not held-out rows
    (``TRAIN_DOCS``); evidence is counted once per document.
@@ -43,6 +46,10 @@ SEPARATORS = frozenset(".-_*~'`^,:;/\\ ")
 #: Channel costs (nats): sign for letter, unknown letter, repeated letters,
 #: dropped separator, character that stays as it is though no letter.
 C_LEET, C_WILD, C_RUN, C_DROP, C_STAY = 0.7, 2.0, 0.3, 0.7, 12.0
+#: In spaced runs: a gap that ends a word, a wide gap that does or does not,
+#: a doubled letter read as one; breaks looked at, longest word between them.
+C_BREAK, C_WIDE_BREAK, C_WIDE_DROP, C_DOUBLE = 0.7, 0.1, 3.0, 1.5
+MARGIN, MAX_SPACED = 6.0, 24
 
 #: a-z are 1-26, U+00DF-U+00FF 27-59, other letters 60, all else 0.
 ALPHABET = 61
@@ -177,6 +184,93 @@ def restore(word: str, lm: list) -> str:
     return _letters(node)
 
 
+#: Characters, alone or two or three alike, with gaps between.
+_SPACED = re.compile(r"(?<!\S)(\S)\1{0,2}(?!\S)(?:\s+(\S)\2{0,2}(?!\S))+")
+_GAP = re.compile(r"\s+")
+
+
+def spaced_lattice(run: str) -> list[list[tuple[str, float, int]]]:
+    """Arcs of a spaced run, its gaps written as " " (narrow) or "\\n" (wide)."""
+    arcs = lattice(run)
+    for i, c in enumerate(run):
+        if c in " \n":
+            wide = c == "\n"
+            arcs[i] = [("", C_WIDE_DROP if wide else C_DROP, i + 1), (" ", C_WIDE_BREAK if wide else C_BREAK, i + 1)]
+        elif c.isalpha() or c in LEET:
+            j = i  # the same character again, over the gaps
+            while j + 2 < len(run) and run[j + 2] == c and run[j + 1] in " \n" and j < i + 4:
+                j += 2
+            if j == i and run[i + 1:i + 2] == c:
+                j = i + 1
+            if j > i:
+                arcs[i] += [(x, C_DOUBLE, k) for x in (c if c.isalpha() else LEET[c])
+                            for k in ({j + 1} if j == i + 1 else range(i + 3, j + 2, 2))]
+    return arcs
+
+
+def spaced_words(run: str, lm: list) -> set[str]:
+    """Words of a spaced run: between any two breaks that some path within
+    MARGIN of the best one takes, the least-cost reading without a break, and
+    the one that also keeps doubled letters."""
+    arcs, n = spaced_lattice(run), len(run)
+    codes = {c: int(char_codes(c)[0]) if c != " " else 0 for a in arcs for s, _, _ in a for c in s}
+
+    def step(state, s, extra):
+        (u, v), c = state, extra
+        for ch in s:
+            w = codes[ch]
+            if not (w == 0 == v):
+                c += lm[u][v][w]
+            u, v = v, w
+        return (u, v), c
+
+    ahead: list[dict] = [{} for _ in range(n + 1)]
+    ahead[0][0, 0] = 0.0
+    for i, a in enumerate(arcs):
+        for state, cost in ahead[i].items():
+            for s, extra, j in a:
+                to, c = step(state, s, extra)
+                if cost + c < ahead[j].get(to, math.inf):
+                    ahead[j][to] = cost + c
+    back: list[dict] = [{} for _ in range(n)] + [{(u, v): lm[u][v][0] for u, v in ahead[n]}]
+    through = [math.inf] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        for state, cost in ahead[i].items():
+            least = math.inf
+            for s, extra, j in arcs[i]:
+                to, c = step(state, s, extra)
+                c += back[j][to]
+                least = min(least, c)
+                if s == " ":
+                    through[i] = min(through[i], cost + c)
+            back[i][state] = least
+    bound = back[0][0, 0] + MARGIN
+    ends = {i for i in range(n) if through[i] <= bound} | {n}
+    out: set[str] = set()
+    for start in [0, *(i + 1 for i in sorted(ends) if i < n)]:
+        reach = min(n, start + 2 * MAX_SPACED)
+        best: list[dict] = [{} for _ in range(reach - start + 1)]
+        best[0][(0, 0), False] = (0.0, "")
+        for i in range(start, reach + 1):
+            here = best[i - start]
+            if i in ends:
+                for kind in (False, True):
+                    out.add(min(((c + lm[u][v][0], w) for ((u, v), k), (c, w) in here.items() if k == kind),
+                                default=(0.0, ""))[1])
+            if i == reach:
+                break
+            for (state, kind), (cost, word) in here.items():
+                for s, extra, j in arcs[i]:
+                    if s != " " and j <= reach:
+                        to, c = step(state, s, extra)
+                        key, new = (to, kind or extra == C_DOUBLE), (cost + c, word + s)
+                        old = best[j - start].get(key)
+                        if old is None or new < old:
+                            best[j - start][key] = new
+    out.discard("")
+    return out
+
+
 _RUN = re.compile(r"(.)\1\1")
 
 
@@ -211,27 +305,31 @@ class Restorer:
 
     def text(self, text: str | None) -> set[str]:
         """Distinct restored words of a text."""
-        tokens = (text or "").lower().split()
-        spaced = list(map(len, tokens))
+        low = (text or "").lower()
+        tokens = low.split()
         extra: list[str] = []
-        if spaced.count(1) >= 4:
-            i = 0
-            while i < len(tokens):
-                j = i
-                while j < len(tokens) and spaced[j] == 1:
-                    j += 1
-                if j - i >= 4:
-                    extra.append(" ".join(tokens[i:j]))
-                i = max(j, i + 1)
+        for m in _SPACED.finditer(low):
+            run = m[0]
+            if any(map(str.isalpha, run)):
+                extra.append(_GAP.sub(lambda g: " " if len(g[0]) == 1 and g[0] != "\n" else "\n", run))
         out: set[str] = set()
         known = self.known
-        for t in {*tokens, *extra}:
+        for t in set(tokens):
             w = known.get(t)
             if w is None:
                 if len(known) >= self.limit:
                     known.clear()
                 known[t] = w = self.words(t)
             out.update(w)
+        for t in extra:
+            w = known.get(t)
+            if w is None:
+                if len(known) >= self.limit:
+                    known.clear()
+                if not self.table:
+                    self.table = self.lm.tolist()
+                known[t] = w = tuple(spaced_words(t, self.table))
+            out.update(w)
         return out
 
 

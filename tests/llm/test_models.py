@@ -142,6 +142,19 @@ def test_restoration_of_long_tokens_takes_linear_memory():
     assert peaks[1] < 2.6 * peaks[0] and peaks[1] < 100 << 20
 
 
+def test_spaced_words_in_a_row(spark):
+    prose = "you are an idiot and a loser who said stupid things to the moron and that scum on the ass " * 20
+    docs = spark.createDataFrame([(1, prose)], "doc_id long, text string")
+    r = X.Restorer(X.language_model(X.trigram_counts(docs)))
+    for phrase, words in (("a i d i o t", "idiot"), ("a l o s e r", "loser"), ("y o u i d i o t", "you idiot"),
+                          ("y o u a r e a n i d i o t", "are idiot"), ("u r s c u m", "scum"), ("a s s", "ass"),
+                          ("a m o r o n", "moron"), ("s t u p i d m o r o n", "stupid moron"),
+                          ("y o u  i d i o t", "you idiot"), ("s t u p i d\ni d i o t", "stupid idiot"),
+                          ("i d ii o t", "idiot"), ("i i d d i o t", "idiot"), ("1 d 1 o t", "idiot")):
+        assert set(words.split()) <= r.text(f"well then, {phrase} indeed"), phrase
+    assert r.text("x 1 2 3 4 y") >= {"x", "y", "1"} and len(r.text("a " * 20_000)) < 50
+
+
 def test_toxicity_query_held_out(spark, sf):
     big = sf.replace("0.001", "0.1")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
