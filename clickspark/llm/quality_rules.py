@@ -37,7 +37,18 @@ BOILERPLATE = re.compile(
 NAV_WORDS = frozenset(b"home login logout register menu next previous prev search contact about sitemap share print "
                       b"back top skip sign-in sign-up".split())
 _SEPARATORS = frozenset((b"|", b">", b"/", b"\xc2\xbb", b"\xe2\x80\xa2", b"-", b"\xc2\xb7"))
-_MARK = re.compile(rb"[.,;:!?]|\xe2\x80\xa6|\xe3\x80\x82")
+_ASCII_MARK = re.compile(rb"[.,;:!?]")
+#: Marks of many scripts; Thai and Lao, which write without, count as marked.
+_MARK = re.compile("[\u2026\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\u060c\u061b\u061f\u06d4\u0964\u0965"
+                   "\u037e\u0387\u0589\u1362-\u1368\u104a\u104b\u17d4-\u17d6\u0f0b-\u0f0e\u0e00-\u0eff]")
+#: From so many words on a line needs a mark; so many shorter lines in a row
+#: need one among them.
+MARKED, SHORT_RUN = 10, 5
+
+
+def _unmarked(line: bytes) -> bool:
+    return not _ASCII_MARK.search(line) and not _MARK.search(line.decode("utf-8", "replace"))
+
 
 
 def _symbols(data: bytes) -> int:
@@ -59,7 +70,7 @@ def line_fault(line: bytes, words: list[bytes]) -> str | None:
         return "shouting"
     if n >= 10 and sum(map(eq, words, words[1:])) * 2 >= n:
         return "stutter"
-    if n >= 60 and not _MARK.search(line):
+    if n >= MARKED and _unmarked(line):
         return "punctuation"
     return None
 
@@ -95,14 +106,20 @@ def judge(text: str | None, max_lost: float = MAX_LOST) -> dict:
     """All figures of one text, the verdict and the cleaned text."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words: list[bytes] = []
-    kept_lines: list[bytes] = []
+    lines = data.split(b"\n")
     seen: set[bytes] = set()
-    dup = lost = 0
-    faults: list[str] = []
-    for line in data.split(b"\n"):
+    dup = 0
+    found: dict[int, tuple[str, int]] = {}  # line -> fault, words
+    run: list[tuple[int, int]] = []  # short lines without a mark, one after the other
+
+    def end_run():
+        if len(run) >= SHORT_RUN:
+            found.update((i, ("punctuation", k)) for i, k in run if i not in found)
+        run.clear()
+
+    for i, line in enumerate(lines):
         own = line.split()
         if not own:
-            kept_lines.append(line)
             continue
         words += own
         fault = line_fault(line, own)
@@ -111,10 +128,15 @@ def judge(text: str | None, max_lost: float = MAX_LOST) -> dict:
             fault = fault or "repeat"
         seen.add(line)
         if fault:
-            faults.append(fault)
-            lost += len(own)
+            found[i] = fault, len(own)
+        if len(own) < MARKED and _unmarked(line):
+            run.append((i, len(own)))
         else:
-            kept_lines.append(line)
+            end_run()
+    end_run()
+    faults = [found[i][0] for i in sorted(found)]
+    lost = sum(k for _, k in found.values())
+    kept_lines = [line for i, line in enumerate(lines) if i not in found]
     n, rep = len(words), repeated_words(words)
     base_failed = n < MIN_WORDS or 100 * rep > MAX_REPEAT_PCT * n
     kept = not base_failed and lost <= max_lost * n

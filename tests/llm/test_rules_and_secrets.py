@@ -60,6 +60,18 @@ def test_line_rules():
     assert Q.judge(good)["cleaned"] == good and Q.judge(None)["cleaned"] is None
 
 
+def test_listings_without_punctuation():
+    menu = ["red shoes", "blue summer shoes", "garden chairs and tables", "kitchen", "lamps for the desk", "all brands"]
+    listing = "\n".join(f"{m} {k}" for k in range(3) for m in menu)
+    assert not Q.judge(listing)["kept"] and Q.judge(listing)["faults"] == ["punctuation"] * 18
+    assert Q.line_fault(b"x", [b"x"]) is None
+    long = "shoes chairs tables lamps desks brands garden kitchen summer winter offers"
+    assert Q.line_fault(long.encode(), long.encode().split()) == "punctuation"
+    for t in ("A heading\n\nIt has some words here.\nTwo short lines\nmore of them\nand an end.",
+              "\u092f\u0939 " * 12 + "\u0964", "\u0647\u0630\u0627 " * 12 + "\u060c", "\u0e17\u0e35\u0e48 " * 12):
+        assert "punctuation" not in Q.judge(t)["faults"], t
+
+
 def test_repeated_words_counts_both_windows():
     w = b"a b c d e f g h".split()
     assert Q.repeated_words(w + [b"x"] + w) == 16 and Q.repeated_words([b"z"] * 9) == 9 and Q.repeated_words(w) == 0
