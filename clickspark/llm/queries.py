@@ -3,7 +3,8 @@ them, ``ORACLE``."""
 
 from __future__ import annotations
 
-from clickspark.llm import chat, fingerprint, packing, quality_model, quality_rules, secret_scan, simhash, toxicity, warc, wfst
+from clickspark.llm import (chat, fingerprint, negatives, packing, quality_model, quality_rules, repair, secret_scan,
+                            simhash, toxicity, warc, wfst)
 
 QUERIES = {
     "op1_chat_windows": chat.query,
@@ -16,6 +17,8 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_warc": warc.query,
     "op10_secret_scan": secret_scan.query,
+    "op11_hard_negatives": negatives.query,
+    "op12_repair": repair.query,
 }
 
 # base32 digit j of a SHA-1: five bits from the (j / 4)th group of five hex digits
@@ -31,4 +34,19 @@ SELECT p.page_id, p.payload_bytes, d.payload_digest,
   CASE WHEN p.page_id IS DISTINCT FROM o.owner THEN o.owner END AS refers_to
 FROM p JOIN d ON p.h = d.h JOIN o ON p.h = o.h"""
 
-ORACLE: dict[str, str] = {"op9_warc": _OP9}
+_OP11 = """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT pos.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, p.vec_id AS negative_id, positive_score,
+  p.score AS negative_score
+FROM pos JOIN p ON p.anchor_id = pos.anchor_id AND NOT p.same
+  AND 80 * positive_score <= 100 * p.score AND p.score <= positive_score
+WINDOW w AS (PARTITION BY pos.anchor_id, positive_id ORDER BY p.score DESC, p.vec_id)
+QUALIFY row_number() OVER w <= 5"""
+
+ORACLE: dict[str, str] = {"op9_warc": _OP9, "op11_hard_negatives": _OP11}
