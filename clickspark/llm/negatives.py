@@ -260,12 +260,11 @@ def pairs(rows: DataFrame, anchors: DataFrame, kind: int, pick) -> DataFrame:
     """Keys that ``pick(rows, anchors)`` takes of every block pair."""
     size = anchors.agg(F.sum(F.length("vectors") + F.length("windows") + 25 * F.col("n"))).first()[0] or 0
     lanes = max(1, -(-rows.count() // LANE))
-    if size <= BROADCAST:
-        left = rows.repartition(lanes).withColumn("lane", F.lit(0))
-        right = F.broadcast(anchors.withColumn("lane", F.lit(0)))
-    else:
-        left = rows.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
-        right = anchors.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).hint("merge")
+    small = size <= BROADCAST
+    lanes, left = (1, rows.repartition(lanes)) if small else (lanes, rows)
+    left = left.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
+    right = anchors.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    right = F.broadcast(right) if small else right.hint("merge")
     names = [x.split()[0] for x in _PACKED.split(", ")]
     both = left.join(right.select("lane", *(F.col(c).alias("a_" + c) for c in names)), "lane").drop("lane")
 
