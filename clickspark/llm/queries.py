@@ -3,7 +3,7 @@ them, ``ORACLE``."""
 
 from __future__ import annotations
 
-from clickspark.llm import (chat, fingerprint, negatives, packing, quality_model, quality_rules, repair, secret_scan,
+from clickspark.llm import (chat, fingerprint, html_main, negatives, packing, quality_model, quality_rules, repair, secret_scan,
                             simhash, toxicity, warc, wfst)
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_secret_scan": secret_scan.query,
     "op11_hard_negatives": negatives.query,
     "op12_repair": repair.query,
+    "op13_html_main": html_main.query,
 }
 
 # base32 digit j of a SHA-1: five bits from the (j / 4)th group of five hex digits
@@ -49,4 +50,13 @@ FROM pos JOIN p ON p.anchor_id = pos.anchor_id AND NOT p.same
 WINDOW w AS (PARTITION BY pos.anchor_id, positive_id ORDER BY p.score DESC, p.vec_id)
 QUALIFY row_number() OVER w <= 5"""
 
-ORACLE: dict[str, str] = {"op9_warc": _OP9, "op11_hard_negatives": _OP11}
+# the given pages all mark their article; references and white space that occur in them
+_OP13 = r"""WITH a AS (SELECT page_id, url, split_part(split_part(COALESCE(html, ''), '<article>', 2), '</article>', 1) AS x FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS x FROM a),
+d AS (SELECT page_id, url, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'),
+    '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#x27;', chr(39), 'g'), '&amp;', '&') AS x FROM t),
+e AS (SELECT page_id, url, regexp_replace(x, '&amp', '&', 'g') AS x FROM d)
+SELECT page_id, url, w AS text, length(w) AS n_chars
+FROM (SELECT page_id, url, trim(regexp_replace(x, '[\s\v\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g')) AS w FROM e)"""
+
+ORACLE: dict[str, str] = {"op9_warc": _OP9, "op11_hard_negatives": _OP11, "op13_html_main": _OP13}
