@@ -1,7 +1,7 @@
 """Leakage-free features and labels, N66-N72.
 
 The cutoff is the interpolated 0.8 quantile of event time, computed
-exactly and distributed (``ranking.quantiles`` on microseconds).  It is
+exactly and distributed (``ranking.quantiles`` on whole microseconds).  It is
 then a literal, so ``event_time <= cutoff`` is pushed into the Parquet scan.
 """
 
@@ -23,7 +23,7 @@ def time_cutoff(ev: DataFrame, q: float = 0.8, accuracy: int | None = None) -> D
     """One-row frame with ``cutoff_time``, the interpolated quantile of
     event_time (SQL ``quantile_cont``, rounded to the microsecond).
     ``accuracy`` switches to a one-pass approximate quantile."""
-    us = ev.select(micros("event_time").cast("double").alias("_us"))
+    us = ev.select(micros("event_time").alias("_us"))
     # a column scan of the event table: the passes re-read one column,
     # cheaper than writing it out
     qq = quantiles(us, "_us", [q], ["_q"], method="sql", materialize=False, accuracy=accuracy)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from clickspark.functions.numeric import (
-    cents, cents_to_money, count_when, ratio_or_null, ratio_or_zero,
+    count_when, exact_parts, exact_value, merge_parts, ratio_or_null, ratio_or_zero,
 )
 
 _is = lambda t: F.col("event_type") == t
@@ -90,14 +90,14 @@ def brand_funnel(ev: DataFrame) -> DataFrame:
                .agg(_stage_max("view").alias("viewed"),
                     _stage_max("cart").alias("carted"),
                     _stage_max("purchase").alias("purchased"),
-                    F.sum(cents("price")).alias("_psum"),
+                    exact_parts("price").alias("_psum"),
                     F.count("price").alias("_pcnt")))
-    d = _dim_sums(pairs, ["brand"], [F.sum("_psum").alias("_psum"), F.sum("_pcnt").alias("_pcnt")])
+    d = _dim_sums(pairs, ["brand"], [merge_parts("_psum").alias("_psum"), F.sum("_pcnt").alias("_pcnt")])
     return (d.select("brand", "viewed", "carted", "purchased",
                      *_rates("viewed", "carted", "purchased"),
                      (F.lit(1.0) - ratio_or_null("carted", "viewed")).alias("drop_view_cart"),
                      (F.lit(1.0) - ratio_or_null("purchased", "carted")).alias("drop_cart_purchase"),
-                     ratio_or_null(cents_to_money("_psum"), "_pcnt").alias("avg_price"))
+                     ratio_or_null(exact_value("_psum"), "_pcnt").alias("avg_price"))
              .orderBy(F.col("drop_view_cart").asc_nulls_last(), "brand"))
 
 
@@ -114,13 +114,13 @@ def brand_analysis(ev: DataFrame) -> DataFrame:
         count_when(_is("view")).alias("view"),
         count_when(_is("cart")).alias("cart"),
         count_when(_is("purchase")).alias("purchase"),
-        F.sum(cents("price")).alias("_psum"),
+        exact_parts("price").alias("_psum"),
         F.count("price").alias("_pcnt"))
     return (d.select("brand", "view", "cart", "purchase",
                      ratio_or_null("purchase", "view").alias("conversion_rate"),
                      (F.lit(1.0) - ratio_or_null("cart", "view")).alias("drop_view_cart"),
                      (F.lit(1.0) - ratio_or_null("purchase", "cart")).alias("drop_cart_purchase"),
-                     ratio_or_null(cents_to_money("_psum"), "_pcnt").alias("avg_price"))
+                     ratio_or_null(exact_value("_psum"), "_pcnt").alias("avg_price"))
              .orderBy(F.col("conversion_rate").desc_nulls_last(), "brand"))
 
 

@@ -14,7 +14,7 @@ order, and the row count, as a distributed job:
    broadcast join of that partition-count-sized table.
 
 On top of it: equal-frequency bins (``qcut`` of ``rank(method='first')``).
-Exact interpolated quantiles are selected by histogram passes instead.
+Exact interpolated quantiles are found by radix selection instead.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickspark.functions.numeric import qcut_bucket
+from clickspark.functions.numeric import ordered_key, qcut_bucket, value_of_key
 from clickspark.staging import stage_table
 
 
@@ -108,68 +108,83 @@ def qcut_ranks(df: DataFrame, specs: Sequence[tuple[str, str, bool]], q: int,
     return df.join(wide, tie, "left")
 
 
-#: Bins of a histogram pass, and the rows of wanted bins that are fetched as
-#: (value, count) pairs once that few are left.
-BINS, PICK = 1024, 10_000
+#: Bits of the key that a pass resolves, and the rows of wanted bins that are
+#: fetched as (key, count) pairs once that few are left.
+RADIX, PICK = 11, 10_000
+
+
+def _keys(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[bool]]:
+    """One bigint key per column whose order is the values' order, and which
+    columns hold whole numbers (their own keys)."""
+    types = dict(df.dtypes)
+    whole = [types[c] in ("tinyint", "smallint", "int", "bigint") for c in cols]
+    return df.select(*[F.col(c).cast("long").alias(f"k{i}") if w else ordered_key(F.col(c).cast("double")).alias(f"k{i}")
+                       for i, (c, w) in enumerate(zip(cols, whole))]), whole
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     method: str = "numpy") -> dict[str, list[float | None]]:
+                     method: str = "numpy", materialize: bool = False) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of several numeric columns
     (pandas ``quantile`` / SQL ``quantile_cont``) as ``{column: [value per
-    prob]}``; nulls and NaN are ignored.
-
-    Selection by histograms, no sort: one pass gives count, min and max per
-    column; each further pass counts the values in ``BINS`` bins of every
-    interval that still holds a wanted order statistic, with each bin's own
-    min and max, and keeps the wanted bins.  A bin with min = max is done
-    whatever its count, so a repeated value costs nothing; when ``PICK`` rows
-    at most are left they come as (value, count) pairs.  Every pass is a
-    map-side combined aggregate of bounded size.  ``method`` ``numpy`` uses
-    numpy's two-sided interpolation, ``sql`` the one-sided form."""
+    prob]}``; nulls and NaN are ignored, -0.0 is 0.0.
+
+    Radix selection, no sort: every value has a 64-bit key of the same order
+    (``ordered_key``).  The first pass counts the keys by their top ``RADIX``
+    bits; each further pass counts, inside every bin that still holds a wanted
+    order statistic, by the next ``RADIX`` bits of the bin's own range (its
+    least and greatest key are known from the pass before).  So the range left
+    shrinks by ``RADIX`` bits a pass whatever the values, and six passes at most
+    find the ranks.  A bin of one value is done whatever its count, so a
+    repeated value costs nothing; when ``PICK`` rows at most are left they come
+    as (key, count) pairs.  Every pass is a map-side combined aggregate of at
+    most 2^RADIX rows per wanted rank.  ``materialize`` writes the keys once for
+    the passes.  ``method`` ``numpy`` uses numpy's two-sided interpolation,
+    ``sql`` the one-sided form."""
     cols = list(cols)
-    st = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
-                             for i, c in enumerate(cols)])).alias("_s")
-    stacked = df.select(st).select("_s.c", "_s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    keys, whole = _keys(df, cols)
+    keys = stage_table(keys) if materialize else keys
+    st = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"k{i}").alias("k")) for i in range(len(cols))])).alias("_s")
+    stacked = keys.select(st).select("_s.c", "_s.k").where(F.col("k").isNotNull())
+
+    def histogram(rows: DataFrame, by: Column) -> list:
+        return rows.withColumn("b", by).where("b is not null").groupBy("c", "b").agg(
+            F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+
     size: dict[int, int] = {}
-    found: dict[tuple[int, int], float] = {}      # (column, 0-based rank) -> value
-    left: list[tuple[int, float, float, int, int, list[int]]] = []  # column, low, high, rows before, rows, ranks
-
-    def keep(c: int, low: float, high: float, before: int, rows: int, ranks: list[int]) -> None:
-        if low == high:
-            found.update({(c, r): low for r in ranks})
-        elif ranks:
-            left.append((c, low, high, before, rows, ranks))
-
-    for r in stacked.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                      F.max("v").alias("hi")).collect():
-        size[r["c"]] = n = r["n"]
-        keep(r["c"], r["lo"], r["hi"], 0, n,
-             sorted({x for p in probs for x in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}))
+    found: dict[tuple[int, int], int] = {}                     # (column, 0-based rank) -> key
+    left: list[tuple[int, int, int, int, int, list[int]]] = []  # column, low, high, rows before, rows, ranks
+
+    def narrow(c: int, bins: list, before: int, ranks: list[int]) -> None:
+        for _, lo, hi, n in sorted(bins):
+            inside = [r for r in ranks if before <= r < before + n]
+            if inside and lo == hi:
+                found.update({(c, r): lo for r in inside})
+            elif inside:
+                left.append((c, lo, hi, before, n, inside))
+            before += n
+
+    top: dict[int, list] = {}
+    for r in histogram(stacked, F.shiftright("k", 64 - RADIX)):
+        top.setdefault(r["c"], []).append((r["b"], r["lo"], r["hi"], r["n"]))
+    for c, bins in top.items():
+        size[c] = n = sum(x[3] for x in bins)
+        narrow(c, bins, 0, sorted({x for p in probs for x in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}))
     while left:
         now, left = left, []
-        inside = [(F.col("c") == c) & F.col("v").between(F.lit(lo), F.lit(hi)) for c, lo, hi, *_ in now]
+        inside = [(F.col("c") == c) & F.col("k").between(F.lit(lo), F.lit(hi)) for c, lo, hi, *_ in now]
         if sum(x[4] for x in now) <= PICK:
-            pairs = (stacked.where(functools.reduce(operator.or_, inside)).groupBy("c", "v")
-                     .agg(F.count(F.lit(1)).alias("k")).collect())
-            parts = [(i, (p["v"], p["v"], p["k"])) for p in pairs for i, x in enumerate(now)
-                     if p["c"] == x[0] and x[1] <= p["v"] <= x[2]]
+            rows = stacked.where(functools.reduce(operator.or_, inside)).groupBy("c", "k").agg(
+                F.count(F.lit(1)).alias("n")).collect()
+            parts = [(i, (r["k"], r["k"], r["k"], r["n"])) for r in rows for i, x in enumerate(now)
+                     if r["c"] == x[0] and x[1] <= r["k"] <= x[2]]
         else:
-            which = F.lit(None).cast("long")
+            by = F
             for i, (x, cond) in enumerate(zip(now, inside)):
-                # the ends have bins of their own, so that infinite ends do no harm
-                at = F.floor((F.col("v") / 2 - x[1] / 2) / (x[2] / 2 - x[1] / 2) * BINS)
-                at = F.when(F.col("v") == x[1], -1).when(F.col("v") == x[2], BINS).otherwise(
-                    F.least(F.greatest(F.coalesce(at.cast("long"), F.lit(0)), F.lit(0)), F.lit(BINS - 1)))
-                which = F.when(cond, at + 1 + i * (BINS + 2)).otherwise(which)
-            hist = (stacked.select("v", which.alias("b")).where("b is not null").groupBy("b")
-                    .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("k")).collect())
-            parts = [(h["b"] // (BINS + 2), (h["lo"], h["hi"], h["k"])) for h in hist]
+                shift = max(0, (x[2] - x[1]).bit_length() - RADIX)
+                by = by.when(cond, F.shiftright(F.col("k") - F.lit(x[1]), shift) + F.lit(i << RADIX))
+            parts = [(r["b"] >> RADIX, (r["b"], r["lo"], r["hi"], r["n"])) for r in histogram(stacked, by)]
         for i, x in enumerate(now):
-            before = x[3]
-            for lo, hi, k in sorted(p for j, p in parts if j == i):
-                keep(x[0], lo, hi, before, k, [r for r in x[5] if before <= r < before + k])
-                before += k
+            narrow(x[0], [p for j, p in parts if j == i], x[3], x[5])
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         out[c] = []
@@ -178,7 +193,8 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 out[c].append(None)
                 continue
             at = float(p) * (size[i] - 1)
-            lo, hi, t = found[i, math.floor(at)], found[i, math.ceil(at)], at - math.floor(at)
+            lo, hi = (float(k) if whole[i] else value_of_key(k) for k in (found[i, math.floor(at)], found[i, math.ceil(at)]))
+            t = at - math.floor(at)
             out[c].append(lo if lo == hi else hi - (hi - lo) * (1 - t) if method == "numpy" and t >= 0.5
                           else lo + (hi - lo) * t)
     return out
@@ -187,15 +203,14 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str] | None = None,
               method: str = "numpy", materialize: bool = True, accuracy: int | None = None) -> DataFrame:
     """``column_quantiles`` of one column as one row with a column per
-    probability.  The passes are separate jobs run when this is called: a
-    derived ``df`` is staged first (``materialize``; only the value is
+    probability.  The passes are separate jobs run when this is called: of a
+    derived ``df`` the keys are staged first (``materialize``; nothing else is
     written), a plain column scan can skip that.  ``accuracy`` switches to
     the one-pass ``percentile_approx`` sketch (lazy, not exact)."""
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    v = F.col(value).cast("double").alias(value)
     if accuracy:
+        v = F.col(value).cast("double")
         qa = F.percentile_approx(F.when(~F.isnan(v), v), [float(p) for p in probs], int(accuracy))
         return df.agg(qa.alias("_q")).select(*[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-    base = df.select(v)
-    got = column_quantiles(stage_table(base) if materialize else base, [value], probs, method)[value]
+    got = column_quantiles(df, [value], probs, method, materialize)[value]
     return df.sparkSession.range(1).select(*[F.lit(x).cast("double").alias(nm) for x, nm in zip(got, names)])

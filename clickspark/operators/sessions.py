@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickspark.functions.numeric import (
-    dec_avg, dec_sum, flag, micros, minute_boundaries, round_sql,
+    exact_avg, exact_sum, flag, micros, minute_boundaries, round_sql,
 )
 
 _is = lambda t: F.col("event_type") == t
@@ -35,8 +35,8 @@ def session_table(ev: DataFrame) -> DataFrame:
         F.count(F.when(_is("purchase"), 1)).alias("purchase_count"),
         F.max(flag(_is("purchase"))).alias("has_purchase"),
         F.max(flag(_is("cart"))).alias("has_cart"),
-        dec_sum("price", _is("purchase")).alias("total_revenue"),
-        round_sql(dec_avg("price"), 2).alias("avg_product_price"),
+        F.coalesce(exact_sum("price", _is("purchase")), F.lit(0.0)).alias("total_revenue"),
+        round_sql(exact_avg("price"), 2).alias("avg_product_price"),
         F.max("price").alias("max_price_viewed"),
         F.max("is_weekend").alias("is_weekend_session"))
     return g.select(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickspark.functions.numeric import (
-    cents, cents_to_money, dec_avg, dec_sum, micros, round_np, round_sql, whole_days_between,
+    exact_avg, exact_sum, micros, round_np, round_sql, whole_days_between,
 )
 from clickspark.operators.ranking import global_rank, qcut_rank, qcut_ranks, quantiles
 
@@ -34,8 +34,8 @@ def user_table(ev: DataFrame) -> DataFrame:
         F.count(F.when(_is("view"), 1)).alias("total_views"),
         F.count(F.when(_is("cart"), 1)).alias("total_carts"),
         F.count(F.when(_is("purchase"), 1)).alias("total_purchases"),
-        dec_sum("price", _is("purchase")).alias("total_revenue"),
-        round_sql(dec_avg("price", _is("purchase")), 2).alias("avg_order_value"),
+        F.coalesce(exact_sum("price", _is("purchase")), F.lit(0.0)).alias("total_revenue"),
+        round_sql(exact_avg("price", _is("purchase")), 2).alias("avg_order_value"),
         F.countDistinct("product_id").alias("unique_products_viewed"))
     return g.select("user_id", "first_event", "last_event", "total_sessions", "total_events",
                     "total_views", "total_carts", "total_purchases", "total_revenue",
@@ -128,8 +128,8 @@ def rfm_segment_characteristics(seg: DataFrame) -> DataFrame:
         n.alias("User_Count"),
         round_np(F.sum("Recency").cast("double") / n, 2).alias("Avg_Recency_Days"),
         round_np(F.sum("Frequency").cast("double") / n, 2).alias("Avg_Frequency"),
-        round_np(cents_to_money(F.sum(cents("Monetary"))) / n, 2).alias("Avg_Monetary"),
-        round_np(cents_to_money(F.sum(cents("Monetary"))), 2).alias("Total_Revenue"),
+        round_np(exact_sum("Monetary") / n, 2).alias("Avg_Monetary"),
+        round_np(exact_sum("Monetary"), 2).alias("Total_Revenue"),
         round_np(F.sum("total_sessions").cast("double") / n, 2).alias("Avg_Sessions"),
         round_np(F.sum("days_active").cast("double") / n, 2).alias("Avg_Days_Active"))
     return g.orderBy(F.desc("Total_Revenue"), "Segment")
@@ -140,7 +140,7 @@ def clv_insights(rfm: DataFrame) -> DataFrame:
     10 % (k = max(1, int(0.1 n)) users) and its share, mean purchases and
     mean active days."""
     a = rfm.agg(F.count("*").alias("total_purchasing_users"),
-                cents_to_money(F.sum(cents("Monetary"))).alias("total_revenue"),
+                exact_sum("Monetary").alias("total_revenue"),
                 F.sum("Frequency").alias("_f"), F.sum("days_active").alias("_d")).first()
     n = a["total_purchasing_users"]
     k = max(1, int(n * 0.1))
@@ -152,7 +152,7 @@ def clv_insights(rfm: DataFrame) -> DataFrame:
     lo_rank, hi_rank = n - int(pos // 1), n - int(-(-pos // 1))
     frac = pos - (pos // 1)
     s = r.where((F.col("_rn") <= k) | F.col("_rn").isin(lo_rank, hi_rank)).agg(
-        cents_to_money(F.sum(F.when(F.col("_rn") <= k, cents("Monetary")))).alias("top"),
+        exact_sum("Monetary", F.col("_rn") <= k).alias("top"),
         F.max(F.when(F.col("_rn") == lo_rank, F.col("Monetary"))).alias("lo"),
         F.max(F.when(F.col("_rn") == hi_rank, F.col("Monetary"))).alias("hi")).first()
     top_sum = s["top"]

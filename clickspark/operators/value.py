@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickspark.functions.numeric import cents, cents_to_money, round_np
+from clickspark.functions.numeric import exact_avg, exact_sum, round_np
 from clickspark.operators.ranking import qcut_rank
 
 PROB = "purchase_probability"
@@ -57,7 +57,7 @@ def clv_decile_summary(dec: DataFrame) -> DataFrame:
     (2 dp), in decile order."""
     s = F.col("clv_score_norm")
     return (dec.groupBy("clv_decile", "clv_decile_order").agg(
-                round_np(cents_to_money(F.sum(cents(s))) / F.count(s), 2).alias("mean"),
+                round_np(exact_avg(s), 2).alias("mean"),
                 F.min(s).alias("min"), F.max(s).alias("max"), F.count(s).alias("count"))
             .orderBy("clv_decile_order").drop("clv_decile_order"))
 
@@ -86,8 +86,8 @@ def value_segment_summary(seg: DataFrame, prob: str = PROB) -> DataFrame:
     n = F.count("*")
     g = seg.groupBy("segment").agg(
         n.alias("users"),
-        round_np(cents_to_money(F.sum(cents("clv_score_norm"))) / n, 3).alias("avg_clv"),
-        round_np(F.avg(prob), 3).alias("avg_purchase_p"),
+        round_np(exact_sum("clv_score_norm") / n, 3).alias("avg_clv"),
+        round_np(exact_avg(prob), 3).alias("avg_purchase_p"),
         round_np(F.sum("carts").cast("double") / n, 3).alias("avg_carts"),
         round_np(F.sum("views").cast("double") / n, 3).alias("avg_views"))
     return g.orderBy(F.desc("avg_clv"), "segment")

@@ -3,7 +3,7 @@ text over the raw test tables (lineitem, orders, part, events), written from
 the reference's semantics.  The fixture and cleaning rules are a CTE prefix.
 
 Conventions shared with the Spark side so that values hash equal:
-money summed as DECIMAL(18,2) (Spark: whole cents); SQL ROUND as
+doubles summed without rounding (``xsum``); SQL ROUND as
 ``sign(x)*floor(abs(x)*10^n+0.5)/10^n``; pandas round as
 ``round_even(x*10^n, 0)/10^n``; integer sums cast to BIGINT; timestamps as
 TIMESTAMP; dates as TIMESTAMP (midnight).
@@ -83,19 +83,13 @@ def z0(num: str, den: str) -> str:
     return f"(CASE WHEN {den} <> 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) ELSE 0.0 END)"
 
 
-def cents(x: str) -> str:
-    """money as integer cents: floor(x * 100 + 0.5)."""
-    return f"CAST(floor({x} * 100.0 + 0.5) AS BIGINT)"
+def xsum(x: str) -> str:
+    """SUM of doubles without rounding, rounded once: in whole multiples of
+    2^-60 as HUGEINT, then the high and the low 53 bits as doubles."""
+    s = f"SUM(CAST(({x}) * 1152921504606846976.0 AS HUGEINT))"
+    return (f"((CAST({s} // 9007199254740992 AS DOUBLE) * 9007199254740992.0 + CAST({s} % 9007199254740992 AS DOUBLE))"
+            " / 1152921504606846976.0)")
 
 
-def dec(x: str) -> str:
-    """money as a decimal of two digits."""
-    return f"CAST({x} AS DECIMAL(18, 2))"
-
-
-def dsum(x: str) -> str:
-    return f"CAST(COALESCE(SUM({dec(x)}), 0) AS DOUBLE)"
-
-
-def davg(x: str) -> str:
-    return f"(CAST(SUM({dec(x)}) AS DOUBLE) / NULLIF(CAST(COUNT({x}) AS DOUBLE), 0))"
+def xavg(x: str) -> str:
+    return f"({xsum(x)} / NULLIF(CAST(COUNT({x}) AS DOUBLE), 0))"

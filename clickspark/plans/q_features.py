@@ -2,7 +2,7 @@
 
 from clickspark.operators import features as fe
 from clickspark.plans.oracle import with_ev
-from clickspark.plans.registry import ev_orders, query
+from clickspark.plans.registry import cutoff, ev_orders, query
 
 CUT = "cut AS (SELECT quantile_cont(event_time, 0.8) AS c FROM ev)"
 PF = """pf AS (
@@ -29,7 +29,7 @@ ML_CTES = (CUT, PF, FL, ML)
 
 
 def ml(spark, d):
-    return fe.ml_dataset(ev_orders(spark, d))
+    return fe.ml_dataset(ev_orders(spark, d), cutoff(spark, d))
 
 
 @query("time_cutoff", with_ev("SELECT c AS cutoff_time FROM cut", CUT))
@@ -39,14 +39,12 @@ def _tc(spark, d):
 
 @query("past_features", with_ev("SELECT * FROM pf", CUT, PF))
 def _pf(spark, d):
-    ev = ev_orders(spark, d)
-    return fe.past_features(ev, fe.cutoff_value(ev))
+    return fe.past_features(ev_orders(spark, d), cutoff(spark, d))
 
 
 @query("future_labels", with_ev("SELECT * FROM fl", CUT, FL))
 def _fl(spark, d):
-    ev = ev_orders(spark, d)
-    return fe.future_labels(ev, fe.cutoff_value(ev))
+    return fe.future_labels(ev_orders(spark, d), cutoff(spark, d))
 
 
 @query("ml_dataset", with_ev("SELECT * FROM ml", *ML_CTES))

@@ -1,7 +1,7 @@
 """Funnel queries N8, N12-N30 and their oracle SQL."""
 
 from clickspark.operators import funnel as fn
-from clickspark.plans.oracle import nz, with_ev, z0
+from clickspark.plans.oracle import nz, with_ev, xavg, z0
 from clickspark.plans.registry import ev_events, ev_orders, query
 
 V = "CASE WHEN event_type = 'view' THEN 1 ELSE 0 END"
@@ -132,7 +132,7 @@ def _cf(spark, d):
   1 - {nz('carted', 'viewed')} AS drop_view_cart, 1 - {nz('purchased', 'carted')} AS drop_cart_purchase,
   a.avg_price
 FROM ({sums('brand')}) b
-LEFT JOIN (SELECT brand AS ab, (CAST(SUM(CAST(floor(price * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / NULLIF(CAST(COUNT(price) AS DOUBLE), 0) AS avg_price
+LEFT JOIN (SELECT brand AS ab, {xavg('price')} AS avg_price
            FROM ev GROUP BY brand) a ON b.brand = a.ab""", pairs_cte("brand")))
 def _bf(spark, d):
     return fn.brand_funnel(ev_orders(spark, d))
@@ -151,7 +151,7 @@ def _hf(spark, d):
 FROM (SELECT brand, COUNT(*) FILTER (WHERE event_type = 'view') AS "view",
         COUNT(*) FILTER (WHERE event_type = 'cart') AS cart,
         COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchase,
-        (CAST(SUM(CAST(floor(price * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / NULLIF(CAST(COUNT(price) AS DOUBLE), 0) AS avg_price
+        {xavg('price')} AS avg_price
       FROM ev GROUP BY brand) b"""))
 def _ba(spark, d):
     return fn.brand_analysis(ev_orders(spark, d))

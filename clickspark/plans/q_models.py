@@ -9,7 +9,7 @@ from clickspark.operators import models as mo
 from clickspark.operators import value as va
 from clickspark.plans.oracle import with_ev
 from clickspark.plans.q_features import ML_CTES, ml
-from clickspark.plans.registry import ev_orders, query
+from clickspark.plans.registry import cutoff, ev_orders, query
 
 #: Splits and models of a run, by what their input holds; ``forget`` drops them.
 _FITTED: dict[tuple, object] = {}
@@ -104,9 +104,7 @@ def _al(spark, d):
    AND COUNT(*) FILTER (WHERE event_type = 'purchase') = 0 THEN 1 ELSE 0 END AS abandoned
 FROM ev WHERE event_time > (SELECT c FROM cut) GROUP BY user_id""", "cut AS (SELECT quantile_cont(event_time, 0.8) AS c FROM ev)"))
 def _als(spark, d):
-    from clickspark.operators.features import cutoff_value
-    ev = ev_orders(spark, d)
-    return mo.abandonment_labels(ev, since=cutoff_value(ev))
+    return mo.abandonment_labels(ev_orders(spark, d), since=cutoff(spark, d))
 
 
 def ab_ds(spark, d):

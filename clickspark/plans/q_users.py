@@ -1,18 +1,19 @@
 """User, RFM and behaviour queries N52-N64 and their oracle SQL."""
 
 from clickspark.operators import users as us
-from clickspark.plans.oracle import rnp, rsql, with_ev
+from clickspark.plans.oracle import rnp, rsql, with_ev, xavg, xsum
 from clickspark.plans.q_sequence import np_quantile_sql
 from clickspark.plans.registry import ev_orders, query
 
+PAID = "CASE WHEN event_type = 'purchase' THEN price END"
 UT = f"""ut AS (
   SELECT user_id, MIN(event_time) AS first_event, MAX(event_time) AS last_event,
     COUNT(DISTINCT CAST(event_time AS DATE)) AS total_sessions, COUNT(*) AS total_events,
     COUNT(*) FILTER (WHERE event_type = 'view') AS total_views,
     COUNT(*) FILTER (WHERE event_type = 'cart') AS total_carts,
     COUNT(*) FILTER (WHERE event_type = 'purchase') AS total_purchases,
-    (CAST(COALESCE(SUM(CASE WHEN event_type = 'purchase' THEN CAST(floor(price * 100.0 + 0.5) AS BIGINT) ELSE 0 END), 0) AS DOUBLE) / 100.0) AS total_revenue,
-    {rsql("(CAST(SUM(CASE WHEN event_type = 'purchase' THEN CAST(floor(price * 100.0 + 0.5) AS BIGINT) END) AS DOUBLE) / 100.0) / NULLIF(CAST(COUNT(CASE WHEN event_type = 'purchase' THEN price END) AS DOUBLE), 0)")} AS avg_order_value,
+    COALESCE({xsum(PAID)}, 0.0) AS total_revenue,
+    {rsql(xavg(PAID))} AS avg_order_value,
     COUNT(DISTINCT CAST(event_time AS DATE)) AS days_active,
     COUNT(DISTINCT product_id) AS unique_products_viewed
   FROM ev WHERE user_id IS NOT NULL GROUP BY user_id)"""
@@ -119,8 +120,8 @@ def _rsd(spark, d):
 @query("rfm_segment_characteristics", with_ev(f"""SELECT Segment, COUNT(*) AS User_Count,
   {rnp('CAST(SUM(Recency) AS DOUBLE) / COUNT(*)')} AS Avg_Recency_Days,
   {rnp('CAST(SUM(Frequency) AS DOUBLE) / COUNT(*)')} AS Avg_Frequency,
-  {rnp('(CAST(SUM(CAST(floor(Monetary * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / COUNT(*)')} AS Avg_Monetary,
-  {rnp('(CAST(SUM(CAST(floor(Monetary * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0)')} AS Total_Revenue,
+  {rnp(xsum('Monetary') + ' / COUNT(*)')} AS Avg_Monetary,
+  {rnp(xsum('Monetary'))} AS Total_Revenue,
   {rnp('CAST(SUM(total_sessions) AS DOUBLE) / COUNT(*)')} AS Avg_Sessions,
   {rnp('CAST(SUM(days_active) AS DOUBLE) / COUNT(*)')} AS Avg_Days_Active
 FROM seg GROUP BY Segment""", UT, RFM, SC, SEG))
@@ -130,14 +131,14 @@ def _rsc(spark, d):
 
 @query("clv_insights", with_ev(f"""SELECT
   (SELECT COUNT(*) FROM rfm) AS total_purchasing_users,
-  (SELECT (CAST(SUM(CAST(floor(Monetary * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) FROM rfm) AS total_revenue,
-  (SELECT (CAST(SUM(CAST(floor(Monetary * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / COUNT(*) FROM rfm) AS avg_customer_value,
+  (SELECT {xsum('Monetary')} FROM rfm) AS total_revenue,
+  (SELECT {xsum('Monetary')} / COUNT(*) FROM rfm) AS avg_customer_value,
   {np_quantile_sql('rfm', 'Monetary', 0.5, 'median_customer_value')},
   (SELECT top FROM t10) AS top_10_percent_revenue,
-  (SELECT top FROM t10) / (SELECT (CAST(SUM(CAST(floor(Monetary * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) FROM rfm) * 100 AS top_10_percent_share,
+  (SELECT top FROM t10) / (SELECT {xsum('Monetary')} FROM rfm) * 100 AS top_10_percent_share,
   (SELECT CAST(SUM(Frequency) AS DOUBLE) / COUNT(*) FROM rfm) AS avg_purchases_per_user,
   (SELECT CAST(SUM(days_active) AS DOUBLE) / COUNT(*) FROM rfm) AS avg_days_active""", UT, RFM,
-    """t10 AS (SELECT (CAST(SUM(CAST(floor(Monetary * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) AS top
+    f"""t10 AS (SELECT {xsum('Monetary')} AS top
   FROM (SELECT Monetary, ROW_NUMBER() OVER (ORDER BY Monetary DESC, user_id) AS rn,
                GREATEST(1, CAST(floor(CAST(COUNT(*) OVER () AS DOUBLE) * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS k
         FROM rfm) r WHERE rn <= k)"""))

@@ -3,7 +3,7 @@ stand-in (``engagement_probability``) so that SQL can check them; the
 model-scored variants are in ``q_models``."""
 
 from clickspark.operators import value as va
-from clickspark.plans.oracle import rnp, with_ev
+from clickspark.plans.oracle import rnp, with_ev, xavg, xsum
 from clickspark.plans.q_features import ML_CTES, ml
 from clickspark.plans.registry import query
 
@@ -63,7 +63,7 @@ def _csl(spark, d):
 
 
 @query("clv_decile_summary", with_ev(f"""SELECT clv_decile,
-  {rnp('(CAST(SUM(CAST(floor(clv_score_norm * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / COUNT(clv_score_norm)')} AS mean,
+  {rnp(xavg('clv_score_norm'))} AS mean,
   MIN(clv_score_norm) AS min, MAX(clv_score_norm) AS max, COUNT(clv_score_norm) AS "count"
 FROM dec GROUP BY clv_decile""", *CTES))
 def _cds(spark, d):
@@ -71,8 +71,8 @@ def _cds(spark, d):
 
 
 @query("value_segment_summary", with_ev(f"""SELECT segment, COUNT(*) AS users,
-  {rnp('(CAST(SUM(CAST(floor(clv_score_norm * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0) / COUNT(*)', 3)} AS avg_clv,
-  {rnp('AVG(purchase_probability)', 3)} AS avg_purchase_p,
+  {rnp(xsum('clv_score_norm') + ' / COUNT(*)', 3)} AS avg_clv,
+  {rnp(xavg('purchase_probability'), 3)} AS avg_purchase_p,
   {rnp('CAST(SUM(carts) AS DOUBLE) / COUNT(*)', 3)} AS avg_carts,
   {rnp('CAST(SUM(views) AS DOUBLE) / COUNT(*)', 3)} AS avg_views
 FROM seg GROUP BY segment""", *CTES))
@@ -127,8 +127,8 @@ def five(spark, d):
 
 
 @query("value_segments_all_labels", with_ev(f"""SELECT segment, COUNT(*) AS users,
-  {rnp('CAST(SUM(CAST(floor(clv_score_norm * 100.0 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0 / COUNT(*)', 3)} AS avg_clv,
-  {rnp('AVG(purchase_probability)', 3)} AS avg_purchase_p, {rnp('CAST(SUM(carts) AS DOUBLE) / COUNT(*)', 3)} AS avg_carts,
+  {rnp(xsum('clv_score_norm') + ' / COUNT(*)', 3)} AS avg_clv,
+  {rnp(xavg('purchase_probability'), 3)} AS avg_purchase_p, {rnp('CAST(SUM(carts) AS DOUBLE) / COUNT(*)', 3)} AS avg_carts,
   {rnp('CAST(SUM(views) AS DOUBLE) / COUNT(*)', 3)} AS avg_views FROM five GROUP BY segment""", *ML_CTES, SPREAD))
 def _vsal(spark, d):
     return va.value_segment_summary(five(spark, d))

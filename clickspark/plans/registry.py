@@ -55,6 +55,20 @@ def ev_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_fixture(spark, sf_dir, "events")
 
 
+_CUTOFFS: dict[tuple, object] = {}
+
+
+def cutoff(spark: SparkSession, sf_dir: str):
+    """The time cutoff of the orders fixture, found once per application and
+    input (path, sizes and times of its files)."""
+    from clickspark.fixtures import _TABLES, _fingerprint
+    from clickspark.operators.features import cutoff_value
+    key = spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, sf_dir, _TABLES["orders"])
+    if key not in _CUTOFFS:
+        _CUTOFFS[key] = cutoff_value(ev_orders(spark, sf_dir))
+    return _CUTOFFS[key]
+
+
 def load_all() -> None:
     """Import the query modules (each registers its queries)."""
     from clickspark.plans import (  # noqa: F401

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from clickspark.functions.numeric import minute_boundaries, qcut_bucket, round_np, round_sql, whole_days_between
@@ -58,16 +59,33 @@ def test_minute_boundaries_and_days(spark):
     assert abs(r["frac"] - 0.0333) < 1e-3
 
 
-def test_money_digits(spark):
-    """Prices of three decimals agree with a decimal sum at three digits."""
-    from decimal import Decimal
-    from clickspark.functions.numeric import dec_avg, dec_sum, money_digits
-    from pyspark.sql import functions as F
-    x = [0.005, 1.015, 2.675, 10.001, 99.999] * 7
-    df = spark.createDataFrame([(v,) for v in x], "p double")
-    with money_digits(3):
-        three = df.agg(dec_sum("p").alias("s"), dec_avg("p").alias("a")).first()
-    want = sum(Decimal(str(v)) for v in x)
-    assert three.s == float(want) == float(df.agg(F.sum(F.col("p").cast("decimal(18,3)"))).first()[0])
-    assert abs(three.a - float(want) / len(x)) < 1e-12
-    assert df.agg(dec_sum("p").alias("s")).first().s != three.s  # two digits by default
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_sums_are_exact_at_any_partitioning(spark, parts):
+    """Three-decimal prices, values of 30 decades and both signs: the double
+    nearest to the true sum, as exact SQL gives it."""
+    import random
+    from fractions import Fraction
+
+    import duckdb
+    from clickspark.functions.numeric import exact_avg, exact_parts, exact_sum, exact_value, merge_parts
+    from clickspark.plans.oracle import xavg, xsum
+    rng = random.Random(1)
+    x = ([(i % 3, round(rng.uniform(0.005, 5000), 3), 1) for i in range(4000)]
+         + [(3, rng.choice((-1, 1)) * rng.random() * 2.0 ** rng.randint(-7, 45), 0) for _ in range(3000)]
+         + [(4, 0.1, 1)] * 10 + [(5, None, 1), (6, 1e300, 1), (6, 1.0, 1), (7, float("inf"), 1), (7, 2.0, 1)])
+    df = spark.createDataFrame(x, "g int, p double, c int").repartition(parts)
+    got = {r["g"]: r for r in df.groupBy("g").agg(exact_sum("p").alias("s"), exact_avg("p").alias("a"),
+                                                  exact_sum("p", F.col("c") == 0).alias("z")).collect()}
+    two = df.groupBy("g", "c").agg(exact_parts("p").alias("e")).groupBy("g").agg(exact_value(merge_parts("e")).alias("s"))
+    assert {r["g"]: r["s"] for r in two.collect()} == {g: r["s"] for g, r in got.items()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (g INT, p DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [r[:2] for r in x if r[0] < 5])
+    sql = dict((g, (s, a)) for g, s, a in con.execute(f"SELECT g, {xsum('p')}, {xavg('p')} FROM t GROUP BY g").fetchall())
+    for g in range(5):
+        vals = [v for k, v, _ in x if k == g]
+        assert got[g]["s"] == float(sum(map(Fraction, vals))) == sql[g][0]
+        assert got[g]["a"] == got[g]["s"] / len(vals) == sql[g][1]
+    assert got[3]["z"] == got[3]["s"] and got[0]["z"] is None
+    assert got[5]["s"] is None and got[5]["a"] is None
+    assert got[6]["s"] == 1e300 and got[7]["s"] == float("inf")

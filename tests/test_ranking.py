@@ -75,7 +75,6 @@ def test_quantiles_with_a_hot_value(spark, monkeypatch, pick):
     the same values; 99 % of the rows share one."""
     from clickspark.operators import ranking
     monkeypatch.setattr(ranking, "PICK", pick)
-    monkeypatch.setattr(ranking, "BINS", 8)
     x = np.random.RandomState(5).lognormal(0, 9, 5000)
     x[np.arange(5000) % 100 > 0] = 17.0
     x[:3] = [np.inf, -np.inf, 1e308]
@@ -107,6 +106,54 @@ def test_column_quantiles_matches_pandas(spark):
         assert got[c] == list(pdf[c].quantile(ps).values), c
 
 
+def passes(monkeypatch):
+    """Counts the results fetched from Spark."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    n, real = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: n.append(1) or real(self))
+    return n
+
+
+@pytest.mark.parametrize("pick", [0, 10_000])
+def test_six_passes_at_most(spark, monkeypatch, pick):
+    """Whatever the range and the bits of the values: 600 decades, neighbouring
+    doubles, whole numbers over the whole bigint range."""
+    from clickspark.operators import ranking
+    monkeypatch.setattr(ranking, "PICK", pick)
+    rs = np.random.RandomState(11)
+    wide = rs.choice([-1, 1], 4000) * 10.0 ** rs.uniform(-300, 300, 4000)
+    near = 1.0 + rs.randint(0, 5000, 4000) * 2.0 ** -52
+    tiny = rs.randint(-500, 500, 4000) * 5e-324
+    ends = np.where(np.arange(4000) % 3 == 0, np.inf, -0.0)
+    whole = rs.randint(-2 ** 62, 2 ** 62, 4000)
+    pdf = pd.DataFrame({"wide": wide, "near": near, "tiny": tiny, "ends": ends, "whole": whole})
+    df = spark.createDataFrame(pdf)
+    ps = [0.0, 0.001, 0.25, 0.5, 0.777, 0.9, 1.0]
+    got_passes = passes(monkeypatch)
+    got = ranking.column_quantiles(df, list(pdf), ps)
+    assert len(got_passes) <= 6
+    for c in ("wide", "near", "tiny"):
+        assert got[c] == list(pdf[c].quantile(ps).values), c
+    s = np.sort(whole)
+    assert got["whole"][0] == float(s[0]) and got["whole"][-1] == float(s[-1])
+    assert [got["ends"][i] for i in (0, 3, 6)] == [0.0, 0.0, np.inf]
+
+
+def test_ordered_keys(spark):
+    """Keys sort like their doubles and give them back to the bit."""
+    from clickspark.functions.numeric import ordered_key, value_of_key
+    rs = np.random.RandomState(12)
+    x = np.concatenate([rs.randint(0, 2 ** 64, 3000, dtype=np.uint64).view(float), [0.0, 5e-324, 2.0 ** -1022, 1e308, np.inf],
+                        2.0 ** np.arange(-1074, 1024, 7), np.nextafter(2.0 ** np.arange(-1000, 1024, 9), 0)])
+    x = np.concatenate([x[~np.isnan(x)], -x[~np.isnan(x)]])
+    rows = spark.createDataFrame([(float(v),) for v in x], "v double").select("v", ordered_key("v").alias("k")).collect()
+    assert all(value_of_key(r["k"]) == r["v"] for r in rows)
+    by_key = [r["v"] for r in sorted(rows, key=lambda r: r["k"])]
+    assert by_key == sorted(by_key)
+    none = spark.createDataFrame([(float("nan"),), (None,)], "v double").select(ordered_key("v").alias("k")).collect()
+    assert [r["k"] for r in none] == [None, None]
+
+
 def test_quantiles_approx_option(spark):
     x = np.arange(10001, dtype=float)
     df = spark.createDataFrame([(float(a),) for a in x], "h double")
