@@ -26,7 +26,7 @@ from clickspark.functions.numeric import round_np
 from clickspark.operators.features import stratified_folds, stratified_split, time_filter
 from clickspark.operators.ranking import stage_table
 from clickspark.schema import FEATURE_COLS
-from clickspark.staging import new_path
+from clickspark.staging import in_scope, new_path
 
 # Fixed hyper-parameters of the reference's models.
 MODEL_PARAMS = {
@@ -164,7 +164,7 @@ def cross_validate(name: str, ds: DataFrame, label: str = "label", k: int = 3, s
         return auc_roc(score(m, f.where(F.col("fold") == i)), label)
 
     with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
-        aucs = list(pool.map(one, range(k)))
+        aucs = list(pool.map(in_scope(one), range(k)))
     mean = sum(aucs) / k
     std = (sum((a - mean) ** 2 for a in aucs) / k) ** 0.5
     return mean, std
@@ -192,7 +192,7 @@ def model_comparison(ds: DataFrame, label: str = "label", models: Sequence[str]
         return name, m, (name, *ranking_metrics(s, label), cvm, cvs, macro_f1(s, label))
 
     with ThreadPoolExecutor(max_workers=len(models)) as pool:
-        res = list(pool.map(one, models))
+        res = list(pool.map(in_scope(one), models))
     fitted = {n: m for n, m, _ in res}
     rows = [r for _, _, r in res]
     df = ds.sparkSession.createDataFrame(rows, "model string, auc double, ap double, cv_mean double, "

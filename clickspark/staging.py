@@ -1,21 +1,28 @@
 """Intermediate tables in the shared folder named by ``spark.checkpoint.dir``.
 
 ``stage_table`` writes a frame once as Parquet and reads it back: one job,
-columnar, and a lost executor costs a re-read, not a recomputation.  Staged
-tables belong to the innermost open ``staging`` scope of the application (or
-to the application itself) and are removed when their owner ends."""
+columnar, and a lost executor costs a re-read, not a recomputation.  A staged
+table has one owner: the innermost ``staging`` scope open where it was made
+(scopes are per thread of control, so jobs running side by side do not see
+each other's; threads that a job starts join its scope through ``in_scope``),
+or else the application.  Owners remove their tables when they end: a scope at
+its close, the application just before its context stops, while the file
+system can still be reached."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import uuid
+import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from clickspark.session import ensure_checkpoint_dir
 
-_SCOPES: list[tuple[str, list[str]]] = []
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staging_scope", default=None)
 _OWNED: dict[str, SparkSession] = {}
 
 
@@ -32,17 +39,33 @@ def shared_folder(spark: SparkSession, kind: str = "clickspark_tables") -> str:
     """A folder of this application under the shared checkpoint folder."""
     folder = f"{shared_root(spark)}/{kind}/{spark.sparkContext.applicationId}"
     if folder not in _OWNED:
-        if not _OWNED:
-            atexit.register(release_all)
         _OWNED[folder] = spark
+        _release_before_stop(spark)
     return folder
 
 
+def _release_before_stop(spark: SparkSession) -> None:
+    """Have the context remove the application's tables before it stops."""
+    sc = spark.sparkContext
+    if getattr(sc, "_clickspark_releases", False):
+        return
+    stop = sc.stop
+
+    def release_and_stop() -> None:
+        if sc._jsc is not None:  # stopping twice is allowed
+            release(sc.applicationId)
+        stop()
+
+    sc.stop, sc._clickspark_releases = release_and_stop, True
+    atexit.register(release, sc.applicationId)  # a program that ends without stop()
+
+
 def new_path(spark: SparkSession, kind: str = "clickspark_tables") -> str:
     """A fresh path under the shared folder, owned by the open scope."""
     path = f"{shared_folder(spark, kind)}/{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1][1].append(path)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     return path
 
 
@@ -65,19 +88,38 @@ def remove(spark: SparkSession, path: str) -> None:
 def staging(spark: SparkSession):
     """Tables staged inside the block are removed at its end; results that
     must outlive it have to be written before."""
-    scope: tuple[str, list[str]] = (uuid.uuid4().hex, [])
-    _SCOPES.append(scope)
+    scope: list[str] = []
+    token = _SCOPE.set(scope)
     try:
         yield
     finally:
-        _SCOPES.remove(scope)
-        for path in scope[1]:
+        _SCOPE.reset(token)
+        for path in scope:
             remove(spark, path)
 
 
-def release_all() -> None:
-    """Remove what this process's applications still hold (at exit)."""
+def in_scope(fn: Callable) -> Callable:
+    """``fn`` for another thread, with the scope that is open here."""
+    scope = _SCOPE.get()
+
+    def run(*args, **kwargs):
+        token = _SCOPE.set(scope)
+        try:
+            return fn(*args, **kwargs)
+        finally:
+            _SCOPE.reset(token)
+
+    return run
+
+
+def release(application: str) -> None:
+    """Remove what an application of this process still holds; what cannot be
+    removed is named in a warning."""
     for folder, spark in list(_OWNED.items()):
-        with contextlib.suppress(Exception):  # the JVM may be gone already
+        if not folder.endswith(f"/{application}"):
+            continue
+        _OWNED.pop(folder)
+        try:
             remove(spark, folder)
-        _OWNED.pop(folder, None)
+        except Exception as e:
+            warnings.warn(f"staged tables left in {folder}: {e}", RuntimeWarning, stacklevel=2)
