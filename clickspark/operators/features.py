@@ -130,11 +130,12 @@ def feature_summary(ds: DataFrame, cols: Sequence[str] | None = None, decimals:
 
 def _class_ranks(ds: DataFrame, label: str, seed: int, key: str) -> DataFrame:
     """``ds`` with ``_pos``, the 0-based place among the rows of its label by
-    a seeded hash of the key, and ``_of``, the label's rows: one global
-    ranking by (label, hash, key), less each label's start (one row per
-    label)."""
+    the MD5 of ``seed:key`` (any SQL engine has it, so the rows can be told
+    outside Spark), and ``_of``, the label's rows: one global ranking by
+    (label, digest, key), less each label's start (one row per label)."""
     from clickspark.operators.ranking import global_rank
-    h = ds.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    h = ds.withColumn("_h", F.md5(name))
     r = global_rank(h, [F.col(label), F.col("_h"), F.col(key)], rank_col="_rn", count_col="_n")
     start = r.groupBy(F.col(label).alias("_l")).agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_of"))
     return (r.join(F.broadcast(start), r[label].eqNullSafe(start["_l"]))
@@ -144,7 +145,7 @@ def _class_ranks(ds: DataFrame, label: str, seed: int, key: str) -> DataFrame:
 def stratified_split(ds: DataFrame, label: str = "label", test_size: float = 0.2, seed: int = 42,
                      key: str = "user_id") -> DataFrame:
     """Exact stratified train/test split: within each label, rows are
-    ordered by a seeded hash of the key and the first ``ceil(test_size *
+    ordered by a seeded digest of the key and the first ``ceil(test_size *
     n_label)`` go to test.  Reproducible at any partitioning; no class is
     funnelled into one task."""
     r = _class_ranks(ds, label, seed, key)
@@ -155,6 +156,6 @@ def stratified_split(ds: DataFrame, label: str = "label", test_size: float = 0.2
 def stratified_folds(ds: DataFrame, label: str = "label", k: int = 3, seed: int = 42,
                      key: str = "user_id") -> DataFrame:
     """Fold number 0..k-1 per row, stratified: within each label rows
-    are ordered by a seeded hash and dealt round-robin."""
+    are ordered by a seeded digest and dealt round-robin."""
     r = _class_ranks(ds, label, seed + 1, key)
     return r.withColumn("fold", (F.col("_pos") % k).cast("int")).drop("_pos", "_of")

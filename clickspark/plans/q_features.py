@@ -84,21 +84,18 @@ def _fs(spark, d):
     return fe.feature_summary(ml(spark, d), ML_COLS)
 
 
-@query("stratified_split", with_ev("""SELECT label, CAST(SUM(is_test) AS BIGINT) AS test_rows, COUNT(*) AS rows_total
-FROM (SELECT label, CASE WHEN ROW_NUMBER() OVER (PARTITION BY label ORDER BY h, user_id)
-                           <= ceil(COUNT(*) OVER (PARTITION BY label) * CAST(0.2 AS DOUBLE)) THEN 1 ELSE 0 END AS is_test
-      FROM (SELECT label, user_id, hash(user_id) AS h FROM ml) x) y GROUP BY label""", *ML_CTES))
+def split_cte(src: str = "ml", label: str = "label", name: str = "sp", seed: int = 42) -> str:
+    """``src`` with is_test: the first fifth of each label by the digest."""
+    return f"""{name} AS (SELECT *, CASE WHEN ROW_NUMBER() OVER (PARTITION BY {label} ORDER BY md5('{seed}:' || user_id), user_id)
+    <= ceil(COUNT(*) OVER (PARTITION BY {label}) * CAST(0.2 AS DOUBLE)) THEN 1 ELSE 0 END AS is_test FROM {src})"""
+
+
+@query("stratified_split", with_ev("SELECT user_id, label, is_test FROM sp", *ML_CTES, split_cte()))
 def _ss(spark, d):
-    s = fe.stratified_split(ml(spark, d))
-    from pyspark.sql import functions as F
-    return s.groupBy("label").agg(F.sum("is_test").cast("long").alias("test_rows"),
-                                  F.count("*").alias("rows_total"))
+    return fe.stratified_split(ml(spark, d)).select("user_id", "label", "is_test")
 
 
-@query("stratified_folds", with_ev("""SELECT label, fold, COUNT(*) AS rows_in_fold
-FROM (SELECT label, CAST((ROW_NUMBER() OVER (PARTITION BY label ORDER BY user_id) - 1) % 3 AS INTEGER) AS fold
-      FROM ml) x GROUP BY label, fold""", *ML_CTES))
+@query("stratified_folds", with_ev("""SELECT user_id, label, CAST((ROW_NUMBER() OVER (PARTITION BY label
+    ORDER BY md5('43:' || user_id), user_id) - 1) % 3 AS INTEGER) AS fold FROM ml""", *ML_CTES))
 def _sf(spark, d):
-    s = fe.stratified_folds(ml(spark, d))
-    from pyspark.sql import functions as F
-    return s.groupBy("label", "fold").agg(F.count("*").alias("rows_in_fold"))
+    return fe.stratified_folds(ml(spark, d)).select("user_id", "label", "fold")
