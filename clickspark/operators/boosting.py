@@ -4,8 +4,7 @@ best-first, and their exact attribution.
 Training data is binned once (at most ``max_bins`` bins a feature, cut at values
 that occur) and packed into blocks of rows.  A tree is grown from histograms:
 each level is one job in which every task adds up gradients, hessians and rows
-per (node, feature, bin) over its blocks, and a map-side combined aggregate adds
-up the tasks.  The driver sees only these cells (open nodes x features x bins),
+per (node, feature, bin) over its blocks, and a tree of tasks adds up the tasks.  The driver sees only these cells (open nodes x features x bins),
 never rows.  Gradients are whole numbers of 2^-32, so sums, and with them trees,
 do not depend on the partitioning.
 
@@ -20,6 +19,7 @@ lost executor costs at most that many trees of re-scoring."""
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -39,6 +39,7 @@ from clickspark.staging import stage_table
 BLOCK, RESTAGE, BIN_ROWS = 65_536, 16, 200_000
 _UNIT = float(2 ** 32)
 _BINS = 256
+_BLOCK = "bins binary, labels binary, margins binary"
 
 
 @dataclass
@@ -247,12 +248,18 @@ def _pack(df: DataFrame, features: Sequence[str], label: str, edges: list[np.nda
                      pa.array([np.full(len(y), base).tobytes()], pa.binary())], names=["bins", "labels", "margins"])
 
     return df.select(F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in features]).mapInArrow(
-        run, "bins binary, labels binary, margins binary")
+        run, _BLOCK)
 
 
-def _read(b, i, d):
-    bins = np.frombuffer(b.column(0)[i].as_py(), np.uint8).reshape(-1, d)
-    return bins, np.frombuffer(b.column(1)[i].as_py(), np.uint8), np.frombuffer(b.column(2)[i].as_py(), float)
+def _arrays(block, d: int):
+    bins, labels, margins = block
+    return np.frombuffer(bins, np.uint8).reshape(-1, d), np.frombuffer(labels, np.uint8), np.frombuffer(margins, float)
+
+
+def _kept(blocks: DataFrame):
+    """Staged blocks as an RDD that stays in memory: a level is one small job,
+    so it should not be planned anew each time."""
+    return blocks.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _advance(bins: np.ndarray, margins: np.ndarray, trees: list[Tree]) -> np.ndarray:
@@ -261,36 +268,28 @@ def _advance(bins: np.ndarray, margins: np.ndarray, trees: list[Tree]) -> np.nda
     return margins
 
 
-def _histograms(blocks: DataFrame, d: int, done: list[Tree], tree: Tree, nodes: list[int]):
-    """Sums of gradient, hessian and rows as arrays (node, feature, bin)."""
+def _histograms(blocks, d: int, done: list[Tree], tree: Tree, nodes: list[int]) -> np.ndarray:
+    """Sums of gradient, hessian and rows as one array (sum, node, feature, bin)."""
     slot = np.full(len(tree.feature), -1)
     slot[nodes] = range(len(nodes))
     size = len(nodes) * d * _BINS
 
-    def run(batches):
+    def run(part):
         sums = np.zeros((3, size), np.int64)
-        for b in batches:
-            for i in range(b.num_rows):
-                bins, y, margins = _read(b, i, d)
-                at = slot[tree.leaves_of(bins, True)]
-                rows = np.flatnonzero(at >= 0)
-                if not len(rows):
-                    continue
-                p = 1 / (1 + np.exp(-_advance(bins, margins, done)[rows]))
-                parts = np.rint((p - y[rows]) * _UNIT), np.rint(p * (1 - p) * _UNIT), None
-                for f in range(d):
-                    cell = (at[rows] * d + f) * _BINS + bins[rows, f]
-                    for k, w in enumerate(parts):
-                        sums[k] += np.bincount(cell, w, size).astype(np.int64)
-        cells = np.flatnonzero(sums[2])
-        yield pa.RecordBatch.from_arrays([pa.array(cells), *[pa.array(s[cells]) for s in sums]], names=["cell", "g", "h", "n"])
-
-    got = blocks.mapInArrow(run, "cell long, g long, h long, n long").groupBy("cell").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
-    out = np.zeros((3, size), np.int64)
-    for k, name in enumerate("ghn"):
-        out[k, got["cell"].to_numpy()] = got[name].to_numpy()
-    return out.reshape(3, len(nodes), d, _BINS)
+        for b in part:
+            bins, y, margins = _arrays(b, d)
+            at = slot[tree.leaves_of(bins, True)]
+            rows = np.flatnonzero(at >= 0)
+            if not len(rows):
+                continue
+            p = 1 / (1 + np.exp(-_advance(bins, margins, done)[rows]))
+            parts = np.rint((p - y[rows]) * _UNIT), np.rint(p * (1 - p) * _UNIT), None
+            cell = at[rows, None] * (d * _BINS) + np.arange(d) * _BINS + bins[rows]
+            for k, w in enumerate(parts):
+                sums[k] += np.bincount(cell.ravel(), None if w is None else np.repeat(w, d), size).astype(np.int64)
+        yield sums
+
+    return blocks.mapPartitions(run).treeReduce(np.add).reshape(3, len(nodes), d, _BINS)
 
 
 def _best(hist: np.ndarray, l2: float, least_h: float, least_rows: int):
@@ -312,9 +311,23 @@ def _best(hist: np.ndarray, l2: float, least_h: float, least_rows: int):
     return float(gain[f, b]), f, b, tuple(int(v) for v in left[:, f, b]), tuple(int(v) for v in right[:, f, b])
 
 
+def _popped(tree: Tree, splits: int) -> set[int]:
+    """The nodes that best-first growth splits: always the open node of
+    greatest gain (the first by number of equal ones)."""
+    queue, out = [(-tree.gain[0], 0)], set()
+    while queue and len(out) < splits:
+        _, node = heapq.heappop(queue)
+        if tree.feature[node] < 0:
+            continue
+        out.add(node)
+        for c in (tree.left[node], tree.right[node]):
+            heapq.heappush(queue, (-tree.gain[c], c))
+    return out
+
+
 def _grow(blocks, d, done, edges, depth, leaves, l2, least_h, least_rows) -> Tree:
-    tree, level, worst = Tree(), [0], {}
-    above = {0: math.inf}                              # node -> least gain on the path to it
+    tree, level, worst = Tree(), [0], {}                # worst: least gain on the path to a split and of it
+    above = {0: math.inf}
     for k in range(depth):
         hist = _histograms(blocks, d, done, tree, level)
         if k == 0:
@@ -326,8 +339,8 @@ def _grow(blocks, d, done, edges, depth, leaves, l2, least_h, least_rows) -> Tre
                 found[node] = best
                 worst[node] = min(above[node], best[0])
         if leaves is not None:                          # what a queue of leaves could still pop
-            first = sorted(worst, key=lambda n: (-worst[n], n))[:leaves - 1]
-            found = {n: b for n, b in found.items() if n in first}
+            ranked = sorted(worst.values(), reverse=True)[:leaves - 1]
+            found = {n: b for n, b in found.items() if ranked and worst[n] >= ranked[-1]}
         level = []
         for node, (gain, f, b, left, right) in found.items():
             for c in tree.split(node, f, b, float(edges[f][b]), gain, left, right):
@@ -335,10 +348,7 @@ def _grow(blocks, d, done, edges, depth, leaves, l2, least_h, least_rows) -> Tre
                 level.append(c)
         if not level:
             break
-    if leaves is not None:
-        inner = [n for n in worst if tree.feature[n] >= 0]
-        tree = tree.kept(set(sorted(inner, key=lambda n: (-worst[n], n))[:leaves - 1]))
-    return tree
+    return tree if leaves is None else tree.kept(_popped(tree, leaves - 1))
 
 
 def fit_boosted(train: DataFrame, label: str = "label", features: Sequence[str] = FEATURE_COLS, maxIter: int = 100,
@@ -352,7 +362,8 @@ def fit_boosted(train: DataFrame, label: str = "label", features: Sequence[str]
         return BoostedTrees(features, 0.0 if not n else math.inf if ones == n else -math.inf, [])
     base = math.log(ones / n / (1 - ones / n))
     edges = bin_edges(train, features, min(maxBins, _BINS))
-    blocks = stage_table(_pack(train, features, label, edges, base)).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = train.sparkSession
+    blocks = _kept(stage_table(_pack(train.repartition(-(-n // BLOCK)), features, label, edges, base)))
     trees: list[Tree] = []
     done: list[Tree] = []
     try:
@@ -367,14 +378,11 @@ def fit_boosted(train: DataFrame, label: str = "label", features: Sequence[str]
             if len(done) == RESTAGE:
                 old, pending = blocks, done
 
-                def step(batches, pending=pending):
-                    for b in batches:
-                        new = [_advance(*(lambda r: (r[0], r[2]))(_read(b, i, d)), pending).tobytes() for i in range(b.num_rows)]
-                        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.binary())],
-                                                         names=["bins", "labels", "margins"])
+                def step(b, pending=pending):
+                    bins, _, margins = _arrays(b, d)
+                    return b[0], b[1], _advance(bins, margins, pending).tobytes()
 
-                blocks = stage_table(old.mapInArrow(step, "bins binary, labels binary, margins binary")).persist(
-                    StorageLevel.MEMORY_AND_DISK)
+                blocks = _kept(stage_table(spark.createDataFrame(old.map(step), _BLOCK)))
                 done = []
                 old.unpersist()
     finally:

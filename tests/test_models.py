@@ -33,7 +33,7 @@ def test_models_learn_planted_signal(planted):
 
 
 def test_shapley_telescopes(planted):
-    m = mo.fit("XGBoost", planted, maxIter=5)
+    m = mo.fit("RandomForest", planted, numTrees=5)
     phi = mo.shap_values(m, planted.limit(10), planted, n_perm=4)
     tot = {r.user_id: r.s for r in phi.groupBy("user_id").agg(F.sum("phi").alias("s")).collect()}
     bg = planted.agg(*[F.avg(c).alias(c) for c in FEATURE_COLS])
@@ -45,7 +45,7 @@ def test_shapley_telescopes(planted):
 
 def test_shapley_takes_every_row(planted):
     """No cap on the explained rows, and the scored frame is spread."""
-    m = mo.fit("XGBoost", planted, maxIter=1, maxDepth=1)
+    m = mo.fit("RandomForest", planted, numTrees=1, maxDepth=1)
     many = planted.crossJoin(planted.sparkSession.range(6).withColumnRenamed("id", "_k")).withColumn(
         "user_id", F.col("user_id") * 6 + F.col("_k")).drop("_k")
     phi = mo.shap_values(m, many.coalesce(1), planted, n_perm=1)
