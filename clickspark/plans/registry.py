@@ -73,5 +73,5 @@ def load_all() -> None:
     """Import the query modules (each registers its queries)."""
     from clickspark.plans import (  # noqa: F401
         q_profile, q_funnel, q_sessions, q_sequence, q_users, q_features,
-        q_value, q_models, q_boosting, q_jobs, q_sinks,
+        q_value, q_models, q_boosting, q_jobs, q_sinks, q_order,
     )
