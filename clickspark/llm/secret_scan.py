@@ -1,9 +1,11 @@
 """Secret scans: pattern rules plus dictionary-primed zstandard novelty.
 
 The base rules are three patterns.  The method looks further: any unbroken
-string of 16 characters that follows a sensitive word is a candidate, as is a
-value of 8 right after its assignment mark, and its novelty is the
-number of bytes it adds to a zstandard stream primed with a dictionary made
+string of 16 characters that follows a sensitive word in its paragraph (up to
+the next blank line, however far that is) is a candidate, as is a value of 8
+right after its assignment mark, of any characters, and the whole body of a
+private key between its BEGIN and END lines (without an END line: all lines of
+base64 that follow).  A candidate's novelty is the number of bytes it adds to a zstandard stream primed with a dictionary made
 of common identifiers and of the text around it, with all candidates blanked
 out (a key that stands twice is no less a key).  Strings that compress (names,
 words) add few bytes; strings whose
@@ -12,11 +14,11 @@ shuffled order (a random string of that length and alphabet) are reported as
 kind ``novel``, unless a base span covers them.  Every distinct string is
 judged once, where it first follows a sensitive word, and reported wherever it
 stands in the text.  As zstandard cannot match under three bytes, a word that
-the dictionary lacks looks new to it: a candidate is also spelt as words and
-numbers by the dictionary's letter pairs, and dropped when that takes fewer
-bits than uniform draws from its alphabet.  That spelling is a proper code, so
-it can beat uniform draws on few random strings.  Passphrases made of plain
-words are words to it.
+the dictionary lacks looks new to it: a string that passes is then spelt as
+words and numbers by the dictionary's letter pairs, and dropped when that takes
+fewer bits than uniform draws from its alphabet.  That spelling is a proper
+code, so it can beat uniform draws on few random strings.  Passphrases made of
+plain words are words to it; so are letters of other scripts in one case.
 
 One scan, no shuffle.  Null and empty texts have no spans; long texts are
 searched whole; repeated rows give equal rows; other columns are ignored; an
@@ -29,6 +31,7 @@ import math
 import random
 import re
 import string
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 
@@ -51,8 +54,11 @@ SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "apikey", "a
              "private-key", "private key", "access_key", "access-key", "access key", "credential", "authorization",
              "bearer", "signature", "session_id", "sessionid", "auth_key", "client_id", "pwd")
 _CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
-#: A candidate starts within this many characters after the sensitive word.
-REACH = 48
+#: Where a sensitive word's context ends.
+_BLANK_LINE = re.compile(r"\n[ \t\r\f\v]*\n")
+#: Private keys: the body up to the END line, or lines of base64.
+_KEY = re.compile(r"-----BEGIN (?P<what>[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----(?:(?P<body>(?:(?!-----).)*?)-----END (?P=what)-----|"
+                  r"(?P<open>(?:\r?\n[ \t]*[A-Za-z0-9+/=]{16,}[ \t]*)+(?:\r?\n[ \t]*[A-Za-z0-9+/]{1,15}={0,2}[ \t]*(?=\r?\n|\Z))?))", re.S)
 #: An ampersand, unless it starts the next parameter or a character entity.
 _AND = r"&(?![A-Za-z_]\w*[=;]|#\w{1,6};)"
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_~!#$%^*@-](?:[A-Za-z0-9+/_=.~!#$%^*?@-]|{_AND}){{14,}}"
@@ -60,9 +66,11 @@ _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_~!#$%^*@-](?:[A-Za-z0-9+/_=.~!#$%^*?@-]|
 #: A value after a sensitive word's assignment mark: in quotes, or unbroken.
 MIN_VALUE = 8
 _SCHEME = r"(?:(?:basic|bearer|token)[ \t]{1,8})?"
+#: Characters beyond ASCII that are no white space.
+_WIDE = r"[^\x00-\x7f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _VALUE = re.compile(r"""[A-Za-z0-9_-]{0,32}["'\])]{0,2}[ \t]{0,8}(?::=|=>|==?|:)[ \t]{0,8}"""
-                    rf"""(?:(["'`]){_SCHEME}((?:(?!\1)[ -~]){{8,}})\1|"""
-                    rf"""(?:["'`]|&quot;|&#39;)?{_SCHEME}((?:[!#-%(-+\--:=?-_a-~]|{_AND}){{8,}}))""", re.I | re.A)
+                    rf"""(?:(["'`]){_SCHEME}((?:(?!\1)(?:[ -~]|{_WIDE})){{8,}})\1|"""
+                    rf"""(?:["'`]|&quot;|&#39;)?{_SCHEME}((?:[!#-%(-+\--:=?-_a-~]|{_WIDE}|{_AND}){{8,}}))""", re.I | re.A)
 #: What names a candidate in the same unbroken run: ``client_id=``.
 _NAME = re.compile(rf"[a-z_.-]{{0,64}}(?:{_CONTEXT.pattern})[a-z_.-]{{0,64}}=+", re.I | re.A)
 #: Least added bytes (as a share of those of the shuffled candidate), least
@@ -96,7 +104,10 @@ WORDS = (
     "plus tout entre gouvernement connaissance utilisateur identifiant maintenant toujours quelque los las una para por "
     "como pero todos cuando desde entonces siempre nosotros informacion contrasena usuario ejemplo gobierno trabajo "
     "questo della sono anche perche sempre lavoro tempo").encode()
-_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|.", re.S)
+#: Also runs of other letters.
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\W\d_\x00-\x7f]+|.", re.S)
+#: Bits of a letter of another script in a word (order 0, about).
+_LETTER = 4.0
 #: Alphabets a random string may be drawn from, the narrowest first.
 _ALPHABETS = [(len(a), frozenset(a)) for a in (
     "0123456789", "0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase,
@@ -120,26 +131,57 @@ def _pair_bits() -> list[list[float]]:
 _PAIRS = _pair_bits()
 
 
+def _plain(s: str) -> str:
+    """Without marks over letters: ``é`` is spelt like ``e``."""
+    if s.isascii():
+        return s
+    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+
+
+def _cases(letters: str) -> list[str]:
+    """A run of letters cut before every capital that follows a small letter
+    and before the last of several capitals."""
+    cuts = [0]
+    for i in range(1, len(letters)):
+        a, b = letters[i - 1].isupper(), letters[i].isupper()
+        if b and not a:
+            cuts.append(i)
+        elif a and not b and i - 1 > cuts[-1]:
+            cuts.append(i - 1)
+    return [letters[x:y] for x, y in zip(cuts, [*cuts[1:], None])]
+
+
 def spelt_bits(s: str) -> float:
     """Bits of ``s`` as words, numbers and signs: the kind of every piece,
     letters by pairs, digits with their end, signs (the common ones shorter)."""
     bits = 0.0
-    for piece in _PIECE.findall(s):
+    for piece in _PIECE.findall(_plain(s)):
         bits += math.log2(5)
+        if not piece.isascii() and piece.isalpha():
+            # by case: five letters and more in one, or small after a capital, are like a word
+            for n, run in ((len(r), r) for r in _cases(piece)):
+                bits += _LETTER * n if n >= 5 else 6 * n
+                bits += 0 if run is piece else math.log2(5)
+            continue
         if piece.isalpha() and piece.isascii():
             codes = [0, *(ord(c) - 96 for c in piece.lower()), 0]
             bits += sum(_PAIRS[a][b] for a, b in zip(codes, codes[1:]))
         elif piece.isdigit() and piece.isascii():
             bits += len(piece) * (1 + math.log2(10))
         else:
-            bits += 1 + math.log2(6 if piece in "_-./= " else 27)
+            bits += len(piece) * (1 + math.log2(6 if piece in "_-./= " else 27))
     return bits
 
 
 def is_spelt(s: str) -> bool:
     """Whether ``s`` is shorter as words and numbers than drawn at random."""
-    drawn = set(s)
-    size = next((n for n, a in _ALPHABETS if drawn <= a), 95)
+    drawn = set(_plain(s))
+    wide = {c for c in drawn if not c.isascii()}
+    if wide:  # 32 letters a case, 10 digits, 16 signs, of what occurs
+        kinds = {(c.isascii(), c.isalpha(), c.isdigit(), c.isupper()) for c in drawn}
+        size = sum(32 if letter else 10 if digit else 16 for _, letter, digit, _ in kinds)
+    else:
+        size = next((n for n, a in _ALPHABETS if drawn <= a), 95)
     return spelt_bits(s) < len(s) * math.log2(size)
 
 
@@ -184,7 +226,7 @@ def is_novel(candidate: str, around: str, min_novelty: float = MIN_NOVELTY) -> b
     if -sum(k * math.log2(k / n) for k in Counter(data).values()) < MIN_BITS * n:
         return False
     primed = _primed(around)
-    mixed = bytes(random.Random(n).sample(data, n))
+    mixed = "".join(random.Random(n).sample(candidate, len(candidate))).encode("utf-8", "surrogatepass")
     return _added(primed, data) >= min_novelty * min(n, _added(primed, mixed))
 
 
@@ -210,9 +252,27 @@ def occurrences(text: str, strings) -> list[tuple[int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of the strings that follow a sensitive word."""
-    out, done = [], 0
+    """Spans of the strings that follow a sensitive word; whole private keys."""
+    out, done, until, keys = [], 0, -1, []
+    if "-----BEGIN " in text:
+        for m in _KEY.finditer(text):
+            a, b = m.span("body") if m["body"] is not None else m.span("open")
+            inside = text[a:b].strip()
+            a = text.index(inside, a)
+            if len(inside) >= MIN_VALUE:
+                keys.append((a, a + len(inside)))
+    out += keys
+
+    def in_key(a: int) -> bool:
+        k = bisect_right(keys, (a, len(text) + 1)) - 1
+        return k >= 0 and a < keys[k][1]
+
     for word in _CONTEXT.finditer(text):
+        if word.end() > until:
+            blank = _BLANK_LINE.search(text, word.end())
+            until = blank.start() if blank else len(text)
+        if in_key(word.start()):
+            continue
         value = _VALUE.match(text, word.end())
         if value:
             a, b = value.span(2 if value[2] else 3)
@@ -222,15 +282,16 @@ def candidates(text: str) -> list[tuple[int, int]]:
                     b -= 1
             if b - a >= MIN_VALUE:
                 out.append((a, b))  # and the unbroken strings in it, below
-        for m in _CANDIDATE.finditer(text, max(done, word.end())):
-            if m.start() > word.end() + REACH:
-                break
+        for m in _CANDIDATE.finditer(text, max(done, word.end()), until):
             a, b = m.span()
             done = b
+            if in_key(a):
+                continue
             name = _NAME.match(text, a, b)
             a = name.end() if name else a
             if b - a >= MIN_VALUE:
                 out.append((a, b))
+        done = max(done, until)
     return out
 
 
@@ -263,7 +324,7 @@ def novel_spans(text: str, base: list[tuple[int, str, int, int]], min_novelty: f
         at = b
     blank = "".join(parts) + text[at:]
     found = {s for s, (a, b) in first.items()
-             if not is_spelt(s) and is_novel(s, blank[max(0, a - around):a] + " " + blank[b:b + around], min_novelty)}
+             if is_novel(s, blank[max(0, a - around):a] + " " + blank[b:b + around], min_novelty) and not is_spelt(s)}
     return [(a, "novel", b, a) for a, b in occurrences(text, found) if free(a, b)]
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 from clickspark.llm import quality_rules as Q
@@ -197,3 +198,39 @@ def test_redaction_and_edges(spark, edge, empty):
     out = {r.doc_id: r for r in S.stage(spark, edge, "").collect()}
     assert out[9].text == "password = [SECRET] and [SECRET]" and out[9].n_chars == len(out[9].text) and out[3].text is None
     assert S.secret_scan(empty).count() == 0
+
+
+def test_private_keys_go_whole():
+    """Every line up to the END line; without one, every line of base64."""
+    rng = random.Random(4)
+    lines = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(20)]
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\nabcDE12=="
+    whole = S.redact(f"x = 1\n{key}\n-----END RSA PRIVATE KEY-----\nafter")
+    assert whole == "x = 1\n-----BEGIN RSA PRIVATE KEY-----\n[SECRET]\n-----END RSA PRIVATE KEY-----\nafter"
+    assert S.redact(f"{key}\n\nand then text goes on") == "-----BEGIN RSA PRIVATE KEY-----\n[SECRET]\n\nand then text goes on"
+    assert S.redact("-----BEGIN PRIVATE KEY-----\nput your key here\n-----END PRIVATE KEY-----") == \
+        "-----BEGIN PRIVATE KEY-----\nput your key here\n-----END PRIVATE KEY-----"
+
+
+def test_context_is_the_paragraph():
+    """However far the string is from the sensitive word, up to a blank line."""
+    rng = random.Random(6)
+    for far in (10, 100, 1000, 100000):
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(32))
+        text = "the credential is " + "one word after the other " * (far // 25) + key + " and more"
+        assert key not in S.redact(text) and S.redact(text).endswith("[SECRET] and more")
+        assert S.redact("the credential\n \nis " + key) == "the credential\n \nis " + key
+
+
+def test_values_beyond_ascii():
+    rng = random.Random(7)
+    alphabets = ["абвгдежзийклмнопрстуфхцчшщъыьэюяАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ0123456789!#%", "äöüßéèêñçåø" + string.ascii_letters + "0123456789",
+                 "αβγδεζηθικλμνξοπρστυφχψωΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ0123456789"]
+    for a in alphabets:
+        hits = 0
+        for i in range(60):
+            s = "".join(rng.choice(a) for _ in range(rng.randint(16, 40)))
+            hits += s not in S.redact(f'pwd = "{s}"\nnext' if i % 2 else f"pwd = {s}\nnext")
+        assert hits >= 54, (a, hits)
+    for words in ("пожалуйста введите ключ", "Zugangsberechtigung für Überraschungsgäste", "contraseña olvidada"):
+        assert S.redact(f'pwd: "{words}"') == f'pwd: "{words}"'
