@@ -22,7 +22,6 @@ null; extra columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,8 +38,9 @@ WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: of tokens that is optimised at a time.
 SENTENCE, FORCED, GRID, HORIZON = 8, 48, 64, 1 << 18
 
-#: A part whose last letter or digit stays one when normalised, then stops.
-_SPLIT_END = re.compile(r"(.*[A-Za-z0-9\u00df-\u00f6\u00f8-\u00ff])([.,;:!?]+)", re.S)
+#: Characters of texts encoded at a time; new parts in one string, the part
+#: that stands between them (a pre-token of its own, one id).
+GROUP, JOINED, BETWEEN = 1 << 20, 48, "\x01"
 
 
 class WordTokenizer:
@@ -48,7 +48,9 @@ class WordTokenizer:
 
     The tokenizer drops white space and never joins across it, so a text's
     ids are those of its space-separated parts, which are kept in a table
-    of at most ``limit`` parts (cleared when full)."""
+    of at most ``limit`` parts (cleared when full).  The parts that a group of
+    texts adds are encoded together, many in one string, and cut apart again
+    at the id that stands between them."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -56,42 +58,57 @@ class WordTokenizer:
         self.limit, self.ids = limit, {"": b""}
         vocab = self.tok.get_vocab()
         self.sentence_end = np.zeros(max(vocab.values()) + 1, bool)
-        self.word_end = np.isin(np.arange(len(self.sentence_end)), [i for p, i in vocab.items() if p.endswith("</w>")])
         for piece, i in vocab.items():
             word = piece.removesuffix("</w>")
             self.sentence_end[i] = bool(word) and set(word) <= set(".!?") and piece.endswith("</w>")
+        between = self._encode([BETWEEN])[0]
+        self.between = int(between[0]) if len(between) == 1 else None
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: set[str]) -> None:
-        if len(self.ids) > self.limit:
+        if len(self.ids) + len(parts) > self.limit:
             self.ids = {"": b""}
-        ends = {}
-        for p in parts:  # a word and the stops after it are separate pre-tokens
-            if m := _SPLIT_END.fullmatch(p):
-                ends[p] = m.groups()
-        new = [p for p in parts.difference(ends).union(*ends.values()) if p not in self.ids]
-        # words of letters are one pre-token each, which ends in a word-end piece:
-        # they are encoded in one call and cut there
-        words = [p for p in new if p.isalpha()]
-        data = self._encode([" ".join(words)])[0]
-        cuts = (np.flatnonzero(self.word_end[np.frombuffer(data, "<u4")]) * 4 + 4).tolist()
-        if len(cuts) == len(words):
-            self.ids.update(zip(words, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
-            new = [p for p in new if p not in self.ids]
-        self.ids.update(zip(new, self._encode(new)))
-        for p, (a, b) in ends.items():
-            self.ids[p] = self.ids[a] + self.ids[b]
+        alone = [p for p in parts if self.between is None or BETWEEN in p]
+        for p, ids in zip(alone, self._encode(alone)):
+            self.ids[p] = ids.tobytes()
+        rest = list(parts.difference(alone))
+        groups = [rest[i:i + JOINED] for i in range(0, len(rest), JOINED)]
+        for group, ids in zip(groups, self._encode([f" {BETWEEN} ".join(g) for g in groups])):
+            data, cuts = ids.tobytes(), (np.flatnonzero(ids == self.between) * 4).tolist()
+            if len(cuts) != len(group) - 1:  # the joining was not undone: one by one
+                self.ids.update((p, i.tobytes()) for p, i in zip(group, self._encode(group)))
+                continue
+            self.ids.update(zip(group, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)])]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of several texts."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        need = set().union(*split)
+        new = need.difference(self.ids)
+        if new:
+            self._learn(new)
+            if len(self.ids) < len(need) or not need <= self.ids.keys():  # the table was cleared
+                self._learn(need.difference(self.ids))
+        get = self.ids.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
 
     def encode(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.ids.__getitem__, parts))
-        except KeyError:
-            need = set(parts)
-            self._learn(need.difference(self.ids) if len(self.ids) <= self.limit else need)
-            return b"".join(map(self.ids.__getitem__, parts))
+        return self.encode_all([text])[0]
+
+
+def grouped(rows: Iterator[tuple], size: int = GROUP) -> Iterator[list[tuple]]:
+    """(key, text) rows in groups of about ``size`` characters."""
+    group, n = [], 0
+    for key, text in rows:
+        group.append((key, text or ""))
+        n += len(group[-1][1])
+        if n >= size:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -228,7 +245,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     def run(batches):
         tok = tokenizer(tokenizer_path)
-        stream = ((d, tok.encode(t or "")) for b in batches for d, t in zip(b["doc_id"], b["text"]))
+        rows_in = ((d, t) for b in batches for d, t in zip(b["doc_id"], b["text"]))
+        stream = ((d, ids) for g in grouped(rows_in) for (d, _), ids in zip(g, tok.encode_all([t for _, t in g])))
         first = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         for piece in pack_stream(stream, tok.sentence_end, first, window, end_id):
