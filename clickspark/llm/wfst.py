@@ -13,8 +13,10 @@ A model file is compiled into three parts:
   models it has one state and the weights are the negated scores.
 
 Encoding composes the input with the three and takes the shortest path in the
-tropical semiring (a forward pass over (position, state)).  No vocabulary
-piece continues over a word mark, so inputs are composed word by word and the
+tropical semiring (a forward pass over (position, state), the least weight over
+the arcs that end at each position).  No vocabulary piece continues over a word
+mark, so inputs are composed word by word; the new words of a group of texts
+are composed in sorted order, so that common beginnings are composed once, and
 words' paths are remembered (at most ``limit``).  Decoding runs the pieces
 backwards: bytes are gathered, marks become spaces.
 
@@ -41,6 +43,9 @@ MODEL = "piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 FALLBACK = 1e6
+_FAR = float("inf")
+#: Characters of texts encoded at a time.
+GROUP = 1 << 20
 
 
 def _fields(data: bytes):
@@ -90,11 +95,11 @@ class Transducer:
         self.control = {i for i, k in enumerate(kinds) if k in (CONTROL, UNKNOWN)}
         self.ids = {t: i for i, (t, k) in enumerate(zip(self.text, kinds)) if k in (NORMAL, USER)}
         self.rank = {t: self.score[i] for t, i in self.ids.items()}
-        # trie of the pieces: character -> node, None -> the piece that ends here
-        self.trie: dict = {}
+        # trie of the pieces from their ends: character -> node, None -> the piece that starts here
+        self.back: dict = {}
         for t, i in self.ids.items():
-            node = self.trie
-            for c in t:
+            node = self.back
+            for c in reversed(t):
                 node = node.setdefault(c, {})
             node[None] = i
         self.split = all(MARK not in t.lstrip(MARK) for t in self.ids)
@@ -137,65 +142,78 @@ class Transducer:
             return (self.unknown,)
         return tuple(self.byte[b] for b in char.encode("utf-8", "surrogatepass"))
 
-    def path(self, text: str) -> list[int]:
-        """Ids on the shortest path through the composition with ``text``
-        (normalised).  Every position keeps its best arc; for merge models
-        the order transducer leaves one state per position at most (a prefix
-        of a merged text is merged), so the first arc that passes is it."""
-        n, ordered, passes, trie = len(text), self.kind == MERGES, self.passes, self.trie
-        last = [-1] * (n + 1)  # the piece that ends here (-1: any piece may follow)
-        came = [-1] * (n + 1)  # where its arc starts
-        weight = [0.0] + [float("inf")] * n
-        came[0] = 0
-        for i in range(n):
-            if came[i] < 0:
-                continue
-            state, w = last[i], weight[i]
-            node, j = trie, i
-            if text[i] not in self.ids and w + FALLBACK < weight[i + 1]:  # byte fallback
-                last[i + 1], came[i + 1], weight[i + 1] = -1, i, w + FALLBACK
-            while j < n:
-                node = node.get(text[j])
-                if node is None:
+    def paths(self, texts: list[str]):
+        """(text, ids on its shortest path) for normalised texts, in sorted
+        order.  Tropical semiring: a position's weight is the least over the
+        arcs that end there, of the start's weight plus the arc's (one per
+        piece for merge models, where the order transducer passes one path;
+        the negated score for unigram models).  A position depends on the text
+        before it alone, so texts that share a beginning share its positions."""
+        ordered, passes, known = self.kind == MERGES, self.passes, self.ids
+        last, came, weight, old = [-1], [0], [0.0], ""
+        for text in sorted(texts):
+            same = 0
+            for x, y in zip(text, old):
+                if x != y:
                     break
-                j += 1
-                piece = node.get(None)
-                if piece is None:
-                    continue
-                if ordered:
-                    if last[j] >= 0:
+                same += 1
+            del last[same + 1:], came[same + 1:], weight[same + 1:]
+            old = text
+            for j in range(same + 1, len(text) + 1):
+                best, piece_at, start = _FAR, -1, -1
+                if text[j - 1] not in known:  # byte fallback
+                    best, start = weight[j - 1] + FALLBACK, j - 1
+                node, i = self.back, j
+                while i:
+                    i -= 1
+                    node = node.get(text[i])
+                    if node is None:
+                        break
+                    piece = node.get(None)
+                    if piece is None or came[i] < 0:
                         continue
-                    if state >= 0:
+                    w = weight[i] + (1.0 if ordered else -self.score[piece])
+                    if w >= best:
+                        continue
+                    state = last[i]
+                    if ordered and state >= 0:
                         ok = passes.get(state << 32 | piece)
                         if not (self.passes_pair(state, piece) if ok is None else ok):
                             continue
-                    last[j], came[j], weight[j] = piece, i, w + 1
-                elif w - self.score[piece] < weight[j]:
-                    last[j], came[j], weight[j] = piece, i, w - self.score[piece]
-        out: list[int] = []
-        at = n
-        while at:
-            out += [last[at]] if last[at] >= 0 else self.fallback(text[came[at]])[::-1]
-            at = came[at]
-        return out[::-1]
+                    best, piece_at, start = w, piece, i
+                last.append(piece_at)
+                came.append(start)
+                weight.append(best)
+            out: list[int] = []
+            at = len(text)
+            while at:
+                if last[at] >= 0:
+                    out.append(last[at])
+                else:
+                    out += self.fallback(text[came[at]])[::-1]
+                at = came[at]
+            yield text, out[::-1]
+
+    def path(self, text: str) -> list[int]:
+        """Ids on the shortest path through the composition with ``text``."""
+        return next(self.paths([text]))[1]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of several texts; the words that they add are composed together."""
+        parts = [_WORDS.findall(self.prefix + t.replace(" ", MARK)) if t and self.split else
+                 [self.prefix + t.replace(" ", MARK)] if t else [] for t in texts]
+        known, need = self.known, set().union(*parts)
+        new = need.difference(known)
+        if len(known) + len(new) > self.limit:
+            known.clear()
+            new = need
+        known.update((p, np.array(ids, "<i4").tobytes()) for p, ids in self.paths(list(new)))
+        get = known.__getitem__
+        return [np.frombuffer(b"".join(map(get, p)), "<i4") for p in parts]
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text."""
-        if not text:
-            return np.zeros(0, "<i4")
-        text = self.prefix + text.replace(" ", MARK)
-        parts = _WORDS.findall(text) if self.split else [text]
-        known = self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<i4")
-        except KeyError:
-            need = set(parts)
-            if len(known) > self.limit:
-                known.clear()
-            for p in need:
-                if p not in known:
-                    known[p] = np.array(self.path(p), "<i4").tobytes()
-            return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; runs of byte pieces are decoded together."""
@@ -227,13 +245,24 @@ def transducer(path: str) -> Transducer:
     return _LOADED[path]
 
 
+def _encoded(t: Transducer, texts: list[str | None]) -> list[np.ndarray]:
+    """Ids of the texts of a batch, some at a time."""
+    out, at, size = [], 0, 0
+    for k, x in enumerate(texts):
+        size += len(x or "")
+        if size >= GROUP or k + 1 == len(texts):
+            out += t.encode_all(texts[at:k + 1])
+            at, size = k + 1, 0
+    return out
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of piece ids) per document."""
 
     def run(batches):
         t = transducer(path)
         for b in batches:
-            yield {"doc_id": b["doc_id"], "ids": [t.encode(x) for x in b["text"]]}
+            yield {"doc_id": b["doc_id"], "ids": _encoded(t, b["text"])}
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>")
 
@@ -259,7 +288,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         t = transducer(path)
         low, high = t.byte_range
         for b in batches:
-            ids = [t.encode(x) for x in b["text"]]
+            ids = _encoded(t, b["text"])
             back = [t.decode(x) for x in ids]
             yield {"doc_id": b["doc_id"], "n_chars": [len(x or "") for x in b["text"]], "n_ids": list(map(len, ids)),
                    "ids": ids, "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids],
