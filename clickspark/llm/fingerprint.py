@@ -6,15 +6,15 @@ by a power of B, is the hash of that span wherever it stands, so any two
 spans are compared in constant time (two bases, 62 bits) and the longest
 common extension of two positions is found by binary search.
 
-A fingerprint is the hash of the whole text and a sketch: the ``SKETCH``
-smallest mixed hashes of all spans of ``SPAN`` code points.  The likeness of
-two fingerprints estimates from the sketches' overlap the share of spans that
-two texts have in common (2 J / (1 + J) for Jaccard J), and is 1 for equal
-fingerprints.
+A fingerprint is the hash of the whole text, its length and a sketch per span
+length of ``SPANS``: the smallest mixed hashes of all spans of so many code
+points.  The likeness of two fingerprints estimates, from the overlap of their
+sketches of one span length, the share of spans that the two texts have in
+common (2 J / (1 + J) for Jaccard J), and is 1 for equal fingerprints; the long
+spans decide, the short ones weigh in the more the shorter a text is.
 
 Rows: null texts are empty; the empty text has an empty sketch and is like
-another empty text only; short texts (below ``SHORT``) are sketched by spans of
-``SHORT_SPAN`` as well; very long
+another empty text only; a text shorter than a span is one span; very long
 texts are hashed whole; documents are ordered by doc_id (nulls first), rows
 of one doc_id by the hash of their text; a single document follows itself;
 extra columns are ignored; an empty table gives an empty result."""
@@ -33,9 +33,8 @@ from clickspark.staging import stage_table
 
 P = (1 << 31) - 1
 BASES = (1_103_515_245, 1_664_525_081)
-SPAN, SKETCH = 12, 48
-#: Texts below this length are sketched by shorter spans too.
-SHORT, SHORT_SPAN = 96, 3
+#: Lengths of the sketched spans and the sizes of their sketches.
+SPANS = ((12, 48), (3, 24))
 
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -105,12 +104,10 @@ class PrefixHashes:
         b = int(_reduce(self.codes * _powers(BASES[1], self.n)).sum()) % P
         return a, b
 
-    def fingerprint(self, span: int = SPAN, size: int = SKETCH) -> str:
-        head = "{:08x}{:08x}".format(*self.whole())
-        if not self.n:
-            return head + ":"
-        lengths = [span] if self.n >= SHORT else [min(SHORT_SPAN, self.n), *[span] * (self.n >= span)]
-        h = np.concatenate([self.spans(k, BASES[0]) for k in lengths])
+    def sketch(self, span: int, size: int) -> np.ndarray:
+        """The least ``size`` mixed hashes of the text's spans of a length (of
+        the text itself where it is shorter)."""
+        h = self.spans(min(span, self.n), BASES[0])
         mixed = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
         low = mixed
         if self.n > 8 * size:  # most spans lie above any value that can be kept
@@ -118,16 +115,34 @@ class PrefixHashes:
         low = np.unique(low)
         if len(low) < size:
             low = np.unique(mixed)
-        return head + ":" + low[:size].astype(">u4").tobytes().hex()
+        return low[:size]
 
+    def fingerprint(self, spans=SPANS) -> str:
+        """Whole-text hash, length, and one sketch per span length, in hex."""
+        head = "{:08x}{:08x}:{:x}".format(*self.whole(), self.n)
+        sketches = [self.sketch(k, size).astype(">u4").tobytes().hex() if self.n else "" for k, size in spans]
+        return ":".join([head, *sketches])
 
-def likeness(a: str, b: str, size: int = SKETCH) -> float:
-    """Share of common spans of two fingerprints' texts, 0 to 1."""
+
+def likeness(a: str, b: str, spans=SPANS) -> float:
+    """Share of common spans of two fingerprints' texts, 0 to 1: that of the
+    long spans, and of the short ones by the weight long / (length of the
+    shorter text), 1 at most.  Sketches of one span length are compared with
+    each other alone, and the weight has no steps."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(f.partition(":")[2]), ">u4") for f in (a, b))
-    if not len(x) or not len(y):
+    x, y = a.split(":"), b.split(":")
+    n = min(int(x[1], 16), int(y[1], 16))
+    if not n:
         return 0.0
+    long, short = (_common(p, q, size) for p, q, (_, size) in zip(x[2:], y[2:], spans))
+    w = min(1.0, spans[0][0] / n)
+    return w * short + (1 - w) * long
+
+
+def _common(a: str, b: str, size: int) -> float:
+    """Dice share of the span sets behind two sketches."""
+    x, y = (np.frombuffer(bytes.fromhex(f), ">u4") for f in (a, b))
     union = np.union1d(x, y)
     if len(x) >= size or len(y) >= size:  # beyond the larger kept value of a full sketch nothing is known
         union = union[:size]
