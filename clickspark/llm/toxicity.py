@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,9 +48,11 @@ SEPARATORS = frozenset(".-_*~'`^,:;/\\ ")
 #: dropped separator, character that stays as it is though no letter.
 C_LEET, C_WILD, C_RUN, C_DROP, C_STAY = 0.7, 2.0, 0.3, 0.7, 12.0
 #: In spaced runs: a gap that ends a word, a wide gap that does or does not,
-#: a doubled letter read as one; breaks looked at, longest word between them.
+#: a doubled letter read as one; breaks looked at.  A word reaches from a break
+#: to every later one within MAX_SPACED letters, and to the NEXT_BREAKS next
+#: ones however far they are: without a likely break inside, no word is too long.
 C_BREAK, C_WIDE_BREAK, C_WIDE_DROP, C_DOUBLE = 0.7, 0.1, 3.0, 1.5
-MARGIN, MAX_SPACED = 6.0, 24
+MARGIN, MAX_SPACED, NEXT_BREAKS = 6.0, 24, 4
 
 #: a-z are 1-26, U+00DF-U+00FF 27-59, other letters 60, all else 0.
 ALPHABET = 61
@@ -208,6 +211,15 @@ def spaced_lattice(run: str) -> list[list[tuple[str, float, int]]]:
     return arcs
 
 
+def _spelled(chain) -> str:
+    """The word of a chain (word before, letters)."""
+    out = []
+    while chain is not None:
+        chain, s = chain
+        out.append(s)
+    return "".join(reversed(out))
+
+
 def spaced_words(run: str, lm: list) -> set[str]:
     """Words of a spaced run: between any two breaks that some path within
     MARGIN of the best one takes, the least-cost reading without a break, and
@@ -246,16 +258,17 @@ def spaced_words(run: str, lm: list) -> set[str]:
             back[i][state] = least
     bound = back[0][0, 0] + MARGIN
     ends = {i for i in range(n) if through[i] <= bound} | {n}
-    out: set[str] = set()
-    for start in [0, *(i + 1 for i in sorted(ends) if i < n)]:
-        reach = min(n, start + 2 * MAX_SPACED)
+    breaks, out = sorted(ends), set()
+    for start in [0, *(i + 1 for i in breaks if i < n)]:
+        after = breaks[bisect_left(breaks, start):][:NEXT_BREAKS]
+        reach = min(n, max(start + 2 * MAX_SPACED, after[-1]))
         best: list[dict] = [{} for _ in range(reach - start + 1)]
-        best[0][(0, 0), False] = (0.0, "")
+        best[0][(0, 0), False] = (0.0, None)
         for i in range(start, reach + 1):
             here = best[i - start]
             if i in ends:
                 for kind in (False, True):
-                    out.add(min(((c + lm[u][v][0], w) for ((u, v), k), (c, w) in here.items() if k == kind),
+                    out.add(min(((c + lm[u][v][0], _spelled(w)) for ((u, v), k), (c, w) in here.items() if k == kind),
                                 default=(0.0, ""))[1])
             if i == reach:
                 break
@@ -263,9 +276,9 @@ def spaced_words(run: str, lm: list) -> set[str]:
                 for s, extra, j in arcs[i]:
                     if s != " " and j <= reach:
                         to, c = step(state, s, extra)
-                        key, new = (to, kind or extra == C_DOUBLE), (cost + c, word + s)
+                        key, new = (to, kind or extra == C_DOUBLE), (cost + c, (word, s))
                         old = best[j - start].get(key)
-                        if old is None or new < old:
+                        if old is None or new[0] < old[0] or new[0] == old[0] and _spelled(new[1]) < _spelled(old[1]):
                             best[j - start][key] = new
     out.discard("")
     return out
