@@ -81,8 +81,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def logistic(rows: list[tuple], size: int, balance: bool = True, rounds: int = 300,
              l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient descent on sparse rows
-    (features, values, soft label); ``balance``: both classes weigh alike.
-    Runs on the driver: the caller bounds the rows."""
+    (features, values, soft label[, weight]); ``balance``: both classes weigh
+    alike.  Runs on the driver: the caller bounds the rows."""
     weights, bias = np.zeros(size), 0.0
     if not rows:
         return weights, bias
@@ -90,7 +90,9 @@ def logistic(rows: list[tuple], size: int, balance: bool = True, rounds: int = 3
     val = np.concatenate([np.asarray(r[1], float) for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     y = np.array([r[2] for r in rows], float)
-    c = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())) if balance else np.ones(len(y))
+    c = np.array([r[3] if len(r) > 3 else 1.0 for r in rows], float)
+    if balance:
+        c *= np.where(y > 0.5, 0.5 / max(1.0, c[y > 0.5].sum()), 0.5 / max(1.0, c[y <= 0.5].sum()))
     c /= c.sum()
     scale = 1 / np.sqrt(np.bincount(at, (val ** 2) * c[row], size) + 1e-3)
     val = val * scale[at]

@@ -7,7 +7,7 @@
    posterior of a document is that of its pattern.
 3. A hashed linear scorer (logistic regression over hashed word shapes and
    shape pairs) is trained on posteriors of a bounded sample (``TRAIN_DOCS``
-   documents in expectation, chosen by hash) and scores every document.
+   different documents, the first by hash) and scores every document.
 
 The driver holds pattern counts, the sample's sparse features and the
 weights.  Null and empty texts get no votes and the prior's posterior; their
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from clickspark.llm.common import DOCUMENT_COLUMNS, DOCUMENTS, logistic, map_rows, table
 from clickspark.staging import stage_table
 
-#: Documents the scorer is trained on (expected number of the hash sample).
+#: Different documents that the scorer is trained on, the first by hash.
 TRAIN_DOCS = 20_000
 #: Hash buckets of the scorer; documents scoring below the threshold go.
 BUCKETS, THRESHOLD = 1 << 12, 0.5
@@ -88,7 +88,7 @@ def shape(word: bytes) -> bytes:
     elif core.isdigit():
         kind = b"0"
     else:
-        kind = b"m" + re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[A-Z]+", b"A", re.sub(rb"[0-9]+", b"0", core[:24])))
+        kind = b"m" + re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[A-Z]+", b"A", re.sub(rb"[0-9]+", b"0", core)))
     return kind + word[len(core):len(core) + 3]
 
 
@@ -166,14 +166,16 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
-    """Votes of all documents, EM, and the scorer on the hash sample."""
-    rows = docs.count()
-    cut = min(1.0, train_docs / max(1, rows))
-    chosen = (F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 30) - 1)) < int(cut * (1 << 30)))
+    """Votes of all documents, EM, and the scorer on the hash sample: the
+    ``train_docs`` least different hashes of (doc_id, text), so repeated rows
+    are one row of the sample with their number as weight."""
+    h = F.xxhash64("doc_id", "text")
+    least = docs.select(h.alias("h")).distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    chosen = h <= F.lit(least) if least is not None else F.lit(False)
 
     def run(batches):
         for b in batches:
-            out = {"pattern": [], "at": [], "val": []}
+            out = {"pattern": [], "h": b["h"], "at": [], "val": []}
             for t, sampled in zip(b["text"], b["sampled"]):
                 data = (t or "").encode("utf-8", "surrogatepass")
                 words = data.split()
@@ -183,11 +185,13 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
                 out["val"].append(val)
             yield out
 
-    seen = stage_table(map_rows(docs.select("text", F.coalesce(chosen, F.lit(False)).alias("sampled")), run,
-                                "pattern int, at array<int>, val array<float>"))
+    seen = stage_table(map_rows(docs.select("text", h.alias("h"), chosen.alias("sampled")), run,
+                                "pattern int, h long, at array<int>, val array<float>"))
     patterns = {r.pattern: r["n"] for r in seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     share, prob, post = fit_votes(patterns)
-    sample = [(r["at"], r["val"], post[r.pattern]) for r in seen.where("at is not null").collect()]
+    one = seen.where("at is not null").groupBy("h").agg(
+        F.min(F.struct("pattern", "at", "val")).alias("x"), F.count(F.lit(1)).alias("n"))
+    sample = [(r.x["at"], r.x["val"], post[r.x.pattern], r["n"]) for r in one.orderBy("h").collect()]
     weights, bias = logistic(sample, BUCKETS)
     right = {n: (float(prob[k, 0, 2] / prob[k, 0, 1:].sum()), float(prob[k, 1, 1] / prob[k, 1, 1:].sum()))
              for k, n in enumerate(LABELLERS)}

@@ -61,7 +61,24 @@ def test_quality_edges(spark, edge, empty):
     assert Q.classify(empty, Q.fit(empty)).count() == 0
 
 
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    """50,000 equal rows are one row of the sample."""
+    from pyspark.sql import functions as F
+    same = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rest = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("Some words, number "), F.col("id"), F.lit(". And more.")).alias("text"))
+    sizes, real = [], Q.logistic
+    Q.logistic = lambda rows, *a, **k: sizes.append([r[3] for r in rows]) or real(rows, *a, **k)
+    try:
+        Q.fit(same.union(rest), train_docs=200)
+        Q.fit(same.union(rest))
+    finally:
+        Q.logistic = real
+    assert len(sizes[0]) == 200 and len(sizes[1]) == 301 and max(sizes[1]) == 50_000
+
+
 def test_shapes():
+    assert Q.shape(b"a" * 23 + b"1" + b"B" * 9) != Q.shape(b"a" * 23 + b"1" + b"-" * 9)
+    assert Q.shape(b"x1" * 500) != Q.shape(b"x1" * 501)
     assert [Q.shape(w) for w in (b"word", b"Word", b"WORD!!", b"12", "é".encode(), b"a1-B", b"***")] == [
         b"a", b"Aa", b"A!!", b"0", b"a", b"ma0-A", b"***"]
 
@@ -152,6 +169,10 @@ def test_spaced_words_in_a_row(spark):
                           ("y o u  i d i o t", "you idiot"), ("s t u p i d\ni d i o t", "stupid idiot"),
                           ("i d ii o t", "idiot"), ("i i d d i o t", "idiot"), ("1 d 1 o t", "idiot")):
         assert set(words.split()) <= r.text(f"well then, {phrase} indeed"), phrase
+    long = "antidisestablishmentarianism is a long word and so is pneumonoultramicroscopicsilicovolcanoconiosis here " * 20
+    r2 = X.Restorer(X.language_model(X.trigram_counts(spark.createDataFrame([(1, long)], "doc_id long, text string"))))
+    for word in ("antidisestablishmentarianism", "pneumonoultramicroscopicsilicovolcanoconiosis"):
+        assert word in r2.text(f"and then {' '.join(word)} here"), word
     assert r.text("x 1 2 3 4 y") >= {"x", "y", "1"} and len(r.text("a " * 20_000)) < 50
 
 
