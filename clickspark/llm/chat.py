@@ -8,7 +8,10 @@ Every window after the first repeats the conversation's first system turn
 and up to ``history_turns`` preceding turns (``history_tokens`` at most);
 repeated turns come before the window's own and are outside the loss mask,
 which covers exactly the texts of the window's own assistant turns.  A turn
-longer than the room makes a window by itself.
+longer than the room makes a window by itself.  No window exceeds the budget
+but one of a single turn that alone is longer, which repeats nothing: a system
+turn of more than half the budget is never repeated, any other not beside a
+turn that leaves no room for it.
 
 Template: ``<<SYS>>text<</SYS>>``, ``[INST]text[/INST]``, ``<s>text</s>`` for
 system, user, assistant, ``[TURN role]text[/TURN]`` for any other role.  Inside
@@ -18,8 +21,9 @@ never occurs in one and the text can be had back.
 Scale: turns are taken in blocks of ``BLOCK`` turn numbers, so a conversation
 of any length is spread over tasks; a block's turns are gathered in one row
 (the only shuffle of texts) and its windows are made from that row with
-array functions.  Earlier blocks hand on their last turns and first system
-turn in one narrow row each.  A window never spans two blocks.
+array functions.  Only blocks of conversations that have several (found from
+ids and turn numbers alone) meet earlier blocks, which hand on their last turns
+and first system turn in one narrow row each.  A window never spans two blocks.
 
 Rows: turns are ordered by (turn, role, text), nulls first; null role and text
 are empty; null conv_ids form one conversation; repeated rows are repeated
@@ -44,6 +48,8 @@ TOKEN, OVERHEAD = r"\w+|[^\w\s]", 4
 #: Fixed values of the template: role -> control strings; escapes.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"), ("]", "\\c"))
+#: Ids of conversations with several blocks that may be broadcast.
+SEVERAL = 500_000
 _TURN = r"(<<SYS>>|\[INST\]|<s>|\[TURN [^\]]*\])([^<\[]*)"
 
 
@@ -78,12 +84,16 @@ def role_of(mark: Column) -> Column:
     return c.otherwise(unescape(F.substring(mark, F.lit(7), F.length(mark) - 7)))
 
 
+def _block_of(block: int) -> Column:
+    return F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long")
+
+
 def _blocks(turns: DataFrame, block: int) -> DataFrame:
     """One row per conversation and block: ``p``, its turns in order as
     (i from 1, token prefix in the block, tok, role, text)."""
     t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                      F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("b", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long"))
+    t = t.withColumn("b", _block_of(block))
     t = t.withColumn("tok", F.regexp_count("text", F.lit(TOKEN)).cast("long") + OVERHEAD)
     order = Window.partitionBy("conv_id", "b").orderBy("turn", "role", "text")
     so_far = F.sum("tok").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -97,12 +107,10 @@ def _first_system(p: Column) -> Column:
 
 
 def _earlier(blocks: DataFrame, history_turns: int) -> DataFrame:
-    """For the blocks of conversations with several: what the earlier blocks
-    leave, ``prev`` (their last turns) and ``old`` (their first system turn).
-    One narrow row per block; most conversations have none."""
-    several = (blocks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-               .select(F.col("conv_id").alias("mc")))
-    mine = blocks.join(several, F.col("conv_id").eqNullSafe(F.col("mc")), "left_semi").select(
+    """For blocks of conversations with several: what the earlier blocks leave,
+    ``prev`` (their last turns) and ``old`` (their first system turn).  One
+    narrow row per block."""
+    mine = blocks.select(
         "conv_id", "b", F.slice("p", -F.least(F.lit(max(1, history_turns)), F.size("p")), max(1, history_turns)).alias("tail"),
         _first_system(F.col("p")).alias("system"))
     w = Window.partitionBy("conv_id").orderBy("b")
@@ -118,12 +126,24 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
     repeated (number of leading turns that are repeats), n_turns, and
     loss_spans, array of (start, end) code points of ``formatted``."""
     blocks = stage_table(_blocks(turns, block))  # texts are shuffled once; the rest is per row
-    d = (blocks.join(_earlier(blocks, history_turns),
-                     F.col("conv_id").eqNullSafe(F.col("ec")) & (F.col("b") == F.col("eb")), "left")
-         .select("conv_id", "b", "p", "old", F.coalesce("prev", F.slice("p", 1, 0)).alias("prev"),
-                 _first_system(F.col("p")).alias("here")))
+    here = _first_system(F.col("p"))
+    alone = lambda x: x.select("conv_id", "b", "p", F.get(F.slice("p", 1, 0), F.lit(0)).alias("old"),
+                               F.slice("p", 1, 0).alias("prev"), here.alias("here"))
+    several = stage_table(turns.select("conv_id", _block_of(block).alias("b")).groupBy("conv_id").agg(
+        F.min("b").alias("x"), F.max("b").alias("y")).where("x < y").select(F.col("conv_id").alias("mc")))
+    n = several.count()
+    if n == 0:
+        d = alone(blocks)
+    else:
+        several = F.broadcast(several) if n <= SEVERAL else several
+        known = F.col("conv_id").eqNullSafe(F.col("mc"))
+        many = blocks.join(several, known, "left_semi")
+        met = many.join(_earlier(many, history_turns), F.col("conv_id").eqNullSafe(F.col("ec")) & (F.col("b") == F.col("eb")))
+        d = alone(blocks.join(several, known, "left_anti")).unionByName(
+            met.select("conv_id", "b", "p", "old", F.coalesce("prev", F.slice("p", 1, 0)).alias("prev"), here.alias("here")))
     system_tokens = F.coalesce(F.col("old.tok"), F.col("here.tok"), F.lit(0))
-    d = d.withColumn("room", F.lit(budget - history_tokens) - system_tokens)
+    d = d.withColumn("room", F.lit(budget - history_tokens)
+                     - F.when(system_tokens <= budget // 2, system_tokens).otherwise(0))
 
     def take(s: Column, x: Column) -> Column:
         first = F.element_at(s, -1)
@@ -142,6 +162,8 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
     d = d.withColumn("own", F.slice("p", start["i"], end["i"] - start["i"]))
     d = d.withColumn("system", F.when(F.col("old").isNotNull(), F.col("old"))
                      .when(F.col("here.i") < start["i"], F.col("here")))
+    fits = F.col("system.tok") <= F.least(F.lit(budget // 2), F.lit(budget) - (end["pre"] - start["pre"]))
+    d = d.withColumn("system", F.when(fits, F.col("system")))
 
     # repeated turns, nearest first, while they fit; a window that one long turn fills has none
     limit = F.least(F.lit(history_tokens), F.lit(budget) - F.coalesce(F.col("system.tok"), F.lit(0))

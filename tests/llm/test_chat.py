@@ -52,6 +52,10 @@ def talk(spark):
              (2, 4, None, None), (None, None, "user", "lost"), (None, 1, "assistant", SAID), (3, 1, "assistant", "dup"),
              (3, 1, "assistant", "dup"), (4, 0, "assistant", "🎉é[\\b"), (4, 1, "system", "late"), (4, 2, "user", "x " * 90),
              (4, 3, "assistant", "z " * 90)]
+    # system turns of more and of less than half a budget, turns that leave no room beside them
+    rows += [(5, 0, "system", "rule " * 70)] + [(5, k, ("user", "assistant")[k % 2 == 0], "w " * 30) for k in range(1, 9)]
+    rows += [(6, 0, "system", "rule " * 40)] + [(6, k, ("user", "assistant")[k % 2 == 0], "w " * (10 + 12 * (k % 8))) for k in range(1, 20)]
+    rows += [(7, 0, "system", "rule " * 300), (7, 1, "user", "long " * 20000), (7, 2, "assistant", "ok")]
     return rows, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns(
         {c: F.lit("extra") for c in ("b", "idx", "w", "sys", "c", "tok", "turns")})
 
@@ -74,13 +78,13 @@ def test_windows(spark, talk, block):
         # repeats: the system turn, then the turns just before the window
         system = next((t for t in want[w.conv_id] if t[0] == "system"), None)
         before = conv[-2:]
-        if system in conv:
+        if system in conv and tokens(system[1]) <= min(budget // 2, budget - sum(tokens(t) for _, t in own)):
             assert repeats and repeats[0] == system
             repeats = repeats[1:]
         assert repeats == [t for t in before if t != system][len([t for t in before if t != system]) - len(repeats):]
         assert [un(w.formatted[s.start:s.end]) for s in w.loss_spans] == [t for r, t in own if r == "assistant"]
         assert w.n_tokens == sum(tokens(t) for _, t in turns)
-        assert w.n_tokens <= budget or len(own) == 1
+        assert w.n_tokens <= budget or len(own) == 1 and tokens(own[0][1]) > budget and not w.repeated
         conv += own
     assert seen == want
     assert max(w.repeated for w in wins) == 3
