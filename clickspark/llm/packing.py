@@ -49,8 +49,9 @@ class WordTokenizer:
     The tokenizer drops white space and never joins across it, so a text's
     ids are those of its space-separated parts, which are kept in a table
     of at most ``limit`` parts (cleared when full).  The parts that a group of
-    texts adds are encoded together, many in one string, and cut apart again
-    at the id that stands between them."""
+    texts adds are encoded together, many in one string, and cut apart again:
+    words of letters, which are one pre-token each, after their word-end piece,
+    others at the id that stands between them."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -58,7 +59,9 @@ class WordTokenizer:
         self.limit, self.ids = limit, {"": b""}
         vocab = self.tok.get_vocab()
         self.sentence_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.word_end = np.zeros(len(self.sentence_end), bool)
         for piece, i in vocab.items():
+            self.word_end[i] = piece.endswith("</w>")
             word = piece.removesuffix("</w>")
             self.sentence_end[i] = bool(word) and set(word) <= set(".!?") and piece.endswith("</w>")
         between = self._encode([BETWEEN])[0]
@@ -67,31 +70,36 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.ids) + len(parts) > self.limit:
-            self.ids = {"": b""}
-        alone = [p for p in parts if self.between is None or BETWEEN in p]
-        for p, ids in zip(alone, self._encode(alone)):
-            self.ids[p] = ids.tobytes()
-        rest = list(parts.difference(alone))
-        groups = [rest[i:i + JOINED] for i in range(0, len(rest), JOINED)]
-        for group, ids in zip(groups, self._encode([f" {BETWEEN} ".join(g) for g in groups])):
-            data, cuts = ids.tobytes(), (np.flatnonzero(ids == self.between) * 4).tolist()
-            if len(cuts) != len(group) - 1:  # the joining was not undone: one by one
-                self.ids.update((p, i.tobytes()) for p, i in zip(group, self._encode(group)))
-                continue
-            self.ids.update(zip(group, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)])]))
+    def _learn(self, parts) -> None:
+        words, signs, alone = [], [], []
+        for p in parts:
+            (words if p.isalpha() else alone if self.between is None or BETWEEN in p else signs).append(p)
+        for some, glue in ((words, " "), (signs, f" {BETWEEN} ")):
+            groups = [some[i:i + JOINED] for i in range(0, len(some), JOINED)]
+            for group, ids in zip(groups, self._encode([glue.join(g) for g in groups])):
+                if some is words:
+                    stops = (np.flatnonzero(self.word_end[ids]) * 4 + 4).tolist()
+                    starts = [0, *stops[:-1]]
+                else:
+                    cuts = (np.flatnonzero(ids == self.between) * 4).tolist()
+                    starts, stops = [0, *[c + 4 for c in cuts]], [*cuts, 4 * len(ids)]
+                if len(stops) != len(group):  # the joining cannot be undone: one by one
+                    alone += group
+                    continue
+                data = ids.tobytes()
+                self.ids.update(zip(group, [data[a:b] for a, b in zip(starts, stops)]))
+        self.ids.update((p, i.tobytes()) for p, i in zip(alone, self._encode(alone)))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of several texts."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*split)
-        new = need.difference(self.ids)
+        if len(self.ids) > self.limit:
+            self.ids = {"": b""}
+        ids = self.ids
+        new = {p for parts in split for p in parts if p not in ids}
         if new:
             self._learn(new)
-            if len(self.ids) < len(need) or not need <= self.ids.keys():  # the table was cleared
-                self._learn(need.difference(self.ids))
-        get = self.ids.__getitem__
+        get = ids.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
     def encode(self, text: str) -> bytes:
