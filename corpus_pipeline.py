@@ -2,7 +2,12 @@
 SimHash near-dedup, secret scans and packing.
 
 Each stage is written as Parquet to the shared folder and read back as the
-next one's input; all but the last return the columns of ``documents``."""
+next one's input; all but the last return the columns of ``documents``.
+
+Rows: null and empty texts fail the quality rules and go; very long texts are
+read whole by every stage; repeated rows are near duplicates of each other, so
+one stays; null doc_ids stay null; extra columns of ``documents`` are not
+carried; an empty table gives an empty result."""
 
 from __future__ import annotations
 
