@@ -28,7 +28,7 @@ def test_session_table_columns(make_events):
     assert r.session_id == "7_2024-01-06"
     assert r.session_duration_minutes == 30.0
     assert (r.total_events, r.unique_products_viewed, r.purchase_count, r.has_purchase) == (2, 2, 1, 1)
-    assert r.total_revenue == 20.01 and r.is_weekend_session == 1 and r.session_start_hour == 10
+    assert r.total_revenue == 20.005 and r.is_weekend_session == 1 and r.session_start_hour == 10
 
 
 def test_session_report_keeps_section_order(make_events):
