@@ -42,3 +42,15 @@ def test_segments_partition_users(make_events):
     assert dist.User_Count.sum() == usr.count()
     seg = us.rfm_segment(us.rfm_scores(us.rfm_values(usr))).toPandas()
     assert seg.groupby("R_Score").size().max() - seg.groupby("R_Score").size().min() <= 1
+
+
+def test_user_table_counts_distinct_values_apart(spark, make_events):
+    ev = make_events([(1, "2024-01-01T10:00:00", "view", 7), (1, "2024-01-01T11:00:00", "purchase", 7, 5.0),
+                      (1, "2024-01-02T10:00:00", "cart", 8), (2, "2024-01-01T10:00:00", "view", None),
+                      (None, "2024-01-01T10:00:00", "view", 9)])
+    unseen = ev.where("user_id = 2").withColumn("user_id", F.lit(3).cast("long")).withColumn("event_time", F.lit(None).cast("timestamp"))
+    got = us.user_table(ev.unionByName(unseen))
+    assert {r.user_id: (r.total_sessions, r.days_active, r.total_events, r.unique_products_viewed, r.total_revenue)
+            for r in got.collect()} == {1: (2, 2, 3, 2, 5.0), 2: (1, 1, 1, 0, 0.0), 3: (0, 0, 1, 0, 0.0)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan  # three rows per event, each with every sum's buffer
