@@ -4,9 +4,12 @@ best-first, and their exact attribution.
 Training data is binned once (at most ``max_bins`` bins a feature, cut at values
 that occur) and packed into blocks of rows.  A tree is grown from histograms:
 each level is one job in which every task adds up gradients, hessians and rows
-per (node, feature, bin) over its blocks, and a tree of tasks adds up the tasks.  The driver sees only these cells (open nodes x features x bins),
-never rows.  Gradients are whole numbers of 2^-32, so sums, and with them trees,
-do not depend on the partitioning.
+per (node, feature, bin) over its blocks; the features are dealt out to tasks that
+add up the cells and find the best split of every open node.  The driver sees one
+split per open node and feature, neither rows nor cells.  Blocks are held in as
+many partitions as the cluster has cores at most, so what is shuffled does not
+grow with the rows beyond that.  Gradients are whole numbers of 2^-32, so sums,
+and with them trees, do not depend on the partitioning.
 
 A split's gain is ``GL^2/(HL+l2) + GR^2/(HR+l2) - G^2/(H+l2)``, a leaf's value
 ``-rate * G/(H+l2)``.  With ``leaves`` the tree is best-first: of all splits those
@@ -14,8 +17,9 @@ with the greatest gains are kept as a queue of leaves would pop them.  A split
 is popped before another if the least gain on its path is greater, so a level
 only opens nodes among the first ``leaves - 1`` so far.  Missing values go left.
 
-Margins are kept with the blocks and written anew every ``RESTAGE`` trees, so a
-lost executor costs at most that many trees of re-scoring."""
+Margins are kept with the blocks, moved on by each tree once it is grown and
+written anew every ``RESTAGE`` trees, so a lost executor costs at most that many
+trees of re-scoring."""
 
 from __future__ import annotations
 
@@ -259,56 +263,84 @@ def _arrays(block, d: int):
 def _kept(blocks: DataFrame):
     """Staged blocks as an RDD that stays in memory: a level is one small job,
     so it should not be planned anew each time."""
-    return blocks.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    return blocks.rdd.map(tuple).coalesce(cores).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _advance(bins: np.ndarray, margins: np.ndarray, trees: list[Tree]) -> np.ndarray:
-    for t in trees:
-        margins = margins + np.array(t.value)[t.leaves_of(bins, True)]
-    return margins
+def _advanced(blocks, d: int, tree: Tree):
+    """The blocks with margins moved on by ``tree``."""
+    value = np.array(tree.value)
 
+    def step(b):
+        bins, _, margins = _arrays(b, d)
+        return b[0], b[1], (margins + value[tree.leaves_of(bins, True)]).tobytes()
 
-def _histograms(blocks, d: int, done: list[Tree], tree: Tree, nodes: list[int]) -> np.ndarray:
-    """Sums of gradient, hessian and rows as one array (sum, node, feature, bin)."""
+    return blocks.map(step)
+
+
+def _sums(part, d: int, tree: Tree, nodes: list[int], widths: list[int]):
+    """Per feature the sums of gradient, hessian and rows over a task's blocks,
+    as one array (sum, node, bin)."""
     slot = np.full(len(tree.feature), -1)
     slot[nodes] = range(len(nodes))
-    size = len(nodes) * d * _BINS
-
-    def run(part):
-        sums = np.zeros((3, size), np.int64)
-        for b in part:
-            bins, y, margins = _arrays(b, d)
-            at = slot[tree.leaves_of(bins, True)]
-            rows = np.flatnonzero(at >= 0)
-            if not len(rows):
-                continue
-            p = 1 / (1 + np.exp(-_advance(bins, margins, done)[rows]))
-            parts = np.rint((p - y[rows]) * _UNIT), np.rint(p * (1 - p) * _UNIT), None
-            cell = at[rows, None] * (d * _BINS) + np.arange(d) * _BINS + bins[rows]
-            for k, w in enumerate(parts):
-                sums[k] += np.bincount(cell.ravel(), None if w is None else np.repeat(w, d), size).astype(np.int64)
-        yield sums
-
-    return blocks.mapPartitions(run).treeReduce(np.add).reshape(3, len(nodes), d, _BINS)
+    sums = [np.zeros((3, len(nodes) * w), np.int64) for w in widths]
+    for b in part:
+        bins, y, margins = _arrays(b, d)
+        at = slot[tree.leaves_of(bins, True)]
+        rows = np.flatnonzero(at >= 0)
+        if not len(rows):
+            continue
+        at, p = at[rows], 1 / (1 + np.exp(-margins[rows]))
+        parts = np.rint((p - y[rows]) * _UNIT), np.rint(p * (1 - p) * _UNIT), None
+        for f, w in enumerate(widths):
+            cell = at * w + bins[rows, f]
+            for k, weight in enumerate(parts):
+                sums[f][k] += np.bincount(cell, weight, len(nodes) * w).astype(np.int64)
+    for f, w in enumerate(widths):
+        yield f, sums[f].reshape(3, len(nodes), w)
+
+
+def _splits(blocks, d: int, tree: Tree, nodes: list[int], edges: list[np.ndarray], l2: float, least_h: float,
+            least_rows: int) -> tuple[tuple[int, int, int], list]:
+    """The sums over all rows of ``nodes``, and per node the best split (``_best``,
+    with its feature): the first by feature and bin of equal ones."""
+    widths = [len(e) + 1 for e in edges]
+    adders = max(1, min(d, blocks.getNumPartitions() // 2))
+
+    def best(part):
+        added: dict[int, np.ndarray] = {}
+        for f, sums in part:
+            added[f] = added[f] + sums if f in added else sums
+        for f, hist in added.items():
+            total = tuple(int(v) for v in hist.sum((1, 2))) if f == 0 else None
+            yield f, total, [_best(hist[:, i], l2, least_h, least_rows) for i in range(len(nodes))]
+
+    cells = blocks.mapPartitions(lambda part: _sums(part, d, tree, nodes, widths))
+    total, found = (0, 0, 0), [None] * len(nodes)
+    for f, whole, splits in sorted(cells.partitionBy(adders, lambda f: f).mapPartitions(best).collect(), key=lambda x: x[0]):
+        total = whole or total
+        for i, x in enumerate(splits):
+            if x is not None and (found[i] is None or x[0] > found[i][0]):
+                found[i] = (x[0], f, *x[1:])
+    return total, found
 
 
 def _best(hist: np.ndarray, l2: float, least_h: float, least_rows: int):
-    """(gain, feature, bin, left sums, right sums) of one node's best split, the
-    first by feature and bin of equal ones; None where none is allowed."""
-    left = np.cumsum(hist, axis=2)
-    total = left[:, :1, -1:]
+    """(gain, bin, left sums, right sums) of the best split of one node by one
+    feature, the first by bin of equal ones; None where none is allowed."""
+    left = np.cumsum(hist, axis=1)
+    total = left[:, -1:]
     right = total - left
-    (gl, hl, nl), (gr, hr, nr), (g, h, _) = left / _UNIT, right / _UNIT, total / _UNIT
+    (gl, hl, _), (gr, hr, _), (g, h, _) = left / _UNIT, right / _UNIT, total / _UNIT
     nl, nr = left[2], right[2]
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = gl * gl / (hl + l2) + gr * gr / (hr + l2) - g * g / (h + l2)
     ok = (nl >= max(1, least_rows)) & (nr >= max(1, least_rows)) & (hl >= least_h) & (hr >= least_h)
     gain = np.where(ok, gain, -np.inf)
-    at = int(np.argmax(gain))
-    f, b = divmod(at, gain.shape[1])
-    if not gain[f, b] > 1e-9:
+    b = int(np.argmax(gain))
+    if not gain[b] > 1e-9:
         return None
-    return float(gain[f, b]), f, b, tuple(int(v) for v in left[:, f, b]), tuple(int(v) for v in right[:, f, b])
+    return float(gain[b]), b, tuple(int(v) for v in left[:, b]), tuple(int(v) for v in right[:, b])
 
 
 def _popped(tree: Tree, splits: int) -> set[int]:
@@ -325,16 +357,15 @@ def _popped(tree: Tree, splits: int) -> set[int]:
     return out
 
 
-def _grow(blocks, d, done, edges, depth, leaves, l2, least_h, least_rows) -> Tree:
+def _grow(blocks, d, edges, depth, leaves, l2, least_h, least_rows) -> Tree:
     tree, level, worst = Tree(), [0], {}                # worst: least gain on the path to a split and of it
     above = {0: math.inf}
     for k in range(depth):
-        hist = _histograms(blocks, d, done, tree, level)
+        total, splits = _splits(blocks, d, tree, level, edges, l2, least_h, least_rows)
         if k == 0:
-            tree.sums[0] = tuple(int(v) for v in hist[:, 0, 0].sum(1))
+            tree.sums[0] = total
         found = {}
-        for i, node in enumerate(level):
-            best = _best(hist[:, i], l2, least_h, least_rows)
+        for node, best in zip(level, splits):
             if best is not None:
                 found[node] = best
                 worst[node] = min(above[node], best[0])
@@ -365,26 +396,23 @@ def fit_boosted(train: DataFrame, label: str = "label", features: Sequence[str]
     spark = train.sparkSession
     blocks = _kept(stage_table(_pack(train.repartition(-(-n // BLOCK)), features, label, edges, base)))
     trees: list[Tree] = []
-    done: list[Tree] = []
+    before = None                                       # what ``blocks`` come from, until they are in memory
     try:
-        for _ in range(maxIter):
-            tree = _grow(blocks, d, done, edges, maxDepth, leaves, l2, minHessian, minRows)
-            for i, (f, (g, h, _)) in enumerate(zip(tree.feature, tree.sums)):
-                tree.value[i] = 0.0 if f >= 0 else -stepSize * (g / _UNIT) / (h / _UNIT + l2)
+        for i in range(1, maxIter + 1):
+            tree = _grow(blocks, d, edges, maxDepth, leaves, l2, minHessian, minRows)
+            if before is not None:
+                before.unpersist()
+                before = None
+            for j, (f, (g, h, _)) in enumerate(zip(tree.feature, tree.sums)):
+                tree.value[j] = 0.0 if f >= 0 else -stepSize * (g / _UNIT) / (h / _UNIT + l2)
             trees.append(tree)
-            done.append(tree)
-            if len(tree.feature) == 1:
-                break  # no split pays: later trees would be the same
-            if len(done) == RESTAGE:
-                old, pending = blocks, done
-
-                def step(b, pending=pending):
-                    bins, _, margins = _arrays(b, d)
-                    return b[0], b[1], _advance(bins, margins, pending).tobytes()
-
-                blocks = _kept(stage_table(spark.createDataFrame(old.map(step), _BLOCK)))
-                done = []
-                old.unpersist()
+            if len(tree.feature) == 1 or i == maxIter:
+                break  # a tree without a split: later ones would be the same
+            before, moved = blocks, _advanced(blocks, d, tree)
+            blocks = (moved.persist(StorageLevel.MEMORY_AND_DISK) if i % RESTAGE
+                      else _kept(stage_table(spark.createDataFrame(moved, _BLOCK))))
     finally:
         blocks.unpersist()
+        if before is not None:
+            before.unpersist()
     return BoostedTrees(features, base, trees)

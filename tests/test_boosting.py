@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.core.rdd import PipelinedRDD
 
 from clickspark.operators import boosting as B
 from clickspark.operators import models as mo
@@ -140,3 +141,28 @@ def test_sample_and_importances(data):
     assert sample == {r["user_id"] for r in mo.seeded_sample(df.repartition(7), 20).collect()} and len(sample) == 20
     shap = mo.shap_importance(m, df, df, list("abcd"))
     assert [r["feature"] for r in shap.collect()][0] in "ab"
+
+
+def test_driver_sees_splits_not_cells(data, monkeypatch):
+    """What a level sends to the driver is a few numbers per node and feature,
+    whatever the bins, and what a tree shuffles follows the bins in use."""
+    x, y, df = data
+    monkeypatch.setattr(B, "BLOCK", 60)
+    names = list("abcd")
+    edges = B.bin_edges(df, names, 256)
+    blocks = B._kept(B.stage_table(B._pack(df.repartition(5), names, "label", edges, 0.0)))
+    assert blocks.getNumPartitions() <= df.sparkSession.sparkContext.defaultParallelism
+    sent = []
+    collect = type(blocks).collect
+
+    def watched(rdd):
+        sent.extend(collect(rdd))
+        return sent
+
+    monkeypatch.setattr(PipelinedRDD, "collect", watched)
+    total, found = B._splits(blocks, 4, B.Tree(), [0], edges, 1.0, 1.0, 1)
+    assert total[2] == len(y) and found[0][1] in range(4)
+    assert len(sent) == 4 and not any(isinstance(v, np.ndarray) for row in sent for v in row)
+    cells = {f: s.shape for f, s in blocks.mapPartitions(lambda p: B._sums(p, 4, B.Tree(), [0], [len(e) + 1 for e in edges])).take(4)}
+    assert cells[0] == (3, 1, 6) and cells[3] == (3, 1, 2)
+    blocks.unpersist()
