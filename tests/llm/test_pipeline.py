@@ -8,7 +8,7 @@ from clickspark.staging import stage_table
 def test_registered():
     names = list(E.queries())
     assert [n.split("_")[0] for n in sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-            ] == [f"op{k}" for k in range(1, 11)]
+            ] == [f"op{k}" for k in range(1, 14)]
     assert "pipeline" in names and [n for n, _ in C.STAGES] == [
         "quality_rules", "quality_classifier", "simhash_near_dedup", "secret_scan", "packing"]
 
