@@ -2,7 +2,7 @@
 best-first, and their exact attribution.
 
 Training data is binned once (at most ``max_bins`` bins a feature, cut at values
-that occur) and packed into blocks of rows.  A tree is grown from histograms:
+that occur and placed by the ranks of all rows) and packed into blocks of rows.  A tree is grown from histograms:
 each level is one job in which every task adds up gradients, hessians and rows
 per (node, feature, bin) over its blocks; the features are dealt out to tasks that
 add up the cells and find the best split of every open node.  The driver sees one
@@ -32,15 +32,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickspark.schema import FEATURE_COLS
 from clickspark.staging import stage_table
 
-#: Rows of a block; trees between two writings of the margins; rows (the first
-#: by hash) whose values place the bins.
-BLOCK, RESTAGE, BIN_ROWS = 65_536, 16, 200_000
+#: Rows of a block; trees between two writings of the margins.
+BLOCK, RESTAGE = 65_536, 16
 _UNIT = float(2 ** 32)
 _BINS = 256
 _BLOCK = "bins binary, labels binary, margins binary"
@@ -216,25 +215,31 @@ def _paths(t: Tree):
             todo.append((c, path + [(t.feature[node], t.threshold[node], side, t.sums[c][1] / t.sums[node][1])]))
 
 
-def bin_edges(df: DataFrame, features: Sequence[str], max_bins: int, rows: int = BIN_ROWS) -> list[np.ndarray]:
+def bin_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> list[np.ndarray]:
     """Cut values per feature: all different values but the greatest where
-    ``max_bins`` hold them, else the values at ranks ceil(i * n / max_bins).
-    Of more than ``rows`` rows the first by hash are taken."""
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.xxhash64(*df.columns).alias("_h"))
-    if df.count() > rows:
-        x = x.orderBy("_h").limit(rows)
-    out = []
-    for c in x.drop("_h").toArrow().columns:
-        v = np.sort(c.drop_null().to_numpy())
-        v = v[~np.isnan(v)]
-        u = np.unique(v)
-        if len(u) > max_bins:
-            u = np.unique(v[[-(-i * len(v) // max_bins) - 1 for i in range(1, max_bins)]])
-            u = u[u < v[-1]]
-        else:
-            u = u[:-1]
-        out.append(u)
-    return out
+    ``max_bins`` hold them, else the values at ranks ceil(i * n / max_bins);
+    of all rows, whatever their number.  Missing values have no rank.
+
+    The different values are counted, range-partitioned and given running counts
+    from per-partition offsets; only the cut values come to the driver."""
+    whole = Window.partitionBy("f")
+    held = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v"))
+                               for i, c in enumerate(features)])).alias("_s")
+    values = df.select(held).select("_s.f", "_s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = values.groupBy("f", "v").agg(F.count(F.lit(1)).alias("c"))
+    t = stage_table(counts.repartitionByRange("f", "v").withColumn("_pid", F.spark_partition_id()))
+    part = t.groupBy("f", "_pid").agg(F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_d"), F.max("v").alias("_top"))
+    earlier = whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition and feature
+    offs = part.select("f", "_pid", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("off"),
+                       F.sum("_c").over(whole).alias("n"), F.sum("_d").over(whole).alias("d"), F.max("_top").over(whole).alias("top"))
+    running = Window.partitionBy("f", "_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = t.join(F.broadcast(offs), ["f", "_pid"]).withColumn("upto", F.col("off") + F.sum("c").over(running))
+    # of the ranks ceil(i * n / max_bins), 0 < i < max_bins, those up to x are the first x * max_bins div n
+    cut = F.expr(f"d <= {max_bins} OR least(upto * {max_bins} div n, {max_bins - 1}) > (upto - c) * {max_bins} div n")
+    out: list[list[float]] = [[] for _ in features]
+    for f, v in ranked.where((F.col("v") < F.col("top")) & cut).select("f", "v").collect():
+        out[f].append(v)
+    return [np.array(sorted(v), float) for v in out]
 
 
 def _pack(df: DataFrame, features: Sequence[str], label: str, edges: list[np.ndarray], base: float) -> DataFrame:

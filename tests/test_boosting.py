@@ -166,3 +166,21 @@ def test_driver_sees_splits_not_cells(data, monkeypatch):
     cells = {f: s.shape for f, s in blocks.mapPartitions(lambda p: B._sums(p, 4, B.Tree(), [0], [len(e) + 1 for e in edges])).take(4)}
     assert cells[0] == (3, 1, 6) and cells[3] == (3, 1, 2)
     blocks.unpersist()
+
+
+def test_bins_are_placed_by_all_rows(spark):
+    """Cut values of more rows than were once sampled: the values at ranks
+    ceil(i * n / bins) of every row, missing ones apart."""
+    from pyspark.sql import functions as F
+    n = 200_007
+    x = (F.col("id") * 7919) % n
+    df = spark.range(n).select(
+        F.when(F.col("id") % 7 > 0, F.pow(x.cast("double") / n, F.lit(3.0))).otherwise(F.lit(float("nan"))).alias("a"),
+        F.when(x % 11 > 0, F.floor(F.sqrt(x))).alias("b"), (x == 5).cast("int").alias("c"), F.lit(None).cast("double").alias("e"))
+    pdf = df.toPandas()
+    got = B.bin_edges(df.repartition(5), list("abce"), 256)
+    for name, edges in zip("ab", got):
+        v = np.sort(pdf[name].dropna().to_numpy(float))
+        cuts = np.unique(v[[-(-i * len(v) // 256) - 1 for i in range(1, 256)]])
+        assert len(np.unique(v)) > 256 and edges.tolist() == cuts[cuts < v[-1]].tolist()
+    assert got[2].tolist() == [0.0] and got[3].tolist() == []
