@@ -8,7 +8,9 @@ per (node, feature, bin) over its blocks; the features are dealt out to tasks th
 add up the cells and find the best split of every open node.  The driver sees one
 split per open node and feature, neither rows nor cells.  Blocks are held in as
 many partitions as the cluster has cores at most, so what is shuffled does not
-grow with the rows beyond that.  Gradients are whole numbers of 2^-32, so sums,
+grow with the rows beyond that.  Several models are grown side by side: a job
+does the same level of all of them, each on rows and bins of its own, and a
+model's blocks lie next to each other, so few tasks send cells of it.  Gradients are whole numbers of 2^-32, so sums,
 and with them trees, do not depend on the partitioning.
 
 A split's gain is ``GL^2/(HL+l2) + GR^2/(HR+l2) - G^2/(H+l2)``, a leaf's value
@@ -23,15 +25,18 @@ trees of re-scoring."""
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import math
-from collections.abc import Sequence
+import operator
+from collections.abc import Generator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +47,8 @@ from clickspark.staging import stage_table
 BLOCK, RESTAGE = 65_536, 16
 _UNIT = float(2 ** 32)
 _BINS = 256
-_BLOCK = "bins binary, labels binary, margins binary"
+#: ``fit`` numbers the models grown side by side, ``slot`` is the block's partition.
+_BLOCK = "bins binary, labels binary, margins binary, fit int, slot int"
 
 
 @dataclass
@@ -77,15 +83,15 @@ class Tree:
     def leaves_of(self, x: np.ndarray, binned: bool) -> np.ndarray:
         """The leaf of every row: ``x`` holds bins, or values (NaN goes left)."""
         at = np.zeros(len(x), np.int64)
-        f, left, right = (np.array(v) for v in (self.feature, self.left, self.right))
-        cut = np.array(self.cut if binned else self.threshold)
-        rows = np.arange(len(x))
-        while True:
-            inner = f[at] >= 0
-            if not inner.any():
-                return at
-            r, a = rows[inner], at[inner]
-            at[inner] = np.where(x[r, f[a]] > cut[a], right[a], left[a])
+        f = np.array(self.feature)
+        leaf = f < 0
+        own = np.arange(len(f))                         # a leaf leads to itself
+        kids = np.column_stack([np.where(leaf, own, v) for v in (self.left, self.right)]).ravel()
+        cut, of = np.array(self.cut if binned else self.threshold), np.maximum(f, 0) * len(x)
+        rows, flat = np.arange(len(x)), x.ravel("F")    # of bins a view: a column of them lies together
+        while not leaf[at].all():
+            at = kids[2 * at + (flat[of[at] + rows] > cut[at])]
+        return at
 
     def kept(self, wanted: set[int]) -> "Tree":
         """The tree whose only splits are the nodes ``wanted``."""
@@ -218,14 +224,19 @@ def _paths(t: Tree):
 def bin_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> list[np.ndarray]:
     """Cut values per feature: all different values but the greatest where
     ``max_bins`` hold them, else the values at ranks ceil(i * n / max_bins);
-    of all rows, whatever their number.  Missing values have no rank.
+    of all rows, whatever their number.  Missing values have no rank."""
+    return bin_edges_for(df, features, [max_bins])[max_bins]
+
+
+def bin_edges_for(df: DataFrame, features: Sequence[str], bins: Sequence[int]) -> dict[int, list[np.ndarray]]:
+    """``bin_edges`` for several numbers of bins at once.
 
     The different values are counted, range-partitioned and given running counts
     from per-partition offsets; only the cut values come to the driver."""
     whole = Window.partitionBy("f")
-    held = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v"))
-                               for i, c in enumerate(features)])).alias("_s")
-    values = df.select(held).select("_s.f", "_s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v"))
+                                  for i, c in enumerate(features)])).alias("_s")
+    values = df.select(stacked).select("_s.f", "_s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
     counts = values.groupBy("f", "v").agg(F.count(F.lit(1)).alias("c"))
     t = stage_table(counts.repartitionByRange("f", "v").withColumn("_pid", F.spark_partition_id()))
     part = t.groupBy("f", "_pid").agg(F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_d"), F.max("v").alias("_top"))
@@ -234,16 +245,20 @@ def bin_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> list[np.
                        F.sum("_c").over(whole).alias("n"), F.sum("_d").over(whole).alias("d"), F.max("_top").over(whole).alias("top"))
     running = Window.partitionBy("f", "_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = t.join(F.broadcast(offs), ["f", "_pid"]).withColumn("upto", F.col("off") + F.sum("c").over(running))
-    # of the ranks ceil(i * n / max_bins), 0 < i < max_bins, those up to x are the first x * max_bins div n
-    cut = F.expr(f"d <= {max_bins} OR least(upto * {max_bins} div n, {max_bins - 1}) > (upto - c) * {max_bins} div n")
-    out: list[list[float]] = [[] for _ in features]
-    for f, v in ranked.where((F.col("v") < F.col("top")) & cut).select("f", "v").collect():
-        out[f].append(v)
-    return [np.array(sorted(v), float) for v in out]
-
-
-def _pack(df: DataFrame, features: Sequence[str], label: str, edges: list[np.ndarray], base: float) -> DataFrame:
+    # of the ranks ceil(i * n / m), 0 < i < m, those up to x are the first x * m div n
+    cuts = [F.expr(f"d <= {m} OR least(upto * {m} div n, {m - 1}) > (upto - c) * {m} div n").alias(f"cut{m}") for m in bins]
+    held = ranked.where(F.col("v") < F.col("top")).select("f", "v", *cuts)
+    rows = held.where(functools.reduce(operator.or_, [F.col(f"cut{m}") for m in bins])).collect()
+    return {m: [np.array(sorted(r["v"] for r in rows if r["f"] == f and r[f"cut{m}"]), float) for f in range(len(features))]
+            for m in bins}
+
+
+def _pack(df: DataFrame, features: Sequence[str], label: str, edges: list[np.ndarray], base: float, fit: int = 0,
+          start: int = 0, of: int = 1, parts: int = 1) -> DataFrame:
+    """Blocks of ``df`` for the model ``fit``.  Partition p of ``df`` is share
+    ``start + p`` of ``of`` shares of all models, dealt in order to ``parts`` slots."""
     def run(batches):
+        slot = (start + TaskContext.get().partitionId()) * parts // of
         for b in batches:
             for i in range(0, b.num_rows, BLOCK):
                 part = b.slice(i, BLOCK)
@@ -253,38 +268,43 @@ def _pack(df: DataFrame, features: Sequence[str], label: str, edges: list[np.nda
                     cols.append(np.where(np.isnan(v), 0, np.searchsorted(e, v, "left")).astype(np.uint8))
                 y = part.column(0).to_numpy(zero_copy_only=False).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([np.column_stack(cols).tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()),
-                     pa.array([np.full(len(y), base).tobytes()], pa.binary())], names=["bins", "labels", "margins"])
+                    [pa.array([np.stack(cols).tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()),
+                     pa.array([np.full(len(y), base).tobytes()], pa.binary()), pa.array([fit], pa.int32()),
+                     pa.array([slot], pa.int32())], names=["bins", "labels", "margins", "fit", "slot"])
 
     return df.select(F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in features]).mapInArrow(
         run, _BLOCK)
 
 
 def _arrays(block, d: int):
-    bins, labels, margins = block
-    return np.frombuffer(bins, np.uint8).reshape(-1, d), np.frombuffer(labels, np.uint8), np.frombuffer(margins, float)
+    """Bins (a column of them lies together), labels and margins."""
+    bins, labels, margins, *_ = block
+    return np.frombuffer(bins, np.uint8).reshape(d, -1).T, np.frombuffer(labels, np.uint8), np.frombuffer(margins, float)
 
 
-def _kept(blocks: DataFrame):
-    """Staged blocks as an RDD that stays in memory: a level is one small job,
-    so it should not be planned anew each time."""
-    cores = blocks.sparkSession.sparkContext.defaultParallelism
-    return blocks.rdd.map(tuple).coalesce(cores).persist(StorageLevel.MEMORY_AND_DISK)
+def _kept(blocks: DataFrame, parts: int | None = None):
+    """Staged blocks by their slots as an RDD that stays in memory: a level is
+    one small job, so it should not be planned anew each time."""
+    parts = parts or blocks.sparkSession.sparkContext.defaultParallelism
+    return (blocks.rdd.map(lambda b: (b[4], tuple(b))).partitionBy(parts, lambda slot: slot).values()
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
 
-def _advanced(blocks, d: int, tree: Tree):
-    """The blocks with margins moved on by ``tree``."""
-    value = np.array(tree.value)
+def _advanced(blocks, d: int, trees: dict[int, Tree]):
+    """The blocks with margins moved on by the model's tree in ``trees``."""
+    value = {i: np.array(t.value) for i, t in trees.items()}
 
     def step(b):
+        if b[3] not in trees:
+            return b
         bins, _, margins = _arrays(b, d)
-        return b[0], b[1], (margins + value[tree.leaves_of(bins, True)]).tobytes()
+        return b[0], b[1], (margins + value[b[3]][trees[b[3]].leaves_of(bins, True)]).tobytes(), *b[3:]
 
     return blocks.map(step)
 
 
 def _sums(part, d: int, tree: Tree, nodes: list[int], widths: list[int]):
-    """Per feature the sums of gradient, hessian and rows over a task's blocks,
+    """Per feature the sums of gradient, hessian and rows over a model's blocks,
     as one array (sum, node, bin)."""
     slot = np.full(len(tree.feature), -1)
     slot[nodes] = range(len(nodes))
@@ -295,46 +315,79 @@ def _sums(part, d: int, tree: Tree, nodes: list[int], widths: list[int]):
         rows = np.flatnonzero(at >= 0)
         if not len(rows):
             continue
+        if len(rows) == len(at):
+            rows = slice(None)
         at, p = at[rows], 1 / (1 + np.exp(-margins[rows]))
         parts = np.rint((p - y[rows]) * _UNIT), np.rint(p * (1 - p) * _UNIT), None
+        first = {w: at * w for w in set(widths)}
         for f, w in enumerate(widths):
-            cell = at * w + bins[rows, f]
+            cell = first[w] + bins[rows, f]
             for k, weight in enumerate(parts):
                 sums[f][k] += np.bincount(cell, weight, len(nodes) * w).astype(np.int64)
     for f, w in enumerate(widths):
         yield f, sums[f].reshape(3, len(nodes), w)
 
 
-def _splits(blocks, d: int, tree: Tree, nodes: list[int], edges: list[np.ndarray], l2: float, least_h: float,
-            least_rows: int) -> tuple[tuple[int, int, int], list]:
-    """The sums over all rows of ``nodes``, and per node the best split (``_best``,
-    with its feature): the first by feature and bin of equal ones."""
-    widths = [len(e) + 1 for e in edges]
-    adders = max(1, min(d, blocks.getNumPartitions() // 2))
+@dataclass
+class Level:
+    """What a model asks of a level: the best splits of ``nodes`` of ``tree``."""
+
+    tree: Tree
+    nodes: list[int]
+    edges: list[np.ndarray]
+    l2: float
+    least_h: float
+    least_rows: int
+
+
+def _level(blocks, d: int, asked: dict[int, Level]) -> dict[int, tuple[tuple[int, int, int], list]]:
+    """Per model of ``asked`` the sums over all rows of its nodes, and per node
+    the best split (``_best``, with its feature): the first by feature and bin of
+    equal ones.  One job."""
+    adders = max(1, min(d * len(asked), blocks.getNumPartitions()))
+    number = {i: k for k, i in enumerate(asked)}
+    # tasks need the number of bins, not where they are cut
+    tasks = {i: (a.tree, a.nodes, [len(e) + 1 for e in a.edges]) for i, a in asked.items()}
+    rules = {i: (a.l2, a.least_h, a.least_rows) for i, a in asked.items()}
+
+    def cells(part):
+        added: dict[tuple[int, int], np.ndarray] = {}
+        for i, own in itertools.groupby(part, key=lambda b: b[3]):
+            if i in tasks:
+                for f, sums in _sums(own, d, *tasks[i]):
+                    added[i, f] = added[i, f] + sums if (i, f) in added else sums
+        return iter(added.items())
 
     def best(part):
-        added: dict[int, np.ndarray] = {}
-        for f, sums in part:
-            added[f] = added[f] + sums if f in added else sums
-        for f, hist in added.items():
+        added: dict[tuple[int, int], np.ndarray] = {}
+        for key, sums in part:
+            added[key] = added[key] + sums if key in added else sums
+        for (i, f), hist in added.items():
             total = tuple(int(v) for v in hist.sum((1, 2))) if f == 0 else None
-            yield f, total, [_best(hist[:, i], l2, least_h, least_rows) for i in range(len(nodes))]
+            yield i, f, total, _best(hist, *rules[i])
+
+    dealt = blocks.mapPartitions(cells).partitionBy(adders, lambda key: number[key[0]] * d + key[1])
+    out = {i: ((0, 0, 0), [None] * len(a.nodes)) for i, a in asked.items()}
+    for i, f, whole, splits in sorted(dealt.mapPartitions(best).collect(), key=lambda x: x[:2]):
+        total, found = out[i]
+        for n, x in enumerate(splits):
+            if x is not None and (found[n] is None or x[0] > found[n][0]):
+                found[n] = (x[0], f, *x[1:])
+        out[i] = (whole or total, found)
+    return out
 
-    cells = blocks.mapPartitions(lambda part: _sums(part, d, tree, nodes, widths))
-    total, found = (0, 0, 0), [None] * len(nodes)
-    for f, whole, splits in sorted(cells.partitionBy(adders, lambda f: f).mapPartitions(best).collect(), key=lambda x: x[0]):
-        total = whole or total
-        for i, x in enumerate(splits):
-            if x is not None and (found[i] is None or x[0] > found[i][0]):
-                found[i] = (x[0], f, *x[1:])
-    return total, found
 
+def _splits(blocks, d: int, tree: Tree, nodes: list[int], edges: list[np.ndarray], l2: float, least_h: float,
+            least_rows: int) -> tuple[tuple[int, int, int], list]:
+    """``_level`` of blocks of one model."""
+    return _level(blocks, d, {0: Level(tree, nodes, edges, l2, least_h, least_rows)})[0]
 
-def _best(hist: np.ndarray, l2: float, least_h: float, least_rows: int):
-    """(gain, bin, left sums, right sums) of the best split of one node by one
+
+def _best(hist: np.ndarray, l2: float, least_h: float, least_rows: int) -> list:
+    """Per node (gain, bin, left sums, right sums) of its best split by one
     feature, the first by bin of equal ones; None where none is allowed."""
-    left = np.cumsum(hist, axis=1)
-    total = left[:, -1:]
+    left = np.cumsum(hist, axis=2)
+    total = left[:, :, -1:]
     right = total - left
     (gl, hl, _), (gr, hr, _), (g, h, _) = left / _UNIT, right / _UNIT, total / _UNIT
     nl, nr = left[2], right[2]
@@ -342,10 +395,11 @@ def _best(hist: np.ndarray, l2: float, least_h: float, least_rows: int):
         gain = gl * gl / (hl + l2) + gr * gr / (hr + l2) - g * g / (h + l2)
     ok = (nl >= max(1, least_rows)) & (nr >= max(1, least_rows)) & (hl >= least_h) & (hr >= least_h)
     gain = np.where(ok, gain, -np.inf)
-    b = int(np.argmax(gain))
-    if not gain[b] > 1e-9:
-        return None
-    return float(gain[b]), b, tuple(int(v) for v in left[:, b]), tuple(int(v) for v in right[:, b])
+    out = []
+    for n, b in enumerate(np.argmax(gain, axis=1).tolist()):
+        x = float(gain[n, b])
+        out.append((x, b, tuple(left[:, n, b].tolist()), tuple(right[:, n, b].tolist())) if x > 1e-9 else None)
+    return out
 
 
 def _popped(tree: Tree, splits: int) -> set[int]:
@@ -362,11 +416,12 @@ def _popped(tree: Tree, splits: int) -> set[int]:
     return out
 
 
-def _grow(blocks, d, edges, depth, leaves, l2, least_h, least_rows) -> Tree:
+def _grow(edges, depth, leaves, l2, least_h, least_rows) -> Generator[Level, tuple, Tree]:
+    """A tree; yields what it asks of each level, is sent what ``_level`` found."""
     tree, level, worst = Tree(), [0], {}                # worst: least gain on the path to a split and of it
     above = {0: math.inf}
     for k in range(depth):
-        total, splits = _splits(blocks, d, tree, level, edges, l2, least_h, least_rows)
+        total, splits = yield Level(tree, level, edges, l2, least_h, least_rows)
         if k == 0:
             tree.sums[0] = total
         found = {}
@@ -387,37 +442,90 @@ def _grow(blocks, d, edges, depth, leaves, l2, least_h, least_rows) -> Tree:
     return tree if leaves is None else tree.kept(_popped(tree, leaves - 1))
 
 
-def fit_boosted(train: DataFrame, label: str = "label", features: Sequence[str] = FEATURE_COLS, maxIter: int = 100,
-                maxDepth: int = 6, stepSize: float = 0.05, maxBins: int = 256, leaves: int | None = None, l2: float = 1.0,
-                minHessian: float = 1.0, minRows: int = 1) -> BoostedTrees:
+def _grown(blocks, d: int, growing: dict[int, Generator]) -> dict[int, Tree]:
+    """The next tree of every model, level by level for all of them."""
+    out, found = {}, dict.fromkeys(growing)
+    while found:
+        asked = {}
+        for i, answer in found.items():
+            try:
+                asked[i] = growing[i].send(answer)
+            except StopIteration as end:
+                out[i] = end.value
+        found = _level(blocks, d, asked) if asked else {}
+    return out
+
+
+@dataclass
+class Settings:
+    """``leaves`` None grows level by level to ``maxDepth``."""
+
+    maxIter: int = 100
+    maxDepth: int = 6
+    stepSize: float = 0.05
+    maxBins: int = 256
+    leaves: int | None = None
+    l2: float = 1.0
+    minHessian: float = 1.0
+    minRows: int = 1
+
+
+def fit_boosted(train: DataFrame, label: str = "label", features: Sequence[str] = FEATURE_COLS, **settings) -> BoostedTrees:
     """Fit on 0/1 labels by the logistic loss; the first margin is the log-odds
-    of the label.  ``leaves`` None grows level by level to ``maxDepth``."""
-    d = len(features)
-    n, ones = train.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("long"))).first()
-    if not n or ones in (0, n, None):
-        return BoostedTrees(features, 0.0 if not n else math.inf if ones == n else -math.inf, [])
-    base = math.log(ones / n / (1 - ones / n))
-    edges = bin_edges(train, features, min(maxBins, _BINS))
-    spark = train.sparkSession
-    blocks = _kept(stage_table(_pack(train.repartition(-(-n // BLOCK)), features, label, edges, base)))
-    trees: list[Tree] = []
+    of the label.  ``settings`` as in ``Settings``."""
+    return fit_boosted_together([(train, settings)], label, features)[0]
+
+
+def fit_boosted_together(asked: Sequence[tuple[DataFrame, dict]], label: str = "label",
+                         features: Sequence[str] = FEATURE_COLS) -> list[BoostedTrees]:
+    """``fit_boosted`` of every (train, settings) side by side: the models are the
+    same, a level of all of them is one job."""
+    d, spark = len(features), asked[0][0].sparkSession
+    models: list[BoostedTrees] = []
+    own: dict[int, tuple[DataFrame, Settings, int]] = {}
+    frames: dict[int, DataFrame] = {id(train): train for train, _ in asked}  # one may be asked for more than once
+    rows = {k: train.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("long"))).first() for k, train in frames.items()}
+    for i, (train, settings) in enumerate(asked):
+        n, ones = rows[id(train)]
+        if not n or ones in (0, n, None):
+            models.append(BoostedTrees(features, 0.0 if not n else math.inf if ones == n else -math.inf, []))
+        else:
+            models.append(BoostedTrees(features, math.log(ones / n / (1 - ones / n)), []))
+            own[i] = train, Settings(**settings), -(-n // BLOCK)
+    if not own:
+        return models
+    bins = {i: min(s.maxBins, _BINS) for i, (_, s, _) in own.items()}
+    found = {k: bin_edges_for(frames[k], features, sorted({bins[i] for i in own if id(own[i][0]) == k}))
+             for k in dict.fromkeys(id(train) for train, *_ in own.values())}
+    edges = {i: found[id(train)][bins[i]] for i, (train, *_) in own.items()}
+    of = sum(shares for *_, shares in own.values())
+    parts, start, packed = min(of, spark.sparkContext.defaultParallelism), 0, []
+    for i, (train, _, shares) in own.items():
+        packed.append(stage_table(_pack(train.repartition(shares), features, label, edges[i], models[i].base, i, start, of, parts)))
+        start += shares
+    blocks = _kept(functools.reduce(DataFrame.union, packed), parts)
     before = None                                       # what ``blocks`` come from, until they are in memory
+    left = {i: s for i, (_, s, _) in own.items()}       # the models still growing
     try:
-        for i in range(1, maxIter + 1):
-            tree = _grow(blocks, d, edges, maxDepth, leaves, l2, minHessian, minRows)
+        for k in itertools.count(1):
+            trees = _grown(blocks, d, {i: _grow(edges[i], s.maxDepth, s.leaves, s.l2, s.minHessian, s.minRows)
+                                       for i, s in left.items() if k <= s.maxIter})
             if before is not None:
                 before.unpersist()
                 before = None
-            for j, (f, (g, h, _)) in enumerate(zip(tree.feature, tree.sums)):
-                tree.value[j] = 0.0 if f >= 0 else -stepSize * (g / _UNIT) / (h / _UNIT + l2)
-            trees.append(tree)
-            if len(tree.feature) == 1 or i == maxIter:
-                break  # a tree without a split: later ones would be the same
-            before, moved = blocks, _advanced(blocks, d, tree)
-            blocks = (moved.persist(StorageLevel.MEMORY_AND_DISK) if i % RESTAGE
-                      else _kept(stage_table(spark.createDataFrame(moved, _BLOCK))))
+            for i, tree in trees.items():
+                for j, (f, (g, h, _)) in enumerate(zip(tree.feature, tree.sums)):
+                    tree.value[j] = 0.0 if f >= 0 else -left[i].stepSize * (g / _UNIT) / (h / _UNIT + left[i].l2)
+                models[i].trees.append(tree)
+            # of a tree without a split the later ones would be the same
+            left = {i: left[i] for i, tree in trees.items() if len(tree.feature) > 1 and k < left[i].maxIter}
+            if not left:
+                break
+            before, moved = blocks, _advanced(blocks, d, {i: trees[i] for i in left})
+            blocks = (moved.persist(StorageLevel.MEMORY_AND_DISK) if k % RESTAGE
+                      else _kept(stage_table(spark.createDataFrame(moved, _BLOCK)), parts))
     finally:
         blocks.unpersist()
         if before is not None:
             before.unpersist()
-    return BoostedTrees(features, base, trees)
+    return models

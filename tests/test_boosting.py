@@ -184,3 +184,37 @@ def test_bins_are_placed_by_all_rows(spark):
         cuts = np.unique(v[[-(-i * len(v) // 256) - 1 for i in range(1, 256)]])
         assert len(np.unique(v)) > 256 and edges.tolist() == cuts[cuts < v[-1]].tolist()
     assert got[2].tolist() == [0.0] and got[3].tolist() == []
+
+
+def test_models_grown_side_by_side(data, monkeypatch):
+    """The same trees as each by itself, a level of all of them in one job; a
+    model of one class, or one that is done early, holds up no other."""
+    x, y, df = data
+    monkeypatch.setattr(B, "BLOCK", 50)
+    monkeypatch.setattr(B, "RESTAGE", 2)
+    less = df.where("user_id % 3 > 0")
+    asked = [(df, dict(maxIter=3, maxDepth=2, maxBins=16)), (df.where("label = 1"), {}),
+             (less, dict(maxIter=4, maxDepth=4, maxBins=20, leaves=6, l2=0.0, minHessian=1e-3, minRows=10)),
+             (less, dict(maxIter=5, maxDepth=3, minRows=10_000)), (df, dict(maxIter=3, maxDepth=3, maxBins=20))]
+    alone = [B.fit_boosted(t, features=list("abcd"), **s) for t, s in asked]
+    jobs = []
+    level = B._level
+    monkeypatch.setattr(B, "_level", lambda *a: jobs.append(1) or level(*a))
+    for m, w in zip(B.fit_boosted_together(asked, features=list("abcd")), alone, strict=True):
+        assert m.base == w.base and m.trees == w.trees
+    assert [len(m.trees) for m in alone] == [3, 0, 4, 1, 3]
+    assert len(jobs) <= 4 * 4  # trees and levels of the longest
+
+
+def test_comparison_grows_split_and_folds_together(data, monkeypatch):
+    """A job per level of a model's trees, not of each of its fits."""
+    x, y, df = data
+    monkeypatch.setattr(mo, "split", lambda ds, label: (ds.where("user_id % 5 > 0"), ds.where("user_id % 5 = 0")))
+    monkeypatch.setattr(mo, "MODEL_PARAMS", {"XGBoost": dict(maxIter=2, maxDepth=2)})
+    wide = df.select("user_id", "label", *[df[c].alias(n) for n, c in zip(mo.FEATURE_COLS, itertools.cycle("abcd"))])
+    jobs = []
+    collect = PipelinedRDD.collect
+    monkeypatch.setattr(PipelinedRDD, "collect", lambda rdd: jobs.append(1) or collect(rdd))
+    table, fitted = mo.model_comparison(wide, models=("XGBoost",))
+    assert len(fitted["XGBoost"].trees) == 2
+    assert table.count() == 1 and len(jobs) == 4
